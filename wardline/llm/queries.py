@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import decontam, neardup, repeats
+from wardline.llm import decontam, neardup, repeats, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +52,6 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
 FROM doc_words d LEFT JOIN hits h USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op5_benchmark_decontamination, op7_minhash_near_dedup, op9_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op5_benchmark_decontamination, op7_minhash_near_dedup, op9_suffix_array_dedup)}
 
 ORACLES = {"op5_benchmark_decontamination": OP5_SQL}
