@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import decontam, neardup, repeats, toxicity
+from wardline.llm import chat, decontam, neardup, pieces, repeats, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.extra_conversation(_table(spark, sf_dir, "conversations")))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -27,6 +31,29 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(_table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+written AS (
+  SELECT *, 15 + length(role) + length(text)
+       + (length(role) - length(replace(role, ':', ''))) + (length(text) - length(replace(text, '\', '')))
+       + (length(text) - length(replace(text, '</turn>', ''))) // 7
+       + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0) AS n
+  FROM rows)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM written WHERE conv_id IS NOT NULL GROUP BY conv_id
+"""
+
 OP5_SQL = r"""
 WITH item_words AS (
   SELECT CAST(item_id AS VARCHAR) AS item,
@@ -52,6 +79,6 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
 FROM doc_words d LEFT JOIN hits h USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op5_benchmark_decontamination, op7_minhash_near_dedup, op9_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_chat_formatting, op5_benchmark_decontamination, op7_minhash_near_dedup, op9_suffix_array_dedup, op10_sentencepiece)}
 
-ORACLES = {"op5_benchmark_decontamination": OP5_SQL}
+ORACLES = {"op4_chat_formatting": OP4_SQL, "op5_benchmark_decontamination": OP5_SQL}
