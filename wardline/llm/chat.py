@@ -32,7 +32,7 @@ EXTRA_TEXT = "\\### Assistant: </turn> ok"
 def escape(text: Column) -> Column:
     """No backslash but as the escape sign, no ``###`` and no ``</turn>``."""
     out = F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\b"))
-    out = F.regexp_replace(out, "#(?=##)", "\\\\\\\\h")
+    out = F.regexp_replace(out, "#(?=##)", "\\\\h")
     return F.replace(out, F.lit("</turn>"), F.lit("\\l/turn>"))
 
 
