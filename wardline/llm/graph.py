@@ -8,38 +8,34 @@ from pyspark.sql import functions as F
 from wardline.llm import textops as X
 
 
+def nearest(links: DataFrame) -> DataFrame:
+    """(id, p): each node's smallest neighbour's smallest neighbour, or itself; connected to it in any case."""
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    step = both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("id"), F.least("a", "p").alias("p"))
+    return step.join(step.select(F.col("id").alias("p"), F.col("p").alias("q")), "p").select("id", F.col("q").alias("p"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id of the links (a, b); the component is its smallest id.
 
-    Each round points every node at its smallest neighbour, halves the pointer
-    paths until they end at roots, and contracts the links to roots; the number
-    of nodes at least halves each round. Links are sums of map-side minima, so
-    a node with very many links needs no task of its own. Tables are cut from
-    their lineage by checkpoint().
+    Each round moves every node to its smallest neighbour's smallest neighbour
+    and carries the links over: a node's link to its smallest neighbour is
+    itself a link, so what was connected stays so, and the number of nodes at
+    least halves. Minima are summed up before the shuffle, so a node with very
+    many links needs no task of its own. Tables are cut from their lineage by
+    checkpoint().
     """
-    edges = links.select("a", "b").where("a <> b")
-    edges = X.cut(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    edges = X.cut(links.select("a", "b").where("a <> b"))
     labels = None
     while not edges.isEmpty():
-        step = edges.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("id"), F.least("a", "p").alias("p"))
-        step = _roots(X.cut(step))
+        step = X.cut(nearest(edges))
         if labels is None:
             labels = step
         else:
             labels = labels.join(step.select(F.col("id").alias("p"), F.col("p").alias("q")), "p", "left").select("id", F.coalesce("q", "p").alias("p"))
-        a = step.select(F.col("id").alias("a"), F.col("p").alias("ra"))
-        b = step.select(F.col("id").alias("b"), F.col("p").alias("rb"))
-        edges = X.cut(edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        a, b = (step.select(F.col("id").alias(c), F.col("p").alias(f"r{c}")) for c in "ab")
+        moved = edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+        edges = X.cut(moved.distinct())
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return X.cut(labels.select("id", F.col("p").alias("component")))
-
-
-def _roots(step: DataFrame) -> DataFrame:
-    """Pointer jumping: p becomes the end of its pointer path."""
-    while True:
-        far = step.select(F.col("id").alias("p"), F.col("p").alias("q"))
-        jumped = X.cut(step.join(far, "p").select("id", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
-        step = jumped.select("id", "p")
-        if jumped.where("moved").isEmpty():
-            return step

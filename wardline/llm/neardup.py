@@ -9,19 +9,19 @@ a chunk are the candidates. They are compared on their full shingle sets and
 only spanning links leave the task.
 
 Exact copies are one class before the forest. The first orders join most near
-copies; the others then ship only the chunks that still hold more than one
-component.
+copies; the others then ship only the chunks whose texts are not yet joined.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm import textops as X
-from wardline.llm.graph import components
+from wardline.llm.graph import components, nearest
 
 WORDS = 5
 HASHES = 64
@@ -174,7 +174,7 @@ def _even(s: int, e: int) -> list[tuple[int, int]]:
 
 
 def links_of(sets: np.ndarray, first: np.ndarray, per_cent: int) -> list[tuple[int, int]]:
-    """Spanning links among a chunk's documents; all pairs are compared on full sets."""
+    """Links of a chunk's documents to the first of their group; all pairs are compared on full sets."""
     n = len(first) - 1
     size = np.diff(first)
     doc = np.repeat(np.arange(n), size)
@@ -205,13 +205,11 @@ def links_of(sets: np.ndarray, first: np.ndarray, per_cent: int) -> list[tuple[i
             x = root[x]
         return x
 
-    out = []
     for i, j in np.argwhere(np.triu(linked, 1)).tolist():
         a, b = find(i), find(j)
         if a != b:
             root[max(a, b)] = min(a, b)
-            out.append((i, j))
-    return out
+    return [(find(i), i) for i in range(n) if find(i) != i]
 
 
 def confirmed(chunks: DataFrame, texts: DataFrame, per_cent: int) -> DataFrame:
@@ -220,6 +218,7 @@ def confirmed(chunks: DataFrame, texts: DataFrame, per_cent: int) -> DataFrame:
     def task(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         b = table.to_batches()[0]
+        b = b.take(pa.compute.sort_indices(b.column("doc_id")))
         ids = np.asarray(b.column(b.schema.get_field_index("doc_id")))
         data, off = X.column(b, "text")
         parts = [shingle_sets(*X.fit(data, off, at, to)) for at, to in X.slices(off)]
@@ -244,7 +243,8 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
     """
     docs = X.one_row_per_key(docs, "doc_id", "text")
     sketch = X.cut(sketches(docs))
-    classes = sketch.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
+    classes = sketch.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    classes = X.cut(classes.where("copies > 1").drop("copies"))
     member = sketch.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
     member = X.cut(member)
     heads = sketch.join(member.where("doc_id = class_id and n_shingles > 0").select("doc_id"), "doc_id", "left_semi").select("doc_id", "sig")
@@ -253,11 +253,11 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
     wanted = chunks.select("doc_id").distinct()
     texts = X.saved(docs.join(wanted, "doc_id", "left_semi"))
     links = X.cut(confirmed(chunks.where(F.col("tree") < FIRST_ORDERS), texts, per_cent))
-    label = components(links)
+    label = nearest(links).withColumnRenamed("id", "doc_id")
 
-    rest = chunks.where(F.col("tree") >= FIRST_ORDERS).join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = rest.groupBy("chunk").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("chunk")
-    more = confirmed(rest.join(mixed, "chunk", "left_semi"), texts, per_cent)
+    rest = chunks.where(F.col("tree") >= FIRST_ORDERS).join(label, "doc_id", "left").withColumn("p", F.coalesce("p", "doc_id"))
+    mixed = rest.groupBy("chunk").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.collect_set("doc_id").alias("docs")).where("lo < hi")
+    more = confirmed(mixed.select("chunk", F.explode("docs").alias("doc_id")), texts, per_cent)
     label = components(links.union(more))
 
     out = member.join(label.withColumnRenamed("id", "class_id"), "class_id", "left")

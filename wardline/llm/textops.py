@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from wardline.session import ship
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BATCH_ROWS = 1000
 
 _U64 = np.uint64
