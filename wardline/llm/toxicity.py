@@ -12,7 +12,7 @@ and how surprising that many are at the ordinary rate; a logistic curve fitted o
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +31,7 @@ MIN_MATCH = 6
 #: bounds of the labelled sample the dictionaries and the curve are fitted on
 TOXIC_ROWS = 1500
 ORDINARY_ROWS = 3000
+TRAINING_TEXT_BYTES = 8192
 #: a segment's least lift and log-likelihood excess in toxic text, and the shortest word beginning
 LIFT = 8.0
 EXCESS = 15.0
@@ -103,26 +104,30 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=d, compression_params=how)
 
 
-def _surroundings(texts: list[bytes]) -> dict[bytes, set[tuple[bytes, bytes]]]:
-    """The distinct neighbours of each word and word beginning; copies of a text add nothing."""
-    seen: dict[bytes, set[tuple[bytes, bytes]]] = defaultdict(set)
+def _surroundings(texts: list[bytes]) -> tuple[Counter[bytes], int]:
+    """In how many different surroundings each word and word beginning stands (copies of a text add nothing), and the number of words."""
+    number: dict[bytes, int] = {}
+    runs = []
     for t in texts:
-        words = [b"", *t.translate(_FOLD).split(), b""]
-        for i in range(1, len(words) - 1):
-            around, word = (words[i - 1], words[i + 1]), words[i][:HEAD_BYTES].upper() + words[i][HEAD_BYTES:]
-            seen[b" %b " % word].add(around)
-            for n in range(STEM_BYTES, min(len(word), 2 * STEM_BYTES)):
-                seen[b" " + word[:n]].add(around)
-    return seen
+        runs.append(np.array([0, *(number.setdefault(w, len(number) + 1) for w in t.translate(_FOLD).split()), 0], np.int32))
+    triples = [np.stack([r[1:-1], r[:-2], r[2:]], 1) for r in runs]
+    distinct = np.unique(np.concatenate([np.zeros((0, 3), np.int32), *triples]), axis=0)
+    count = np.bincount(distinct[:, 0], minlength=len(number) + 1)
+    seen: Counter[bytes] = Counter()
+    for word, i in number.items():
+        marked = word[:HEAD_BYTES].upper() + word[HEAD_BYTES:]
+        seen[b" %b " % marked] += int(count[i])
+        for n in range(STEM_BYTES, min(len(word), 2 * STEM_BYTES)):
+            seen[b" " + marked[:n]] += int(count[i])
+    return seen, sum(len(t) for t in triples) + 1
 
 
 def _recurring(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """Segments far likelier in toxic than in ordinary text, by the excess over a Poisson count; the likeliest last."""
-    bad, good = _surroundings(toxic), _surroundings(ordinary)
-    n_bad, n_good = (sum(len(t.split()) for t in texts) + 1 for texts in (toxic, ordinary))
+    (bad, n_bad), (good, n_good) = _surroundings(toxic), _surroundings(ordinary)
     excess = {}
-    for segment, around in bad.items():
-        n, expected = len(around), n_bad * (len(good.get(segment, ())) + 1) / n_good
+    for segment, n in bad.items():
+        expected = n_bad * (good[segment] + 1) / n_good
         if n > LIFT * expected:
             gain = n * np.log(n / expected) - (n - expected)
             if gain > EXCESS:
@@ -178,20 +183,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 60
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model:
     """Fit on a bounded sample of the labelled documents outside the held-out fold.
 
-    The sample is the rows of least hash(doc_id), as many of each label as the
-    two parameters say. Null labels, null texts and labels without a document
+    The sample is the texts of at most TRAINING_TEXT_BYTES with the least
+    hash(doc_id), as many of each label as the two parameters say. Null labels, null texts and labels without a document
     take no part.
     """
     X.small_batches(docs.sparkSession)
     marked = labels.select("doc_id", "toxic").where("toxic in (0, 1)").where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = [[r["doc_id"] for r in marked.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()] for t, n in ((1, toxic_rows), (0, ordinary_rows))]
-    wanted = [*picked[0], *picked[1]]
-    if not wanted:
-        return fit([], [])
-    rows = docs.select("doc_id", "text").where(F.col("doc_id").isin(wanted) & F.col("text").isNotNull()).collect()
-    toxic = set(picked[0])
-    return fit([r["text"].encode() for r in rows if r["doc_id"] in toxic], [r["text"].encode() for r in rows if r["doc_id"] not in toxic])
+    short = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAINING_TEXT_BYTES).join(marked, "doc_id")
+    texts = []
+    for label, n in ((1, toxic_rows), (0, ordinary_rows)):
+        rows = short.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(n).select("text").collect()
+        texts.append([r["text"].encode() for r in rows])
+    return fit(*texts)
 
 
 def with_score(docs: DataFrame, model: Model) -> DataFrame:
