@@ -156,7 +156,7 @@ def _per_doc(doc: np.ndarray, rec: np.ndarray) -> pa.Table:
     order = np.argsort(doc, kind="stable")
     doc, rec = doc[order], rec[order]
     begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-    ends = np.append(begin[1:], len(doc))
+    ends = np.append(begin[1:], len(doc))[: len(begin)]
     return pa.table({"doc_id": pa.array(doc[begin].astype(np.int64)), "rec": pa.array([rec[s:e].tobytes() for s, e in zip(begin.tolist(), ends.tolist(), strict=True)], pa.binary())})
 
 
