@@ -184,16 +184,21 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
     """Fit on a bounded sample of the labelled documents outside the held-out fold.
 
     The sample is the texts of at most TRAINING_TEXT_BYTES with the least
-    hash(doc_id), as many of each label as the two parameters say. Null labels, null texts and labels without a document
+    hash(doc_id), at most as many of each label as the two parameters say. Null labels, null texts and labels without a document
     take no part.
     """
     X.small_batches(docs.sparkSession)
     marked = labels.select("doc_id", "toxic").where("toxic in (0, 1)").where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    short = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAINING_TEXT_BYTES).join(marked, "doc_id")
+    there = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     texts = []
     for label, n in ((1, toxic_rows), (0, ordinary_rows)):
-        rows = short.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(n).select("text").collect()
+        # twice as many ids as rows, as some texts are too long; the ids are broadcast, so no text is shuffled
+        share = int((1 << 30) * min(1.0, 4 * n / max(1, there.get(label, 0))))  # so that each task sends few
+        likely = marked.where((F.col("toxic") == label) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share))
+        ids = likely.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(2 * n).select("doc_id")
+        short = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAINING_TEXT_BYTES).join(F.broadcast(ids), "doc_id")
+        rows = short.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(n).select("text").collect()
         texts.append([r["text"].encode() for r in rows])
     return fit(*texts)
 
