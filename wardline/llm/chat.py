@@ -76,9 +76,10 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     leaves = ends.join(inner, ["tree", "node"], "left_anti").withColumn("mean", F.col("score") / F.col("depth"))
     order = Window.partitionBy("tree").orderBy(F.desc("mean"), F.desc("depth"), "node")
     on_path = leaves.withColumn("path_rank", F.row_number().over(order)).where(F.col("path_rank") <= top).select("tree", "path_rank", "node", F.lit(0).alias("above"))
+    on_path = X.cut(on_path)
     for k in range(len(jumps) - 1, -1, -1):
         up = on_path.join(jumps[k], ["tree", "node"]).select("tree", "path_rank", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))
-        on_path = on_path.union(up)
+        on_path = X.cut(on_path.union(up))
     depth = ends.select("tree", "node", "depth")
     return on_path.join(depth, ["tree", "node"]).select("tree", "path_rank", F.col("depth").alias("position"), "node")
 
