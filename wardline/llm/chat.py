@@ -14,6 +14,8 @@ string are written as a backslash and a letter, so that every text comes back.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,15 +49,20 @@ def unescape(text: Column) -> Column:
 
 
 def _doubled(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Pointer tables at distance 1, 2, 4, ... and, per message, its root, depth and score sum."""
-    at = X.cut(nodes.select("tree", "node", F.col("parent").alias("up"), F.lit(1).alias("depth"), "score"))
-    jumps = []
-    while not at.where("up is not null").limit(1).isEmpty():
-        jumps.append(at.where("up is not null").select("tree", "node", "up"))
-        far = at.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
-        at = at.join(far, ["tree", "up"], "left")
-        at = X.cut(at.select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score")))
-    return jumps, at
+    """Pointer tables at distance 1, 2, 4, ... and, per message that has a root, its depth and score sum; messages at their root join no more."""
+    live = X.cut(nodes.select("tree", "node", F.col("parent").alias("up"), F.lit(1).alias("depth"), "score"))
+    jumps, settled = [], [live.where("up is null")]
+    live = live.where("up is not null")
+    while not live.limit(1).isEmpty():
+        jumps.append(live.select("tree", "node", "up"))
+        far = reduce(DataFrame.union, [*settled, live]).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
+        moved = live.join(far, ["tree", "up"])
+        moved = X.cut(moved.select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("score") + F.col("s2")).alias("score")))
+        settled.append(moved.where("up is null"))
+        live = moved.where("up is not null")
+        if len(jumps) > 40:  # deeper than any path can be: what is left runs in circles
+            break
+    return jumps, reduce(DataFrame.union, settled)
 
 
 def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
