@@ -136,7 +136,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
                 yield _scan(b, shared.value, later)
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __n_words long, __spans binary, __items array<string>"
-        df = df.mapInArrow(task, schema)
+        df = df.mapInArrow(X.lean(task), schema)
         if k + 1 < len(parts):  # one block's tables in a worker at a time
             df = X.cut(df)
     return df
@@ -192,7 +192,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(sha), pa.array([h > 0 for h in hit])], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return marked.select("doc_id", "__n_words", "__spans", "__items").mapInArrow(digest, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return marked.select("doc_id", "__n_words", "__spans", "__items").mapInArrow(X.lean(digest), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -217,7 +217,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                     rows = _maximal(shared.value, *X.fit(data, off, at, to))
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[0] + at)), pa.array([shared.value.items[i] for i in rows[1].tolist()], pa.string()), *(pa.array(c) for c in rows[2:])], names=["doc_id", "item_id", "doc_word", "item_word", "n_words"])
 
-        return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, item_id string, doc_word long, item_word long, n_words long")
+        return docs.select("doc_id", "text").mapInArrow(X.lean(task), f"doc_id {kind}, item_id string, doc_word long, item_word long, n_words long")
 
     return reduce(DataFrame.unionByName, [located(p) for p in blocks(benchmark, block_bytes)])
 

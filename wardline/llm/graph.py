@@ -33,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = X.cut(links.select("a", "b").where("a <> b"))
     labels = None
     while not edges.isEmpty():
-        step = X.cut(nearest(edges))
+        step = X.kept(nearest(edges))
         if labels is None:
             labels = step
         else:

@@ -206,7 +206,7 @@ def detections(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))], names=["doc_id", "first_word", "end_word", "label", "priority", "confidence", "suppressed"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, first_word long, end_word long, label string, priority int, confidence double, suppressed boolean")
+    return docs.select("doc_id", "text").mapInArrow(X.lean(task), f"doc_id {kind}, first_word long, end_word long, label string, priority int, confidence double, suppressed boolean")
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -241,4 +241,4 @@ def license_scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.select("doc_id", "text").mapInArrow(X.lean(task), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -72,7 +72,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 total, other = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)]) for v in (sets, X.mix(sets)))
                 yield pa.RecordBatch.from_arrays([b.column(0)[at:to], pa.array(np.diff(first)), *(pa.array(np.diff(c[first]).view(np.int64)) for c in (total, other)), pa.array([r.tobytes() for r in sig], pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(X.lean(task), "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
 
 
 def forest(classes: DataFrame, orders: range) -> DataFrame:
@@ -104,7 +104,7 @@ def forest(classes: DataFrame, orders: range) -> DataFrame:
         if held is not None and held.num_rows:
             yield _chunks(held)
 
-    return rows.mapInArrow(task, "tree int, first_doc long, doc_id long").withColumn("chunk", F.struct("tree", "first_doc"))
+    return rows.mapInArrow(X.lean(task), "tree int, first_doc long, doc_id long").withColumn("chunk", F.struct("tree", "first_doc"))
 
 
 def _matrix(b: pa.RecordBatch) -> np.ndarray:
@@ -242,17 +242,16 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
     are ignored; an empty table gives no rows.
     """
     docs = X.one_row_per_key(docs, "doc_id", "text")
-    sketch = X.cut(sketches(docs))
+    sketch = X.kept(sketches(docs))
     classes = sketch.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
-    classes = X.cut(classes.where("copies > 1").drop("copies"))
+    classes = X.kept(classes.where("copies > 1").drop("copies"))
     member = sketch.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
-    member = X.cut(member)
     heads = sketch.join(member.where("doc_id = class_id and n_shingles > 0").select("doc_id"), "doc_id", "left_semi").select("doc_id", "sig")
 
-    chunks = X.cut(forest(heads, range(ORDERS)))
+    chunks = X.kept(forest(heads, range(ORDERS)))
     wanted = chunks.select("doc_id").distinct()
-    texts = X.saved(docs.join(wanted, "doc_id", "left_semi"))
-    links = X.cut(confirmed(chunks.where(F.col("tree") < FIRST_ORDERS), texts, per_cent))
+    texts = X.kept(docs.join(wanted, "doc_id", "left_semi"))
+    links = X.kept(confirmed(chunks.where(F.col("tree") < FIRST_ORDERS), texts, per_cent))
     label = nearest(links).withColumnRenamed("id", "doc_id")
 
     rest = chunks.where(F.col("tree") >= FIRST_ORDERS).join(label, "doc_id", "left").withColumn("p", F.coalesce("p", "doc_id"))

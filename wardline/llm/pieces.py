@@ -303,7 +303,7 @@ def encode(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0)[at:to], pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))], names=["doc_id", "n_tokens", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, n_tokens long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(X.lean(task), f"doc_id {kind}, n_tokens long, ids array<int>")
 
 
 def decode(tokens: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
@@ -318,7 +318,7 @@ def decode(tokens: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), X.strings(texts)], names=["doc_id", "text"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "ids").mapInArrow(task, f"doc_id {kind}, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(X.lean(task), f"doc_id {kind}, text string")
 
 
 def round_trip(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
@@ -347,4 +347,4 @@ def round_trip(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([c if k is None else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "decoded_chars", "decoded_sha256", "exact"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, n_tokens long, n_byte_tokens long, ids_sha256 string, decoded_chars long, decoded_sha256 string, exact boolean")
+    return docs.select("doc_id", "text").mapInArrow(X.lean(task), f"doc_id {kind}, n_tokens long, n_byte_tokens long, ids_sha256 string, decoded_chars long, decoded_sha256 string, exact boolean")

@@ -215,7 +215,7 @@ def vote_table(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0)[at:to], X.strings([(r + 49).astype(np.uint8).tobytes() for r in v])], names=["doc_id", "votes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, votes string")
+    return docs.select("doc_id", "text").mapInArrow(X.lean(task), f"doc_id {kind}, votes string")
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[LabelModel, Scorer]:
@@ -251,7 +251,7 @@ def with_quality(docs: DataFrame, fitted: tuple[LabelModel, Scorer] | None = Non
                 yield pa.RecordBatch.from_arrays([*own.columns, X.strings([(r + 49).astype(np.uint8).tobytes() for r in v]), pa.array(model.posterior(v)), pa.array(scorer.scores(*part))], names=[*b.schema.names, "__votes", "__posterior", "__score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __votes string, __posterior double, __score double"
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(X.lean(task), schema)
 
 
 def quality(docs: DataFrame) -> DataFrame:

@@ -320,10 +320,10 @@ def repeat_records(docs: DataFrame, hot: int = HOT) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(X.parallelism(spark), -(-int(total) // SHARD_TEXT))
 
-    tuples = docs.mapInArrow(lambda it: _find(it, shards), _TUPLE)
+    tuples = docs.mapInArrow(X.lean(lambda it: _find(it, shards)), _TUPLE)
     first = tuples.groupBy("shard").applyInArrow(lambda t: _settle(t, hot), "doc_id long, rec binary")
-    first = X.cut(first.groupBy("doc_id").agg(F.collect_list("rec").alias("rec")))
-    asked = docs.join(first, "doc_id").select("doc_id", "text", "rec").mapInArrow(lambda it: _contexts(it, shards), _CONTEXT)
+    first = X.kept(first.groupBy("doc_id").agg(F.collect_list("rec").alias("rec")))
+    asked = docs.join(first, "doc_id").select("doc_id", "text", "rec").mapInArrow(X.lean(lambda it: _contexts(it, shards)), _CONTEXT)
     second = asked.groupBy("shard").applyInArrow(_induce, "doc_id long, rec binary")
     return first.withColumn("rec", F.explode("rec")).union(second).groupBy("doc_id").agg(F.collect_list("rec").alias("rec"))
 
@@ -364,7 +364,7 @@ def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = docs.join(repeat_records(docs, hot), "doc_id", "left").select("doc_id", "text", "rec")
-    return joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(X.lean(finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -393,7 +393,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = joined.mapInArrow(strip, schema)
+    out = joined.mapInArrow(X.lean(strip), schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,11 +7,14 @@ whatever the batch holds; one document is never cut.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +64,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The table kept on the executors' disks for its several readers, with its lineage: what an executor takes with it is computed anew."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """As ``cut``, in Parquet: for texts, which are then compressed."""
     to = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
@@ -68,6 +76,25 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
+def release() -> None:
+    """Give memory that numpy and Arrow have freed back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(task):
+    """The task of a mapInArrow, leaving no freed memory behind."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 

@@ -217,7 +217,7 @@ def with_score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, "__score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __score double"
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(X.lean(task), schema)
 
 
 def held_out(doc_id: int) -> bool:
