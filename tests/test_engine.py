@@ -1,0 +1,213 @@
+"""The engine's own operators: every query against its SQL, and the rules that SQL cannot state."""
+
+import math
+import re
+import string
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from wardline.functions import checksums as C
+from wardline.operators import audit as A
+from wardline.operators import detect as D
+from wardline.operators import hints as H
+from wardline.operators import metrics as M
+from wardline.operators import policy as P
+from wardline.operators import spans as S
+from wardline.plans.all_queries import ORACLES, QUERIES
+from wardline.sources import bridge as B
+from wardline.sources import streams as T
+from wardline.streaming import jobs, limits
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
+    return c
+
+
+def plain(df):
+    rows = []
+    for row in df[sorted(df.columns)].itertuples(index=False):
+        out = []
+        for v in row:
+            if hasattr(v, "tolist"):
+                v = v.tolist()
+            if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
+                v = None
+            elif isinstance(v, (int, float)) and not isinstance(v, bool):
+                v = round(float(v), 6)
+            out.append(str(v))
+        rows.append(tuple(out))
+    return sorted(rows)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, duck, sf_dir, name):
+    got, want = QUERIES[name](spark, sf_dir).toPandas(), duck.sql(ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert plain(got) == plain(want)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_query_runs(spark, sf_dir, name):
+    assert QUERIES[name](spark, sf_dir).count() >= 0
+
+
+def one(spark, column, value, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(column.alias("y")).first()["y"]
+
+
+@pytest.mark.parametrize("digits, ok", [("2363", True), ("2364", False), ("", False), ("12a", False)])
+def test_verhoeff(spark, digits, ok):
+    assert one(spark, C.verhoeff(F.col("x")), digits) is ok
+
+
+@pytest.mark.parametrize("digits, ok", [("4111 1111 1111 1111", True), ("4111-1111-1111-1112", False), ("x", False)])
+def test_luhn(spark, digits, ok):
+    assert one(spark, C.luhn(F.col("x")), digits) is ok
+
+
+@pytest.mark.parametrize("text, bits", [("", 0.0), ("aaaa", 0.0), ("abab", 1.0), (string.ascii_lowercase + "012345", 5.0)])
+def test_entropy(spark, text, bits):
+    assert one(spark, C.entropy(F.col("x")), text) == pytest.approx(bits)
+
+
+def test_find_all_equals_finditer(spark):
+    for text in ("👍 a@b.io, c@d.com é", "none", "x@y.zz" * 3, ""):
+        got = [(m["start"], m["end"], m["value"]) for m in one(spark, S.find_all(F.col("x"), D.PERSONAL[0][1]), text)]
+        assert got == [(m.start(), m.end(), m[0]) for m in re.finditer(D.PERSONAL[0][1], text)]
+
+
+def test_overlaps_by_the_stated_rule(spark):
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for g in range(60):
+        items = [(int(s), int(s + rng.integers(1, 12)), float(rng.integers(1, 4)) / 4) for s in rng.integers(0, 30, rng.integers(1, 9))]
+        rows += [(g, s, e, c, "T", str(i)) for i, (s, e, c) in enumerate(items)]
+        kept = []
+        for s, e, c in sorted(items, key=lambda t: (t[0], t[0] - t[1], -t[2])):
+            clash = next((k for k, x in enumerate(kept) if s < x[1] and x[0] < e), None)
+            if clash is None:
+                kept.append((s, e, c))
+            elif (e - s, c) > (kept[clash][1] - kept[clash][0], kept[clash][2]):
+                kept[clash] = (s, e, c)
+        want[g] = sorted(kept)
+    df = spark.createDataFrame(rows, "g int, start int, end int, confidence double, type string, value string")
+    got = {}
+    for r in S.resolve(df, "g").collect():
+        got.setdefault(r["g"], []).append((r["start"], r["end"], r["confidence"]))
+    assert {g: sorted(x) for g, x in got.items()} == want
+
+
+def test_redaction_end_to_end(spark):
+    rows = spark.createDataFrame([(1, 0, "mail a@b.io and again a@b.io, é c@d.com"), (1, 1, "a@b.io"), (2, 0, "nothing")], "request_id long, message_index int, content string")
+    key = ["request_id", "message_index"]
+    numbered = S.number_placeholders(S.resolve(D.findings(rows, "content", key), *key), "request_id", "message_index")
+    spans = numbered.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("spans"))
+    got = {(r[0], r[1]): r[2] for r in rows.join(spans, key, "left").select(*key, S.splice(F.col("content"), F.col("spans"))).collect()}
+    assert got == {(1, 0): "mail <EMAIL_1> and again <EMAIL_1>, é <EMAIL_2>", (1, 1): "<EMAIL_1>", (2, 0): "nothing"}
+
+
+@pytest.mark.parametrize("text, kind", [("card 4111 1111 1111 1111 ok", "CARD"), ("ssn 123-45-6789", "SSN"), ("ip 10.1.2.3 here", "IPV4"), ("pan ABCDE1234F", "PAN"), ("code HDFC0ABCDEF", "IFSC"), ("call +49 (30) 1234 5678", "PHONE")])
+def test_personal_patterns(spark, text, kind):
+    df = spark.createDataFrame([(1, text)], "id int, t string")
+    assert kind in {r["type"] for r in D.findings(df, "t", ["id"]).collect()}
+
+
+@pytest.mark.parametrize("text", ["4111 1111 1111 1112", "version 1.2.3", "2024-01-01", "plain words"])
+def test_benign_texts(spark, text):
+    df = spark.createDataFrame([(1, text)], "id int, t string")
+    assert {r["type"] for r in D.findings(df, "t", ["id"]).collect()} <= {"PHONE"} and "CARD" not in {r["type"] for r in D.findings(df, "t", ["id"]).collect()}
+
+
+def test_entropy_findings_skip_what_is_known(spark):
+    known = ["123e4567-e89b-12d3-a456-426614174000", "0" * 40, "internationalisation" * 2, "/usr/local/lib/python/site"]
+    df = spark.createDataFrame([(0, " ".join(known)), (1, "key zX9qL2mV7tR4wB8nK1pD6sF3 end")], "id int, t string")
+    got = D.entropy_findings(df, "t", ["id"]).collect()
+    assert [(r["id"], r["value"]) for r in got] == [(1, "zX9qL2mV7tR4wB8nK1pD6sF3")]
+
+
+def test_token_bucket_and_breaker():
+    state, allowed = None, []
+    for now in [0, 0, 0, 0, 30, 31, 120]:
+        state, ok, wait = limits.bucket_step(state, now, 2, 3)
+        allowed.append(ok)
+        assert ok == (wait == 0)
+    assert allowed == [True, True, True, False, True, False, True]
+    state, seen = None, []
+    for now, ok in [(0, False), (1, False), (2, False), (5, True), (33, False), (40, True), (70, True), (71, False)]:
+        state, what = limits.breaker_step(state, now, ok)
+        seen.append((what, state[0]))
+    assert seen == [("failed", "CLOSED"), ("failed", "CLOSED"), ("failed", "OPEN"), ("refused", "OPEN"), ("failed", "OPEN"), ("refused", "OPEN"), ("ok", "CLOSED"), ("failed", "CLOSED")]
+
+
+def test_windowed_stream_equals_batch(spark, sf_dir, tmp_path):
+    events = B.table(spark, sf_dir, "events")
+    path = str(tmp_path / "events")
+    events.write.parquet(path)
+    stream = spark.readStream.schema(events.schema).parquet(path)
+    q = jobs.windowed_counts(stream, "1 day", "1 hour").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    batch = limits.tumbling(events.withColumn("ts", F.col("ts").cast("timestamp")), "1 day")
+    assert sorted(map(str, spark.table("counts").collect())) == sorted(map(str, batch.collect()))
+
+
+def test_merge_stream_is_idempotent(spark, tmp_path):
+    how = {"provider": A.OVERWRITE, "hit": A.EITHER, "n": A.GREATEST, "rules": A.UNION}
+    schema = "id long, provider string, hit boolean, n long, rules array<string>"
+    first = spark.createDataFrame([(1, None, False, 2, ["a"]), (2, "x", None, 1, [])], schema)
+    second = spark.createDataFrame([(1, "y", True, 1, ["b", "a"]), (3, "z", False, 5, ["c"])], schema)
+    merge = jobs.merge_batch(str(tmp_path), "id", how)
+    for k, batch in enumerate((first, second, second)):
+        merge(batch, k)
+    got = {r["id"]: (r["provider"], r["hit"], r["n"], r["rules"]) for r in spark.read.parquet(merge.versions[-1]).collect()}
+    assert got == {1: ("y", True, 2, ["a", "b"]), 2: ("x", False, 1, []), 3: ("z", False, 5, ["c"])}
+
+
+def test_files_source(spark, tmp_path):
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "node_modules" / "x.js").write_text("skip")
+    (tmp_path / "a.py").write_text("x = 1\n")
+    (tmp_path / "b.bin").write_bytes(b"ab\0cd")
+    (tmp_path / "c.png").write_bytes(b"zz")
+    assert [r["text"] for r in T.files(spark, str(tmp_path)).collect()] == ["x = 1\n"]
+
+
+def test_window_and_filters_reach_the_scan(spark, sf_dir):
+    df = M.window(B.audit(spark, sf_dir), B.AS_OF, 24, "t1").select("request_id")
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in text and "props" not in text.split("ReadSchema")[1]
+
+
+def test_policy_ties_and_overrides(spark):
+    found = spark.createDataFrame([(1, 2, "b", "block", 5, True), (1, 1, "a", "block", 5, True), (2, 1, "c", "allow", 9, True)], "req int, ordinal int, rule string, action string, priority int, appealable boolean")
+    got = {r["req"]: r for r in P.decide(found, "req").collect()}
+    assert got[1]["block_rule"] == "a" and got[1]["rules_fired"] == ["a", "b"] and got[2]["decision"] == "allow" and got[2]["block_rule"] is None
+    lifted = P.decide(P.lift(found.withColumn("o", F.lit(True)), "req", "o"), "req")
+    assert {r["req"]: r["decision"] for r in lifted.collect()} == {1: "sanitize", 2: "allow"}
+
+
+def test_user_hash_is_hmac(spark):
+    import hashlib
+    import hmac
+
+    assert one(spark, A.user_hash(F.col("x"), "pepper"), "u7") == hmac.new(b"pepper", b"u7", hashlib.sha256).hexdigest()[:32]
+
+
+def test_claims(spark):
+    assert one(spark, H.claims(F.col("x")), "This is a first claim. Is this one? Too short. And here comes another one!") == ["This is a first claim.", "And here comes another one!"]
+
+
+def test_driver_contract(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).count() > 0
+    assert set(e.oracle_sql()) <= set(e.queries())

@@ -47,7 +47,7 @@ def entropy(text: Column) -> Column:
     """Bits per character; 0 of the empty string."""
     signs = F.split(text, "")
     n = F.length(text)
-    part = lambda c: F.size(F.filter(signs, lambda x: x == c)) / n
+    part = lambda c: F.try_divide(F.size(F.filter(signs, lambda x: x == c)), n)
     total = F.aggregate(F.array_sort(F.array_distinct(signs)), F.lit(0.0), lambda acc, c: acc - part(c) * F.log2(part(c)))
     return F.when(n > 0, total).otherwise(0.0)
 
@@ -59,7 +59,7 @@ def charset_size(text: Column) -> Column:
 def normalised_entropy(text: Column) -> Column:
     """Entropy against the most that a string of this length and character set could have."""
     most = F.log2(F.least(F.length(text), charset_size(text)).cast("double"))
-    return F.when((F.length(text) < 2) | (most <= 0), 0.0).otherwise(F.least(entropy(text) / most, F.lit(1.0)))
+    return F.when((F.length(text) < 2) | (most <= 0), 0.0).otherwise(F.least(F.try_divide(entropy(text), most), F.lit(1.0)))
 
 
 def confidence_modifier(h: Column) -> Column:

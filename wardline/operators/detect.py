@@ -53,7 +53,7 @@ TOKEN = r"[^\s\"'`=,;:()\[\]{}<>|]{20,}"
 def benign(token: Column) -> Column:
     """The first reason why a token is of no interest, else null."""
     letters = F.regexp_replace(token, "[^A-Za-z]", "")
-    vowels = F.length(F.regexp_replace(letters, "[^AEIOUaeiou]", "")) / F.length(letters)
+    vowels = F.coalesce(F.try_divide(F.length(F.regexp_replace(letters, "[^AEIOUaeiou]", "")), F.length(letters)), F.lit(0.0))
     plain = (F.length(letters) >= 6) & ~token.rlike("[0-9]") & vowels.between(0.25, 0.60)
     return (
         F.when(token.rlike("^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"), "uuid")

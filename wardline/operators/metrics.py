@@ -114,7 +114,7 @@ def sustainability(audit: DataFrame, wh_per_thousand_tokens: float, grid_g_per_k
         *by,
         "cache_hits",
         "cache_misses",
-        F.when(considered > 0, F.round(F.col("cache_hits") / considered, 4)).otherwise(0.0).alias("cache_hit_rate"),
+        F.coalesce(F.round(F.try_divide(F.col("cache_hits"), considered), 4), F.lit(0.0)).alias("cache_hit_rate"),
         F.round(avoided, 4).alias("energy_avoided_wh"),
         F.round(avoided * grid_g_per_kwh / 1000, 4).alias("co2_avoided_g"),
     )
@@ -158,7 +158,7 @@ def running(rows: DataFrame, value: str, order: str, *by: str) -> DataFrame:
 def share(audit: DataFrame, key: str) -> DataFrame:
     """Each key's count and share of the total."""
     n = audit.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("whole")))).select(key, "n", F.round(F.col("n") / F.col("whole"), 4).alias("share"))
+    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("whole")))).select(key, "n", F.round(F.try_divide("n", "whole"), 4).alias("share"))
 
 
 def cube(audit: DataFrame, *keys: str) -> DataFrame:
