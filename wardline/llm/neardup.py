@@ -10,6 +10,9 @@ only spanning links leave the task.
 
 Exact copies are one class before the forest. The first orders join most near
 copies; the others then ship only the chunks whose texts are not yet joined.
+Where a region was larger than a chunk, the texts are sorted again by many more
+orders, deeper and in larger chunks, and again only chunks of several components
+are compared.
 """
 
 from __future__ import annotations
@@ -31,6 +34,9 @@ MIN_DEPTH = 3
 CHUNK = 32
 OVERLAP = 4
 FIRST_ORDERS = 2
+LARGE_ORDERS = 64
+LARGE_DEPTH = 32
+LARGE_CHUNK = 128
 
 _rng = np.random.default_rng(7_919)
 _FLIP = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -75,19 +81,16 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(X.lean(task), "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
 
 
-def forest(classes: DataFrame, orders: range) -> DataFrame:
-    """(chunk, doc_id, tree) for every chunk of two texts or more in the sorted orders.
+def forest(classes: DataFrame, orders: int, depth: int, chunk: int = CHUNK) -> DataFrame:
+    """(chunk, doc_id, tree, large) for every chunk of two texts or more in the sorted orders; large: its region is no chunk.
 
     Rows are range-partitioned by order and prefix, so a region of any size is
     spread over tasks. A pair that a partition's edge separates in one order
     stands together in the others.
     """
-    step = HASHES // ORDERS
-    keys = []
-    for t in orders:
-        wrapped = F.concat("sig", "sig")
-        keys.append(F.struct(F.lit(t).alias("tree"), F.substring(wrapped, t * step * 4 + 1, DEPTH * 4).alias("key")))
-    rows = classes.select("doc_id", F.explode(F.array(*keys)).alias("k")).select("k.tree", "k.key", "doc_id")
+    first = F.col("tree") * (HASHES // orders) * 4 + 1
+    rows = classes.select("doc_id", F.concat("sig", "sig").alias("sig"), F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("tree"))
+    rows = rows.select("tree", F.substr("sig", first, F.lit(depth * 4)).alias("key"), "doc_id")
     n = X.parallelism(classes.sparkSession)
     rows = rows.repartitionByRange(n, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
 
@@ -99,17 +102,18 @@ def forest(classes: DataFrame, orders: range) -> DataFrame:
                 continue
             cut = _last_region(held)
             if cut:
-                yield _chunks(held.slice(0, cut))
+                yield _chunks(held.slice(0, cut), chunk)
                 held = held.slice(cut)
         if held is not None and held.num_rows:
-            yield _chunks(held)
+            yield _chunks(held, chunk)
 
-    return rows.mapInArrow(X.lean(task), "tree int, first_doc long, doc_id long").withColumn("chunk", F.struct("tree", "first_doc"))
+    return rows.mapInArrow(X.lean(task), "tree int, first_doc long, doc_id long, large boolean").withColumn("chunk", F.struct("tree", "first_doc"))
 
 
 def _matrix(b: pa.RecordBatch) -> np.ndarray:
     data, off = X.column(b, "key")
-    return data.reshape(len(off) - 1, DEPTH * 4).view(np.uint32).reshape(len(off) - 1, DEPTH)
+    width = int(off[1] - off[0])
+    return data.reshape(len(off) - 1, width).view(np.uint32)
 
 
 def _shared(b: pa.RecordBatch) -> np.ndarray:
@@ -128,49 +132,51 @@ def _last_region(b: pa.RecordBatch) -> int:
     return int(starts[-1]) or (b.num_rows - OVERLAP if b.num_rows >= 200_000 else 0)
 
 
-def _chunks(b: pa.RecordBatch) -> pa.RecordBatch:
+def _chunks(b: pa.RecordBatch, chunk: int) -> pa.RecordBatch:
     depth = _shared(b)
     docs, tree = np.asarray(b.column(2)), np.asarray(b.column(0))
     edges = np.append(np.flatnonzero(depth < MIN_DEPTH), len(depth))
-    out_first, out_doc, out_tree = [], [], []
+    full = _matrix(b).shape[1]
+    out_first, out_doc, out_tree, out_large = [], [], [], []
     for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         if e - s < 2:
             continue
-        for x, y in _split(depth, s, e):
+        for x, y in _split(depth, s, e, full, chunk):
             out_first.append(np.full(y - x, docs[x]))
             out_doc.append(docs[x:y])
             out_tree.append(np.full(y - x, tree[x], np.int32))
-    cat = [np.concatenate(v) if v else np.zeros(0, t) for v, t in ((out_tree, np.int32), (out_first, np.int64), (out_doc, np.int64))]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cat], names=["tree", "first_doc", "doc_id"])
+            out_large.append(np.full(y - x, e - s > chunk))
+    cat = [np.concatenate(v) if v else np.zeros(0, t) for v, t in ((out_tree, np.int32), (out_first, np.int64), (out_doc, np.int64), (out_large, bool))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cat], names=["tree", "first_doc", "doc_id", "large"])
 
 
-def _split(depth: np.ndarray, s: int, e: int) -> list[tuple[int, int]]:
-    """Chunks of about CHUNK rows: cut where the shared prefix is shortest, evenly where it is full."""
+def _split(depth: np.ndarray, s: int, e: int, full: int, chunk: int) -> list[tuple[int, int]]:
+    """Chunks of about ``chunk`` rows: cut where the shared prefix is shortest, evenly where it is full."""
     todo, done = [(s, e)], []
     while todo:
         s, e = todo.pop()
-        low = depth[s + 1 : e].min() if e - s > CHUNK else DEPTH
-        if low >= DEPTH:
-            done += _even(s, e)
+        low = depth[s + 1 : e].min() if e - s > chunk else full
+        if low >= full:
+            done += _even(s, e, chunk)
             continue
         cuts = [s, *(s + 1 + np.flatnonzero(depth[s + 1 : e] == low)).tolist(), e]
         run = s
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            if y - x > CHUNK:
-                done += _even(run, x)
+            if y - x > chunk:
+                done += _even(run, x, chunk)
                 todo.append((x, y))
                 run = y
-            elif y - run > CHUNK:
-                done += _even(run, x)
+            elif y - run > chunk:
+                done += _even(run, x, chunk)
                 run = max(run + 1, x - OVERLAP)
-        done += _even(run, e)
+        done += _even(run, e, chunk)
     return done
 
 
-def _even(s: int, e: int) -> list[tuple[int, int]]:
+def _even(s: int, e: int, chunk: int) -> list[tuple[int, int]]:
     if e - s < 2:
         return []
-    return [(x, min(e, x + CHUNK + OVERLAP)) for x in range(s, max(s + 1, e - OVERLAP), CHUNK)]
+    return [(x, min(e, x + chunk + OVERLAP)) for x in range(s, max(s + 1, e - OVERLAP), chunk)]
 
 
 def links_of(sets: np.ndarray, first: np.ndarray, per_cent: int) -> list[tuple[int, int]]:
@@ -230,6 +236,13 @@ def confirmed(chunks: DataFrame, texts: DataFrame, per_cent: int) -> DataFrame:
     return chunks.select("chunk", "doc_id").join(texts, "doc_id").groupBy("chunk").applyInArrow(task, "a long, b long")
 
 
+def _unjoined(chunks: DataFrame, label: DataFrame) -> DataFrame:
+    """The chunks whose texts have different labels (id, p), as (chunk, doc_id)."""
+    named = chunks.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("p", F.coalesce("p", "doc_id"))
+    mixed = named.groupBy("chunk").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.collect_set("doc_id").alias("docs")).where("lo < hi")
+    return mixed.select("chunk", F.explode("docs").alias("doc_id"))
+
+
 def near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
 
@@ -248,16 +261,22 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
     member = sketch.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
     heads = sketch.join(member.where("doc_id = class_id and n_shingles > 0").select("doc_id"), "doc_id", "left_semi").select("doc_id", "sig")
 
-    chunks = X.kept(forest(heads, range(ORDERS)))
+    chunks = X.kept(forest(heads, ORDERS, DEPTH))
     wanted = chunks.select("doc_id").distinct()
-    texts = X.kept(docs.join(wanted, "doc_id", "left_semi"))
+    texts = X.saved(docs.join(wanted, "doc_id", "left_semi"))
     links = X.kept(confirmed(chunks.where(F.col("tree") < FIRST_ORDERS), texts, per_cent))
-    label = nearest(links).withColumnRenamed("id", "doc_id")
-
-    rest = chunks.where(F.col("tree") >= FIRST_ORDERS).join(label, "doc_id", "left").withColumn("p", F.coalesce("p", "doc_id"))
-    mixed = rest.groupBy("chunk").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.collect_set("doc_id").alias("docs")).where("lo < hi")
-    more = confirmed(mixed.select("chunk", F.explode("docs").alias("doc_id")), texts, per_cent)
-    label = components(links.union(more))
+    rest = _unjoined(chunks.where(F.col("tree") >= FIRST_ORDERS), nearest(links))
+    label = components(links.union(confirmed(rest, texts, per_cent)))
+
+    large = heads.join(chunks.where("large").select("doc_id").distinct(), "doc_id", "left_semi")
+    again = _unjoined(forest(large, LARGE_ORDERS, LARGE_DEPTH, LARGE_CHUNK), label.withColumnRenamed("component", "p"))
+    late = confirmed(again, texts, per_cent)
+    for end in "ab":  # links between components
+        own = label.select(F.col("id").alias(end), F.col("component").alias("c"))
+        late = late.join(own, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    joined = components(late.select("a", "b"))
+    label = label.join(joined.select(F.col("id").alias("component"), F.col("component").alias("c")), "component", "full_outer")
+    label = label.select(F.coalesce("id", "component").alias("id"), F.coalesce("c", "component").alias("component"))
 
     out = member.join(label.withColumnRenamed("id", "class_id"), "class_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
