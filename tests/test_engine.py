@@ -174,6 +174,30 @@ def test_merge_stream_is_idempotent(spark, tmp_path):
     assert got == {1: ("y", True, 2, ["a", "b"]), 2: ("x", False, 1, []), 3: ("z", False, 5, ["c"])}
 
 
+def test_stateful_streams_equal_the_replay(spark, tmp_path):
+    pytest.importorskip("google.protobuf")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [(f"k{i % 3}", i, float(i % 7 + i // 4), i % 5 != 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "key string, seq long, now_s double, ok boolean")
+    path = str(tmp_path / "in")
+    df.coalesce(1).write.parquet(path)
+    for name, stream, replay in (("bucket", lambda d: limits.bucket_stream(d.select("key", "seq", "now_s"), 30, 3), lambda d: limits.replay_bucket(d, 30, 3)), ("breaker", limits.breaker_stream, limits.replay_breaker)):
+        source = spark.readStream.schema(df.schema).parquet(path)
+        q = stream(source).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, replay(df).collect()))
+
+
+def test_sarif_holds_no_values(spark):
+    import json
+
+    from wardline.operators import outcome as O
+
+    df = spark.createDataFrame([("a.py", 3, "EMAIL", "warning", "a@b.io")], "path string, line int, rule_id string, level string, value string")
+    text = O.sarif(df, "wardline")
+    assert "a@b.io" not in text and json.loads(text)["runs"][0]["results"][0]["ruleId"] == "EMAIL"
+
+
 def test_files_source(spark, tmp_path):
     (tmp_path / "node_modules").mkdir()
     (tmp_path / "node_modules" / "x.js").write_text("skip")
