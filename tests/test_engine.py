@@ -188,6 +188,23 @@ def test_stateful_streams_equal_the_replay(spark, tmp_path):
         assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, replay(df).collect()))
 
 
+def test_profiles_inherit(spark, tmp_path):
+    import json
+
+    from wardline.sources import rules as R
+
+    doc = {"default": {"rules": {"pii": {"action": "sanitize", "priority": 10}, "secret": {"action": "block", "priority": 90, "appealable": False}}}, "open": {"extends": "default", "rules": {"pii": {"action": "warn"}}}}
+    (tmp_path / "p.json").write_text(json.dumps(doc))
+    got = {(r["profile"], r["key"]): (r["action"], r["priority"], r["appealable"]) for r in R.rule_table(spark, R.read(str(tmp_path / "p.json"))).collect()}
+    assert got["open", "pii"] == ("warn", 10, True) and got["open", "secret"] == ("block", 90, False)
+    for bad in ({}, {"default": {"extends": "default"}}, {"default": {"extends": "missing"}}, {"default": {"rules": {"x": {"action": "dance"}}}}):
+        with pytest.raises(R.RuleError):
+            R.profiles(bad)
+    history = spark.createDataFrame([], "version long, body string, author_hash string")
+    twice = R.next_version(R.next_version(history, "a", "h"), "b", "h")
+    assert [(r["version"], r["body"]) for r in twice.orderBy("version").collect()] == [(1, "a"), (2, "b")]
+
+
 def test_sarif_holds_no_values(spark):
     import json
 

@@ -1,0 +1,64 @@
+"""Rule files: policy profiles with inheritance, rule tables and price lists, from JSON (or YAML where a reader is installed)."""
+
+from __future__ import annotations
+
+import json
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+ACTIONS = ("allow", "warn", "sanitize", "block")
+RULES = "profile string, key string, action string, priority int, appealable boolean"
+
+
+class RuleError(ValueError):
+    """A rule file that says something that cannot be."""
+
+
+def read(path: str) -> dict:
+    text = Path(path).read_text()
+    if path.endswith((".yml", ".yaml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuleError("YAML files need a YAML reader; JSON needs none") from e
+        return yaml.safe_load(text)
+    return json.loads(text)
+
+
+def profiles(document: dict) -> list[tuple[str, str, str, int, bool]]:
+    """All profiles with what they inherit: a profile's own fields overlay its parent's, rule by rule.
+
+    {"default": {"rules": {key: {"action", "priority", "appealable"}}}, other: {"extends": "default", "rules": ...}}
+    """
+    if "default" not in document:
+        raise RuleError("there is no default profile")
+    done: dict[str, dict[str, dict]] = {}
+
+    def settle(name: str, above: tuple[str, ...]) -> dict[str, dict]:
+        if name in above:
+            raise RuleError(f"profiles inherit in a circle: {' > '.join((*above, name))}")
+        if name not in document:
+            raise RuleError(f"unknown profile {name}")
+        if name not in done:
+            parent = document[name].get("extends")
+            rules = {k: dict(v) for k, v in (settle(parent, (*above, name)) if parent else {}).items()}
+            for key, own in document[name].get("rules", {}).items():
+                rules[key] = {**rules.get(key, {}), **own}
+                if rules[key].get("action") not in ACTIONS:
+                    raise RuleError(f"{name}: {key} has no known action")
+            done[name] = rules
+        return done[name]
+
+    return [(name, key, r["action"], int(r.get("priority", 0)), bool(r.get("appealable", True))) for name in document for key, r in settle(name, ()).items()]
+
+
+def rule_table(spark: SparkSession, document: dict) -> DataFrame:
+    return spark.createDataFrame(profiles(document), RULES)
+
+
+def next_version(versions: DataFrame, body: str, author_hash: str) -> DataFrame:
+    """The history with one more version: the greatest number and one; a roll-back is a new version of an old body."""
+    last = versions.agg({"version": "max"}).first()[0] or 0
+    row = versions.sparkSession.createDataFrame([(last + 1, body, author_hash)], "version long, body string, author_hash string")
+    return versions.select("version", "body", "author_hash").unionByName(row)
