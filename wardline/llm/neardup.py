@@ -274,9 +274,9 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
     for end in "ab":  # links between components
         own = label.select(F.col("id").alias(end), F.col("component").alias("c"))
         late = late.join(own, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
-    joined = components(late.select("a", "b"))
-    label = label.join(joined.select(F.col("id").alias("component"), F.col("component").alias("c")), "component", "full_outer")
-    label = label.select(F.coalesce("id", "component").alias("id"), F.coalesce("c", "component").alias("component"))
+    joined = components(late.select("a", "b")).select(F.col("id").alias("component"), F.col("component").alias("c"))
+    fresh = joined.join(label.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("id"), F.col("c").alias("component"))
+    label = label.join(joined, "component", "left").select("id", F.coalesce("c", "component").alias("component")).union(fresh)
 
     out = member.join(label.withColumnRenamed("id", "class_id"), "class_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
