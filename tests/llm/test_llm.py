@@ -303,6 +303,31 @@ def test_near_duplicates(spark, odd, empty):
     assert neardup.near_duplicates(twice).count() == docs.count()
 
 
+def template_corpus(n):
+    """Texts of one template with four words of their own, any two at 0.66 to 0.82; the first has one such word and the next nine, at 0.857 to it, two each."""
+    rng = np.random.default_rng(12)
+    spots = [[18]] + [[2 * k, 2 * k + 1] for k in range(9)] + [rng.choice(20, 4, replace=False).tolist() for _ in range(n)]
+    return [(i, " ".join(f"u{i}x{k}" if k % 10 == 5 and k // 10 in at else f"t{k}" for k in range(200))) for i, at in enumerate(spots)]
+
+
+def test_links_in_a_large_region(spark, monkeypatch):
+    """Few orders and small chunks, so that the group is to them as a far larger one is to all of them."""
+    for name, value in (("ORDERS", 2), ("LARGE_ORDERS", 2), ("LARGE_CHUNK", 8)):
+        monkeypatch.setattr(neardup, name, value)
+    docs = template_corpus(4_000)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in docs)]
+    often = {s: k for k, s in enumerate(s for s, n in collections.Counter(x for one in sets for x in one).items() if n > 1)}
+    m = np.zeros((len(sets), len(often)), np.float32)
+    for i, one in enumerate(sets):
+        m[i, [often[s] for s in one if s in often]] = 1
+    common, size = m @ m.T, np.array([len(one) for one in sets])
+    similar = 100 * common >= 85 * (size[:, None] + size[None, :] - common)
+    want = [(int(a), int(b)) for a, b in np.argwhere(np.triu(similar, 1))]
+    assert want == [(0, i) for i in range(1, 10)]
+    got = neardup.near_duplicates(rows(spark, docs)).where("not kept").collect()
+    assert sorted((r["component_id"], r["doc_id"]) for r in got) == want
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(i, i + 1) for i in range(60)] + [(200, 200 + i) for i in range(1, 80)] + [tuple(map(int, rng.integers(400, 700, 2))) for _ in range(150)] + [(999, 999)]

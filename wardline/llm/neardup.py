@@ -12,7 +12,9 @@ Exact copies are one class before the forest. The first orders join most near
 copies; the others then ship only the chunks whose texts are not yet joined.
 Where a region was larger than a chunk, the texts are sorted again by many more
 orders, deeper and in larger chunks, and again only chunks of several components
-are compared.
+are compared. What these chunks leave apart is settled exactly: the texts of
+such regions are joined on the rarest shingles of their full sets, of which two
+similar sets must share one.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ FIRST_ORDERS = 2
 LARGE_ORDERS = 64
 LARGE_DEPTH = 32
 LARGE_CHUNK = 128
+BUCKET_BITS = 18
+POSTS = 256
 
 _rng = np.random.default_rng(7_919)
 _FLIP = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -82,7 +86,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def forest(classes: DataFrame, orders: int, depth: int, chunk: int = CHUNK) -> DataFrame:
-    """(chunk, doc_id, tree, large) for every chunk of two texts or more in the sorted orders; large: its region is no chunk.
+    """(chunk, doc_id, tree, large) for every chunk in the sorted orders; large: its region is no chunk or may go on elsewhere.
 
     Rows are range-partitioned by order and prefix, so a region of any size is
     spread over tasks. A pair that a partition's edge separates in one order
@@ -139,13 +143,20 @@ def _chunks(b: pa.RecordBatch, chunk: int) -> pa.RecordBatch:
     full = _matrix(b).shape[1]
     out_first, out_doc, out_tree, out_large = [], [], [], []
     for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        if e - s < 2:
+        large = e - s > chunk or s == 0 or e == len(depth)
+        if e - s < 2 and not large:
             continue
-        for x, y in _split(depth, s, e, full, chunk):
+        pieces = _split(depth, s, e, full, chunk)
+        if large:  # a text between two pieces is a chunk of its own
+            alone = np.ones(e - s, bool)
+            for x, y in pieces:
+                alone[x - s : y - s] = False
+            pieces += [(x, x + 1) for x in (s + np.flatnonzero(alone)).tolist()]
+        for x, y in pieces:
             out_first.append(np.full(y - x, docs[x]))
             out_doc.append(docs[x:y])
             out_tree.append(np.full(y - x, tree[x], np.int32))
-            out_large.append(np.full(y - x, e - s > chunk))
+            out_large.append(np.full(y - x, large))
     cat = [np.concatenate(v) if v else np.zeros(0, t) for v, t in ((out_tree, np.int32), (out_first, np.int64), (out_doc, np.int64), (out_large, bool))]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cat], names=["tree", "first_doc", "doc_id", "large"])
 
@@ -243,6 +254,84 @@ def _unjoined(chunks: DataFrame, label: DataFrame) -> DataFrame:
     return mixed.select("chunk", F.explode("docs").alias("doc_id"))
 
 
+def _bucket(sets: np.ndarray) -> np.ndarray:
+    return (X.mix(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def bucket_counts(texts: DataFrame) -> np.ndarray:
+    """How many shingles fall in each of a fixed number of buckets: the order in which ``rare_shingles`` takes them."""
+
+    def task(batches):
+        n = np.zeros(1 << BUCKET_BITS, np.int64)
+        for b in batches:
+            data, off = X.column(b, "text")
+            for at, to in X.slices(off):
+                n += np.bincount(_bucket(shingle_sets(*X.fit(data, off, at, to))[0]), minlength=len(n))
+        full = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(n[full])], names=["bucket", "n"])
+
+    got = texts.select("text").mapInArrow(X.lean(task), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << BUCKET_BITS, np.int64)
+    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def rare_shingles(texts: DataFrame, counts: np.ndarray, per_cent: int) -> DataFrame:
+    """(shingle, doc_id, n, at): the first shingles of each set by (count of the bucket, hash), n in the set.
+
+    Sets that are similar enough share at least per_cent of each one's n
+    shingles, so the first one they share is among so many of both.
+    """
+
+    def task(batches):
+        for b in batches:
+            data, off = X.column(b, "text")
+            ids = np.asarray(b.column(b.schema.get_field_index("doc_id")))
+            for at, to in X.slices(off):
+                sets, first = shingle_sets(*X.fit(data, off, at, to))
+                size = np.diff(first)
+                doc = np.repeat(np.arange(len(size)), size)
+                sets = sets[np.lexsort((sets, counts[_bucket(sets)], doc))]
+                place = np.arange(len(sets)) - first[:-1][doc]
+                pick = place < (size - -(-size * per_cent // 100) + 1)[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (sets.view(np.int64)[pick], ids[at:to][doc[pick]], size[doc[pick]].astype(np.int64), place[pick])], names=["shingle", "doc_id", "n", "at"])
+
+    return texts.select("doc_id", "text").mapInArrow(X.lean(task), "shingle long, doc_id long, n long, at long")
+
+
+def exact_links(texts: DataFrame, label: DataFrame, per_cent: int) -> DataFrame:
+    """Links (a, b) that connect all components (id, component) of the texts that a similar pair connects.
+
+    A shared shingle at places i and j leaves at most min(n - i, m - j) in
+    common. A shingle of many texts is dealt by pairs of salts, so no task has
+    one to itself; one that stands in a single component is left out.
+    """
+    posts = rare_shingles(texts, bucket_counts(texts), per_cent).join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    posts = X.kept(posts.select("shingle", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("c")))
+    mixed = posts.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / POSTS).alias("salts")).where("lo < hi")
+    posts = posts.join(mixed.select("shingle", "salts"), "shingle").withColumn("own", F.pmod(F.xxhash64("doc_id"), "salts"))
+    posts = posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    left = posts.select("shingle", F.col("own").alias("x"), F.col("other").alias("y"), F.col("doc_id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), (F.col("n") - F.col("at")).alias("ra"))
+    right = posts.select("shingle", F.col("other").alias("x"), F.col("own").alias("y"), F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), (F.col("n") - F.col("at")).alias("rb"))
+    enough = F.least("ra", "rb") * (100 + per_cent) >= (F.col("na") + F.col("nb")) * per_cent
+    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("shingle", "x", "y")]
+    pairs = left.alias("l").join(right.alias("r"), [*same, F.col("a") < F.col("b"), F.col("ca") != F.col("cb"), enough])
+    pairs = X.kept(pairs.select("a", "b").distinct())
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / LARGE_CHUNK).alias("parts"))
+    chunks = pairs.join(parts, "a").select(F.struct("a", F.pmod(F.xxhash64("b"), "parts").alias("part")).alias("chunk"), F.explode(F.array("a", "b")).alias("doc_id"))
+    return confirmed(chunks.distinct(), texts, per_cent)
+
+
+def _rejoined(label: DataFrame, late: DataFrame) -> DataFrame:
+    """The components (id, component) with those joined that late links (a, b) connect."""
+    for end in "ab":
+        own = label.select(F.col("id").alias(end), F.col("component").alias("c"))
+        late = late.join(own, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    joined = components(late.select("a", "b")).select(F.col("id").alias("component"), F.col("component").alias("c"))
+    fresh = joined.join(label.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("id"), F.col("c").alias("component"))
+    return label.join(joined, "component", "left").select("id", F.coalesce("c", "component").alias("component")).union(fresh)
+
+
 def near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
 
@@ -270,13 +359,8 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
 
     large = heads.join(chunks.where("large").select("doc_id").distinct(), "doc_id", "left_semi")
     again = _unjoined(forest(large, LARGE_ORDERS, LARGE_DEPTH, LARGE_CHUNK), label.withColumnRenamed("component", "p"))
-    late = confirmed(again, texts, per_cent)
-    for end in "ab":  # links between components
-        own = label.select(F.col("id").alias(end), F.col("component").alias("c"))
-        late = late.join(own, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
-    joined = components(late.select("a", "b")).select(F.col("id").alias("component"), F.col("component").alias("c"))
-    fresh = joined.join(label.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("id"), F.col("c").alias("component"))
-    label = label.join(joined, "component", "left").select("id", F.coalesce("c", "component").alias("component")).union(fresh)
+    label = X.kept(_rejoined(label, confirmed(again, texts, per_cent)))
+    label = _rejoined(label, exact_links(texts.join(large.select("doc_id"), "doc_id", "left_semi"), label, per_cent))
 
     out = member.join(label.withColumnRenamed("id", "class_id"), "class_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
