@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from wardline.llm import chat, decontam, graph, html, licenses, neardup, pieces, quality, repeats, topk, toxicity
 from wardline.llm import textops as X
 
@@ -328,6 +329,16 @@ def test_links_in_a_large_region(spark, monkeypatch):
     assert sorted((r["component_id"], r["doc_id"]) for r in got) == want
 
 
+def test_pipeline_takes_similarities_from_80(spark, sf_dir):
+    base = [f"p{i}" for i in range(200)]
+    docs = [(k, " ".join(f"d{k}x{i}" if k and 50 <= i < 46 + m else w for i, w in enumerate(base))) for k, m in enumerate((0, 18, 21, 22, 40))]
+    docs = rows(spark, docs + near_corpus())
+    want = brute_components(texts(docs), 80)
+    assert want != brute_components(texts(docs), 85)
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()}
+    assert got == {i for i, (_, c) in want.items() if i == c}
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(i, i + 1) for i in range(60)] + [(200, 200 + i) for i in range(1, 80)] + [tuple(map(int, rng.integers(400, 700, 2))) for _ in range(150)] + [(999, 999)]
