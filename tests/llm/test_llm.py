@@ -76,6 +76,42 @@ def test_license_rules():
     assert {r.label for _, _, r, k in found if k} == {"lgpl", "gpl"}  # the base place stays
 
 
+def samples(tokens):
+    """Texts that an expression matches: with all that it may leave out and without, by each of its branches."""
+    out = [""]
+    for op, arg in tokens:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [next(chr(c) for c in range(32, 127) if any(str(o) == "LITERAL" and a == c or str(o) == "RANGE" and a[0] <= c <= a[1] or str(o) == "NEGATE" for o, a in arg))]
+        elif name == "NOT_LITERAL":
+            more = ["x"]
+        elif name == "SUBPATTERN":
+            more = samples(arg[3])
+        elif name == "BRANCH":
+            more = [x for b in arg[1] for x in samples(b)]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            more = [x * k for k in {arg[0], max(arg[0], 1)} for x in samples(arg[2])]
+        else:
+            assert name == "ASSERT", name
+            more = [" "]
+        out = [x + y for x in out for y in more]
+    return out
+
+
+def test_every_license_rule_can_fire():
+    ruleset = licenses.rules()
+    for order, rule in enumerate(ruleset):
+        texts_of = samples(re._parser.parse(rule.pattern.pattern.decode()))
+        assert texts_of and all(rule.pattern.search(t.encode()) for t in texts_of)
+        for t in texts_of:
+            _, found = licenses.scan(t.encode(), ruleset)
+            assert any(r is rule for _, _, r, _ in found), (order, rule.keyword, t)
+    for text, label in ((b"LGPL v2.1", "lgpl"), (b"AGPLv3", "agpl"), (b"GPL v2", "gpl"), (b"EUPL v1.2", "eupl"), (b"Creative Commons Attribution-ShareAlike", "cc-by-sa"), (b"Creative Commons Attribution-NonCommercial-NoDerivs", "cc-by-nc-nd")):
+        assert any(r.label.startswith(label) and k for _, _, r, k in licenses.scan(text, ruleset)[1]), text
+
+
 def test_suppression_against_pairs():
     rng = np.random.default_rng(1)
     for _ in range(200):

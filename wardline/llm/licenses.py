@@ -130,7 +130,7 @@ def _pattern(words: str) -> re.Pattern[bytes]:
 
 def _keyword(name: str) -> bytes:
     """The longest part of an expression that is plain words."""
-    return max(re.split(r"\(\?:[^()]*(?:\([^()]*\)[^()]*)*\)\??|\[[^\]]*\]|\S\?", name), key=len).strip().encode()
+    return max(re.split(r"\(\?:[^()]*(?:\([^()]*\)[^()]*)*\)\??|\[[^\]]*\]\??|.\?", name), key=len).strip().encode()
 
 
 def rules() -> list[Rule]:
