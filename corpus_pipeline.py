@@ -36,10 +36,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again."""
+    """All stages over documents; each result is written and read again, and deleted when the next one stands."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch = X.Scratch(spark)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = X.saved(docs)
+            docs = scratch.saved(docs)
+            scratch.done(last=1)
     return docs

@@ -226,25 +226,31 @@ def test_reply_tree_paths(spark):
 
 def brute_hits(docs, items, window=10):
     keys = collections.defaultdict(set)
-    for i, t in items:
-        w = WORD.findall((t or "").translate(LOW))
+    split = [(i, WORD.findall((t or "").translate(LOW))) for i, t in items]
+    for n, (_, w) in enumerate(split):
         m = min(len(w), window)
         for k in range(len(w) - m + 1 if m else 0):
-            keys[tuple(w[k : k + m])].add(i)
+            keys[tuple(w[k : k + m])].add((n, k))
     out = {}
     for i, t in docs.items():
         w = WORD.findall(t.translate(LOW))
-        hit, found = set(), set()
+        hit, found, best = set(), set(), (0, None)
         for m in {len(k) for k in keys}:
             for k in range(len(w) - m + 1):
-                if (x := keys.get(tuple(w[k : k + m]))) is not None:
+                for n, j in keys.get(tuple(w[k : k + m]), ()):
+                    item, size = split[n][1], m
                     hit.update(range(k, k + m))
-                    found |= x
-        out[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit))
+                    found.add(split[n][0])
+                    while k + size < len(w) and j + size < len(item) and w[k + size] == item[j + size]:
+                        size += 1
+                    if size > best[0] or size == best[0] and k < best[1]:
+                        best = (size, k)
+        found -= {None}
+        out[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit), *best)
     return out
 
 
-ITEMS = [(1, "one two three"), (2, " ".join(LONG.split()[500:530])), (3, ""), (4, None), (5, PASSAGE), (6, PASSAGE + "extra words"), (7, "漢字"), (8, "w0x0 w1x1")]
+ITEMS = [(1, "one two three"), (2, " ".join(LONG.split()[500:530])), (3, ""), (4, None), (5, PASSAGE), (6, PASSAGE + "extra words"), (7, "漢字"), (8, "w0x0 w1x1"), (None, " ".join(LONG.split()[900:915])), (9, " ".join(LONG.split()[510:560]) + " tail"), (10, "a a a a a a a a a a a a"), (11, "one two three")]
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 300])
@@ -349,7 +355,7 @@ def template_corpus(n):
 
 def test_links_in_a_large_region(spark, monkeypatch):
     """Few orders and small chunks, so that the group is to them as a far larger one is to all of them."""
-    for name, value in (("ORDERS", 2), ("LARGE_ORDERS", 2), ("LARGE_CHUNK", 8)):
+    for name, value in (("ORDERS", 2), ("CHUNK", 8), ("BLOCK_TEXTS", 300)):
         monkeypatch.setattr(neardup, name, value)
     docs = template_corpus(4_000)
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in docs)]
@@ -451,10 +457,10 @@ def brute_repeats(docs, n=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
-def test_repeats(spark, odd, empty, documents, hot):
+@pytest.mark.parametrize("hot, sample", [(50_000, 64), (1, 1)])
+def test_repeats(spark, odd, empty, documents, hot, sample):
     for df in (odd, rows(spark, near_corpus()), documents):
-        got = {r["doc_id"]: tuple(r)[1:] for r in repeats.repeats(df, hot).collect()}
+        got = {r["doc_id"]: tuple(r)[1:] for r in repeats.repeats(df, hot, sample).collect()}
         assert got == brute_repeats(texts(df))
     assert repeats.repeats(empty).collect() == []
     assert repeats.repeats(odd.union(odd)).count() == len(ODD)

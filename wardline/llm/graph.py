@@ -30,10 +30,11 @@ def components(links: DataFrame) -> DataFrame:
     taken before the shuffle, so a node with very many links needs no task of
     its own. Tables are cut from their lineage by checkpoint().
     """
+    scratch = X.Scratch(links.sparkSession)
     edges = X.cut(links.select("a", "b").where("a <> b"))
     labels = None
     while not edges.isEmpty():
-        step = X.kept(nearest(edges))
+        step = scratch.kept(nearest(edges))
         if labels is None:
             labels = step
         else:
@@ -44,4 +45,6 @@ def components(links: DataFrame) -> DataFrame:
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     least = labels.groupBy("p").agg(F.min("id").alias("component"))
-    return X.cut(labels.join(least, "p").select("id", "component"))
+    out = X.cut(labels.join(least, "p").select("id", "component"))
+    scratch.done()
+    return out

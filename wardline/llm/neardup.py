@@ -10,11 +10,13 @@ only spanning links leave the task.
 
 Exact copies are one class before the forest. The first orders join most near
 copies; the others then ship only the chunks whose texts are not yet joined.
-Where a region was larger than a chunk, the texts are sorted again by many more
-orders, deeper and in larger chunks, and again only chunks of several components
-are compared. What these chunks leave apart is settled exactly: the texts of
-such regions are joined on the rarest shingles of their full sets, of which two
-similar sets must share one.
+Two similar texts that a chunk's edge parts in every order where they share a
+region are in a region larger than a chunk. So regions that still hold several
+components are settled exactly. Their texts are laid in blocks of a bounded
+size, similar ones and those of a large component together; two blocks are
+compared where a rare shingle of a text's full set (two similar sets must share one of
+so many) stands in both under different components. A block pair is a task, so
+a group of any size is spread over many, and no pairs are listed.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +39,9 @@ MIN_DEPTH = 3
 CHUNK = 32
 OVERLAP = 4
 FIRST_ORDERS = 2
-LARGE_ORDERS = 64
-LARGE_DEPTH = 32
-LARGE_CHUNK = 128
 BUCKET_BITS = 18
-POSTS = 256
+BLOCK_TEXTS = 1024
+BLOCK_BYTES = 8 << 20
 
 _rng = np.random.default_rng(7_919)
 _FLIP = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -85,8 +86,8 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(X.lean(task), "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
 
 
-def forest(classes: DataFrame, orders: int, depth: int, chunk: int = CHUNK) -> DataFrame:
-    """(chunk, doc_id, tree, large) for every chunk in the sorted orders; large: its region is no chunk or may go on elsewhere.
+def forest(classes: DataFrame, orders: int, depth: int) -> DataFrame:
+    """(chunk, doc_id, tree, region) for every chunk in the sorted orders; region: the one it is a part of, 0 if the chunk is all of it.
 
     Rows are range-partitioned by order and prefix, so a region of any size is
     spread over tasks. A pair that a partition's edge separates in one order
@@ -106,12 +107,12 @@ def forest(classes: DataFrame, orders: int, depth: int, chunk: int = CHUNK) -> D
                 continue
             cut = _last_region(held)
             if cut:
-                yield _chunks(held.slice(0, cut), chunk)
+                yield _chunks(held.slice(0, cut))
                 held = held.slice(cut)
         if held is not None and held.num_rows:
-            yield _chunks(held, chunk)
+            yield _chunks(held)
 
-    return rows.mapInArrow(X.lean(task), "tree int, first_doc long, doc_id long, large boolean").withColumn("chunk", F.struct("tree", "first_doc"))
+    return rows.mapInArrow(X.lean(task), "tree int, first_doc long, doc_id long, region long").withColumn("chunk", F.struct("tree", "first_doc"))
 
 
 def _matrix(b: pa.RecordBatch) -> np.ndarray:
@@ -136,18 +137,20 @@ def _last_region(b: pa.RecordBatch) -> int:
     return int(starts[-1]) or (b.num_rows - OVERLAP if b.num_rows >= 200_000 else 0)
 
 
-def _chunks(b: pa.RecordBatch, chunk: int) -> pa.RecordBatch:
-    depth = _shared(b)
+def _chunks(b: pa.RecordBatch) -> pa.RecordBatch:
+    depth, keys = _shared(b), _matrix(b)
     docs, tree = np.asarray(b.column(2)), np.asarray(b.column(0))
     edges = np.append(np.flatnonzero(depth < MIN_DEPTH), len(depth))
-    full = _matrix(b).shape[1]
-    out_first, out_doc, out_tree, out_large = [], [], [], []
+    full = keys.shape[1]
+    out_first, out_doc, out_tree, out_region = [], [], [], []
     for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        large = e - s > chunk or s == 0 or e == len(depth)
+        large = e - s > CHUNK or s == 0 or e == len(depth)
         if e - s < 2 and not large:
             continue
-        pieces = _split(depth, s, e, full, chunk)
-        if large:  # a text between two pieces is a chunk of its own
+        pieces = _split(depth, s, e, full)
+        region = 0
+        if large:  # named by its prefix, as its parts may lie in several tasks; a text between two pieces is a chunk of its own
+            region = _named(tree[s], keys[s, :MIN_DEPTH])
             alone = np.ones(e - s, bool)
             for x, y in pieces:
                 alone[x - s : y - s] = False
@@ -156,38 +159,45 @@ def _chunks(b: pa.RecordBatch, chunk: int) -> pa.RecordBatch:
             out_first.append(np.full(y - x, docs[x]))
             out_doc.append(docs[x:y])
             out_tree.append(np.full(y - x, tree[x], np.int32))
-            out_large.append(np.full(y - x, large))
-    cat = [np.concatenate(v) if v else np.zeros(0, t) for v, t in ((out_tree, np.int32), (out_first, np.int64), (out_doc, np.int64), (out_large, bool))]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cat], names=["tree", "first_doc", "doc_id", "large"])
+            out_region.append(np.full(y - x, region))
+    cat = [np.concatenate(v) if v else np.zeros(0, t) for v, t in ((out_tree, np.int32), (out_first, np.int64), (out_doc, np.int64), (out_region, np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cat], names=["tree", "first_doc", "doc_id", "region"])
 
 
-def _split(depth: np.ndarray, s: int, e: int, full: int, chunk: int) -> list[tuple[int, int]]:
-    """Chunks of about ``chunk`` rows: cut where the shared prefix is shortest, evenly where it is full."""
+def _named(tree: int, prefix: np.ndarray) -> int:
+    name = np.array([tree], np.uint64)
+    for word in prefix.astype(np.uint64):
+        name = X.mix(name + word)
+    return int(name.view(np.int64)[0]) or 1
+
+
+def _split(depth: np.ndarray, s: int, e: int, full: int) -> list[tuple[int, int]]:
+    """Chunks of about CHUNK rows: cut where the shared prefix is shortest, evenly where it is full."""
     todo, done = [(s, e)], []
     while todo:
         s, e = todo.pop()
-        low = depth[s + 1 : e].min() if e - s > chunk else full
+        low = depth[s + 1 : e].min() if e - s > CHUNK else full
         if low >= full:
-            done += _even(s, e, chunk)
+            done += _even(s, e)
             continue
         cuts = [s, *(s + 1 + np.flatnonzero(depth[s + 1 : e] == low)).tolist(), e]
         run = s
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            if y - x > chunk:
-                done += _even(run, x, chunk)
+            if y - x > CHUNK:
+                done += _even(run, x)
                 todo.append((x, y))
                 run = y
-            elif y - run > chunk:
-                done += _even(run, x, chunk)
+            elif y - run > CHUNK:
+                done += _even(run, x)
                 run = max(run + 1, x - OVERLAP)
-        done += _even(run, e, chunk)
+        done += _even(run, e)
     return done
 
 
-def _even(s: int, e: int, chunk: int) -> list[tuple[int, int]]:
+def _even(s: int, e: int) -> list[tuple[int, int]]:
     if e - s < 2:
         return []
-    return [(x, min(e, x + chunk + OVERLAP)) for x in range(s, max(s + 1, e - OVERLAP), chunk)]
+    return [(x, min(e, x + CHUNK + OVERLAP)) for x in range(s, max(s + 1, e - OVERLAP), CHUNK)]
 
 
 def links_of(sets: np.ndarray, first: np.ndarray, per_cent: int) -> list[tuple[int, int]]:
@@ -254,30 +264,74 @@ def _unjoined(chunks: DataFrame, label: DataFrame) -> DataFrame:
     return mixed.select("chunk", F.explode("docs").alias("doc_id"))
 
 
+def _mixed(chunks: DataFrame, label: DataFrame) -> DataFrame:
+    """The texts (doc_id) of large regions whose texts have different labels (id, component)."""
+    parts = chunks.where("region <> 0").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    ends = parts.groupBy("region").agg(*(f(F.coalesce("component", "doc_id")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))))
+    return chunks.join(ends.where("lo < hi").select("region"), "region", "left_semi").select("doc_id").distinct()
+
+
+def blocked(texts: DataFrame, heads: DataFrame, label: DataFrame) -> DataFrame:
+    """(doc_id, c, block, n, set): each text's component, its full set (sorted hashes) and the block it is laid in.
+
+    Rows are sorted by signature, so similar texts share a block; a component of
+    more than BLOCK_TEXTS of them has blocks of its own, which need no holding
+    against each other. A block ends at BLOCK_TEXTS texts or BLOCK_BYTES of
+    sets; a text beyond that is alone.
+    """
+    rows = texts.select("doc_id", "text").join(heads.select("doc_id", "sig"), "doc_id").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    rows = rows.select("doc_id", "text", F.coalesce("component", "doc_id").alias("c"), "sig")
+    big = rows.groupBy("c").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_TEXTS).select("c", F.col("c").alias("own"))
+    rows = rows.join(big, "c", "left").select("doc_id", "text", "c", "own", "sig")
+    rows = rows.repartitionByRange(X.parallelism(texts.sparkSession), "own", "sig", "doc_id").sortWithinPartitions("own", "sig", "doc_id")
+
+    def task(batches):
+        block, held, size, before = TaskContext.get().partitionId() << 32, 0, 0, None
+        for b in batches:
+            data, off = X.column(b, "text")
+            owners = b.column(3).to_pylist()
+            for at, to in X.slices(off):
+                sets, first = shingle_sets(*X.fit(data, off, at, to))
+                n = np.diff(first)
+                name = np.empty(len(n), np.int64)
+                for d, k in enumerate(n.tolist()):
+                    if held and (held >= BLOCK_TEXTS or size + 8 * k > BLOCK_BYTES or owners[at + d] != before):
+                        block, held, size = block + 1, 0, 0
+                    before = owners[at + d]
+                    name[d], held, size = block, held + 1, size + 8 * k
+                raw = [sets[s:e].tobytes() for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0)[at:to], b.column(2)[at:to], pa.array(name), pa.array(n.astype(np.int64)), pa.array(raw, pa.binary())], names=["doc_id", "c", "block", "n", "set"])
+
+    return rows.mapInArrow(X.lean(task), "doc_id long, c long, block long, n long, set binary")
+
+
+def _sets(b) -> tuple[np.ndarray, np.ndarray]:
+    data, off = X.column(b, "set")
+    return data.view(np.uint64) if data.flags.aligned and data.ctypes.data % 8 == 0 else np.frombuffer(data.tobytes(), np.uint64), off // 8
+
+
 def _bucket(sets: np.ndarray) -> np.ndarray:
     return (X.mix(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def bucket_counts(texts: DataFrame) -> np.ndarray:
+def bucket_counts(sets: DataFrame) -> np.ndarray:
     """How many shingles fall in each of a fixed number of buckets: the order in which ``rare_shingles`` takes them."""
 
     def task(batches):
         n = np.zeros(1 << BUCKET_BITS, np.int64)
         for b in batches:
-            data, off = X.column(b, "text")
-            for at, to in X.slices(off):
-                n += np.bincount(_bucket(shingle_sets(*X.fit(data, off, at, to))[0]), minlength=len(n))
+            n += np.bincount(_bucket(_sets(b)[0]), minlength=len(n))
         full = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(n[full])], names=["bucket", "n"])
 
-    got = texts.select("text").mapInArrow(X.lean(task), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = sets.select("set").mapInArrow(X.lean(task), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << BUCKET_BITS, np.int64)
     out[got["bucket"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
-def rare_shingles(texts: DataFrame, counts: np.ndarray, per_cent: int) -> DataFrame:
-    """(shingle, doc_id, n, at): the first shingles of each set by (count of the bucket, hash), n in the set.
+def rare_shingles(sets: DataFrame, counts: np.ndarray, per_cent: int) -> DataFrame:
+    """(shingle, doc_id, c, block, n): the first shingles of each set by (count of the bucket, hash).
 
     Sets that are similar enough share at least per_cent of each one's n
     shingles, so the first one they share is among so many of both.
@@ -285,41 +339,65 @@ def rare_shingles(texts: DataFrame, counts: np.ndarray, per_cent: int) -> DataFr
 
     def task(batches):
         for b in batches:
-            data, off = X.column(b, "text")
-            ids = np.asarray(b.column(b.schema.get_field_index("doc_id")))
-            for at, to in X.slices(off):
-                sets, first = shingle_sets(*X.fit(data, off, at, to))
-                size = np.diff(first)
+            ids, c, block = (np.asarray(b.column(i)) for i in range(3))
+            got, first = _sets(b)
+            for at, to in X.slices(first * 8):
+                part, own = got[first[at] : first[to]], first[at : to + 1] - first[at]
+                size = np.diff(own)
                 doc = np.repeat(np.arange(len(size)), size)
-                sets = sets[np.lexsort((sets, counts[_bucket(sets)], doc))]
-                place = np.arange(len(sets)) - first[:-1][doc]
-                pick = place < (size - -(-size * per_cent // 100) + 1)[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (sets.view(np.int64)[pick], ids[at:to][doc[pick]], size[doc[pick]].astype(np.int64), place[pick])], names=["shingle", "doc_id", "n", "at"])
+                part = part[np.lexsort((part, counts[_bucket(part)], doc))]
+                pick = np.flatnonzero(np.arange(len(part)) - own[:-1][doc] < (size - -(-size * per_cent // 100) + 1)[doc])
+                d = doc[pick]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part[pick].view(np.int64), ids[at:to][d], c[at:to][d], block[at:to][d], size[d].astype(np.int64))], names=["shingle", "doc_id", "c", "block", "n"])
 
-    return texts.select("doc_id", "text").mapInArrow(X.lean(task), "shingle long, doc_id long, n long, at long")
+    return sets.select("doc_id", "c", "block", "set").mapInArrow(X.lean(task), "shingle long, doc_id long, c long, block long, n long")
 
 
-def exact_links(texts: DataFrame, label: DataFrame, per_cent: int) -> DataFrame:
-    """Links (a, b) that connect all components (id, component) of the texts that a similar pair connects.
-
-    A shared shingle at places i and j leaves at most min(n - i, m - j) in
-    common. A shingle of many texts is dealt by pairs of salts, so no task has
-    one to itself; one that stands in a single component is left out.
+def compared(table: pa.Table, per_cent: int) -> pa.Table:
+    """Links (a, b) that join the components of two blocks' texts as far as any similar pair of theirs does."""
+    b = table.combine_chunks().to_batches()[0]
+    ids, c, block, n = (np.asarray(b.column(b.schema.get_field_index(k))) for k in ("doc_id", "c", "block", "n"))
+    sets, first = _sets(b)
+    order = np.argsort(sets, kind="stable")
+    h = sets[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    group = np.cumsum(new) - 1
+    often = np.bincount(group)[group] > 1
+    _, col = np.unique(group[often], return_inverse=True)
+    row = np.repeat(np.arange(len(ids)), np.diff(first))[order][often]
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    common = np.zeros((len(left), len(right)), np.float32)
+    width = 2048
+    total = int(col.max()) + 1 if len(col) else 0
+    for at in range(0, total, width):
+        lo, hi = np.searchsorted(col, [at, at + width])
+        m = np.zeros((len(ids), min(width, total - at)), np.float32)
+        m[row[lo:hi], col[lo:hi] - at] = 1
+        common += m[left] @ m[right].T
+    both = common.astype(np.int64)
+    similar = (100 * both >= per_cent * (n[left][:, None] + n[right][None, :] - both)) & (c[left][:, None] != c[right][None, :])
+    x, y = np.nonzero(similar)
+    x, y = left[x], right[y]
+    pair = np.stack([np.minimum(c[x], c[y]), np.maximum(c[x], c[y])], 1)
+    one = np.unique(pair, axis=0, return_index=True)[1] if len(pair) else np.zeros(0, np.int64)
+    return pa.table({"a": ids[x[one]], "b": ids[y[one]]})
+
+
+def exact_links(sets: DataFrame, per_cent: int) -> DataFrame:
+    """Links (a, b) that connect all components of ``blocked`` texts that a similar pair connects.
+
+    For each rare shingle and block: the least and greatest component and set
+    size of its texts there. A text is sent to a block pair if the other block
+    holds one of its shingles under another component and near enough in size.
     """
-    posts = rare_shingles(texts, bucket_counts(texts), per_cent).join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    posts = X.kept(posts.select("shingle", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("c")))
-    mixed = posts.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / POSTS).alias("salts")).where("lo < hi")
-    posts = posts.join(mixed.select("shingle", "salts"), "shingle").withColumn("own", F.pmod(F.xxhash64("doc_id"), "salts"))
-    posts = posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    left = posts.select("shingle", F.col("own").alias("x"), F.col("other").alias("y"), F.col("doc_id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), (F.col("n") - F.col("at")).alias("ra"))
-    right = posts.select("shingle", F.col("other").alias("x"), F.col("own").alias("y"), F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), (F.col("n") - F.col("at")).alias("rb"))
-    enough = F.least("ra", "rb") * (100 + per_cent) >= (F.col("na") + F.col("nb")) * per_cent
-    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("shingle", "x", "y")]
-    pairs = left.alias("l").join(right.alias("r"), [*same, F.col("a") < F.col("b"), F.col("ca") != F.col("cb"), enough])
-    pairs = X.kept(pairs.select("a", "b").distinct())
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / LARGE_CHUNK).alias("parts"))
-    chunks = pairs.join(parts, "a").select(F.struct("a", F.pmod(F.xxhash64("b"), "parts").alias("part")).alias("chunk"), F.explode(F.array("a", "b")).alias("doc_id"))
-    return confirmed(chunks.distinct(), texts, per_cent)
+    posts = rare_shingles(sets, bucket_counts(sets), per_cent)
+    ends = posts.groupBy("shingle", "block").agg(*(f(k).alias(k + e) for k in "cn" for f, e in ((F.min, "lo"), (F.max, "hi"))))
+    there = ends.groupBy("shingle").agg(F.min("clo").alias("lo"), F.max("chi").alias("hi"), F.collect_list(F.struct("block", "clo", "chi", "nlo", "nhi")).alias("others")).where("lo < hi").drop("lo", "hi")
+    near = F.filter("others", lambda o: ((o["clo"] != F.col("c")) | (o["chi"] != F.col("c"))) & (o["nhi"] * 100 >= F.col("n") * per_cent) & (o["nlo"] * per_cent <= F.col("n") * 100))
+    wanted = posts.join(there, "shingle").select("doc_id", "block", F.explode(F.transform(near, lambda o: o["block"])).alias("other"))
+    wanted = wanted.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id").distinct()
+    return wanted.join(sets, "doc_id").groupBy("x", "y").applyInArrow(lambda t: compared(t, per_cent), "a long, b long")
 
 
 def _rejoined(label: DataFrame, late: DataFrame) -> DataFrame:
@@ -341,33 +419,40 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
     linked at 100 * common >= per_cent * union. Null counts as empty; rows that
     repeat a doc_id are one document (the smallest text), rows without one are
     left out; equal texts are one class whatever their number. Other columns
-    are ignored; an empty table gives no rows.
+    are ignored; an empty table gives no rows. doc_id is a whole number.
     """
+    spark = docs.sparkSession
+    scratch = X.Scratch(spark)
     docs = X.one_row_per_key(docs, "doc_id", "text")
-    sketch = X.kept(sketches(docs))
+    sketch = scratch.kept(sketches(docs))
     classes = sketch.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
-    classes = X.kept(classes.where("copies > 1").drop("copies"))
+    classes = scratch.kept(classes.where("copies > 1").drop("copies"))
     member = sketch.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
     heads = sketch.join(member.where("doc_id = class_id and n_shingles > 0").select("doc_id"), "doc_id", "left_semi").select("doc_id", "sig")
 
-    chunks = X.kept(forest(heads, ORDERS, DEPTH))
-    wanted = chunks.select("doc_id").distinct()
-    texts = X.saved(docs.join(wanted, "doc_id", "left_semi"))
-    links = X.kept(confirmed(chunks.where(F.col("tree") < FIRST_ORDERS), texts, per_cent))
+    chunks = scratch.kept(forest(heads, ORDERS, DEPTH))
+    texts = scratch.saved(docs.join(chunks.select("doc_id").distinct(), "doc_id", "left_semi"))
+    links = scratch.kept(confirmed(chunks.where(F.col("tree") < FIRST_ORDERS), texts, per_cent))
     rest = _unjoined(chunks.where(F.col("tree") >= FIRST_ORDERS), nearest(links))
     label = components(links.union(confirmed(rest, texts, per_cent)))
 
-    large = heads.join(chunks.where("large").select("doc_id").distinct(), "doc_id", "left_semi")
-    again = _unjoined(forest(large, LARGE_ORDERS, LARGE_DEPTH, LARGE_CHUNK), label.withColumnRenamed("component", "p"))
-    label = X.kept(_rejoined(label, confirmed(again, texts, per_cent)))
-    label = _rejoined(label, exact_links(texts.join(large.select("doc_id"), "doc_id", "left_semi"), label, per_cent))
+    apart = X.cut(_mixed(chunks, label))
+    if not apart.isEmpty():
+        sets = scratch.saved(blocked(texts.join(apart, "doc_id", "left_semi"), heads, label))
+        label = _rejoined(label, exact_links(sets, per_cent))
 
     out = member.join(label.withColumnRenamed("id", "class_id"), "class_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = X.cut(out.withColumn("kept", F.col("doc_id") == F.col("component_id")))
+    scratch.done()
+    return out
 
 
 def one_of_each(docs: DataFrame, per_cent: int = 85) -> DataFrame:
-    """The documents without those whose group keeps another one, all columns as they are."""
+    """The documents without those whose group keeps another one, all columns as they are.
+
+    Rows that repeat a doc_id are one document and stay or go together, by the
+    smallest of their texts; rows without a doc_id stay.
+    """
     gone = near_duplicates(docs, per_cent).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

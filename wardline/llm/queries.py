@@ -80,20 +80,25 @@ doc_words AS (
   SELECT doc_id,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
+items AS (SELECT row_number() OVER () AS item_row, * FROM item_words WHERE len(w) > 0),
 item_windows AS (
-  SELECT DISTINCT item, least(len(w), 10) AS m, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
-  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)),
+  SELECT item_row, item, j, least(len(w), 10) AS m, array_to_string(w[j:j + least(len(w), 10) - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS j FROM items)),
 lengths AS (SELECT DISTINCT m FROM item_windows),
 doc_windows AS (
   SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS win
   FROM (SELECT doc_id, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM doc_words, lengths WHERE len(w) >= m)),
-matches AS (SELECT d.doc_id, d.i, d.m, b.item FROM doc_windows d JOIN item_windows b ON d.win = b.win AND d.m = b.m),
+matches AS (SELECT d.doc_id, d.i, d.m, b.item_row, b.item, b.j FROM doc_windows d JOIN item_windows b ON d.win = b.win AND d.m = b.m),
 hits AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS pos FROM matches) GROUP BY doc_id),
-items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM matches GROUP BY doc_id)
+named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM matches GROUP BY doc_id),
+runs AS (
+  SELECT doc_id, count(*) + any_value(m) - 1 AS n, min(i) - 1 AS word
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_row, i - j ORDER BY i) AS g FROM matches) GROUP BY doc_id, item_row, i - j, g),
+longest AS (SELECT doc_id, max(n) AS n, arg_min(word, (-n, word)) AS word FROM runs GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit,
-       CAST(coalesce(i.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(i.names, '')) AS items_sha256,
-       coalesce(h.n_hit, 0) > 0 AS contaminated
-FROM doc_words d LEFT JOIN hits h USING (doc_id) LEFT JOIN items i USING (doc_id)
+       CAST(coalesce(k.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(k.names, '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AS contaminated, CAST(coalesce(l.n, 0) AS BIGINT) AS longest, CAST(l.word AS BIGINT) AS longest_word
+FROM doc_words d LEFT JOIN hits h USING (doc_id) LEFT JOIN named k USING (doc_id) LEFT JOIN longest l USING (doc_id)
 """
 
 OP6_SQL = """

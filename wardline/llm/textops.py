@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -17,11 +18,14 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline.session import ship
 
 SLICE_BYTES = 1 << 20
+#: a batch of rows ends at the first of both, so its weight is bounded whatever a text weighs
 BATCH_ROWS = 1000
+BATCH_BYTES = 32 << 20
 
 _U64 = np.uint64
 _P = _U64(0x9E3779B97F4A7C15)
@@ -41,16 +45,19 @@ NONSPACE = np.ones(256, bool)
 NONSPACE[[32, 9, 10, 11, 12, 13]] = False
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch of whole texts can weigh, and see that executors have this package."""
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch of whole texts can weigh, the same way for every operator, and see that executors have this package."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The cluster's checkpoint folder. Where none is set, a temporary one in a local session; on a cluster, an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         set_dir = tempfile.mkdtemp(prefix="wardline-")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     if not spark.sparkContext.getCheckpointDir():
@@ -64,16 +71,46 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The table kept on the executors' disks for its several readers, with its lineage: what an executor takes with it is computed anew."""
-    return df.persist(StorageLevel.DISK_ONLY)
+class Scratch:
+    """Tables kept while an operator runs; ``done`` gives their room back."""
 
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self._kept: list[DataFrame] = []
+        self._folders: list[str] = []
 
-def saved(df: DataFrame) -> DataFrame:
-    """As ``cut``, in Parquet: for texts, which are then compressed."""
-    to = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(to)
-    return df.sparkSession.read.schema(df.schema).parquet(to)
+    def kept(self, df: DataFrame) -> DataFrame:
+        """The table kept on the executors' disks for its several readers, with its lineage: what an executor takes with it is computed anew."""
+        self._kept.append(df.persist(StorageLevel.DISK_ONLY))
+        return df
+
+    def saved(self, df: DataFrame) -> DataFrame:
+        """As ``cut``, in Parquet: for texts, which are then compressed."""
+        to = f"{shared_dir(self.spark)}/{uuid.uuid4().hex}"
+        df.write.parquet(to)
+        self._folders.append(to)
+        return self.spark.read.schema(df.schema).parquet(to)
+
+    def done(self, last: int = 0) -> None:
+        """Release all kept tables, and delete all folders but the ``last`` ones."""
+        for df in self._kept:
+            df.unpersist()
+        self._kept.clear()
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        while len(self._folders) > last:
+            path = jvm.org.apache.hadoop.fs.Path(self._folders.pop(0))
+            path.getFileSystem(conf).delete(path, True)
+
+
+def wrapped(df: DataFrame, *columns: str) -> DataFrame:
+    """Each row as one struct ``row``, beside the columns asked for: what an operator adds can then clash with nothing."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *columns)
+
+
+def with_fields(df: DataFrame, **added: str) -> T.StructType:
+    """df's schema and the added columns, for a mapInArrow."""
+    more = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in added.items()))
+    return T.StructType([*df.schema.fields, *more.fields])
 
 
 def release() -> None:
@@ -163,6 +200,11 @@ class _Powers:
 _powers = _Powers()
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash base and of its inverse."""
+    return _powers.get(n)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> _U64(31))
     h *= _U64(0x7FB5D329728EA185)
