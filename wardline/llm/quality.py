@@ -235,10 +235,11 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[LabelModel, Sc
 
 
 def with_quality(docs: DataFrame, fitted: tuple[LabelModel, Scorer] | None = None) -> DataFrame:
-    """docs and __votes, __posterior, __score of every text."""
+    """Each row of docs as a struct ``row`` beside votes, posterior and score of its text."""
     spark = docs.sparkSession
     X.small_batches(spark)
     shared = spark.sparkContext.broadcast(fitted or fit(docs.select("doc_id", "text")))
+    rows = X.wrapped(docs, "text")
 
     def task(batches):
         model, scorer = shared.value
@@ -247,11 +248,9 @@ def with_quality(docs: DataFrame, fitted: tuple[LabelModel, Scorer] | None = Non
             for at, to in X.slices(off):
                 part = X.fit(data, off, at, to)
                 v = votes(statistics(*part))
-                own = b.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([*own.columns, X.strings([(r + 49).astype(np.uint8).tobytes() for r in v]), pa.array(model.posterior(v)), pa.array(scorer.scores(*part))], names=[*b.schema.names, "__votes", "__posterior", "__score"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[at:to], X.strings([(r + 49).astype(np.uint8).tobytes() for r in v]), pa.array(model.posterior(v)), pa.array(scorer.scores(*part))], names=["row", "votes", "posterior", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __votes string, __posterior double, __score double"
-    return docs.mapInArrow(X.lean(task), schema)
+    return rows.mapInArrow(X.lean(task), X.with_fields(rows.select("row"), votes="string", posterior="double", score="double"))
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -261,10 +260,9 @@ def quality(docs: DataFrame) -> DataFrame:
     rows score alike; an empty table gives no rows. Other columns are ignored.
     """
     out = with_quality(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.col("__votes").alias("votes"), F.col("__posterior").alias("posterior"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).alias("kept"))
+    return out.select("row.doc_id", "votes", "posterior", "score", (F.col("score") >= 0.5).alias("kept"))
 
 
 def good_documents(docs: DataFrame, at: float = 0.5) -> DataFrame:
-    """The documents that score at least the limit, all columns as they are."""
-    out = with_quality(docs, fit(docs.select("doc_id", "text")))
-    return out.where(F.col("__score") >= at).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that score at least the limit, all columns as they are; ``quality`` says how odd rows score."""
+    return with_quality(docs, fit(docs.select("doc_id", "text"))).where(F.col("score") >= at).select("row.*")

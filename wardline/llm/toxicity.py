@@ -20,6 +20,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from wardline.llm import textops as X
 
@@ -28,17 +30,17 @@ WINDOW_WORDS = 8
 HEAD_BYTES = 8
 DICTIONARY_BYTES = 16 << 10
 MIN_MATCH = 6
-#: bounds of the labelled sample the dictionaries and the curve are fitted on
+#: bounds of the labelled sample the dictionaries and the curve are fitted on, in rows and in bytes of text
 TOXIC_ROWS = 1500
 ORDINARY_ROWS = 3000
-TRAINING_TEXT_BYTES = 8192
+TOXIC_BYTES = 8 << 20
+ORDINARY_BYTES = 12 << 20
 #: a segment's least lift and log-likelihood excess in toxic text, and the shortest word beginning
 LIFT = 8.0
 EXCESS = 15.0
 STEM_BYTES = 4
 ORDINARY_QUANTILE = 0.98
 FEATURES = 5
-MOST_FALL = 8.0
 
 #: begins every window and ends both dictionaries, so that no window is stored uncompressed
 _PRIMER = b"0123456789 abcdefghijklmnopqrstuvwxyz 9876543210 zyxwvutsrqponmlkjihgfedcba"
@@ -87,7 +89,7 @@ class Model:
             return np.zeros(FEATURES)
         k, usual = np.count_nonzero(fall > self.threshold), n * self.rate
         surprise = k * np.log(k / usual) - (k - usual) if k > usual else 0.0
-        return np.array([min(max(0.0, fall.max()), MOST_FALL), np.sqrt(surprise), k / (n + 6), np.log(n), k > 0])
+        return np.array([np.log1p(max(0.0, fall.max())), np.sqrt(surprise), k / (n + 6), np.log(n), k > 0])
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
@@ -151,7 +153,11 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     """The model of two lists of training texts; repeats count once."""
     toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
     base = _ordinary_dictionary(ordinary)
-    segments = b"".join(_recurring(toxic, ordinary))[-DICTIONARY_BYTES:]
+    segments = b""
+    for segment in reversed(_recurring(toxic, ordinary)):  # the likeliest nearest to the window, as many whole ones as there is room for
+        if len(segment) + len(segments) > DICTIONARY_BYTES:
+            break
+        segments = segment + segments
     model = Model(base + _PRIMER, base + segments + _PRIMER, 0.0, 0.0, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
     falls = np.concatenate([model.falls(windows(t)) for t in ordinary] or [np.zeros(0)])
     model.threshold = max(1.0, float(np.quantile(falls, ORDINARY_QUANTILE))) if len(falls) else 1.0
@@ -183,41 +189,53 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 60
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model:
     """Fit on a bounded sample of the labelled documents outside the held-out fold.
 
-    The sample is the texts of at most TRAINING_TEXT_BYTES with the least
-    hash(doc_id), at most as many of each label as the two parameters say. Null labels, null texts and labels without a document
-    take no part.
+    Documents are taken by the least hash(doc_id), whole and whatever their
+    length, while rows and bytes of each label are within bounds; one that
+    alone is over the bytes left is passed over. Null labels, null texts and
+    labels without a document take no part.
     """
     X.small_batches(docs.sparkSession)
     marked = labels.select("doc_id", "toxic").where("toxic in (0, 1)").where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     there = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    texts = []
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    likely = F.lit(False)
     for label, n in ((1, toxic_rows), (0, ordinary_rows)):
-        # twice as many ids as rows, as some texts are too long; the ids are broadcast, so no text is shuffled
         share = int((1 << 30) * min(1.0, 4 * n / max(1, there.get(label, 0))))  # so that each task sends few
-        likely = marked.where((F.col("toxic") == label) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share))
-        ids = likely.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(2 * n).select("doc_id")
-        short = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAINING_TEXT_BYTES).join(F.broadcast(ids), "doc_id")
-        rows = short.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(n).select("text").collect()
-        texts.append([r["text"].encode() for r in rows])
-    return fit(*texts)
+        likely |= (F.col("toxic") == label) & (place < share)
+    order = Window.partitionBy("toxic").orderBy("place", "doc_id")
+    few = marked.where(likely).withColumn("place", place)
+    few = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.when(F.col("toxic") == 1, 2 * toxic_rows).otherwise(2 * ordinary_rows))
+    # ids are bounded by the rows asked for, so they are broadcast and no text is shuffled
+    sizes = docs.join(F.broadcast(few), "doc_id").where("text is not null").groupBy("doc_id", "toxic", "place").agg(F.max(F.octet_length("text")).alias("size"))
+    wanted: list[int] = []
+    left = {1: [toxic_rows, TOXIC_BYTES], 0: [ordinary_rows, ORDINARY_BYTES]}
+    for r in sorted(sizes.collect(), key=lambda r: (r["place"], str(r["doc_id"]))):
+        room = left[r["toxic"]]
+        if room[0] and r["size"] <= room[1]:
+            wanted.append(r["doc_id"])
+            room[0] -= 1
+            room[1] -= r["size"]
+    ids = docs.sparkSession.createDataFrame([(i,) for i in wanted], T.StructType([T.StructField("doc_id", labels.schema["doc_id"].dataType)]))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").join(F.broadcast(few.select("doc_id", "toxic")), "doc_id").where("text is not null").select("toxic", "text").collect()
+    return fit(*([r["text"].encode() for r in rows if r["toxic"] == label] for label in (1, 0)))
 
 
 def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs and a column __score, by the whole text; null and empty texts get the score of no windows."""
+    """Each row of docs as a struct ``row`` beside its score, by the whole text; null and empty texts get the score of no windows."""
     spark = docs.sparkSession
     X.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
+    rows = X.wrapped(docs, "text")
 
     def task(batches):
         for b in batches:
             data, off = X.column(b, "text")
             raw = data.tobytes()
             score = shared.value.scores([raw[s:e] for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], names=["row", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __score double"
-    return docs.mapInArrow(X.lean(task), schema)
+    return rows.mapInArrow(X.lean(task), X.with_fields(rows.select("row"), score="double"))
 
 
 def held_out(doc_id: int) -> bool:
@@ -235,10 +253,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     scored = with_score(docs, train(docs, labels))
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
-    return scored.select("doc_id", out.alias("held_out"), F.col("__score").alias("score"), F.when(F.col("__score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return scored.select("row.doc_id", "score").select("doc_id", out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
-    """The documents that score below the limit, all columns as they are."""
-    scored = with_score(docs, train(docs.select("doc_id", "text"), labels))
-    return scored.where(F.col("__score") < at).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that score below the limit, all columns as they are; ``toxicity`` says how odd rows score."""
+    return with_score(docs, train(docs.select("doc_id", "text"), labels)).where(F.col("score") < at).select("row.*")
