@@ -158,6 +158,15 @@ def test_toxicity_held_out(spark, odd, empty):
     assert all(r["predicted"] == 0 for r in toxicity.toxicity(odd, labels.limit(0)).collect())
 
 
+def test_toxicity_on_labels(spark):
+    """Rows outside the training fold; some of the labels are noise."""
+    sf = "/root/testdata/sf0.1"
+    marked = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    got = toxicity.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).where("held_out").join(marked, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in got}
+    assert n[1, 1] >= 0.85 * (n[1, 0] + n[1, 1]) and n[0, 0] >= 0.97 * (n[0, 0] + n[0, 1]), n
+
+
 # quality
 
 

@@ -4,9 +4,10 @@ Two zstandard dictionaries: the ordinary one is trained on windows of ordinary
 text; the toxic one has the same content and then the segments that recur in
 toxic text, in different surroundings, and hardly in ordinary text. Both explain
 ordinary writing alike, so a window's compressed length falls from one to the
-other by what is toxic in it. A text's windows give its largest fall, the share
-of windows that fall by more than a threshold calibrated on ordinary windows,
-and how surprising that many are at the ordinary rate; a logistic curve fitted on the training rows turns these into a score.
+other by what is toxic in it. A text's windows give its largest fall, how
+surprising the windows beyond each of several falls are at the rate of ordinary
+windows, and their share; a logistic curve fitted on the training rows turns
+these into a score, shifted so that a stated share of ordinary texts passes a half.
 """
 
 from __future__ import annotations
@@ -39,8 +40,10 @@ ORDINARY_BYTES = 12 << 20
 LIFT = 8.0
 EXCESS = 15.0
 STEM_BYTES = 4
-ORDINARY_QUANTILE = 0.98
-FEATURES = 5
+#: falls beyond which windows are counted, and the share of ordinary training texts that may score a half
+FALLS = (0.0, 1.0, 2.0, 4.0)
+FALSE_SHARE = 0.01
+FEATURES = len(FALLS) + 4
 
 #: begins every window and ends both dictionaries, so that no window is stored uncompressed
 _PRIMER = b"0123456789 abcdefghijklmnopqrstuvwxyz 9876543210 zyxwvutsrqponmlkjihgfedcba"
@@ -63,8 +66,8 @@ def windows(text: bytes) -> list[bytes]:
 class Model:
     ordinary: bytes
     toxic: bytes
-    threshold: float
-    rate: float
+    #: share of ordinary windows beyond each of FALLS
+    rates: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -87,9 +90,11 @@ class Model:
         n = len(fall)
         if not n:
             return np.zeros(FEATURES)
-        k, usual = np.count_nonzero(fall > self.threshold), n * self.rate
-        surprise = k * np.log(k / usual) - (k - usual) if k > usual else 0.0
-        return np.array([np.log1p(max(0.0, fall.max())), np.sqrt(surprise), k / (n + 6), np.log(n), k > 0])
+        count = (fall[:, None] > np.array(FALLS)).sum(0)
+        usual = n * self.rates
+        surprise = np.where(count > usual, count * np.log(np.maximum(count, 1) / usual) - (count - usual), 0.0)
+        k = count[1]
+        return np.array([np.log1p(max(0.0, fall.max())), *np.sqrt(np.maximum(surprise, 0.0)), k / (n + 6), np.log(n), k > 0])
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
@@ -158,15 +163,17 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
         if len(segment) + len(segments) > DICTIONARY_BYTES:
             break
         segments = segment + segments
-    model = Model(base + _PRIMER, base + segments + _PRIMER, 0.0, 0.0, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
+    model = Model(base + _PRIMER, base + segments + _PRIMER, np.ones(len(FALLS)), np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
     falls = np.concatenate([model.falls(windows(t)) for t in ordinary] or [np.zeros(0)])
-    model.threshold = max(1.0, float(np.quantile(falls, ORDINARY_QUANTILE))) if len(falls) else 1.0
-    model.rate = float((np.count_nonzero(falls > model.threshold) + 1) / (len(falls) + 100))
+    model.rates = ((falls[:, None] > np.array(FALLS)).sum(0) + 1) / (len(falls) + 100)
     x = np.array([model.features(t) for t in [*toxic, *ordinary]]).reshape(-1, FEATURES)
     y = np.concatenate([np.ones(len(toxic)), np.zeros(len(ordinary))])
     if len(x):
         model.centre, model.scale = x.mean(0), np.maximum(x.std(0), 1e-9)
     model.weights = _logistic((x - model.centre) / model.scale, y)
+    if toxic and ordinary:
+        usual = np.quantile(((x - model.centre) / model.scale)[y == 0] @ model.weights[1:], 1 - FALSE_SHARE)
+        model.weights[0] = -(usual + 1e-6)
     return model
 
 
