@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -412,40 +413,101 @@ def test_components(spark):
 
 def test_lines_and_markup():
     page = "<!DOCTYPE html><title>T</title><body class=x><nav>menu<ul><li>a</nav><header>Top</header><div class='cookie-notice'>We use</div><article><h1>He&amp;ad</h1><p>One <b>bo</b>ld &lt;tag&gt;<p>Two\n  lines<script>var t='</p>';</script><div class=comments>said</div></article><form>f</form><footer>&copy;</footer>"
-    assert html.main_text(html.lines(page), None) == "He&ad One bold <tag> Two lines"
+    assert html.main_text(html.lines(page), set()) == "He&ad One bold <tag> Two lines"
     for broken in ("", "<", "<p", "a < b & c", "<article><p>x", "<p>a<!-- open", "<div><div " * 500, "</p></div>x", "<script>never closed", "<a href='x>y</a>"):
-        html.main_text(html.lines(broken), html.lines(broken))
-    assert html.main_text(html.lines("a < b &am c"), None) == "a < b &am c"
-
-
-def test_common_subsequence():
+        html.main_text(html.lines(broken), set())
+    assert html.main_text(html.lines("a < b &am c"), set()) == "a < b &am c"
+    two = "<article><p>first story</p></article><div>between</div><article><p class='related tags'>second story</p><p class=ad>buy</p><div class=related>see also</div></article>"
+    assert html.main_text(html.lines(two), set()) == "first story second story"
+    began = time.time()
+    html.lines("<span></b>" * 40_000 + "<p>" * 40_000)
+    assert time.time() - began < 5
+
+
+@pytest.mark.parametrize("rows_bytes", [32 << 20, 4])
+def test_common_subsequence(monkeypatch, rows_bytes):
+    monkeypatch.setattr(html, "ROWS_BYTES", rows_bytes)
     rng = np.random.default_rng(6)
-    for _ in range(100):
-        a, b = ([str(x) for x in rng.integers(0, 6, rng.integers(0, 14))] for _ in range(2))
-        best = np.zeros((len(a) + 1, len(b) + 1), int)
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                best[i + 1, j + 1] = best[i, j] + 1 if x == y else max(best[i, j + 1], best[i + 1, j])
+    for _ in range(200):
+        a, b = ([str(x) for x in rng.integers(0, 6, rng.integers(0, 24))] for _ in range(2))
         places = html.common(a, b)
-        assert len(places) == best[-1, -1]
+        assert len(places) == longest_common(a, b)
         it = iter(b)
         assert all(a[i] in it for i in sorted(places))
 
 
-def test_page_differencing(spark):
-    frame = "<body><div>Site name</div><div>Read more on this site</div>{}<div>All the usual words below</div></body>"
-    own = "<div>Only page {} says this, and it says so at some length, so that no one takes it for a copy of its neighbour.</div><div>Line {} of its own, with more to tell than the frame around it holds.</div>"
-    pages = [(i, f"http://a.example/x/{i}", frame.format(own.format(i, i))) for i in range(3)]
-    pages += [(7, "http://b.example/y", None), (8, None, ""), (9, "http://c.example/", "<p>alone</p>"), (10, "http://d.example/1", "<div>copy of a text</div>"), (11, "http://d.example/2", "<div>copy of a text</div>")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("host", F.lit(1))
-    got = {r["page_id"]: r for r in html.extract(df.coalesce(1)).collect()}
-    for i in range(3):
-        if "Site name" not in got[i]["text"]:
-            assert got[i]["text"].startswith(f"Only page {i}") and "usual" not in got[i]["text"]
-    assert sum("Site name" in got[i]["text"] for i in range(3)) <= 1  # at most the page a partition's edge left alone
-    assert got[7]["text"] == got[8]["text"] == "" and got[9]["text"] == "alone" and got[10]["text"] == "copy of a text"
+def longest_common(a, b):
+    best = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1, j + 1] = best[i, j] + 1 if x == y else max(best[i, j + 1], best[i + 1, j])
+    return best[-1, -1]
+
+
+def site(n, seed):
+    """Pages of a few hosts in random order: template lines around own ones, some of these short, some pages copies, some without html."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        host = f"h{i % 3}.example"
+        frame = [f"line {k} of the template of {host}" for k in range(8)]
+        own = [f"own text {rng.integers(0, 1 << 40)} " + "word " * int(rng.integers(1, 40)) for _ in range(rng.integers(1, 4))]
+        if i % 11 == 5:
+            out.append((i, f"https://{host}/a/{rng.integers(0, 99)}?c=1", out[-3][2], out[-3][3]))
+            continue
+        page = None if i % 17 == 3 else "".join(f"<div>{x}</div>" for x in [*frame[:5], *own, *frame[5:]])
+        out.append((i, f"http://{host}/{'ab'[i % 2]}/{rng.integers(0, 99)}", page, own if page else []))
+    return [out[k] for k in rng.permutation(n)]
+
+
+def brute_extract(pages):
+    """Pairing and subsequences stated anew, without groups or hashes."""
+
+    def key(p):
+        path = re.sub(r"^[a-z]+://", "", re.sub(r"[?#].*", "", p[1]))
+        return path.split("/")[0].lower(), path, p[0]
+
+    order = sorted(pages, key=key)
+    text = {p[0]: [d for d in re.findall(r"<div>(.*?) ?</div>", p[2] or "")] for p in order}
+    out = {}
+    for i, p in enumerate(order):
+        own = text[p[0]]
+        near = [q for q in [*order[max(0, i - 2) : i], *order[i + 1 : i + 3]] if text[q[0]] and key(q)[0] == key(p)[0] and text[q[0]] != own]
+        near.sort(key=lambda q: -len(next(x for x in (key(p)[1][:k] for k in range(len(key(p)[1]), -1, -1)) if key(q)[1].startswith(x))))
+        gone = set(html.common(own, text[near[0][0]])) if near else set()
+        for q in near[1:]:
+            usual = set(html.common(own, text[q[0]]))
+            if sum(len(own[k]) for k in gone - usual) <= 0.5 * sum(len(x) for k, x in enumerate(own) if k not in usual):
+                break
+            gone = usual
+        out[p[0]] = " ".join(x for k, x in enumerate(own) if k not in gone)
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_page_differencing(spark, parts):
+    data = site(150, 3)
+    df = spark.createDataFrame([p[:3] for p in data], "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("host", F.lit(1)).withColumn("gone", F.lit(2))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r["page_id"]: r for r in html.extract(df.repartition(parts), group=16).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {i: r["text"] for i, r in got.items()} == brute_extract(data)
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
-    assert html.extract(df.limit(0)).collect() == []
+    clean = [p for p in data if p[2] and got[p[0]]["text"] == " ".join(x.strip() for x in p[3])]
+    assert len(clean) > 0.9 * sum(p[2] is not None for p in data)  # the template goes, the page's own lines stay
+
+
+def test_pages_with_little_to_compare(spark):
+    frame = "<body><div>Site name</div>" + "".join(f"<div>Line {k} of the frame, longer than what it holds</div>" for k in range(20)) + "{}</body>"
+    pages = [(i, f"http://a.example/x/{i}", frame.format(f"<div>Only {i}.</div>")) for i in range(3)]
+    pages += [(7, "http://b.example/y", None), (8, None, ""), (9, "http://c.example/", "<p>alone</p>"), (10, "http://d.example/1", "<div>copy of a text</div>"), (11, "http://d.example/2", "<div>copy of a text</div>")]
+    df = spark.createDataFrame([*pages, pages[0]], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert got == {0: "Only 0.", 1: "Only 1.", 2: "Only 2.", 7: "", 8: "", 9: "alone", 10: "copy of a text", 11: "copy of a text"}
+    assert html.extract(df).count() == 9 and html.extract(df.limit(0)).collect() == []
 
 
 # repeats

@@ -1,27 +1,34 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are sorted by host and URL path; each is held against the nearer of its
-two neighbours of the same host (the longer common path). Both become lines,
-one for each block of text; the longest common subsequence of the two pages'
-lines is what the site's template put there, and is deleted. Markup decides
-first where it speaks: what stands in navigation, footers, forms, adverts,
-comments and the like goes in any case, and text in an article's own blocks
-stays even if a neighbour repeats it, as copies of articles do. If the shared
-lines are most of both pages, the neighbour is a copy and nothing is deleted
-for its sake.
-
-The pages are range-partitioned, so a host of any size is spread over tasks. A
-page alone of its host in a partition has no neighbour; markup alone decides.
+A page becomes lines, one for each block of text. Pages stand in the order of
+host and URL path; each is held against the nearest of its neighbours there (two
+before, two after, of the same host, by the length of the common path) that has
+lines and is no copy of it. The longest common subsequence of the two pages' lines is what
+the site's template put there, and is deleted. A neighbour is a copy if its
+lines are the same, or if what it shares with the page beyond what the next
+neighbour shares is most of what is left of the page.
+
+Markup decides first where it speaks: what stands in navigation, footers, forms,
+adverts, reader comments and the like goes in any case; on a page with articles
+only these are main text, and text in their own blocks (paragraphs, headings,
+items, cells) stays even if a neighbour repeats it, as reprints do.
+
+Only hashes of lines are sorted, numbered through and held against each other,
+in groups of a fixed number of pages that carry their neighbours' ends. So a
+host of any size is spread over tasks, and the result does not depend on how
+the pages are partitioned. The html itself is joined with the numbers of the
+lines to delete, of pages that have any.
 """
 
 from __future__ import annotations
 
+import os
 import re
-from bisect import bisect_left
 from collections import defaultdict
 from dataclasses import dataclass
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +47,18 @@ DROPPED = frozenset("head script style title textarea noscript template svg math
 #: a main text's own blocks
 OWN = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption".split())
 #: words in a class, id or role that mark what is not main text
-MARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription paywall sidebar aside widget widgets menu nav navbar navigation breadcrumb breadcrumbs toolbar pagination pager comment comments commentlist disqus reply replies respond discussion related recommended recommendations trending share sharing social follow login signin signup search searchbox skip copyright legal complementary contentinfo toc tags tagcloud byline masthead".split())
+MARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription paywall sidebar aside widget widgets menu nav navbar navigation breadcrumb breadcrumbs toolbar pagination pager comment comments commentlist disqus reply replies respond discussion related recommended recommendations trending share sharing social follow login signin signup search searchbox skip copyright complementary contentinfo toc tagcloud masthead".split())
 #: marks that an article's own parts may bear
 OUTER_MARKS = frozenset("header footer head foot top bottom topbar".split())
-COPY_SHARE = 0.6
-MANY = 64
+#: marks that drop one of an article's own blocks; any other mark may just say what the paragraph is about
+OWN_MARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices comment comments commentlist newsletter subscribe paywall hidden".split())
+#: elements within which a paragraph, an item or a cell is not ended by the next one outside
+HOLDERS = frozenset("article main div section ul ol table dl select body blockquote".split())
+COPY_SHARE = 0.5
+NEIGHBOURS = 2
+GROUP = 512
+#: bytes of the rows that a longest common subsequence may keep at once
+ROWS_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -55,11 +69,9 @@ class Line:
     own: bool
     #: markup says that this is no main text
     dropped: bool
-    #: number of the outermost article that holds it, 0 outside
-    article: int
 
 
-def _marked(attributes: str, in_article: bool) -> bool:
+def _marked(attributes: str, in_article: bool, own: bool) -> bool:
     for name, value in _NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -69,7 +81,7 @@ def _marked(attributes: str, in_article: bool) -> bool:
                 return True
             continue
         words = set(re.split(r"[\s_\-.:/]+", value))
-        if words & MARKS or not in_article and words & OUTER_MARKS:
+        if words & (OWN_MARKS if in_article and own else MARKS) or not in_article and words & OUTER_MARKS:
             return True
     return False
 
@@ -78,8 +90,10 @@ def lines(html: str) -> list[Line]:
     """The page's blocks of text in order, with what markup says of each; every character outside tags is in one."""
     out: list[Line] = []
     stack: list[tuple[str, bool]] = []  # element, drops its content
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack each element stands
+    holders: list[int] = []
     part: list[str] = []
-    dropping = in_article = articles = own = 0
+    dropping = in_article = own = 0
     at, n = 0, len(html)
 
     def flush() -> None:
@@ -87,12 +101,15 @@ def lines(html: str) -> list[Line]:
             text = " ".join(unescape("".join(part)).split())
             part.clear()
             if text:
-                out.append(Line(text, in_article > 0, own > 0, dropping > 0, articles if in_article else 0))
+                out.append(Line(text, in_article > 0, own > 0, dropping > 0))
 
     def leave(k: int) -> None:
         nonlocal dropping, in_article, own
         while len(stack) > k:
             name, drops = stack.pop()
+            places[name].pop()
+            if name in HOLDERS:
+                holders.pop()
             dropping -= drops
             in_article -= name in ("article", "main")
             own -= name in OWN
@@ -123,9 +140,8 @@ def lines(html: str) -> list[Line]:
         if name in BLOCKS:
             flush()
         if closing:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if k >= 0:
-                leave(k)
+            if places[name]:
+                leave(places[name][-1])
             continue
         if name in VOID:
             continue
@@ -134,97 +150,195 @@ def lines(html: str) -> list[Line]:
             at = n if end is None else end.end()
             continue
         if name in ("p", "li", "td", "th", "tr", "dd", "dt", "option") and attributes[-1:] != "/":
-            # such an element ends where the next one of its kind, or a closer list or table, begins
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ("article", "main", "div", "section", "ul", "ol", "table", "dl", "select", "body", "blockquote"):
-                    break
-                if stack[i][0] == name:
-                    leave(i)
-                    break
-        drops = name in DROPPED or name == "header" and not in_article or _marked(attributes, in_article > 0)
+            # such an element ends where the next one of its kind begins in the same holder
+            if places[name] and places[name][-1] > (holders[-1] if holders else -1):
+                leave(places[name][-1])
+        drops = name in DROPPED or name == "header" and not in_article or _marked(attributes, in_article > 0, name in OWN)
+        places[name].append(len(stack))
+        if name in HOLDERS:
+            holders.append(len(stack))
         stack.append((name, drops))
         dropping += drops
         own += name in OWN
-        if name in ("article", "main"):
-            if not in_article and not dropping:
-                articles += 1
-            in_article += 1
+        in_article += name in ("article", "main")
     flush()
     return out
 
 
-def common(a: list[str], b: list[str]) -> set[int]:
-    """Places in a of a longest common subsequence with b (Hunt and Szymanski).
+def common(a: list, b: list) -> set[int]:
+    """Places in a of a longest common subsequence with b.
 
-    A line that occurs more than MANY times in both is matched occurrence by
-    occurrence, so the work stays near the number of lines.
+    Rows of the length table are held as whole numbers, a bit for each line of
+    b (Hyyrö's form). Where all rows would weigh too much, a is halved where
+    the two halves' lengths add up best (Hirschberg).
     """
-    where: dict[str, list[int]] = defaultdict(list)
-    for j, x in enumerate(b):
-        where[x].append(j)
-    count: dict[str, int] = defaultdict(int)
-    for x in a:
-        count[x] += 1
-    met: dict[str, int] = defaultdict(int)
-    ends: list[int] = []
-    last: list[tuple[int, int, object]] = []
-    for i, x in enumerate(a):
-        places = where.get(x, ())
-        if len(places) > MANY and count[x] > MANY:
-            k = met[x]
-            met[x] += 1
-            places = places[k : k + 1]
-        for j in reversed(places):
-            k = bisect_left(ends, j)
-            node = (i, j, last[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                last.append(node)
-            elif j < ends[k]:
-                ends[k] = j
-                last[k] = node
     out: set[int] = set()
-    node = last[-1] if last else None
-    while node is not None:
-        out.add(node[0])
-        node = node[2]
+    todo = [(0, a, b)]
+    while todo:
+        at, x, y = todo.pop()
+        low = 0
+        while low < min(len(x), len(y)) and x[low] == y[low]:
+            out.add(at + low)
+            low += 1
+        high = 0
+        while high < min(len(x), len(y)) - low and x[-1 - high] == y[-1 - high]:
+            out.add(at + len(x) - 1 - high)
+            high += 1
+        there = set(y[low : len(y) - high])
+        rows = [i for i in range(low, len(x) - high) if x[i] in there]
+        part = [x[i] for i in rows]
+        there = set(part)
+        y = [v for v in y[low : len(y) - high] if v in there]
+        if not part:
+            continue
+        if len(part) * len(y) <= 8 * ROWS_BYTES or len(part) == 1:
+            out.update(at + rows[i] for i in _traced(part, y))
+            continue
+        half = len(part) // 2
+        first = _lengths(_rows(part[:half], y)[-1], len(y))
+        last = _lengths(_rows(part[half:][::-1], y[::-1])[-1], len(y))
+        cut = int(np.argmax(first + last[::-1]))
+        for lo, hi, other in ((0, half, y[:cut]), (half, len(part), y[cut:])):
+            # rows of a half need not be neighbours in a: each keeps its own place
+            sub = common(part[lo:hi], other)
+            out.update(at + rows[lo + i] for i in sub)
     return out
 
 
-def main_text(page: list[Line], neighbour: list[Line] | None) -> str:
-    """The page's text without what its neighbour shares and without what its markup drops."""
-    shared: set[int] = set()
-    if neighbour:
-        shared = common([x.text for x in page], [x.text for x in neighbour])
-        size = sum(len(x.text) for x in page)
-        if sum(len(page[i].text) for i in shared) > COPY_SHARE * min(size, sum(len(x.text) for x in neighbour)):
-            shared = set()
-    mass: dict[int, int] = defaultdict(int)
-    for x in page:
-        if x.article and not x.dropped:
-            mass[x.article] += len(x.text)
-    best = max(mass, key=lambda k: (mass[k], -k), default=0)
-    kept = [x.text for i, x in enumerate(page) if not x.dropped and (x.article == best and (x.own or i not in shared) if best else i not in shared)]
-    return " ".join(kept)
-
-
-def _nearer(url: str, before: str | None, after: str | None) -> bool:
-    """Whether the page before is the nearer neighbour."""
-
-    def depth(other: str | None) -> int:
-        if other is None:
-            return -1
-        n = 0
-        for x, y in zip(url, other, strict=False):
-            if x != y:
-                break
-            n += 1
-        return n
+def _rows(a: list, b: list, every: bool = False) -> list[int]:
+    """For the last beginning of a (or every one), the places in b where the common length grows, as zero bits."""
+    bits: dict = defaultdict(int)
+    for j, v in enumerate(b):
+        bits[v] |= 1 << j
+    full = (1 << len(b)) - 1
+    v, out = full, []
+    for x in a:
+        u = v & bits.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        if every:
+            out.append(v)
+    return out if every else [v]
+
+
+def _lengths(row: int, n: int) -> np.ndarray:
+    """Common length with each beginning of b, from no line to all n."""
+    raw = np.frombuffer(row.to_bytes(-(-n // 8), "little"), np.uint8)
+    grows = 1 - np.unpackbits(raw, bitorder="little")[:n].astype(np.int64)
+    return np.concatenate([[0], np.cumsum(grows)])
+
+
+def _traced(a: list, b: list) -> list[int]:
+    rows = [(1 << len(b)) - 1, *_rows(a, b, True)]
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif not rows[i - 1] >> (j - 1) & 1:
+            i -= 1
+        else:
+            out.append(i - 1)
+            i, j = i - 1, j - 1
+    return out
+
+
+def fixed(x: Line, articles: bool) -> bool:
+    """Whether markup alone decides on a line of a page with or without articles."""
+    return x.dropped or articles and (not x.inside or x.own)
+
 
-    return depth(before) >= depth(after)
+def has_articles(page: list[Line]) -> bool:
+    return any(x.inside and not x.dropped for x in page)
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def main_text(page: list[Line], shared: set[int]) -> str:
+    """The page's text without the shared lines and without what its markup drops."""
+    articles = has_articles(page)
+    return " ".join(x.text for i, x in enumerate(page) if not x.dropped and (x.inside or not articles) and (fixed(x, articles) or i not in shared))
+
+
+@dataclass(frozen=True)
+class Page:
+    host: str
+    path: str
+    #: of the lines that markup does not drop: hash, number of characters, place, whether markup alone decides
+    hashes: list[int]
+    sizes: list[int]
+    places: list[int]
+    settled: list[bool]
+
+
+def template(page: Page, near: list[Page]) -> list[int]:
+    """Places of the lines of a page that its nearest neighbour of those given shares; near: in page order, of any host."""
+    if all(page.settled):
+        return []
+    near = [x for x in near if x.hashes and x.host == page.host and x.hashes != page.hashes]
+    near.sort(key=lambda x: -len(os.path.commonprefix([page.path, x.path])))  # stable: the earlier page first
+    if not near:
+        return []
+    shared = common(page.hashes, near[0].hashes)
+    for other in near[1:]:
+        usual = common(page.hashes, other.hashes)
+        rest = sum(n for i, n in enumerate(page.sizes) if i not in usual)
+        if sum(page.sizes[i] for i in shared - usual) <= COPY_SHARE * rest:
+            break
+        shared = usual  # that neighbour was a copy
+    return sorted(page.places[i] for i in shared if not page.settled[i])
+
+
+_PRINT = "k1 long, k2 long, host string, path string, page_id string, hashes array<long>, sizes array<int>, places array<int>, settled array<boolean>"
+
+
+def _printed(batches):
+    for b in batches:
+        cols = [[] for _ in range(4)]
+        for page in b.column(5).to_pylist():
+            got = lines(page or "")
+            articles = has_articles(got)
+            live = [(i, x) for i, x in enumerate(got) if not x.dropped]
+            raw = [x.text.encode("utf-8", "surrogatepass") for _, x in live]
+            off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+            h = X.range_hash(X.prefix_hash(np.frombuffer(b"".join(raw), np.uint8)), off[:-1], off[1:]).view(np.int64)
+            for c, v in zip(cols, (h.tolist(), [len(x.text) for _, x in live], [i for i, _ in live], [fixed(x, articles) for _, x in live]), strict=True):
+                c.append(v)
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([*b.columns[:5], *(pa.array(c, pa.list_(k)) for c, k in zip(cols, kinds, strict=True))], names=["k1", "k2", "host", "path", "page_id", "hashes", "sizes", "places", "settled"])
+
+
+def _compared(table: pa.Table, group: int) -> pa.Table:
+    rows = sorted(table.to_pylist(), key=lambda r: r["place"])
+    pages = [Page(r["host"], r["path"], r["hashes"], r["sizes"], r["places"], r["settled"]) for r in rows]
+    out = []
+    for i, r in enumerate(rows):
+        if r["grp"] == r["place"] // group:
+            gone = template(pages[i], [*pages[max(0, i - NEIGHBOURS) : i], *pages[i + 1 : i + 1 + NEIGHBOURS]])
+            if gone:
+                out.append((r["k1"], r["k2"], gone))
+    cols = list(zip(*out, strict=True)) or [()] * 3
+    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32()))], names=["k1", "k2", "gone"])
+
+
+def template_lines(pages: DataFrame, scratch: X.Scratch, group: int = GROUP) -> DataFrame:
+    """(k1, k2, gone): numbers of the lines that differencing deletes, for pages (k1, k2, host, path, page_id, html) that have any."""
+    spark = pages.sparkSession
+    prints = pages.select("k1", "k2", "host", "path", "page_id", "html").mapInArrow(X.lean(_printed), _PRINT)
+    order = ["host", "path", "page_id", "k1", "k2"]
+    ranged = prints.repartitionByRange(X.parallelism(spark), *order).sortWithinPartitions(*order)
+    ranged = scratch.saved(ranged.withColumn("id", F.monotonically_increasing_id()))
+    # a partition's number is in the upper bits of id; as many counts as partitions reach the driver
+    counts = sorted(tuple(r) for r in ranged.groupBy(F.shiftright("id", 33).alias("part")).count().collect())
+    starts, total = [], 0
+    for part, n in counts:
+        starts.append((part, total - (part << 33)))
+        total += n
+    starts = F.broadcast(spark.createDataFrame(starts, "part long, start long"))
+    placed = ranged.withColumn("part", F.shiftright("id", 33)).join(starts, "part").withColumn("place", F.col("id") + F.col("start")).drop("id", "part", "start")
+    reach = [F.floor((F.col("place") + d) / group) for d in (-NEIGHBOURS, 0, NEIGHBOURS)]
+    grouped = placed.withColumn("grp", F.explode(F.array_distinct(F.array(*reach))))
+    found = grouped.groupBy("grp").applyInArrow(lambda t: _compared(t, group), "k1 long, k2 long, gone array<int>")
+    return scratch.saved(found.groupBy("k1", "k2").agg(F.min("gone").alias("gone")))
+
+
+def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     """One row per page row: page_id, url, text (empty if none), n_chars.
 
     Null and empty html gives the empty text. A null url is a host of its own;
@@ -234,38 +348,21 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     X.small_batches(spark)
+    scratch = X.Scratch(spark)
     bare = F.regexp_replace(F.coalesce("url", F.lit("")), r"[?#].*$", "")
     bare = F.regexp_replace(bare, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://", "")
-    rows = pages.select("page_id", "url", "html", F.lower(F.substring_index(bare, "/", 1)).alias("host"), bare.alias("path"))
-    rows = rows.repartitionByRange(X.parallelism(spark), "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    # a row is known by two hashes of all it holds: equal rows are extracted alike
+    keys = [F.xxhash64("page_id", "url", "html").alias("k1"), F.xxhash64("html", "url", "page_id", F.lit(1)).alias("k2")]
+    rows = pages.select("page_id", "url", "html", *keys, F.lower(F.substring_index(bare, "/", 1)).alias("host"), bare.alias("path"))
+    # page_id as text, padded so that whole numbers sort by size
+    gone = template_lines(rows.withColumn("page_id", F.lpad(F.col("page_id").cast("string"), 20, "0")), scratch, group)
+    scratch.done(last=1)
+    joined = rows.select("page_id", "url", "html", "k1", "k2").join(gone, ["k1", "k2"], "left").select("page_id", "url", "html", "gone")
 
     def task(batches):
-        held = None  # (row, lines) of the page before, and of the one to settle
         for b in batches:
-            results = []
-            for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                now = (row, lines(row[2] or ""))
-                if held is not None:
-                    results.append(_settled(held[0], held[1], now))
-                held = (held[1] if held is not None else None, now)
-            yield _pages(results, b.schema)
-        if held is not None:
-            yield _pages([_settled(held[0], held[1], None)], None)
+            texts = [main_text(lines(page or ""), set(shared or ())) for page, shared in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(X.lean(task), f"page_id {kind}, url string, text string, n_chars long")
-
-
-def _settled(before, now, after) -> tuple:
-    row, own = now
-    near = [x if x is not None and x[0][3] == row[3] else None for x in (before, after)]
-    first = _nearer(row[4], *(x[0][4] if x else None for x in near))
-    neighbour = near[0] if first and near[0] else near[1] or near[0]
-    text = main_text(own, neighbour[1] if neighbour else None)
-    return row[0], row[1], text, len(text)
-
-
-def _pages(results: list[tuple], schema) -> pa.RecordBatch:
-    cols = list(zip(*results, strict=True)) or [()] * 4
-    kind = schema.field(0).type if schema is not None else (pa.array(cols[0]).type)
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    return joined.mapInArrow(X.lean(task), f"page_id {kind}, url string, text string, n_chars long")
