@@ -271,38 +271,41 @@ def _mixed(chunks: DataFrame, label: DataFrame) -> DataFrame:
     return chunks.join(ends.where("lo < hi").select("region"), "region", "left_semi").select("doc_id").distinct()
 
 
-def blocked(texts: DataFrame, heads: DataFrame, label: DataFrame) -> DataFrame:
+def blocked(texts: DataFrame, heads: DataFrame, label: DataFrame, scratch: X.Scratch) -> DataFrame:
     """(doc_id, c, block, n, set): each text's component, its full set (sorted hashes) and the block it is laid in.
 
     Rows are sorted by signature, so similar texts share a block; a component of
     more than BLOCK_TEXTS of them has blocks of its own, which need no holding
-    against each other. A block ends at BLOCK_TEXTS texts or BLOCK_BYTES of
-    sets; a text beyond that is alone.
+    against each other. A block weighs BLOCK_BYTES of sets, however the rows
+    are partitioned, a text counting for at least a BLOCK_TEXTS-th of that.
     """
+    spark = texts.sparkSession
     rows = texts.select("doc_id", "text").join(heads.select("doc_id", "sig"), "doc_id").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     rows = rows.select("doc_id", "text", F.coalesce("component", "doc_id").alias("c"), "sig")
     big = rows.groupBy("c").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_TEXTS).select("c", F.col("c").alias("own"))
     rows = rows.join(big, "c", "left").select("doc_id", "text", "c", "own", "sig")
-    rows = rows.repartitionByRange(X.parallelism(texts.sparkSession), "own", "sig", "doc_id").sortWithinPartitions("own", "sig", "doc_id")
+    rows = rows.repartitionByRange(X.parallelism(spark), "own", "sig", "doc_id").sortWithinPartitions("own", "sig", "doc_id")
 
     def task(batches):
-        block, held, size, before = TaskContext.get().partitionId() << 32, 0, 0, None
+        part, total = TaskContext.get().partitionId(), 0
         for b in batches:
             data, off = X.column(b, "text")
-            owners = b.column(3).to_pylist()
             for at, to in X.slices(off):
                 sets, first = shingle_sets(*X.fit(data, off, at, to))
                 n = np.diff(first)
-                name = np.empty(len(n), np.int64)
-                for d, k in enumerate(n.tolist()):
-                    if held and (held >= BLOCK_TEXTS or size + 8 * k > BLOCK_BYTES or owners[at + d] != before):
-                        block, held, size = block + 1, 0, 0
-                    before = owners[at + d]
-                    name[d], held, size = block, held + 1, size + 8 * k
+                weight = np.maximum(8 * n, BLOCK_BYTES // BLOCK_TEXTS)
+                place = total + np.cumsum(weight) - weight
+                total += int(weight.sum())
                 raw = [sets[s:e].tobytes() for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0)[at:to], b.column(2)[at:to], pa.array(name), pa.array(n.astype(np.int64)), pa.array(raw, pa.binary())], names=["doc_id", "c", "block", "n", "set"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[at:to], b.column(2)[at:to], b.column(3)[at:to], pa.array(np.full(len(n), part)), pa.array(place), pa.array(place + weight), pa.array(n.astype(np.int64)), pa.array(raw, pa.binary())], names=["doc_id", "c", "own", "part", "place", "upto", "n", "set"])
 
-    return rows.mapInArrow(X.lean(task), "doc_id long, c long, block long, n long, set binary")
+    sets = scratch.saved(rows.mapInArrow(X.lean(task), "doc_id long, c long, own long, part long, place long, upto long, n long, set binary"))
+    starts, total = [], 0
+    for r in sorted(sets.groupBy("part").agg(F.max("upto").alias("upto")).collect()):  # a row for each partition
+        starts.append((r["part"], total))
+        total += r["upto"]
+    placed = sets.join(F.broadcast(spark.createDataFrame(starts, "part long, start long")), "part")
+    return placed.select("doc_id", "c", F.xxhash64("own", F.floor((F.col("place") + F.col("start")) / BLOCK_BYTES)).alias("block"), "n", "set")
 
 
 def _sets(b) -> tuple[np.ndarray, np.ndarray]:
@@ -438,7 +441,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
 
     apart = X.cut(_mixed(chunks, label))
     if not apart.isEmpty():
-        sets = scratch.saved(blocked(texts.join(apart, "doc_id", "left_semi"), heads, label))
+        sets = blocked(texts.join(apart, "doc_id", "left_semi"), heads, label, scratch)
         label = _rejoined(label, exact_links(sets, per_cent))
 
     out = member.join(label.withColumnRenamed("id", "class_id"), "class_id", "left")
