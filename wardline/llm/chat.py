@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from wardline.llm import textops as X
+from wardline.operators import spans as S
 
 OPEN = "### "
 SPLIT = ": "
@@ -101,15 +102,11 @@ def format_turns(turns: DataFrame) -> DataFrame:
     paths = turns.groupBy("tree", "path_rank").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     head = lambda t: F.concat(F.lit(OPEN), t["role"], F.lit(SPLIT))
     written = F.transform("turns", lambda t: F.concat(head(t), t["text"], F.lit(CLOSE)))
-    start = F.aggregate("turns", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")), _span)
-    return paths.select("tree", "path_rank", F.concat_ws("", written).alias("formatted"), start["spans"].alias("loss_spans"), F.size("turns").cast("long").alias("n_turns"))
-
-
-def _span(acc: Column, t: Column) -> Column:
-    begin = acc["at"] + F.lit(len(OPEN) + len(SPLIT)) + F.length(t["role"])
-    span = F.array(F.struct(begin.alias("start"), F.length(t["text"]).alias("length")))
-    spans = F.when(t["learned"], F.concat(acc["spans"], span)).otherwise(acc["spans"])
-    return F.struct((begin + F.length(t["text"]) + len(CLOSE)).alias("at"), spans.alias("spans"))
+    size = lambda t: len(OPEN) + len(SPLIT) + len(CLOSE) + F.length(t["role"]) + F.length(t["text"])
+    begin = lambda at, t: at + len(OPEN) + len(SPLIT) + F.length(t["role"])
+    span = lambda at, t: F.when(t["learned"], F.struct(begin(at, t).alias("start"), F.length(t["text"]).alias("length")))
+    spans = F.filter(S.running(F.col("turns"), F.lit(0), lambda at, t: at + size(t), span, "struct<start:int,length:int>"), lambda s: s.isNotNull())
+    return paths.select("tree", "path_rank", F.concat_ws("", written).alias("formatted"), spans.alias("loss_spans"), F.size("turns").cast("long").alias("n_turns"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -106,6 +106,128 @@ NOTICES = (
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", 0.4),
 )
 
+#: more wording, each rule written for one text: label, expression, confidence; the keyword is what every match must hold
+WORDING = (
+    # exceptions to a licence
+    ("classpath-exception", "link(?:ing)? this library with independent modules to produce an executable", 0.95),
+    ("classpath-exception", "classpath exception(?: 2 0)?", 0.9),
+    ("gcc-exception", "gcc runtime library exception", 0.95),
+    ("gcc-exception", "propagate a work of target code formed by combining the runtime library", 0.9),
+    ("llvm-exception", "apache 2 0 with llvm exceptions?|llvm exceptions? to the apache", 0.95),
+    ("autoconf-exception", "distribute (?:the )?configure scripts? that (?:are|is) (?:the )?output of autoconf", 0.9),
+    ("bison-exception", "as a special exception you may create a larger work that contains part or all of the bison parser skeleton", 0.95),
+    ("openssl-exception", "permission to link (?:the code of )?[a-z0-9 ]{1,60}?with the openssl", 0.9),
+    ("font-exception", "if you create a document which uses this font and embed this font", 0.95),
+    ("linking-exception", "linking [a-z0-9 ]{1,40}?statically or dynamically with other modules is making a combined work", 0.9),
+    ("syscall-note", "does not cover user programs that use kernel services by normal system calls", 0.95),
+    # whole notices
+    ("apache-2.0", "(?:www )?apache org licenses license 2 0", 0.95),
+    ("apache-2.0", "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", 0.85),
+    ("apache-2.0", "licensed to the apache software foundation asf under one or more contributor license agreements", 0.98),
+    ("apache-1.1", "this product includes software developed by the apache (?:group|software foundation)", 0.8),
+    ("gpl", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu", 0.9),
+    ("gpl", "you should have received a copy of the gnu general public licen[cs]e along with", 0.95),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e along with", 0.95),
+    ("agpl", "you should have received a copy of the gnu affero general public licen[cs]e along with", 0.95),
+    ("agpl", "remote network interaction use with the gnu general public licen[cs]e", 0.9),
+    ("gpl-2.0", "either version 2 of the licen[cs]e or (?:at your option )?any later version", 0.9),
+    ("gpl-3.0", "either version 3 of the licen[cs]e or (?:at your option )?any later version", 0.9),
+    ("gpl", "(?:www )?gnu org (?:licenses|copyleft) gpl", 0.9),
+    ("lgpl", "(?:www )?gnu org licenses lgpl", 0.9),
+    ("agpl", "(?:www )?gnu org licenses agpl", 0.9),
+    ("gfdl", "with no invariant sections(?: with)? no front cover texts and no back cover texts", 0.95),
+    ("mit", "(?:www )?opensource org licenses mit", 0.95),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability", 0.8),
+    ("mit-0", "permission is hereby granted without written agreement and without license or royalty fees", 0.6),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions", 0.9),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions", 0.9),
+    ("bsd-3-clause", "neither the names? of [a-z0-9 ]{1,120}?contributors may be used to endorse or promote products", 0.95),
+    ("isc", "provided as is and the author disclaims all warranties with regard to this software", 0.9),
+    ("bsl-1.0", "(?:www )?boost org license 1 0", 0.95),
+    ("zlib", "the origin of this software must not be misrepresented", 0.9),
+    ("zlib", "provided as is without any express or implied warranty in no event will the authors be held liable", 0.85),
+    ("mpl-2.0", "(?:www )?mozilla org mpl 2 0", 0.95),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public licen[cs]e", 0.9),
+    ("mpl-2.0", "incompatible with secondary licen[cs]es", 0.85),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e", 0.98),
+    ("epl", "(?:www )?eclipse org legal epl", 0.95),
+    ("cddl", "the contents of this file are subject to the terms of (?:either the gnu general public licen[cs]e version 2 only or )?the common development and distribution licen[cs]e", 0.95),
+    ("artistic", "aggregate this package with other (?:possibly commercial )?programs as part of a larger", 0.85),
+    ("perl", "(?:under|on) the same terms as (?:the )?perl(?: 5)?(?: itself)?", 0.95),
+    ("python", "psf is making python [0-9a-z ]{0,20}available to licensee on an as is basis", 0.95),
+    ("php", "this product includes php software(?: freely available from| developed by the php group)", 0.9),
+    ("openssl", "this product includes software developed by the openssl project", 0.95),
+    ("openssl", "this product includes cryptographic software written by eric young", 0.95),
+    ("curl", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", 0.9),
+    ("hpnd", "appear in supporting documentation and that the names? of", 0.85),
+    ("ncsa", "to deal with the software without restriction including without limitation", 0.7),
+    ("postgresql", "in no event shall the university of california be liable to any party", 0.9),
+    ("unicode", "unicode data files and any associated documentation", 0.9),
+    ("json", "the software shall be used for good not evil", 0.98),
+    ("beerware", "you can buy me a beer in return", 0.98),
+    ("wtfpl", "you just do what the fuck you want to", 0.98),
+    ("unlicense", "(?:refer|see) [a-z ]{0,20}unlicense org", 0.95),
+    ("cc0", "(?:has|have) waived all copyright and related or neighboring rights", 0.95),
+    ("cc0", "creativecommons org publicdomain zero 1 0", 0.98),
+    ("public-domain", "no (?:known )?copyright (?:restrictions?|is claimed)", 0.8),
+    ("public-domain", "the authors? disclaims? copyright to this source code", 0.95),
+    ("cc-by", "creativecommons org licenses by [1-4] [05]", 0.95),
+    ("cc-by-sa", "creativecommons org licenses by sa [1-4] [05]", 0.95),
+    ("cc-by-nc", "creativecommons org licenses by nc [1-4] [05]", 0.95),
+    ("cc-by-nd", "creativecommons org licenses by nd [1-4] [05]", 0.95),
+    ("cc-by-nc-sa", "creativecommons org licenses by nc sa [1-4] [05]", 0.95),
+    ("cc-by-nc-nd", "creativecommons org licenses by nc nd [1-4] [05]", 0.95),
+    ("ofl", "with reserved font names?", 0.9),
+    ("ofl", "neither the font software nor any of its individual components [a-z ]{0,60}may be sold by itself", 0.95),
+    ("odbl", "opendatacommons org licenses odbl", 0.95),
+    ("odc-by", "opendatacommons org licenses by", 0.95),
+    ("pddl", "opendatacommons org licenses pddl", 0.95),
+    ("ogl-uk", "open government licen[cs]e(?: v| version)? ?[1-3]?", 0.9),
+    ("etalab", "licence ouverte open licence|licence ouverte etalab", 0.95),
+    ("dl-de", "datenlizenz deutschland (?:zero|namensnennung)", 0.95),
+    # source available and proprietary terms
+    ("commons-clause", "commons clause licen[cs]e condition", 0.95),
+    ("commons-clause", "does not grant to you the right to sell the software", 0.9),
+    ("busl", "change date (?:[0-9]{1,4} ){1,3}change licen[cs]e", 0.9),
+    ("busl", "additional use grant", 0.85),
+    ("sspl", "offering the program as a service|functionality of the program or modified version available to third parties as a service", 0.9),
+    ("elastic", "provide the software to third parties as a hosted or managed service", 0.9),
+    ("polyform", "polyform (?:noncommercial|small business|shield|strict|internal use|free trial|perimeter)", 0.95),
+    ("confluent", "confluent community licen[cs]e", 0.95),
+    ("prosperity", "prosperity public licen[cs]e", 0.95),
+    ("parity", "parity public licen[cs]e", 0.95),
+    ("rail", "use based restrictions|responsible ai licen[cs]es?|open ?rail m?", 0.85),
+    ("proprietary", "contains (?:confidential|proprietary)? ?(?:information and )?trade secrets? of", 0.9),
+    ("proprietary", "end user licen[cs]e agreement", 0.8),
+    ("proprietary", "may not be reproduced (?:distributed )?(?:or )?(?:transmitted )?(?:copied )?(?:in any form )?(?:or by any means )?without", 0.8),
+    ("proprietary", "for (?:internal )?evaluation purposes only", 0.7),
+    ("non-commercial", "for non ?commercial (?:use|purposes)(?: only)?", 0.8),
+    ("non-commercial", "for personal (?:and non ?commercial )?use only", 0.75),
+    ("non-commercial", "for (?:academic and )?research purposes only", 0.75),
+    ("no-derivatives", "you may not (?:create|make|distribute) (?:any )?derivative works", 0.8),
+    ("attribution", "attribution (?:is )?required|must give appropriate credit", 0.7),
+    ("share-alike", "distribute your contributions under the same licen[cs]e", 0.8),
+    ("reserved", "all rights not expressly granted (?:herein )?are reserved", 0.85),
+    ("warranty", "use (?:it )?at your own risk", 0.4),
+    ("warranty", "merchantability and fitness for a particular purpose are disclaimed", 0.6),
+    ("copyright", "portions copyright", 0.5),
+    ("copyright", "(?:this (?:is|contains) )?copyrighted material", 0.5),
+    ("copyright", "tous droits r\u00e9serv\u00e9s", 0.8),
+    ("copyright", "alle rechte vorbehalten", 0.8),
+    ("copyright", "todos los derechos reservados", 0.8),
+    # short forms and dual licences
+    ("gpl-2.0", "gpl 2(?: 0)?(?: only| or later)?", 0.6),
+    ("gpl-3.0", "gpl 3(?: 0)?(?: only| or later)?", 0.6),
+    ("dual", "dual licen[cs]ed", 0.6),
+    ("dual", "licen[cs]ed under (?:either of )?[a-z0-9 ]{1,60}? or [a-z0-9 ]{1,40}? at your option", 0.7),
+    ("mit", "mit or apache 2 0", 0.9),
+    ("apache-2.0", "mit or apache 2 0", 0.9),
+    ("bsd", "bsd licen[cs]ed", 0.7),
+    ("mit", "mit licen[cs]ed", 0.8),
+    ("open-source", "approved by the open source initiative|osi approved", 0.5),
+    ("see-license", "see (?:the )?(?:accompanying )?(?:licen[cs]e|copying|notice)(?: txt| md)? file", 0.4),
+)
+
 #: ways a licence is named around its name: expression around it, priority, confidence
 FRAMES = (
     ("(?:is )?(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?%s", 60, 0.95),
@@ -133,11 +255,38 @@ def _keyword(name: str) -> bytes:
     return max(re.split(r"\(\?:[^()]*(?:\([^()]*\)[^()]*)*\)\??|\[[^\]]*\]\??|.\?", name), key=len).strip().encode()
 
 
+def _ways(words: str) -> list[str]:
+    """An expression's outermost alternatives, so that each has a keyword of its own."""
+    out, depth = [""], 0
+    for sign in words:
+        depth += {"(": 1, ")": -1}.get(sign, 0)
+        if sign == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += sign
+    return out
+
+
+def _needed(words: str) -> bytes:
+    """The longest run of plain signs that every match of an expression holds; empty if there is none, and then it is always tried."""
+    best, run = "", ""
+    for op, arg in re._parser.parse(words):
+        if str(op) == "LITERAL":
+            run += chr(arg)
+        else:
+            run = ""
+        if len(run.strip()) > len(best):
+            best = run.strip()
+    return best.encode()
+
+
 def rules() -> list[Rule]:
     """All rules in order; earlier ones win ties."""
     out = [Rule(label, phrase.encode(), _pattern(phrase), 0, 0.6, True) for phrase, label in BASE]
     for label, keyword, words, confidence in NOTICES:
         out.append(Rule(label, keyword.encode(), _pattern(words), 90, confidence))
+    for label, words, confidence in WORDING:
+        out += [Rule(label, _needed(way), _pattern(way), 70, confidence) for way in _ways(words)]
     for label, ids, names in FAMILIES:
         for i in sorted(ids, key=len, reverse=True):
             out.append(Rule(label, b"spdx", _pattern(f"spdx licen[cs]e identifier {i}"), 80 + len(i.split()), 1.0))

@@ -5,7 +5,9 @@ number, each block broadcast and held against all rows. A task lays its rows
 out by dimension, adds up products one block of dimensions at a time, and after
 each keeps only the (query, row) pairs whose sum so far plus the bound of what
 the remaining dimensions can add (the product of the remaining norms) still
-reaches the query's k-th best. Each task then sends k rows a query.
+reaches the query's k-th best. Each task then sends k rows a query. With more
+than one block, each is a job of its own, whose k rows a task and query are
+written, so neither the driver nor a worker holds more than one block.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,7 +26,7 @@ from wardline.llm import textops as X
 SCALE = 256
 BLOCK_QUERIES = 4096
 BLOCK_DIMS = 16
-ROWS = 8192
+ROWS = 2048
 _EXACT = float(1 << 53)
 _LONG = (1 << 63) - 1
 
@@ -64,8 +67,19 @@ def search(queries: Queries, ids: np.ndarray, m: np.ndarray, k: int, best: np.nd
     dims = max(len(m), len(queries.values))
     q, m = (np.concatenate([a, np.zeros((dims - len(a), a.shape[1]))]) for a in (queries.values, m))
     q_rest, m_rest = _rest(q), _rest(m)
-    if dims * max(1.0, float(np.abs(q).max(initial=0))) * max(1.0, float(np.abs(m).max(initial=0))) >= _EXACT:
-        return [_wide(queries.ids, q, ids, m, k)]
+    # products of components below this stay whole numbers of a double; vectors with larger ones are taken apart
+    most = np.sqrt(_EXACT / max(1, dims))
+    far_q, far_m = np.abs(q).max(0, initial=0) >= most, np.abs(m).max(0, initial=0) >= most
+    if far_q.any() or far_m.any():
+        out = [_wide(queries.ids, q, np.flatnonzero(far_q), ids, m, np.arange(m.shape[1]), k)] if far_q.any() else []
+        if far_m.any():
+            out.append(_wide(queries.ids, q, np.flatnonzero(~far_q), ids, m, np.flatnonzero(far_m), k))
+        near, rows = np.flatnonzero(~far_q), np.flatnonzero(~far_m)
+        part = best[near]
+        for qi, ri, score in search(_chosen(queries, near), ids[rows], m[:, rows], k, part):
+            out.append((near[qi], rows[ri], score))
+        best[near] = part
+        return out
     # the first block for all pairs, then pair lists
     total = q[:BLOCK_DIMS].T @ m[:BLOCK_DIMS]
     bound = total + (q_rest[1][:, None] * m_rest[1][None, :]) * (1 + 1e-12) + 1e-6
@@ -99,18 +113,25 @@ def _dots(q: np.ndarray, m: np.ndarray, qi: np.ndarray, ri: np.ndarray) -> np.nd
     return out
 
 
-def _wide(qids, q, ids, m, k):
+def _chosen(queries: Queries, which: np.ndarray) -> Queries:
+    out = Queries.__new__(Queries)
+    out.ids, out.values, out.rest = queries.ids[which], queries.values[:, which], queries.rest[:, which]
+    return out
+
+
+def _wide(qids: np.ndarray, q: np.ndarray, which: np.ndarray, ids: np.ndarray, m: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Components too large for exact doubles: whole numbers of any size, clamped to a long at the end."""
-    a, b = ([[int(x) for x in col] for col in v.T] for v in (q, m))
-    rows = []
-    for i, x in enumerate(a):
-        scored = sorted((-sum(s * t for s, t in zip(x, y, strict=True)), int(ids[j]), j) for j, y in enumerate(b) if ids[j] != qids[i])[:k]
-        rows += [(i, j, max(-_LONG - 1, min(_LONG, -s))) for s, _, j in scored]
-    cols = list(zip(*rows, strict=True)) or [(), (), ()]
+    b = [[int(x) for x in m[:, j]] for j in rows.tolist()]
+    found = []
+    for i in which.tolist():
+        x = [int(v) for v in q[:, i]]
+        scored = sorted((-sum(s * t for s, t in zip(x, y, strict=True)), int(ids[j]), j) for j, y in zip(rows.tolist(), b, strict=True) if ids[j] != qids[i])[:k]
+        found += [(i, j, max(-_LONG - 1, min(_LONG, -s))) for s, _, j in scored]
+    cols = list(zip(*found, strict=True)) or [(), (), ()]
     return np.array(cols[0], np.int64), np.array(cols[1], np.int64), np.array(cols[2], object)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = SCALE) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = SCALE, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """Each query's k best rows by inner product: query_id, rank (from 1), vec_id, score; ties to the smaller vec_id.
 
     A row with the query's own id is no candidate. Null vectors, and those with
@@ -121,19 +142,31 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = SCALE
     give no rows.
     """
     spark = vectors.sparkSession
-    X.small_batches(spark, ROWS)
+    X.small_batches(spark)
     candidates = quantised(vectors.select("vec_id", "embedding"), scale)
     asked = quantised(queries.select("vec_id", "embedding"), scale).groupBy("vec_id").agg(F.min("q").alias("q"))
-    n = max(1, -(-asked.count() // BLOCK_QUERIES))
-    found = []
-    for block in range(n):
-        part = asked if n == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == block)
-        rows = part.collect()
-        shared = spark.sparkContext.broadcast(Queries([r["vec_id"] for r in rows], [r["q"] for r in rows]))
-        found.append(candidates.mapInArrow(lambda it, shared=shared: _task(it, shared.value, k), "query_id long, vec_id long, score long"))
+    n = max(1, -(-asked.count() // block_queries))
+    if n == 1:
+        found = _against(candidates, asked, k)[0]
+    else:
+        scratch = X.Scratch(spark)
+        asked = scratch.saved(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n))), "block")
+        parts = []
+        for block in range(n):
+            part, shared = _against(candidates, asked.where(F.col("block") == block), k)
+            parts.append(scratch.saved(part))
+            shared.destroy()
+        scratch.done(last=n)
+        found = reduce(DataFrame.union, parts)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _against(candidates: DataFrame, asked: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
+    """(query_id, vec_id, score): each task's k best rows for each query of a block, which is broadcast."""
+    rows = asked.select("vec_id", "q").toArrow()
+    shared = candidates.sparkSession.sparkContext.broadcast(Queries(rows["vec_id"].to_pylist(), rows["q"].to_pylist()))
+    return candidates.mapInArrow(X.lean(lambda it: _task(it, shared.value, k)), "query_id long, vec_id long, score long"), shared
 
 
 def _task(batches, queries: Queries, k: int):
@@ -151,9 +184,9 @@ def _task(batches, queries: Queries, k: int):
             m = values[off[0] : off[-1]].reshape(len(size), size[0]).T
         else:
             m = _matrix([values[s:e] for s, e in zip(off[:-1], off[1:], strict=True)])
-        for s in range(0, m.shape[1], 2048):
-            for qi, ri, score in search(queries, ids[s : s + 2048], m[:, s : s + 2048], k, best):
-                held.append((qi, ids[s : s + 2048][ri], score))
+        for s in range(0, m.shape[1], ROWS):
+            for qi, ri, score in search(queries, ids[s : s + ROWS], m[:, s : s + ROWS], k, best):
+                held.append((qi, ids[s : s + ROWS][ri], score))
         held = [_best(held, k)]
     if held:
         qi, vec, score = held[0]
