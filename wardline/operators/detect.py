@@ -1,71 +1,185 @@
-"""Detectors over texts: personal data by pattern, unrecognised high-entropy tokens, rules with noisy-or scores."""
+"""Detectors over texts: personal data and secrets by pattern, unexplained high-entropy tokens, rules with noisy-or scores.
+
+All rules are tried in one pass over the texts: each gives an array of matches,
+and the arrays of a row are joined and exploded once.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import checksums as C
+from wardline.functions import fixed as X
 from wardline.operators import spans as S
 
-#: fixed values: type, pattern, confidence, a cheap test that must hold first
+
+@dataclass(frozen=True)
+class Rule:
+    """What to look for: matches of the pattern that ``accept`` passes, in texts that hold the sign."""
+
+    name: str
+    type: str
+    category: str
+    pattern: str
+    confidence: float
+    sign: str = ""
+    #: accept(text, match) of a match's start, end and value
+    accept: Callable[[Column, Column], Column] | None = None
+    #: matches inside these are left out
+    outside: str | None = None
+    #: another confidence by the value, or null for the rule's own
+    sure: Callable[[Column], Column] | None = None
+    #: whether the value's entropy moves the confidence, by at most a tenth
+    nudged: bool = False
+
+
+def matches(text: Column, rules: tuple[Rule, ...] | list[Rule]) -> Column:
+    """array<struct<start, end, value, type, category, recognizer, confidence>> of all rules.
+
+    Each rule adds its matches with the gaps before them to one array; places,
+    checks and confidences are then worked out for the array as a whole, so the
+    expression stays small however many rules there are.
+    """
+    none = F.array().cast("array<struct<i:int,gap:int,v:string>>")
+
+    def pairs(i: int, r: Rule) -> Column:
+        found = F.zip_with(F.split(text, r.pattern, -1), F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0)), lambda g, v: F.struct(F.lit(i).alias("i"), F.length(g).alias("gap"), v.alias("v")))
+        there = text.rlike(r.pattern)
+        return F.when(F.contains(text, F.lit(r.sign)) & there if r.sign else there, F.filter(found, lambda x: x["v"].isNotNull())).otherwise(none)
+
+    def by_rule(m: Column, of: Callable[[Rule], Column | None], default: Column) -> Column:
+        own = [(i, of(r)) for i, r in enumerate(rules)]
+        out = None
+        for i, c in own:
+            if c is not None:
+                out = F.when(m["i"] == i, c) if out is None else out.when(m["i"] == i, c)
+        return default if out is None else out.otherwise(default)
+
+    def passes(m: Column) -> Column:
+        def own(r: Rule) -> Column | None:
+            ok = r.accept(text, m) if r.accept else None
+            if r.outside:
+                free = ~F.exists(S.find_all(text, r.outside), lambda u: (u["start"] <= m["start"]) & (m["end"] <= u["end"]))
+                ok = free if ok is None else F.when(ok, free).otherwise(False)
+            return ok
+
+        return by_rule(m, own, F.lit(True))
+
+    def told(m: Column) -> Column:
+        of = lambda values: F.get(F.array(*map(F.lit, values)), m["i"])
+        base = of([float(r.confidence) for r in rules])
+        sure = F.coalesce(by_rule(m, lambda r: r.sure(m["value"]).cast("double") if r.sure else None, F.lit(None).cast("double")), base)
+        if any(r.nudged for r in rules):
+            moved = S.let(C.entropy(F.left(m["value"], F.lit(200))), C.confidence_modifier)
+            sure = F.when(of([r.nudged for r in rules]), F.round(F.least(F.lit(0.99), base + moved), 3)).otherwise(sure)
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), of([r.type for r in rules]).alias("type"), of([r.category for r in rules]).alias("category"), of([r.name for r in rules]).alias("recognizer"), sure.alias("confidence"))
+
+    at = lambda s, x: F.when(s["i"] == x["i"], s["at"]).otherwise(0) + x["gap"]
+    start = F.struct(F.lit(-1).alias("i"), F.lit(0).alias("at"))
+    step = lambda s, x: F.struct(x["i"].alias("i"), (at(s, x) + F.length(x["v"])).alias("at"))
+    emit = lambda s, x: F.struct(x["i"].alias("i"), at(s, x).alias("start"), (at(s, x) + F.length(x["v"])).alias("end"), x["v"].alias("value"))
+    placed = S.running(F.concat(*[pairs(i, r) for i, r in enumerate(rules)]), start, step, emit, "struct<i:int,start:int,end:int,value:string>")
+    return F.transform(F.filter(placed, passes), told)
+
+
+def digits(value: Column) -> Column:
+    return F.regexp_replace(value, "[^0-9]", "")
+
+
+def digits_around(text: Column, m: Column) -> Column:
+    """How many digits stand in the whole run of digits, blanks, points, dashes, brackets and plus signs that holds a match."""
+    signs = F.lit("0123456789 .-()+")
+    before, after = F.substr(text, F.lit(1), m["start"]), F.substr(text, m["end"] + 1)
+    left = F.substr(before, F.length(F.rtrim(before, signs)) + 1)
+    right = F.left(after, F.length(after) - F.length(F.ltrim(after, signs)))
+    return F.length(digits(left)) + F.length(digits(m["value"])) + F.length(digits(right))
+
+
+def _card(_: Column, m: Column) -> Column:
+    return F.length(digits(m["value"])).between(13, 19) & C.luhn(digits(m["value"]))
+
+
+def _phone(text: Column, m: Column) -> Column:
+    v = m["value"]
+    return F.length(digits(v)).between(8, 15) & ~v.rlike(X.DATE) & ~v.rlike(X.THREE_FOURS) & (digits_around(text, m) <= 15)
+
+
+def _mobile(text: Column, m: Column) -> Column:
+    run = digits_around(text, m)
+    return F.when(F.length(digits(m["value"])) > 10, run <= 12).otherwise(run == 10)
+
+
 PERSONAL = (
-    ("EMAIL", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}", 0.95, "@"),
-    ("SSN", r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])", 0.85, "-"),
-    ("IPV4", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9.])", 0.90, "."),
-    ("CARD", r"(?<![0-9\-])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9\-])", 0.92, ""),
-    ("PHONE", r"(?<![0-9\w])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .\-][0-9]{3,4}[ .\-][0-9]{3,4}(?![0-9\-])", 0.85, ""),
-    ("AADHAAR", r"(?<![0-9])[2-9][0-9]{3} ?[0-9]{4} ?[0-9]{4}(?![0-9])", 0.95, ""),
-    ("PAN", r"(?<![A-Z0-9])[A-Z]{5}[0-9]{4}[A-Z](?![A-Z0-9])", 0.90, ""),
-    ("IFSC", r"(?<![A-Z0-9])[A-Z]{4}0[A-Z0-9]{6}(?![A-Z0-9])", 0.92, ""),
-)
-SECRETS = (
-    ("AWS_ACCESS_KEY", r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])", 0.95, "IA"),
-    ("SLACK_TOKEN", r"xox[abprs]-[A-Za-z0-9\-]{10,}", 0.95, "xox"),
-    ("JWT", r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}", 0.90, "eyJ"),
-    ("PRIVATE_KEY", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0.99, "-----BEGIN"),
-    ("URI_CREDENTIAL", r"[a-z][a-z0-9+]{1,15}://[^\s:/@]{1,64}:[^\s:/@]{1,64}@", 0.90, "://"),
-    ("GENERIC_SECRET", r"""(?i)(?:api_?key|secret|token|password)["']?\s{0,3}[:=]\s{0,3}["']?[A-Za-z0-9_\-]{16,}""", 0.75, ""),
+    Rule("regex.email", "EMAIL_ADDRESS", "PII", X.EMAIL, 0.95, "@"),
+    Rule("regex.ipv4", "IP_ADDRESS", "PII", X.IPV4, 0.90, "."),
+    Rule("regex.ipv6", "IP_ADDRESS", "PII", X.IPV6, 0.80, ":", accept=lambda _, m: F.length(m["value"]) >= 8),
+    Rule("regex.ssn", "US_SSN", "PII", X.SSN, 0.85, "-"),
+    Rule("regex.card_luhn", "CREDIT_CARD", "PII", X.DIGIT_RUN, 0.92, accept=_card, outside=X.UUID),
+    Rule("regex.phone", "PHONE_NUMBER", "PII", X.PHONE, 0.70, accept=_phone, outside=X.UUID, sure=lambda v: F.when(v.rlike("[+(]"), 0.85)),
+    Rule("regex.honorific_name", "PERSON", "PII", X.HONORIFIC_NAME, 0.60),
+    Rule("india.aadhaar_verhoeff", "IN_AADHAAR", "PII", X.AADHAAR, 0.95, accept=lambda _, m: C.verhoeff(digits(m["value"]))),
+    Rule("india.pan", "IN_PAN", "PII", X.PAN, 0.55, sure=lambda v: F.when(F.contains(F.lit(X.PAN_HOLDERS), F.substr(v, F.lit(4), F.lit(1))), 0.90)),
+    Rule("india.ifsc", "IN_IFSC", "PII", X.IFSC, 0.60, sure=lambda v: F.when(F.left(v, F.lit(4)).isin(X.BANKS), 0.92)),
+    Rule("india.upi_vpa", "IN_UPI_ID", "PII", X.PAYMENT_ADDRESS, 0.88, "@"),
+    Rule("india.mobile", "PHONE_NUMBER", "PII", X.MOBILE, 0.65, accept=_mobile, sure=lambda v: F.when(F.length(digits(v)) > 10, 0.90)),
 )
 
 
+def _jwt(_: Column, m: Column) -> Column:
+    """A token's header must decode to JSON that names an algorithm."""
+    head = F.translate(F.substring_index(m["value"], ".", 1), "-_", "+/")
+    padded = F.rpad(head, (F.ceil(F.length(head) / 4) * 4).cast("int"), F.lit("="))
+    return F.get_json_object(F.try_to_binary(padded, F.lit("base64")).cast("string"), "$.alg").isNotNull()
+
+
+def _no_stand_in(_: Column, m: Column) -> Column:
+    return ~m["value"].rlike(X.STAND_INS)
+
+
+_ACCEPT = {"jwt": _jwt, "generic_secret_assignment": _no_stand_in, "bearer_token": _no_stand_in, "provider_api_key": _no_stand_in, "uri_credential": _no_stand_in, "database_uri": _no_stand_in}
+SECRETS = tuple(Rule(name, kind, "SECRET", pattern, base, sign, _ACCEPT.get(name), nudged=True) for name, kind, _, pattern, base, sign in X.SECRETS)
+
+
 def findings(texts: DataFrame, text: str, key: list[str], rules=PERSONAL) -> DataFrame:
-    """One row per match of any rule: the key, start, end, value, type, confidence; rows without a rule's cheap sign skip its pattern."""
-    found = []
-    for kind, pattern, confidence, sign in rules:
-        rows = texts.where(F.contains(text, F.lit(sign))) if sign else texts
-        each = rows.select(*key, F.explode(S.find_all(F.col(text), pattern)).alias("m"))
-        each = each.select(*key, "m.start", "m.end", "m.value", F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"))
-        if kind == "CARD":
-            each = each.where(C.luhn(F.col("value")))
-        if kind == "AADHAAR":
-            each = each.where(C.verhoeff(F.replace("value", F.lit(" "))))
-        found.append(each)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    """One row per match of any rule: the key, start, end, value, type, category, recognizer, confidence."""
+    return texts.select(*key, S.held(matches(F.col(text), rules)).alias("m")).select(*key, F.explode("m").alias("m")).select(*key, "m.*")
+
+
+def reported(found: DataFrame, entities: dict[str, tuple[str, float, bool, str]] = X.ENTITIES, fallback: bool = True) -> DataFrame:
+    """The findings of types that are on, at least as sure as their type asks; honorific names only as a fallback where no model runs."""
+    on = F.lit(False)
+    for kind, (_, least, enabled, _) in entities.items():
+        if enabled:
+            on = on | ((F.col("type") == kind) & (F.col("confidence") >= least))
+    out = found.where(on)
+    return out if fallback else out.where("recognizer <> 'regex.honorific_name'")
 
 
 TOKEN = r"[^\s\"'`=,;:()\[\]{}<>|]{20,}"
 
+#: fixed values: why a token is of no interest, the first that holds
+BENIGN = (
+    ("uuid", f"^{X.UUID}$"),
+    ("git_sha", "^[0-9a-f]{40}$"),
+    ("short_hash", "^[0-9a-f]{7,12}$"),
+    ("hex_color", "^#[0-9a-fA-F]{3,8}$"),
+    ("timestamp", "^[0-9]{4}-[0-9]{2}-[0-9]{2}"),
+    ("numeric", "^[0-9.,+\\-]+$"),
+    ("path", r"[/\\][^/\\]+[/\\]"),
+    ("data_uri", "^data:"),
+)
+
 
 def benign(token: Column) -> Column:
-    """The first reason why a token is of no interest, else null."""
+    """The first reason why a token is of no interest, else null; words without digits, a quarter to three fifths vowels, are language."""
     letters = F.regexp_replace(token, "[^A-Za-z]", "")
-    vowels = F.coalesce(F.try_divide(F.length(F.regexp_replace(letters, "[^AEIOUaeiou]", "")), F.length(letters)), F.lit(0.0))
-    plain = (F.length(letters) >= 6) & ~token.rlike("[0-9]") & vowels.between(0.25, 0.60)
-    return (
-        F.when(token.rlike("^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"), "uuid")
-        .when(token.rlike("^[0-9a-f]{40}$"), "git_sha")
-        .when(token.rlike("^[0-9a-f]{7,12}$"), "short_hash")
-        .when(token.rlike("^#[0-9a-fA-F]{3,8}$"), "hex_color")
-        .when(token.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), "timestamp")
-        .when(token.rlike("^[0-9.,+\\-]+$"), "numeric")
-        .when(token.rlike("[/\\\\][^/\\\\]+[/\\\\]"), "path")
-        .when(token.rlike("^data:"), "data_uri")
-        .when(plain, "natural_language")
-    )
+    vowels = F.try_divide(F.length(F.regexp_replace(letters, "[^AEIOUaeiou]", "")), F.length(letters))
+    language = (F.length(letters) >= 6) & ~token.rlike("[0-9]") & F.coalesce(vowels.between(0.25, 0.60), F.lit(False))
+    return F.coalesce(*[F.when(token.rlike(p), F.lit(reason)) for reason, p in BENIGN], F.when(language, "natural_language"))
 
 
 def entropy_findings(texts: DataFrame, text: str, key: list[str], threshold: float = 4.0) -> DataFrame:
@@ -78,11 +192,30 @@ def entropy_findings(texts: DataFrame, text: str, key: list[str], threshold: flo
     return rows.select(*key, "m.start", "m.end", F.col("m.value").alias("value"), F.round("h", 6).alias("entropy"), F.round(F.least(score, F.lit(0.75)), 3).alias("confidence"))
 
 
-def rule_hits(texts: DataFrame, text: str, key: list[str], rules: list[tuple[str, str, str, float]]) -> DataFrame:
-    """(key, rule_id, category, weight) of the rules whose pattern a text matches, in one pass over the texts."""
-    low = F.lower(F.regexp_replace(F.col(text), r"\s+", " "))
-    hit = [F.when(low.rlike(p), F.struct(F.lit(i).alias("rule_id"), F.lit(c).alias("category"), F.lit(w).alias("weight"))) for i, c, p, w in rules]
-    return texts.select(*key, F.explode(F.array_compact(F.array(*hit))).alias("r")).select(*key, "r.*")
+def noisy_or_of(categories: Column) -> Column:
+    """1 - the product of (1 - weight) over an array of (category, weight), one for each category, three decimals."""
+    return F.round(1 - F.aggregate(categories, F.lit(1.0), lambda acc, x: acc * (F.lit(1.0) - x["weight"])), 3)
+
+
+def screen(texts: DataFrame, text: str, key: list[str], categories: tuple, groups: str | None = None) -> DataFrame:
+    """(key, score, categories by weight) of the texts in which a category's pattern occurs: no shuffle, one pass.
+
+    A category counts once, whichever of its patterns is found. GROUP in a
+    pattern stands for the group words.
+    """
+    low = F.lower(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")))
+    by_weight = sorted(categories, key=lambda c: -c[1])
+
+    def any_of(t: Column, patterns: tuple[str, ...]) -> Column:
+        out = F.lit(False)
+        for p in patterns:
+            out = out | t.rlike(p.replace("GROUP", groups or "GROUP"))
+        return out
+
+    rows = texts.select(*key, low.alias("__t"))
+    hit = F.array_compact(F.array(*[F.when(any_of(F.col("__t"), patterns), F.struct(F.lit(name).alias("category"), F.lit(float(weight)).alias("weight"))) for name, weight, patterns in by_weight]))
+    rows = rows.select(*key, S.held(hit).alias("hits")).where(F.size("hits") > 0)
+    return rows.select(*key, noisy_or_of(F.col("hits")).alias("score"), F.transform("hits", lambda x: x["category"]).alias("categories"))
 
 
 def noisy_or(hits: DataFrame, *key: str) -> DataFrame:

@@ -6,25 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-REASONING = ("why", "explain", "compare", "analyse", "analyze", "prove", "derive", "trade-off", "step by step")
-STEPS = ("first", "then", "next", "finally", "after that", "step")
-
+from wardline.functions import fixed as X
 
 def any_of(text: Column, markers: tuple[str, ...]) -> Column:
     return F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(text, m))
 
 
-def complexity_by_words(text: Column, low: int = 20, high: int = 120) -> Column:
-    """simple, moderate or complex by word bands and markers."""
+def complexity(text: Column) -> Column:
+    """struct<level, reasons>: LOW, MEDIUM or HIGH by word bands, lifted by reasoning markers, code and many questions."""
     n = F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != ""))
-    return F.when((n > high) | any_of(F.lower(text), REASONING), "complex").when(n > low, "moderate").otherwise("simple")
-
-
-def complexity_by_tokens(text: Column, low: int = 250, high: int = 1000) -> Column:
-    """simple, moderate or complex by estimated tokens, code fences and step words."""
-    steps = F.size(F.filter(F.array(*map(F.lit, STEPS)), lambda m: F.contains(F.lower(text), m)))
-    n = F.ceil(F.length(text) / 4)
-    return F.when((n > high) | F.contains(text, F.lit("```")) | (steps >= 2), "complex").when(n > low, "moderate").otherwise("simple")
+    lines = F.size(F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != ""))
+    band = F.when(n < X.LOW_WORDS, 0).when(n < X.MEDIUM_WORDS, 1).otherwise(2)
+    reasoning, code = any_of(F.lower(text), X.REASONING), any_of(text, X.CODE)
+    long_code = code & (lines > X.CODE_LINES)
+    lifted = F.when(reasoning | long_code, 2).when(code, F.greatest(band, F.lit(1))).otherwise(band)
+    many = (F.length(text) - F.length(F.replace(text, F.lit("?"))) >= X.QUESTIONS) & (lifted < 2)
+    level = F.when(many, F.greatest(lifted, F.lit(1))).otherwise(lifted)
+    names = lambda *v: F.array(*map(F.lit, v))
+    reasons = F.array(F.get(names("short_prompt", "moderate_length", "long_prompt"), band), F.when(reasoning, "reasoning_markers"), F.when(long_code, "large_code_block").when(code, "code_present"), F.when(many, "multi_part_question"))
+    return F.struct(F.get(names("LOW", "MEDIUM", "HIGH"), level).alias("level"), F.array_compact(reasons).alias("reasons"))
+
+
+def complexity_by_tokens(texts: Column) -> Column:
+    """low, medium or high of a request's user messages (an array): characters over four, code fences, reasoning and step words."""
+    total = F.aggregate(texts, F.lit(0), lambda s, t: s + F.length(t)) / 4
+    code = F.exists(texts, lambda t: F.contains(t, F.lit("```")))
+    reasoning = F.exists(texts, lambda t: any_of(F.lower(t), X.GATEWAY_REASONING))
+    steps = F.exists(texts, lambda t: F.size(F.filter(F.array(*map(F.lit, X.GATEWAY_STEPS)), lambda m: F.contains(F.lower(t), m))) >= 2)
+    return F.when((total > 1000) | code | (reasoning & steps), "high").when((total > 250) | reasoning | steps, "medium").otherwise("low")
 
 
 def tokens(text: Column) -> Column:
@@ -47,21 +56,39 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(probes: DataFrame, entries: DataFrame, threshold: float, k: int = 1) -> DataFrame:
-    """Each probe's k best entries of its own tenant at or over the threshold; the join is on the tenant.
+def nearest(probes: DataFrame, entries: DataFrame, threshold: float, k: int = 1, salts: int = 8) -> DataFrame:
+    """Each probe's k best entries of its own tenant at or over the threshold.
 
-    probes: probe_id, tenant, embedding; entries: entry_id, tenant, embedding.
+    probes: probe_id, tenant, embedding and, if the entries have them too,
+    guards, which must then be equal; entries: entry_id, tenant, embedding.
+    Vectors get unit length once, so a pair costs one product. A tenant's
+    entries are dealt to ``salts`` parts, each of which keeps k for a probe, so
+    a large tenant is no single task's; probes are copied, entries are not.
     """
-    e = entries.select("tenant", "entry_id", F.col("embedding").alias("__e"))
-    scored = probes.join(e, "tenant").select("probe_id", "entry_id", F.round(cosine(F.col("embedding"), F.col("__e")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
-    order = Window.partitionBy("probe_id").orderBy(F.desc("similarity"), "entry_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    unit = lambda c: F.transform(c, lambda x: F.try_divide(x.cast("double"), F.sqrt(dot(F.col("embedding"), F.col("embedding")))))
+    guarded = "guards" in probes.columns and "guards" in entries.columns
+    also = ["guards"] if guarded else []
+    p = probes.select("tenant", "probe_id", *also, unit(F.col("embedding")).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    e = entries.select("tenant", "entry_id", *also, unit(F.col("embedding")).alias("e"), F.pmod(F.xxhash64("entry_id"), F.lit(salts)).cast("int").alias("salt"))
+    scored = p.join(e, ["tenant", "salt", *also]).select("probe_id", "salt", "entry_id", F.round(dot(F.col("p"), F.col("e")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    for part in (["probe_id", "salt"], ["probe_id"]):
+        order = Window.partitionBy(*part).orderBy(F.desc("similarity"), "entry_id")
+        scored = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored.select("probe_id", "entry_id", "similarity", "rank")
+
+
+#: fixed value: a sentence ends where white space follows a stop and a capital, digit, quote or bracket comes next
+SENTENCE = r"(?<=[.!?])\s+(?=[A-Z0-9\"'(\[])"
+
+
+def sentences(text: Column) -> Column:
+    """All sentences of a reference, none of them empty."""
+    return F.filter(F.transform(F.split(F.trim(text), SENTENCE), F.trim), lambda p: p != "")
 
 
 def claims(text: Column, least: int = 4, most: int = 40) -> Column:
     """Sentences that can be checked: no questions, at least four words, at most forty of them."""
-    parts = F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim)
-    fit = F.filter(parts, lambda p: ~F.endswith(p, F.lit("?")) & (F.size(F.split(p, r"\s+")) >= least))
+    fit = F.filter(sentences(text), lambda p: ~F.endswith(p, F.lit("?")) & (F.size(F.split(p, r"\s+")) >= least))
     return F.slice(fit, 1, most)
 
 

@@ -1,4 +1,9 @@
-"""Prompt-injection findings: texts normalised into variants, rules by category, noisy-or score."""
+"""Prompt-injection findings: texts normalised into variants, rules by category, noisy-or score.
+
+Compatibility forms and base64 have no built-in functions, so a batch of texts
+goes to Python once, as Arrow, and comes back with its hits; everything after
+that is built in. Nothing is shuffled.
+"""
 
 from __future__ import annotations
 
@@ -6,93 +11,127 @@ import base64
 import binascii
 import re
 import unicodedata
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from wardline.operators import detect as D
+from wardline.functions import fixed as X
 
-ZERO_WIDTH = "[​‌‍⁠﻿­]"
-#: fixed values: look-alikes of Latin letters, and digits and signs read as letters
-LOOKALIKES = ("абсеорхуіјԁһкӏмтвѕɡ", "abceopxyijdhklmtbsg")
-LEET = ("013457@$!", "oieastasi")
-_BLOB = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")
+_BLOB = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9+/=])")
 MOST_BLOBS, MOST_BLOB_CHARS = 5, 4096
 AT = 0.5
-
-#: id, category, pattern over lower-case text, weight
-RULES = [
-    ("ov-ignore", "override", r"\b(?:ignore|disregard|forget|skip)\b.{0,40}\b(?:previous|prior|above|earlier|all)\b.{0,40}\b(?:instructions?|rules?|prompts?|directions?)\b", 0.9),
-    ("ov-new", "override", r"\b(?:new|updated|real) (?:instructions?|rules?) (?:are|follow|:)", 0.6),
-    ("ov-nofollow", "override", r"\bdo not (?:follow|obey) (?:the|your|any) (?:system|previous|original)\b", 0.8),
-    ("ov-instead", "override", r"\binstead of (?:following|obeying) (?:your|the) (?:rules|instructions)\b", 0.7),
-    ("ex-reveal", "extraction", r"\b(?:reveal|show|print|repeat|output|leak)\b.{0,30}\b(?:system prompt|hidden prompt|initial instructions|your instructions)\b", 0.9),
-    ("ex-verbatim", "extraction", r"\b(?:verbatim|word for word)\b.{0,40}\b(?:above|prompt|instructions)\b", 0.7),
-    ("ex-what", "extraction", r"\bwhat (?:is|are|were) your (?:system prompt|instructions|initial prompt)\b", 0.7),
-    ("ro-pretend", "role", r"\b(?:pretend|act|behave|roleplay) (?:to be|as|like)\b.{0,30}\b(?:unrestricted|unfiltered|evil|another ai|no rules)\b", 0.8),
-    ("ro-now", "role", r"\byou are now (?:a|an|the)? ?(?:dan|unrestricted|developer|root|admin)\b", 0.8),
-    ("ro-mode", "role", r"\b(?:developer|debug|god|admin) mode\b", 0.6),
-    ("ro-norules", "role", r"\b(?:without|no|ignore) (?:any )?(?:restrictions|filters|guidelines|ethics)\b", 0.6),
-    ("de-tags", "delimiter", r"<\|?(?:system|im_start|im_end|endoftext)\|?>", 0.8),
-    ("de-header", "delimiter", r"(?:^|\n)\s{0,4}#{1,4} ?(?:system|instruction)s?\b", 0.6),
-    ("de-inst", "delimiter", r"\[/?inst\]|<</?sys>>", 0.7),
-    ("ja-dan", "jailbreak", r"\b(?:do anything now|jailbreak|jail break)\b", 0.9),
-    ("ja-hypo", "jailbreak", r"\bhypothetically\b.{0,40}\b(?:no rules|no limits|illegal)\b", 0.6),
-    ("ja-grandma", "jailbreak", r"\bmy (?:late )?grandm(?:a|other) used to\b", 0.5),
-    ("en-decode", "encoding", r"\b(?:decode|decrypt|base64|rot13)\b.{0,40}\b(?:and|then) (?:follow|run|execute|do)\b", 0.7),
-    ("en-exec", "encoding", r"\bexecute the (?:decoded|following) (?:text|message|payload)\b", 0.6),
-]
-
-
-@F.pandas_udf(T.StructType([T.StructField("base", T.StringType()), T.StructField("payload", T.StringType())]))
-def _unicode(texts: pd.Series) -> pd.DataFrame:
-    """Compatibility form, and what base64 blobs say in plain letters: neither exists as a built-in function."""
-
-    def payload(text: str) -> str:
-        out = []
-        for m in list(_BLOB.finditer(text))[:MOST_BLOBS]:
-            if len(m[0]) > MOST_BLOB_CHARS:
-                continue
-            try:
-                said = base64.b64decode(m[0] + "=" * (-len(m[0]) % 4)).decode()
-            except (binascii.Error, ValueError):
-                continue
-            if said and sum(c.isprintable() or c in "\n\t" for c in said) >= 0.9 * len(said) and any(map(str.isalpha, said)):
-                out.append(said.lower())
-        return "\n".join(out)
-
-    texts = texts.fillna("")
-    return pd.DataFrame({"base": [unicodedata.normalize("NFKC", t) for t in texts], "payload": [payload(t) for t in texts]})
-
-
-def variants(text: Column) -> Column:
-    """struct<base, leet, despaced, payload>: the readings of a text that rules are held against."""
-    u = _unicode(F.regexp_replace(text, ZERO_WIDTH, ""))
-    base = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.translate(F.lower(u["base"]), *LOOKALIKES)), r"[ \t]+", " "), r" ?\n+ ?", "\n"))
-    despaced = F.regexp_replace(base, r"(?<=\b\w) (?=\w\b)", "")
-    return F.struct(base.alias("base"), F.translate(base, *LEET).alias("leet"), despaced.alias("despaced"), u["payload"].alias("payload"))
+RULES = X.INJECTION_RULES
+HITS = "array<struct<rule_id:string,category:string,weight:double,via:string>>"
+
+_HIDDEN = re.compile(X.ZERO_WIDTH)
+_LOOKALIKES = str.maketrans(*X.LOOKALIKES)
+_LEET = str.maketrans(*X.LEET)
+_SPACED = re.compile(r"\b(?:[a-z] ){4,}[a-z]\b")
+_NO_SPACES = re.compile(r"\s+")
+
+
+def _tidy(text: str) -> str:
+    """Runs of blanks to one, runs of line ends to one, nothing at either end."""
+    lines = (" ".join(line.split()) for line in text.split("\n"))
+    return "\n".join(line for line in lines if line)
+
+
+@dataclass
+class Reading:
+    """What a text can be read as, and how it was written to be misread."""
+
+    base: str = ""
+    leet: str = ""
+    despaced: str | None = None
+    payloads: list[str] = field(default_factory=list)
+    hidden: bool = False
+    lookalikes: bool = False
+
+    @classmethod
+    def of(cls, text: str, payloads: bool = True) -> Reading:
+        shown = text if text.isascii() else unicodedata.normalize("NFKC", _HIDDEN.sub("", text))
+        latin = shown if shown.isascii() else shown.translate(_LOOKALIKES)
+        low = latin.lower()
+        joined, runs = _SPACED.subn(lambda m: m[0].replace(" ", ""), low)
+        out = cls(_tidy(low), "", _tidy(joined) if runs else None, [], bool(_HIDDEN.search(text)), latin != shown)
+        out.leet = out.base.translate(_LEET)
+        if payloads:
+            out.payloads = [cls.of(p, False).base for p in decoded(text)]
+        return out
+
+
+def decoded(text: str) -> list[str]:
+    """What the first base64 blobs say that hold printable text with a letter in it."""
+    out: list[str] = []
+    for m in _BLOB.finditer(text):
+        if len(out) == MOST_BLOBS:
+            break
+        if len(m[0]) > MOST_BLOB_CHARS:
+            continue
+        try:
+            plain = base64.b64decode(m[0] + "=" * (-len(m[0]) % 4)).decode()
+        except (binascii.Error, ValueError):
+            continue
+        if plain and sum(c.isprintable() or c in "\n\t" for c in plain) >= 0.9 * len(plain) and any(map(str.isalpha, plain)):
+            out.append(plain)
+    return out
+
+
+def hits_of(text: str, rules: list[tuple[str, str, float, re.Pattern[str]]]) -> list[tuple[str, str, float, str]]:
+    """(rule, category, weight, via): rules by the first reading they match, needles in run-together text where no rule of their category matched, and signs of evasion."""
+    r = Reading.of(text)
+    readings = [("base", r.base)]
+    if r.leet != r.base:
+        readings.append(("leet", r.leet))
+    if r.despaced is not None:
+        readings.append(("despaced", r.despaced))
+    readings += [("base64", p) for p in r.payloads]
+    found = []
+    for rule, category, weight, pattern in rules:
+        via = next((name for name, reading in readings if pattern.search(reading)), None)
+        if via:
+            found.append((rule, category, weight, via))
+    covered = {category for _, category, _, _ in found}
+    compact = _NO_SPACES.sub("", r.base)
+    for rule, category, weight, needle in X.COMPACT_NEEDLES:
+        if category not in covered and needle in compact:
+            found.append((rule, category, weight, "compact"))
+            covered.add(category)
+    if not found:
+        return []
+    ways = {via for *_, via in found}
+    signs = {"compact_match": "compact" in ways, "leetspeak": "leet" in ways, "spaced_letters": "despaced" in ways, "base64_payload": "base64" in ways, "homoglyph": r.lookalikes, "zero_width": r.hidden}
+    via_of = {"compact_match": "compact", "leetspeak": "leet", "spaced_letters": "despaced", "base64_payload": "base64"}
+    return found + [(f"evasion.{name}", "encoding_evasion", X.EVASION[name], via_of.get(name, "base")) for name, on in signs.items() if on]
+
+
+def with_hits(texts: DataFrame, text: str, key: list[str], rules=RULES) -> DataFrame:
+    """key and ``hits`` of every text; null counts as empty."""
+    plain = [tuple(r) for r in rules]
+
+    @F.pandas_udf(HITS)
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ready = [(rule, category, float(weight), re.compile(pattern)) for rule, category, weight, pattern in plain]
+        for batch in batches:
+            yield pd.Series([[dict(zip(("rule_id", "category", "weight", "via"), h, strict=True)) for h in hits_of(t or "", ready)] for t in batch])
+
+    # what is not deterministic is not copied into filters above, where it would run again
+    return texts.select(*key, search.asNondeterministic()(F.col(text)).alias("hits"))
 
 
 def hits(texts: DataFrame, text: str, key: list[str], rules=RULES) -> DataFrame:
-    """(key, rule_id, category, weight, via): the first variant that matches each rule, and signs of evasion."""
-    v = texts.select(*key, variants(F.col(text)).alias("v"), F.col(text).rlike(ZERO_WIDTH).alias("zero_width"))
-    found = []
-    for rule, category, pattern, weight in rules:
-        via = F.coalesce(*[F.when(F.col(f"v.{name}").rlike(pattern), F.lit(name)) for name in ("base", "leet", "despaced", "payload")])
-        found.append(F.when(via.isNotNull(), F.struct(F.lit(rule).alias("rule_id"), F.lit(category).alias("category"), F.lit(weight).alias("weight"), via.alias("via"))))
-    found.append(F.when(F.col("zero_width"), F.struct(F.lit("ev-zero-width").alias("rule_id"), F.lit("evasion").alias("category"), F.lit(0.3).alias("weight"), F.lit("base").alias("via"))))
-    return v.select(*key, F.explode(F.array_compact(F.array(*found))).alias("r")).select(*key, "r.*")
+    """(key, rule_id, category, weight, via), one row a hit."""
+    return with_hits(texts, text, key, rules).select(*key, F.explode("hits").alias("r")).select(*key, "r.*")
 
 
 def findings(texts: DataFrame, text: str, key: list[str], at: float = AT, rules=RULES) -> DataFrame:
-    """One row per text: detected, score, rules by weight then id, categories sorted."""
-    h = hits(texts, text, key, rules)
-    score = D.noisy_or(h, *key)
-    matched = F.transform(F.array_sort(F.collect_set(F.struct((-F.col("weight")).alias("o"), "rule_id"))), lambda x: x["rule_id"])
-    named = h.groupBy(*key).agg(matched.alias("matched_rules"))
-    out = texts.select(*key).join(score, key, "left").join(named, key, "left")
-    none = F.array().cast("array<string>")
-    s = F.coalesce("score", F.lit(0.0))
-    return out.select(*key, (s >= at).alias("detected"), s.alias("score"), F.coalesce("matched_rules", none).alias("matched_rules"), F.array_sort(F.coalesce("categories", none)).alias("categories"))
+    """One row per text: detected, score (noisy-or over categories, each at its greatest weight), rules by weight then id, categories sorted."""
+    h = with_hits(texts, text, key, rules)
+    categories = F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["category"])))
+    weight = lambda c: F.array_max(F.transform(F.filter("hits", lambda x: x["category"] == c), lambda x: x["weight"]))
+    score = F.round(1 - F.aggregate(categories, F.lit(1.0), lambda acc, c: acc * (F.lit(1.0) - weight(c))), 3)
+    named = F.transform(F.array_sort(F.transform("hits", lambda x: F.struct((-x["weight"]).alias("o"), x["rule_id"].alias("id")))), lambda x: x["id"])
+    return h.select(*key, (score >= at).alias("detected"), score.alias("score"), named.alias("matched_rules"), categories.alias("categories"))

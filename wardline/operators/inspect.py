@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from wardline.functions import fixed as X
 from wardline.operators import detect as D
 from wardline.operators import hints as H
 from wardline.operators import injection as I
@@ -15,74 +18,136 @@ from wardline.operators import policy as P
 from wardline.operators import spans as S
 
 KEY = ["request_id", "message_index"]
-NEGATIONS = ("not", "no", "never", "without", "cannot", "none", "neither")
-MOST_ENTITIES = 8
+ASKED = ("user", "tool")
 
-#: first names and surnames of the gazetteer; a caller's own lists are a parameter
-FIRST = frozenset("anna arun carlos elena fatima hans ivan julia kenji lakshmi maria omar priya rahul sofia wei".split())
-LAST = frozenset("garcia gupta hansen iyer kim kumar lopez mueller nguyen patel rao sharma silva singh tanaka weber".split())
+#: first names and surnames of the gazetteer; a caller's own lists, of any length, are a parameter
+FIRST = frozenset("Anna Arjun Arun Carlos Elena Fatima Hans Ivan Julia Kavita Kenji Lakshmi Maria Meera Omar Priya Rahul Rohan Sanjay Sofia Sunita Vikram Wei".split())
+LAST = frozenset("Garcia Gupta Hansen Iyer Kapoor Kim Kumar Lopez Mehta Mueller Nair Nguyen Patel Ramaswamy Rao Reddy Sharma Silva Singh Tanaka Weber".split())
 
 
-def resolved_findings(messages: DataFrame) -> DataFrame:
-    """Secrets before personal data: personal findings inside a secret go, the rest is made disjoint."""
-    secret = D.findings(messages, "content", KEY, D.SECRETS).withColumn("category", F.lit("SECRET"))
-    personal = D.findings(messages, "content", KEY).withColumn("category", F.lit("PII"))
-    left = S.without_covered(personal, secret, *KEY)
-    kinds = F.broadcast(messages.sparkSession.createDataFrame([(r[0], c) for c, rules in (("SECRET", D.SECRETS), ("PII", D.PERSONAL)) for r in rules], "type string, category string"))
-    return S.resolve(left.unionByName(secret), *KEY).join(kinds, "type")
+def resolved_findings(messages: DataFrame, first: frozenset[str] = FIRST, last: frozenset[str] = LAST) -> DataFrame:
+    """Secrets before personal data: each kind made disjoint, personal findings inside a secret gone, and the rest made disjoint again.
 
+    Personal findings are those of patterns and of the name lists whose type is on and that are sure enough.
+    """
+    secret = S.resolve(D.findings(messages, "content", KEY, D.SECRETS), *KEY)
+    named = names(messages, "content", KEY, first, last)
+    personal = S.resolve(D.reported(D.findings(messages, "content", KEY).unionByName(named)), *KEY)
+    return S.resolve(S.without_covered(personal, secret, *KEY).unionByName(secret), *KEY)
 
-def inspect(messages: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row per request: decision, counts, redacted texts, vault, injection score, complexity, cache hint."""
-    found = S.number_placeholders(resolved_findings(messages), "request_id", "message_index")
-    found = found.withColumn("rule_key", F.concat(F.when(F.col("category") == "SECRET", "secret.").otherwise("pii."), "type"))
-    asked = messages.where("role in ('user', 'tool')")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("message_index", "content"))), lambda m: m["content"]), "\n")
-    requests = messages.select("request_id").distinct().join(asked.groupBy("request_id").agg(text.alias("text")), "request_id", "left").na.fill("", ["text"])
-    injected = I.findings(requests, "text", ["request_id"])
 
-    keys = found.select("request_id", F.col("rule_key").alias("key"), F.struct("message_index", "start").alias("place"))
-    keys = keys.unionByName(injected.where("detected").select("request_id", F.lit("injection").alias("key"), F.lit(None).cast(keys.schema["place"].dataType).alias("place")))
-    ruled = keys.join(F.broadcast(P.resolve(keys.select("key").distinct(), rules)), "key")
-    from pyspark.sql.window import Window
+def actioned(found: DataFrame, rules: DataFrame) -> DataFrame:
+    """Findings with the rule, action, priority and appealability of their key (pii.TYPE or secret.TYPE); allowed where no rule speaks."""
+    keyed = found.withColumn("rule_key", F.concat(F.when(F.col("category") == "SECRET", "secret.").otherwise("pii."), "type"))
+    ruled = P.resolve(keyed.select(F.col("rule_key").alias("key")).distinct(), rules).withColumnRenamed("key", "rule_key")
+    return keyed.join(F.broadcast(ruled), "rule_key", "left").withColumn("action", F.coalesce("action", F.lit("allow")))
+
 
-    ordinal = F.row_number().over(Window.partitionBy("request_id").orderBy(F.col("place").asc_nulls_last(), "key"))
-    decided = P.decide(ruled.withColumn("ordinal", ordinal), "request_id")
+def redact(messages: DataFrame, found: DataFrame, extra: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(messages with what is to be sanitised replaced, findings with placeholders) by the findings' action.
 
-    spans = found.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("spans"))
-    redacted = messages.join(spans, KEY, "left").select(*KEY, S.splice(F.col("content"), F.col("spans")).alias("content"))
-    redacted = redacted.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("message_index", "content"))), lambda m: m["content"]).alias("redacted"))
-    counts = found.groupBy("request_id").agg(F.count(F.when(F.col("category") == "PII", 1)).alias("pii_count"), F.count(F.when(F.col("category") == "SECRET", 1)).alias("secret_count"), F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.col("category") == "PII", F.struct("placeholder", "value"))))).alias("vault"))
+    Findings that are sanitised or block are numbered, and belong in the vault;
+    only sanitised ones are replaced; the others keep their place and get no
+    placeholder. Findings whose span does not fit their message are left out.
+    """
+    sized = found.join(messages.select(*KEY, F.length("content").alias("__n")), KEY).where("start >= 0 and start < end and end <= __n").drop("__n")
+    label = F.when(F.col("category") == "SECRET", F.concat(F.lit("SECRET_"), "type"))
+    for kind, (name, *_) in X.ENTITIES.items():
+        label = label.when(F.col("type") == kind, name)
+    sized = sized.withColumn("label", F.coalesce(label, F.col("type")))
+    held = S.number_placeholders(sized.where("action in ('sanitize', 'block')"), "request_id", "message_index", "label")
+    marked = held.unionByName(sized.where("action not in ('sanitize', 'block')").withColumn("placeholder", F.lit(None).cast("string")))
+    spans = held.where("action = 'sanitize'").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("spans"))
+    clean = messages.join(spans, KEY, "left").withColumn("content", S.splice(F.col("content"), F.col("spans"))).withColumn("n_replaced", F.coalesce(F.size("spans"), F.lit(0))).drop("spans")
+    return clean, marked.drop("label")
 
-    out = requests.join(decided, "request_id", "left").join(counts, "request_id", "left").join(redacted, "request_id").join(injected.select("request_id", "score", "matched_rules"), "request_id")
+
+def inspect(messages: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row per request: decision, counts, redacted texts, vault, injection score, complexity, cache hint, stages.
+
+    messages: request_id, message_index, role, content. A blocked request's
+    texts come back as they were. The vault holds personal values only. The
+    findings have several readers; they are kept on the executors' disks, with
+    their lineage, until the caller clears the cache.
+    """
+    found = actioned(resolved_findings(messages), rules).persist(StorageLevel.DISK_ONLY)
+    clean, found = redact(messages, found)
+    asked = messages.where(F.col("role").isin(*ASKED))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("message_index", "content"))), lambda m: m["content"]), "\n")
+    requests = messages.select("request_id").distinct().join(asked.groupBy("request_id").agg(text.alias("text")), "request_id", "left").na.fill("", ["text"])
+    injected = I.findings(requests, "text", ["request_id"])
+    unexplained = S.without_touching(D.entropy_findings(messages, "content", KEY), found.where("category = 'SECRET'"), *KEY).groupBy("request_id").agg(F.count("*").alias("entropy_count"))
+
+    keys = found.where("rule is not null").select("request_id", "rule", "action", "priority", F.struct("message_index", "start").alias("place"))
+    suspect = injected.where("detected").select("request_id", F.lit("injection").alias("key"))
+    ruled = suspect.join(F.broadcast(P.resolve(suspect.select("key").distinct(), rules)), "key").where("rule is not null")
+    keys = keys.unionByName(ruled.select("request_id", "rule", "action", "priority", F.lit(None).cast(keys.schema["place"].dataType).alias("place")))
+    ordinal = F.row_number().over(Window.partitionBy("request_id").orderBy(F.col("place").asc_nulls_last(), "rule"))
+    decided = P.decide(keys.withColumn("ordinal", ordinal), "request_id")
+
+    texts = lambda df: df.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("message_index", "content"))), lambda m: m["content"]).alias("redacted"))
+    personal = F.col("category") == "PII"
+    vault = F.map_from_entries(F.array_distinct(F.collect_list(F.when(personal & F.col("placeholder").isNotNull(), F.struct("placeholder", "value")))))
+    counts = found.groupBy("request_id").agg(F.count(F.when(personal, 1)).alias("pii_count"), F.count(F.when(~personal, 1)).alias("secret_count"), vault.alias("vault"), F.array_sort(F.collect_set(F.when(~personal, F.col("type")))).alias("secret_types"))
+
+    out = requests.join(decided, "request_id", "left").join(counts, "request_id", "left").join(texts(clean).withColumnRenamed("redacted", "clean"), "request_id").join(texts(messages), "request_id")
+    out = out.join(injected.select("request_id", "detected", "score", "matched_rules"), "request_id").join(unexplained, "request_id", "left").join(guarded(messages, found), "request_id", "left")
     decision = F.coalesce("decision", F.lit("allow"))
-    pii, secrets = F.coalesce("pii_count", F.lit(0)), F.coalesce("secret_count", F.lit(0))
+    pii, secrets, odd = (F.coalesce(c, F.lit(0)) for c in ("pii_count", "secret_count", "entropy_count"))
     reason = F.when(decision == "block", "blocked").when(secrets > 0, "credential_present").when(pii > 0, "personal_data_present")
+    stage = lambda name, bad, status: F.struct(F.lit(name).alias("stage"), F.when(bad, F.lit(status)).otherwise("success").alias("status"))
+    stages = F.array(stage("secret_scanner", secrets > 0, "warning"), stage("entropy_scanner", odd > 0, "warning"), stage("pii_scanner", pii > 0, "warning"), stage("injection_detector", F.col("detected"), "warning"), stage("policy_engine", decision == "block", "blocked"), F.struct(F.lit("redactor").alias("stage"), F.when(decision == "block", "skipped").otherwise("success").alias("status")))
+    hint = H.complexity(F.col("text"))
     return out.select(
         "request_id",
         decision.alias("decision"),
         F.col("block_rule"),
+        "rules_fired",
         pii.alias("pii_count"),
         secrets.alias("secret_count"),
+        odd.alias("entropy_count"),
+        "secret_types",
         F.col("score").alias("injection_score"),
         "matched_rules",
-        "redacted",
+        F.when(decision == "block", F.col("redacted")).otherwise(F.col("clean")).alias("redacted"),
         "vault",
-        H.complexity_by_words(F.col("text")).alias("complexity"),
+        hint["level"].alias("complexity"),
+        hint["reasons"].alias("complexity_reasons"),
         reason.isNull().alias("cacheable"),
         reason.alias("not_cacheable_because"),
-        guards(F.col("text")).alias("guards"),
+        F.when(reason.isNull(), F.struct(negations(F.col("text")).alias("negations"), numbers(F.col("text")).alias("numbers"), F.coalesce("entities", F.array().cast("array<string>")).alias("entities"))).alias("guards"),
         explanation(decision, F.col("block_rule"), pii, secrets).alias("explanation"),
+        stages.alias("stages"),
     )
 
 
+def negations(text: Column) -> Column:
+    """The negating words that a text holds as whole words, in the order of the list."""
+    low = F.lower(text)
+    return F.array_compact(F.array(*[F.when(low.rlike(rf"\b{n}\b"), F.lit(n)) for n in X.NEGATIONS]))
+
+
+def numbers(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(X.NUMBER), F.lit(0))
+
+
 def guards(text: Column) -> Column:
     """What must agree before a cached answer may be used: negations, numbers, capitalised words (the first eight)."""
-    low = F.lower(text)
-    negations = F.filter(F.array(*map(F.lit, NEGATIONS)), lambda n: F.array_contains(F.split(low, "[^a-z']+"), n))
-    numbers = F.regexp_extract_all(text, F.lit(r"\d+(?:[.,]\d+)*"), F.lit(0))
-    names = F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z])[A-Z][a-z]{2,}"), F.lit(0))), 1, MOST_ENTITIES)
-    return F.struct(negations.alias("negations"), numbers.alias("numbers"), names.alias("entities"))
+    capital = F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(CAPITAL), F.lit(0))), 1, X.MOST_ENTITIES)
+    return F.struct(negations(text).alias("negations"), numbers(text).alias("numbers"), capital.alias("entities"))
+
+
+CAPITAL = r"(?<![A-Za-z])[A-Z][a-z]{2,}"
+
+
+def guarded(messages: DataFrame, found: DataFrame) -> DataFrame:
+    """(request_id, entities): the first capitalised words of what was asked that lie in no finding."""
+    spans = found.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("covered"))
+    asked = messages.where(F.col("role").isin(*ASKED)).join(spans, KEY, "left")
+    free = F.filter(S.find_all(F.col("content"), CAPITAL), lambda m: ~F.coalesce(F.exists("covered", lambda c: (c["start"] <= m["start"]) & (m["start"] < c["end"])), F.lit(False)))
+    asked = asked.select("request_id", "message_index", F.slice(F.array_distinct(F.transform(free, lambda m: m["value"])), 1, X.MOST_ENTITIES).alias("words"))
+    ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("message_index", "words"))), lambda x: x["words"]))
+    return asked.groupBy("request_id").agg(F.slice(F.array_distinct(ordered), 1, X.MOST_ENTITIES).alias("entities"))
 
 
 def explanation(decision: Column, rule: Column, pii: Column, secrets: Column) -> Column:
@@ -92,17 +157,33 @@ def explanation(decision: Column, rule: Column, pii: Column, secrets: Column) ->
 
 
 def names(texts: DataFrame, text: str, key: list[str], first: frozenset[str] = FIRST, last: frozenset[str] = LAST) -> DataFrame:
-    """Runs of one to four capitalised words that the name lists know, with a confidence by how many they know."""
-    run = r"(?<![\p{L}])\p{Lu}\p{Ll}{2,}(?: \p{Lu}\p{Ll}{2,}){0,3}(?![\p{L}])"
-    any_name = "(?i)(?<![a-z])(?:" + "|".join(sorted(first | last)) + ")(?![a-z])"
+    """Runs of one to four capitalised words that the name lists know, without leading words that are no part of a name.
+
+    Two known words make 0.88; one that opens the run as a first name or ends it
+    as a surname 0.74; one elsewhere 0.60. A single word counts only as a first
+    name after a cue, 0.66.
+    """
+    known = F.array(*[F.lit(n) for n in sorted(first | last)])
+    firsts, lasts = (F.array(*[F.lit(n) for n in sorted(x)]) for x in (first, last))
+    cues, stops = F.array(*map(F.lit, X.CONTACT_CUES)), F.array(*map(F.lit, [*X.LEADING_STOP, *X.CONTACT_CUES]))
+    any_name = r"\b(?:" + "|".join(sorted(first | last)) + r")\b"
+    runs = S.find_all(F.col(text), r"\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,}){0,3}\b")
     rows = texts.where(F.col(text).rlike(any_name))  # most texts hold no known name and need no search for runs
-    rows = rows.select(*key, F.explode(S.find_all(F.col(text), run)).alias("m")).select(*key, "m.*")
-    known_first, known_last = (F.array(*[F.lit(n) for n in sorted(x)]) for x in (first, last))
-    words = F.split(F.lower("value"), " ")
-    n = F.size(F.filter(words, lambda w: F.array_contains(known_first, w) | F.array_contains(known_last, w)))
-    opens, ends = F.array_contains(known_first, F.get(words, F.lit(0))), F.array_contains(known_last, F.get(words, F.size(words) - 1))
-    score = F.when(n >= 2, 0.88).when((n == 1) & (F.size(words) > 1) & (opens | ends), 0.74).when((n == 1) & (F.size(words) > 1), 0.60)
-    return rows.withColumn("confidence", score).where("confidence is not null").withColumn("type", F.lit("PERSON"))
+    rows = rows.select(*key, F.col(text).alias("__t"), F.explode(F.filter(runs, lambda m: m["value"].rlike(any_name))).alias("m"))
+    words = F.split("m.value", r"\s+")
+    # leading words to strip: those before the first that is a name or no stop word
+    kept = F.transform(words, lambda w: F.array_contains(known, w) | ~F.array_contains(stops, F.lower(w)))
+    rows = rows.withColumn("__from", F.array_position(kept, True) - 1).where(F.col("__from") >= 0)
+    lead = F.when(F.col("__from") > 0, F.length("m.value") - F.length(F.regexp_replace(F.col("m.value"), F.concat(F.lit(r"^(?:\S+\s+){"), F.col("__from").cast("string"), F.lit("}")), F.lit("")))).otherwise(F.lit(0))
+    rows = rows.withColumn("__lead", lead).withColumn("w", F.slice(words, F.col("__from").cast("int") + 1, F.size(words)))
+    hits = F.size(F.filter("w", lambda x: F.array_contains(known, x)))
+    opens, ends = F.array_contains(firsts, F.get("w", F.lit(0))), F.array_contains(lasts, F.get("w", F.size("w") - 1))
+    before = F.lower(F.regexp_extract(F.substr("__t", F.lit(1), F.col("m.start")), r"([A-Za-z]+)[\s:,]+$", 1))
+    cued = (F.col("__from") > 0) | F.array_contains(cues, before)
+    many = F.size("w") > 1
+    score = F.when(many & (hits >= 2), 0.88).when(many & (hits == 1) & (opens | ends), 0.74).when(many & (hits == 1), 0.60).when(~many & opens & cued, 0.66)
+    rows = rows.withColumn("confidence", score).where("confidence is not null")
+    return rows.select(*key, (F.col("m.start") + F.col("__lead")).alias("start"), F.col("m.end").alias("end"), F.substr("m.value", F.col("__lead") + 1).alias("value"), F.lit("PERSON").alias("type"), F.lit("PII").alias("category"), F.when(many, "india.name_gazetteer").otherwise("india.name_gazetteer_cued").alias("recognizer"), "confidence")
 
 
 def hash_embedding(text: Column, dims: int = 16) -> Column:

@@ -155,10 +155,47 @@ def running(rows: DataFrame, value: str, order: str, *by: str) -> DataFrame:
     return rows.withColumn("running", F.sum(value).over(w))
 
 
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """Rows numbered from 1 in order, by ranges: each partition counts its own, and as many counts as partitions reach the driver.
+
+    The sorted rows are kept on the executors' disks, with their lineage, so that both passes see the same partitions.
+    """
+    from pyspark import StorageLevel
+
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    part = F.shiftright("__id", 33)
+    starts, total = [], 0
+    for p, n in sorted(tuple(r) for r in ranged.groupBy(part.alias("p")).count().collect()):
+        starts.append((p, total + 1 - (p << 33)))
+        total += n
+    placed = ranged.join(F.broadcast(spark.createDataFrame(starts, "__p long, __start long")), part == F.col("__p"))
+    return placed.select(*rows.columns, (F.col("__id") + F.col("__start")).alias(name))
+
+
 def share(audit: DataFrame, key: str) -> DataFrame:
-    """Each key's count and share of the total."""
+    """Each key's count and share of the total; the window is over one row a key."""
     n = audit.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("whole")))).select(key, "n", F.round(F.try_divide("n", "whole"), 4).alias("share"))
+    whole = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return n.select(key, "n", F.round(F.try_divide(F.col("n"), whole), 4).alias("share"))
+
+
+def spend(audit: DataFrame, prices: DataFrame, counterfactual: str, *by: str) -> DataFrame:
+    """Dollars spent on served requests, and saved by cache hits, which are priced as the counterfactual model.
+
+    A model's price is that of the longest listed name it begins with; the
+    empty name is the default. Prices are in dollars a million tokens.
+    """
+    from wardline.operators import hints as H
+
+    usd = (F.coalesce("input_tokens", F.lit(0)) * F.col("price_in") + F.coalesce("output_tokens", F.lit(0)) * F.col("price_out")) / 1_000_000
+    priced = H.longest_prefix(audit.withColumn("model", F.when(F.col("cache_hit"), F.lit(counterfactual)).otherwise(F.lower(F.substring_index("model", "/", -1)))), "model", prices)
+    return priced.withColumn("usd", F.round(usd, 6)).groupBy(*by).agg(F.round(F.sum(F.when(~F.col("cache_hit"), F.col("usd"))), 6).alias("spend_usd"), F.round(F.sum(F.when(F.col("cache_hit"), F.col("usd"))), 6).alias("saved_usd"))
+
+
+def report_header(audit: DataFrame, *by: str) -> DataFrame:
+    """Sums for a report's head: what was scrubbed, and what was blocked."""
+    return audit.groupBy(*by).agg(total("pii_count").alias("pii"), total("secret_count").alias("secrets"), F.sum(F.col("pii_count") + F.col("secret_count")).cast("long").alias("scrubbed"), count_if(F.col("policy_action") == "BLOCK").alias("blocked"))
 
 
 def cube(audit: DataFrame, *keys: str) -> DataFrame:

@@ -10,23 +10,55 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+CHUNK = 64
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def held(value: Column) -> Column:
+    """The value as it is, but worked out where it stands: the optimizer copies what depends on a random number into no filter above."""
+    return F.when(F.rand(0) >= 0, value)
+
+
+def running(items: Column, start: Column, step, emit, kind: str) -> Column:
+    """emit(state, item) for each item in order, the state going from start through step(state, item).
+
+    Built-in folds copy what they have gathered so far at every step; here they
+    gather CHUNK items at a time, so that n items cost little more than n steps.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def inner(acc: Column, x: Column) -> Column:
+        return F.struct(step(acc["s"], x).alias("s"), F.concat(acc["out"], F.array(emit(acc["s"], x))).alias("out"))
+
+    def outer(acc: Column, chunk: Column) -> Column:
+        return let(F.aggregate(chunk, F.struct(acc["s"].alias("s"), none.alias("out")), inner), lambda r: F.struct(r["s"].alias("s"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
+
+    def chunks(a: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / CHUNK).cast("int")), lambda i: F.slice(a, i * CHUNK + 1, F.lit(CHUNK)))
+
+    first = F.struct(start.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("outs"))
+    return let(items, lambda a: F.when(F.size(a) > 0, F.flatten(F.aggregate(chunks(a), first, outer)["outs"])).otherwise(none))
+
+
+MATCH = "struct<start:int,end:int,value:string>"
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of a pattern's matches (patterns never match the empty string).
 
     The pieces between the matches and the matches themselves give the places
     by running sums of their lengths.
     """
-    pieces = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        value = F.get(found, i)
-        begin = acc["at"] + F.length(F.get(pieces, i))
-        end = begin + F.length(value)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), value.alias("value")))).alias("out"))
-
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["out"]).otherwise(start["out"])
+    pairs = F.zip_with(F.split(text, pattern, -1), found, lambda p, v: F.struct(F.length(p).alias("gap"), v.alias("v")))
+    pairs = F.filter(pairs, lambda x: x["v"].isNotNull())
+    end = lambda at, x: at + x["gap"] + F.length(x["v"])
+    placed = running(pairs, F.lit(0), end, lambda at, x: F.struct((at + x["gap"]).alias("start"), end(at, x).alias("end"), x["v"].alias("value")), MATCH)
+    return F.when(text.rlike(pattern), placed).otherwise(F.array().cast(f"array<{MATCH}>"))
 
 
 def resolve(findings: DataFrame, *key: str) -> DataFrame:
@@ -34,22 +66,21 @@ def resolve(findings: DataFrame, *key: str) -> DataFrame:
 
     In the order (start, longest, best score) a finding that clashes with the
     last one kept takes its place only if it is longer, or as long and better;
-    losers are not looked at again.
+    losers are not looked at again. Columns beside start, end, type,
+    confidence and value go with their finding.
     """
-    item = F.struct("start", (-(F.col("end") - F.col("start"))).alias("neg"), (-F.col("confidence")).alias("worse"), "type", "end", "confidence", "value")
-    kind = "array<struct<start:int,neg:int,worse:double,type:string,end:int,confidence:double,value:string>>"
-
-    def step(kept: Column, c: Column) -> Column:
-        n = F.size(kept)
-        last = F.get(kept, n - 1)
-        clash = (n > 0) & (c["start"] < last["end"]) & (last["start"] < c["end"])
-        wins = (c["neg"] < last["neg"]) | ((c["neg"] == last["neg"]) & (c["worse"] < last["worse"]))
-        swapped = F.concat(F.slice(kept, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(c))
-        return F.when(~clash, F.concat(kept, F.array(c))).when(wins, swapped).otherwise(kept)
-
-    grouped = findings.groupBy(*key).agg(F.array_sort(F.collect_list(item)).cast(kind).alias("spans"))
-    kept = grouped.select(*key, F.explode(F.aggregate("spans", F.array().cast(kind), step)).alias("s"))
-    return kept.select(*key, "s.start", "s.end", "s.type", "s.confidence", "s.value")
+    more = [c for c in findings.columns if c not in (*key, "start", "end", "type", "confidence", "value")]
+    item = F.struct("start", (-(F.col("end") - F.col("start"))).alias("neg"), (-F.col("confidence")).alias("worse"), "type", "end", "confidence", "value", *more)
+    grouped = findings.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("spans"))
+    kinds = {f.name: f.dataType.simpleString() for f in findings.schema}
+    kind = f"struct<start:{kinds['start']},neg:{kinds['start']},worse:{kinds['confidence']},type:string,end:{kinds['end']},confidence:{kinds['confidence']},value:string{''.join(f',{c}:{kinds[c]}' for c in more)}>"
+    clash = lambda last, c: last.isNotNull() & (c["start"] < last["end"]) & (last["start"] < c["end"])
+    wins = lambda last, c: (c["neg"] < last["neg"]) | ((c["neg"] == last["neg"]) & (c["worse"] < last["worse"]))
+    step = lambda last, c: F.when(c.isNull() | ~clash(last, c) | wins(last, c), c).otherwise(last)
+    emit = lambda last, c: F.when(c.isNull() | ~clash(last, c), last)
+    ended = F.concat("spans", F.array(F.lit(None).cast(kind)))  # what comes after the last one
+    kept = F.filter(running(ended, F.lit(None).cast(kind), step, emit, kind), lambda x: x.isNotNull())
+    return grouped.select(*key, F.explode(kept).alias("s")).select(*key, "s.start", "s.end", "s.type", "s.confidence", "s.value", *[f"s.{c}" for c in more])
 
 
 def without_covered(findings: DataFrame, covers: DataFrame, *key: str) -> DataFrame:
@@ -67,19 +98,23 @@ def without_touching(findings: DataFrame, others: DataFrame, *key: str) -> DataF
     return findings.join(c, [*same, touch], "left_anti")
 
 
-def number_placeholders(findings: DataFrame, request: str, message: str) -> DataFrame:
-    """Adds a placeholder TYPE_n: n counts the different values of a type in a request, in order of first place."""
-    value = Window.partitionBy(request, "type", "value")
+def number_placeholders(findings: DataFrame, request: str, message: str, label: str = "type") -> DataFrame:
+    """Adds a placeholder LABEL_n: n counts the different values of a label in a request, in order of first place."""
+    value = Window.partitionBy(request, label, "value")
     first = findings.withColumn("__first", F.min(F.struct(message, "start", "end")).over(value))
-    rank = F.dense_rank().over(Window.partitionBy(request, "type").orderBy("__first"))
-    return first.withColumn("placeholder", F.concat(F.lit("<"), "type", F.lit("_"), rank, F.lit(">"))).drop("__first")
+    rank = F.dense_rank().over(Window.partitionBy(request, label).orderBy("__first"))
+    return first.withColumn("placeholder", F.concat(F.lit("<"), label, F.lit("_"), rank, F.lit(">"))).drop("__first")
 
 
 def splice(text: Column, spans: Column) -> Column:
     """The text with each span (start, end, placeholder; sorted, disjoint) replaced by its placeholder."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    done = F.aggregate(spans, start, lambda acc, s: F.struct(F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), s["placeholder"]).alias("out"), s["end"].alias("at")))
-    return F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, F.concat(done["out"], F.substr(text, done["at"] + 1))).otherwise(text)
+
+    def done(all_spans: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(all_spans, i - 1)["end"], F.lit(0))
+        parts = F.transform(all_spans, lambda s, i: F.concat(F.substr(text, before(i) + 1, s["start"] - before(i)), s["placeholder"]))
+        return F.concat(F.array_join(parts, ""), F.substr(text, F.get(all_spans, F.size(all_spans) - 1)["end"] + 1))
+
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, let(spans, done)).otherwise(text)
 
 
 def line_column(text: Column, offset: Column) -> Column:

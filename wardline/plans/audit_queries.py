@@ -229,9 +229,36 @@ def erase_subject(spark, sf_dir):
     return A.erase(rows, subjects, "user_ref").groupBy("user_ref").agg(F.count("*").alias("n"))
 
 
-@query("audit_unique_check", f"{WITH} SELECT user_ref, count(*) AS n FROM audit WHERE request_id % 100 = 0 GROUP BY user_ref HAVING count(*) > 1")
+@query("audit_unique_check", f"{WITH}, doubled AS (SELECT request_id FROM audit UNION ALL SELECT request_id FROM audit WHERE request_id % 100 = 0) SELECT request_id, count(*) AS n FROM doubled GROUP BY request_id HAVING count(*) > 1")
 def audit_unique_check(spark, sf_dir):
-    return A.duplicates(B.audit(spark, sf_dir).where("request_id % 100 = 0"), "user_ref")
+    """Request ids that break uniqueness, in a table in which every hundredth row stands twice."""
+    rows = B.audit(spark, sf_dir).select("request_id")
+    return A.duplicates(rows.union(rows.where("request_id % 100 = 0")), "request_id")
+
+
+@query("audit_page_info", f"{WITH} SELECT count(*) AS total, CAST(ceil(count(*) / 500) AS BIGINT) AS pages, 3 AS page FROM audit")
+def audit_page_info(spark, sf_dir):
+    return A.page_info(B.audit(spark, sf_dir), 1000, 9999)
+
+
+@query("audit_record", f"{WITH} SELECT request_id, lower(policy_action) AS action, block_code, len(rules_fired) AS n_rules FROM audit")
+def audit_record(spark, sf_dir):
+    return A.record(B.audit(spark, sf_dir)).select("request_id", "action", "block_code", F.size("rules_fired").alias("n_rules"))
+
+
+@query("report_header", f"{WITH} SELECT tenant_id, CAST(sum(pii_count) AS BIGINT) AS pii, CAST(sum(secret_count) AS BIGINT) AS secrets, CAST(sum(pii_count + secret_count) AS BIGINT) AS scrubbed, count(*) FILTER (WHERE policy_action = 'BLOCK') AS blocked FROM audit GROUP BY tenant_id")
+def report_header(spark, sf_dir):
+    return M.report_header(B.audit(spark, sf_dir), "tenant_id")
+
+
+@query(
+    "spend_and_savings",
+    f"""{WITH}, p AS (SELECT tenant_id, cache_hit, CAST(CASE WHEN cache_hit THEN 0.513 WHEN model = 'model-1' THEN 0.513 WHEN model = 'model-2' THEN 2.519 ELSE 1.003 END AS DOUBLE) AS i, CAST(CASE WHEN cache_hit THEN 1.517 WHEN model = 'model-1' THEN 1.517 WHEN model = 'model-2' THEN 10.021 ELSE 4.007 END AS DOUBLE) AS o, coalesce(input_tokens, 0) AS a, coalesce(output_tokens, 0) AS b FROM audit)
+    SELECT tenant_id, round(sum(CASE WHEN NOT cache_hit THEN round((a * i + b * o) / 1000000, 6) END), 6) AS spend_usd, round(sum(CASE WHEN cache_hit THEN round((a * i + b * o) / 1000000, 6) END), 6) AS saved_usd FROM p GROUP BY tenant_id""",
+)
+def spend_and_savings(spark, sf_dir):
+    prices = spark.createDataFrame([("model-1", 0.513, 1.517), ("model-2", 2.519, 10.021), ("", 1.003, 4.007)], "model string, price_in double, price_out double")
+    return M.spend(B.audit(spark, sf_dir), prices, "model-1", "tenant_id")
 
 
 @query(
@@ -245,18 +272,22 @@ def review_eligibility(spark, sf_dir):
 
 @query(
     "override_verify",
-    f"""WITH {B.REVIEWS_SQL}, p AS (SELECT 'token-' || (n + n % 3) AS token, request_id + CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END AS request_id, n FROM reviews WHERE n % 2 = 0)
-    SELECT p.n, CASE WHEN r.request_id IS NULL THEN 'unknown' WHEN r.request_id <> p.request_id THEN 'wrong_request' WHEN r.status <> 'APPROVED' THEN 'not_approved' ELSE 'valid' END AS result
+    f"""WITH {B.REVIEWS_SQL}, p AS (SELECT CASE WHEN n % 11 = 0 THEN '' ELSE 'token-' || (n + n % 3) END AS token, request_id + CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END AS request_id, n FROM reviews)
+    SELECT p.n, CASE WHEN p.token = '' THEN 'no_token' WHEN r.request_id IS NULL THEN 'unknown' WHEN r.status <> 'APPROVED' THEN 'not_approved' WHEN r.request_id <> p.request_id THEN 'wrong_request'
+      WHEN r.n % 4 = 0 THEN 'already_used' WHEN r.n % 4 = 1 THEN 'expired' ELSE 'valid' END AS result
     FROM p LEFT JOIN reviews r ON sha256(p.token) = r.override_token_hash""",
 )
 def override_verify(spark, sf_dir):
     r = B.reviews(spark, sf_dir)
-    presented = r.where("n % 2 = 0").select(F.concat(F.lit("token-"), F.col("n") + F.col("n") % 3).alias("token"), (F.col("request_id") + F.when(F.col("n") % 5 == 0, 1).otherwise(0)).alias("request_id"), "n")
-    return A.verify_override(presented, r).select("n", "result")
+    made = r.withColumn("override_used_at", F.when(F.col("n") % 4 == 0, F.col("created_at")))
+    made = made.withColumn("override_expires_at", F.when(F.col("n") % 4 == 1, F.lit("1990-01-01")).otherwise("2030-01-01").cast("timestamp"))
+    token = F.when(F.col("n") % 11 == 0, "").otherwise(F.concat(F.lit("token-"), F.col("n") + F.col("n") % 3))
+    presented = r.select(token.alias("token"), (F.col("request_id") + F.when(F.col("n") % 5 == 0, 1).otherwise(0)).alias("request_id"), "n", F.lit("2024-06-01").cast("timestamp").alias("as_of"))
+    return A.verify_override(presented, made).select("n", "result")
 
 
-@query("review_state", f"WITH {B.REVIEWS_SQL} SELECT request_id, status, n FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY created_at DESC, n DESC) AS k FROM reviews) WHERE k = 1")
-def review_state(spark, sf_dir):
+@query("latest_review", f"WITH {B.REVIEWS_SQL} SELECT request_id, status, n FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY created_at DESC, n DESC) AS k FROM reviews) WHERE k = 1")
+def latest_review(spark, sf_dir):
     return A.latest(B.reviews(spark, sf_dir).select("request_id", "status", "n", "created_at"), "request_id", [F.desc("created_at"), F.desc("n")]).drop("created_at")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardline.operators import detect as D
 from wardline.operators import outcome as O
 from wardline.plans.inspect_queries import _rules
 from wardline.plans.registry import query
@@ -13,17 +12,6 @@ from wardline.plans.text_queries import RULES_SQL
 from wardline.operators import metrics as M
 from wardline.sources import bridge as B
 
-_SCRUB = "text"
-for _shape in O.SHAPES:
-    _SCRUB = f"regexp_replace({_SCRUB}, '{_shape}', '{O.MASK}', 'g')"
-
-
-@query("scrub_secret_shapes", f"SELECT doc_id, length({_SCRUB}) AS n, sha256({_SCRUB}) AS h FROM documents")
-def scrub_secret_shapes(spark, sf_dir):
-    clean = O.scrub_shapes(F.col("text"))
-    return B.table(spark, sf_dir, "documents").select("doc_id", F.length(clean).cast("long").alias("n"), F.sha2(clean, 256).alias("h"))
-
-
 @query("should_rehydrate", "SELECT event_id, event_type = 'signup' AND event_id % 3 <> 0 AS may FROM events")
 def should_rehydrate(spark, sf_dir):
     n = F.col("event_id")
@@ -46,22 +34,6 @@ def lexical_overlap(spark, sf_dir):
     return b.join(ref, F.floor(F.col("item_id") / 2) == F.col("half")).select("item_id", O.lexical_overlap(F.col("text"), F.col("ref")).alias("score"))
 
 
-BIAS = [("b1", "gender", r"\bthe was\b", 0.6), ("b2", "age", r"\bof the\b", 0.5)]
-_BIAS = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, {w} AS weight FROM low WHERE regexp_matches(t, '{p}')" for _, c, p, w in BIAS)
-
-
-@query("bias_screen", f"WITH low AS (SELECT doc_id, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE lang = 'en'), hits AS ({_BIAS}) SELECT doc_id, round(1 - product(1 - w), 3) AS score, list(category ORDER BY w DESC, category) AS categories FROM (SELECT doc_id, category, max(weight) AS w FROM hits GROUP BY ALL) GROUP BY doc_id")
-def bias_screen(spark, sf_dir):
-    return D.noisy_or(D.rule_hits(B.table(spark, sf_dir, "documents").where("lang = 'en'"), "text", ["doc_id"], BIAS), "doc_id")
-
-
-@query("egress_results", f"WITH low AS (SELECT doc_id, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents), h AS (SELECT doc_id FROM low WHERE regexp_matches(t, '\\bidiot\\b')), b AS (SELECT doc_id, round(1 - product(1 - weight), 3) AS s FROM ({_BIAS}) GROUP BY doc_id) SELECT d.doc_id, ['PASS', 'ANNOTATE', 'REPLACE'][greatest(CASE WHEN h.doc_id IS NOT NULL THEN 2 ELSE 0 END, CASE WHEN coalesce(b.s, 0) >= 0.6 THEN 1 ELSE 0 END, CASE WHEN d.doc_id % 10 / 10 >= 0.75 THEN 0 WHEN d.doc_id % 10 / 10 >= 0.5 THEN 1 ELSE 2 END) + 1] AS egress_action FROM documents d LEFT JOIN h USING (doc_id) LEFT JOIN b USING (doc_id)")
-def egress_results(spark, sf_dir):
-    docs = B.table(spark, sf_dir, "documents")
-    grounding = docs.select("doc_id", (F.col("doc_id") % 10 / 10).alias("score"))
-    return O.egress_results(docs, "text", "doc_id", [("h", "harm", r"\bidiot\b", 0.7)], BIAS, grounding).select("doc_id", "egress_action")
-
-
 @query("is_appealable", f"WITH {RULES_SQL}, k AS (SELECT * FROM (VALUES ('pii.EMAIL'), ('secret.AWS'), ('injection'), ('unknown.x')) AS t(key)) SELECT k.key, coalesce(a.appealable, b.appealable, false) AS appealable FROM k LEFT JOIN rules a ON a.profile = 'default' AND a.key = k.key LEFT JOIN rules b ON b.profile = 'default' AND b.key = split_part(k.key, '.', 1)")
 def is_appealable(spark, sf_dir):
     keys = spark.createDataFrame([("pii.EMAIL",), ("secret.AWS",), ("injection",), ("unknown.x",)], "key string")

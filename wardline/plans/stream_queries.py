@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wardline.operators import gateway as G
 from wardline.operators import metrics as M
+from wardline.operators import outcome as O
 from wardline.plans.registry import query
 from wardline.sources import bridge as B
 from wardline.sources import streams as T
@@ -131,12 +133,6 @@ def failing_findings(spark, sf_dir):
     return _code(spark, sf_dir).groupBy("path").agg(M.count_if(bad).alias("n"), F.bool_or(bad).alias("fails"))
 
 
-@query("sarif_results", f"WITH {_CODE} SELECT path, category AS rule_id, ['note', 'warning', 'error'][CAST(max(severity) AS INT) + 1] AS level, count(*) AS n FROM code GROUP BY path, category")
-def sarif_results(spark, sf_dir):
-    level = F.element_at(F.array(F.lit("note"), F.lit("warning"), F.lit("error")), F.max("severity").cast("int") + 1)
-    return _code(spark, sf_dir).groupBy("path", F.col("category").alias("rule_id")).agg(level.alias("level"), F.count("*").alias("n"))
-
-
 # stages and codes
 
 
@@ -157,10 +153,11 @@ def safe_stages(spark, sf_dir):
     return _stages(spark, sf_dir).select("event_id", F.explode(known).alias("s")).select("event_id", "s.*")
 
 
-@query("error_codes", f"WITH {B.AUDIT_SQL} SELECT policy_action, block_code, CASE WHEN policy_action <> 'BLOCK' THEN NULL WHEN block_code = 'PROMPT_INJECTION_BLOCKED' THEN 400 ELSE 403 END AS status, count(*) AS n FROM audit GROUP BY ALL")
+@query("error_codes", f"WITH {B.AUDIT_SQL} SELECT request_id, CASE WHEN policy_action = 'BLOCK' THEN CASE request_id % 5 WHEN 0 THEN block_code WHEN 1 THEN 'PII_LEAK_PREVENTED' ELSE CASE WHEN secret_count > 0 THEN 'CREDENTIAL_LEAK_PREVENTED' WHEN cache_hit THEN 'PROMPT_INJECTION_BLOCKED' WHEN pii_count > 0 THEN 'PII_LEAK_PREVENTED' ELSE 'POLICY_VIOLATION' END END END AS error_code FROM audit")
 def error_codes(spark, sf_dir):
-    status = F.when(F.col("policy_action") == "BLOCK", F.when(F.col("block_code") == "PROMPT_INJECTION_BLOCKED", 400).otherwise(403))
-    return B.audit(spark, sf_dir).groupBy("policy_action", "block_code", status.alias("status")).agg(F.count("*").alias("n"))
+    n = F.col("request_id") % 5
+    code = F.when(n == 0, F.col("block_code")).when(n == 1, "PII_SOMETHING").otherwise("OTHER")
+    return B.audit(spark, sf_dir).select("request_id", G.error_code(F.lower("policy_action"), F.coalesce(code, F.lit("")), F.col("secret_count"), F.col("cache_hit"), F.col("pii_count")).alias("error_code"))
 
 
 @query("cache_admission", f"WITH {B.AUDIT_SQL} SELECT request_id FROM audit WHERE policy_action NOT IN ('WARN', 'BLOCK') AND secret_count = 0 AND NOT cache_hit")
@@ -168,19 +165,6 @@ def cache_admission(spark, sf_dir):
     return B.audit(spark, sf_dir).where("policy_action not in ('WARN', 'BLOCK') and secret_count = 0 and not cache_hit").select("request_id")
 
 
-@query("private_ip", "SELECT event_id, a = 10 OR a = 127 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127) AS private FROM (SELECT event_id, event_id * 7919 % 256 AS a, event_id * 104729 % 256 AS b FROM events)")
-def private_ip(spark, sf_dir):
-    n = F.col("event_id")
-    ip = F.concat_ws(".", (n * 7919 % 256).cast("string"), (n * 104729 % 256).cast("string"), F.lit("0"), F.lit("1"))
-    rows = B.table(spark, sf_dir, "events").select("event_id", F.split(ip, r"\.").alias("p"))
-    number = sum((F.get("p", F.lit(i)).cast("long") * (1 << (24 - 8 * i)) for i in range(4)), F.lit(0))
-    ranges = [(10, 0, 8), (127, 0, 8), (172, 16, 12), (192, 168, 16), (169, 254, 16), (100, 64, 10)]
-    inside = F.lit(False)
-    for a, b, bits in ranges:
-        inside = inside | (F.shiftright(number, 32 - bits) == F.lit(((a << 24) | (b << 16)) >> (32 - bits)))
-    return rows.select("event_id", inside.alias("private"))
-
-
 # fairness
 
 
@@ -223,7 +207,10 @@ def stream_reassembly(spark, sf_dir):
     return B.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(parts, "").alias("text"))
 
 
-@query("final_answer", "SELECT event_id, CASE WHEN event_type = 'error' OR event_id % 6 = 0 THEN 'final' ELSE 'streamed' END AS answer, event_type = 'signup' AND event_id % 7 > 0 AS rehydrated FROM events")
+@query("final_answer", "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'withheld' WHEN event_type = 'signup' AND event_id % 7 > 0 THEN 'to u' || user_id WHEN event_id % 7 = 0 THEN 'to <SECRET_KEY_1>' ELSE 'to <EMAIL_1>' END AS answer FROM events")
 def final_answer(spark, sf_dir):
+    """Answers rehydrated where they were sanitised, replaced where a check says so; a vault that holds a secret gives nothing back."""
     n = F.col("event_id")
-    return B.table(spark, sf_dir, "events").select("event_id", F.when((F.col("event_type") == "error") | (n % 6 == 0), "final").otherwise("streamed").alias("answer"), ((F.col("event_type") == "signup") & (n % 7 > 0)).alias("rehydrated"))
+    holder = F.when(n % 7 == 0, "<SECRET_KEY_1>").otherwise("<EMAIL_1>")
+    answer = O.final_answer(F.when(n % 6 == 0, "REPLACE").otherwise("PASS"), F.concat(F.lit("to "), holder), F.lit("withheld"), F.create_map(holder, F.concat(F.lit("u"), F.col("user_id").cast("string"))), F.when(F.col("event_type") == "signup", "sanitize").otherwise("allow"))
+    return B.table(spark, sf_dir, "events").select("event_id", answer.alias("answer"))

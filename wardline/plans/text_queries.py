@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wardline.functions import checksums as C
 from wardline.operators import detect as D
 from wardline.operators import hints as H
+from wardline.operators import inspect as N
 from wardline.operators import policy as P
 from wardline.operators import spans as S
 from wardline.plans.registry import query
@@ -101,16 +102,16 @@ def placeholder_numbering(spark, sf_dir):
     return S.number_placeholders(rows, "req", "msg").select("req", "msg", F.col("value").alias("v"), "placeholder")
 
 
+_REDACTION = [("pii", "sanitize", 10, True), ("secret", "sanitize", 90, False)]
+
+
 @query("redact_text")
 def redact_text(spark, sf_dir):
-    """Every message with its personal data and secrets replaced, and the request's decision."""
+    """Every message with its personal data and secrets replaced, and whether anything was."""
     rows = B.messages(spark, sf_dir)
-    found = S.resolve(D.findings(rows, "content", KEY, (*D.SECRETS, *D.PERSONAL)), *KEY)
-    numbered = S.number_placeholders(found, "request_id", "message_index")
-    spans = numbered.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("spans"))
-    out = rows.join(spans, KEY, "left")
-    n = F.coalesce(F.size("spans"), F.lit(0))
-    return out.select(*KEY, "role", S.splice(F.col("content"), F.col("spans")).alias("content"), n.alias("n_findings"), F.when(n > 0, "sanitize").otherwise("allow").alias("decision"))
+    rules = spark.createDataFrame(_REDACTION, "key string, action string, priority int, appealable boolean")
+    clean, _ = N.redact(rows, N.actioned(N.resolved_findings(rows), rules))
+    return clean.select(*KEY, "role", "content", F.col("n_replaced").alias("n_findings"), F.when(F.col("n_replaced") > 0, "sanitize").otherwise("allow").alias("decision"))
 
 
 @query("line_col", "SELECT doc_id, length(substr(text, 1, length(text) // 2)) - length(replace(substr(text, 1, length(text) // 2), chr(10), '')) + 1 AS line, length(regexp_extract(substr(text, 1, length(text) // 2), '[^\\n]*$')) + 1 AS col FROM documents")
@@ -125,18 +126,6 @@ def mask_preview(spark, sf_dir):
     return c.select("c_custkey", C.mask_preview(F.col("v")).alias("preview"), C.fingerprint(F.lit("customer"), F.col("v")).alias("fingerprint"))
 
 
-@query("log_scrub", "SELECT page_id, regexp_replace(regexp_replace(url, '([?&](?:token|key|utm_source)=)[^&#]*', '\\1***', 'g'), '[0-9]{4,}', '#', 'g') AS scrubbed FROM pages")
-def log_scrub(spark, sf_dir):
-    once = F.regexp_replace("url", r"([?&](?:token|key|utm_source)=)[^&#]*", "$1***")
-    return B.table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(once, "[0-9]{4,}", "#").alias("scrubbed"))
-
-
-@query("leak_check", "SELECT o_orderkey, contains(replace(o_orderpriority, 'HIGH', '***'), 'HIGH') OR contains(replace(o_orderpriority, 'HIGH', '***'), 'LOW') AS leaks FROM orders")
-def leak_check(spark, sf_dir):
-    text = F.replace("o_orderpriority", F.lit("HIGH"), F.lit("***"))
-    return B.table(spark, sf_dir, "orders").select("o_orderkey", F.exists(F.array(F.lit("HIGH"), F.lit("LOW")), lambda v: F.contains(text, v)).alias("leaks"))
-
-
 @query("rehydrate", "SELECT n_nationkey, replace(replace('Dear <NAME_1> of <PLACE_1>', '<NAME_1>', n_name), '<PLACE_1>', r_name) AS text FROM nation JOIN region ON n_regionkey = r_regionkey")
 def rehydrate(spark, sf_dir):
     n = B.table(spark, sf_dir, "nation").join(F.broadcast(B.table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -211,16 +200,6 @@ def egress_decisions(spark, sf_dir):
     return P.egress(rows, 0.7, 0.6, 0.75, 0.5).select("event_id", "egress_action")
 
 
-SCREEN = [("h1", "harm", r"\bidiot\b|\bmoron\b", 0.7), ("h2", "insult", r"\bscum\b|\btrash\b", 0.6), ("b1", "bias", r"all (?:of )?them are", 0.5), ("o1", "override", r"ignore (?:all )?previous instructions", 0.9)]
-_HITS = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, {w} AS weight FROM low WHERE regexp_matches(t, '{p}')" for _, c, p, w in SCREEN)
-
-
-@query("harm_screen", f"WITH low AS (SELECT doc_id, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE lang = 'en'), hits AS ({_HITS}) SELECT doc_id, round(1 - product(1 - w), 3) AS score, list(category ORDER BY w DESC, category) AS categories FROM (SELECT doc_id, category, max(weight) AS w FROM hits GROUP BY doc_id, category) GROUP BY doc_id")
-def harm_screen(spark, sf_dir):
-    docs = B.table(spark, sf_dir, "documents").where("lang = 'en'")
-    return D.noisy_or(D.rule_hits(docs, "text", ["doc_id"], SCREEN), "doc_id")
-
-
 @query("noisy_or_score", "SELECT l_orderkey AS req, round(1 - product(1 - w), 3) AS score FROM (SELECT l_orderkey, l_returnflag, max(l_discount) AS w FROM lineitem GROUP BY l_orderkey, l_returnflag) GROUP BY l_orderkey")
 def noisy_or_score(spark, sf_dir):
     hits = B.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("req"), F.col("l_returnflag").alias("category"), F.col("l_discount").alias("weight"))
@@ -229,18 +208,37 @@ def noisy_or_score(spark, sf_dir):
 
 # hints
 
-_REASON = " OR ".join(f"contains(lower(content), '{m}')" for m in H.REASONING)
-_STEPS = " + ".join(f"CAST(contains(lower(content), '{m}') AS INT)" for m in H.STEPS)
+#: what makes a request hard, as the SQL knows it
+_REASON = " OR ".join(f"contains(lower(text), '{m}')" for m in ("explain why", "explain how", "step by step", "step-by-step", "prove", "derive", "analyse", "analyze", "compare and contrast", "critique", "evaluate the", "reason about", "think through", "what are the implications", "trade-offs", "tradeoffs", "pros and cons"))
+_CODE = " OR ".join(f"contains(text, '{m}')" for m in ("```", "def ", "class ", "function ", "SELECT ", "import ", "#include", "public static", "=> {"))
+_ASKED = f"WITH {MSG}, asked AS (SELECT request_id, string_agg(content, chr(10) ORDER BY message_index) || CASE request_id % 4 WHEN 0 THEN ' explain why' WHEN 1 THEN ' import x' WHEN 2 THEN '? so? really?' ELSE '' END AS text FROM messages WHERE role IN ('user', 'tool') GROUP BY request_id)"
 
 
-@query("complexity_inspector", f"WITH {MSG} SELECT request_id, message_index, CASE WHEN n > 120 OR {_REASON} THEN 'complex' WHEN n > 20 THEN 'moderate' ELSE 'simple' END AS complexity FROM (SELECT *, len(list_filter(regexp_split_to_array(trim(content), '\\s+'), lambda w: w <> '')) AS n FROM messages)")
+@query("complexity_inspector", f"""{_ASKED}, m AS (SELECT *, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) AS n, {_REASON} AS hard, {_CODE} AS code, len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) AS lines, length(text) - length(replace(text, '?', '')) AS asks FROM asked),
+  b AS (SELECT *, CASE WHEN n < 20 THEN 0 WHEN n < 120 THEN 1 ELSE 2 END AS band FROM m), l AS (SELECT *, CASE WHEN hard OR (code AND lines > 30) THEN 2 WHEN code THEN greatest(band, 1) ELSE band END AS lifted FROM b)
+  SELECT request_id, ['LOW', 'MEDIUM', 'HIGH'][CASE WHEN asks >= 3 AND lifted < 2 THEN 1 ELSE lifted END + 1] AS level,
+    list_filter([['short_prompt', 'moderate_length', 'long_prompt'][band + 1], CASE WHEN hard THEN 'reasoning_markers' END, CASE WHEN code AND lines > 30 THEN 'large_code_block' WHEN code THEN 'code_present' END, CASE WHEN asks >= 3 AND lifted < 2 THEN 'multi_part_question' END], lambda x: x IS NOT NULL) AS reasons FROM l""")
 def complexity_inspector(spark, sf_dir):
-    return B.messages(spark, sf_dir).select(*KEY, H.complexity_by_words(F.col("content")).alias("complexity"))
+    more = F.when(F.col("request_id") % 4 == 0, " explain why").when(F.col("request_id") % 4 == 1, " import x").when(F.col("request_id") % 4 == 2, "? so? really?").otherwise("")
+    return request_text(spark, sf_dir).select("request_id", H.complexity(F.concat("text", more)).alias("c")).select("request_id", "c.*")
+
+
+_THINK = " OR ".join(f"contains(t, '{m}')" for m in ("think", "step by step", "analyze", "explain why", "evaluate", "compare"))
+_STEPS = " + ".join(f"CAST(contains(t, '{m}') AS INT)" for m in ("first", "then", "finally", "1.", "2.", "3."))
+_TIERS = f"""WITH {MSG}, u AS (SELECT request_id, message_index, content || CASE message_index % 3 WHEN 0 THEN ' think' WHEN 1 THEN ' first this, then that' ELSE '' END AS c FROM messages WHERE role = 'user'),
+  f AS (SELECT *, lower(c) AS t FROM u), g AS (SELECT request_id, sum(length(c)) / 4 AS n, bool_or(contains(c, '```')) AS code, bool_or({_THINK}) AS thinks, bool_or({_STEPS} >= 2) AS steps FROM f GROUP BY request_id),
+  tiers AS (SELECT request_id, CASE WHEN n > 1000 OR code OR (thinks AND steps) THEN 'high' WHEN n > 250 OR thinks OR steps THEN 'medium' ELSE 'low' END AS tier FROM g)"""
 
 
-@query("complexity_gateway", f"WITH {MSG} SELECT request_id, message_index, CASE WHEN ceil(length(content) / 4) > 1000 OR contains(content, '```') OR {_STEPS} >= 2 THEN 'complex' WHEN ceil(length(content) / 4) > 250 THEN 'moderate' ELSE 'simple' END AS complexity FROM messages")
+def _tiers(spark, sf_dir):
+    more = F.when(F.col("message_index") % 3 == 0, " think").when(F.col("message_index") % 3 == 1, " first this, then that").otherwise("")
+    texts = B.messages(spark, sf_dir).where("role = 'user'").groupBy("request_id").agg(F.collect_list(F.concat("content", more)).alias("texts"))
+    return texts.select("request_id", H.complexity_by_tokens(F.col("texts")).alias("tier"))
+
+
+@query("complexity_gateway", f"{_TIERS} SELECT * FROM tiers")
 def complexity_gateway(spark, sf_dir):
-    return B.messages(spark, sf_dir).select(*KEY, H.complexity_by_tokens(F.col("content")).alias("complexity"))
+    return _tiers(spark, sf_dir)
 
 
 @query("token_estimate", f"WITH {MSG} SELECT request_id, CAST(sum(ceil(length(content) / 4)) AS BIGINT) AS tokens FROM messages GROUP BY request_id")
@@ -277,30 +275,40 @@ def gateway_cost(spark, sf_dir):
     return _priced(spark, sf_dir).select("event_id", F.coalesce((F.col("input") * F.col("price_in") + F.col("output") * F.col("price_out")) / 1000, F.lit(0.0)).alias("usd"))
 
 
-ROUTES = [("simple", "beta", "model-1-mini", ["alpha", "beta"]), ("moderate", "alpha", "model-1", ["beta"]), ("complex", "alpha", "model-2", ["gamma", "beta", "alpha"])]
+ROUTES = [("low", "beta", "model-1-mini", ["alpha", "beta"]), ("medium", "alpha", "model-1", ["beta"]), ("high", "alpha", "model-2", ["gamma", "beta", "alpha"])]
 
 
-@query("route_lookup", f"WITH {MSG}, routes AS (SELECT * FROM (VALUES ('simple', 'beta', 'model-1-mini', ['beta', 'alpha']), ('moderate', 'alpha', 'model-1', ['alpha', 'beta']), ('complex', 'alpha', 'model-2', ['alpha', 'gamma', 'beta'])) AS t(tier, provider, model, chain)), m AS (SELECT request_id, message_index, CASE WHEN ceil(length(content) / 4) > 1000 OR contains(content, '```') OR {_STEPS} >= 2 THEN 'complex' WHEN ceil(length(content) / 4) > 250 THEN 'moderate' ELSE 'simple' END AS tier FROM messages) SELECT request_id, message_index, provider, model, chain FROM m JOIN routes USING (tier)")
+@query("route_lookup", f"{_TIERS}, routes AS (SELECT * FROM (VALUES ('low', 'beta', 'model-1-mini', ['beta', 'alpha']), ('medium', 'alpha', 'model-1', ['alpha', 'beta']), ('high', 'alpha', 'model-2', ['alpha', 'gamma', 'beta'])) AS t(tier, provider, model, chain)) SELECT request_id, provider, model, chain FROM tiers JOIN routes USING (tier)")
 def route_lookup(spark, sf_dir):
     routes = spark.createDataFrame(ROUTES, "tier string, provider string, model string, failover array<string>")
-    tiers = B.messages(spark, sf_dir).select(*KEY, H.complexity_by_tokens(F.col("content")).alias("tier"))
-    return tiers.join(F.broadcast(routes), "tier").select(*KEY, "provider", "model", F.array_distinct(F.concat(F.array("provider"), "failover")).alias("chain"))
+    return _tiers(spark, sf_dir).join(F.broadcast(routes), "tier").select("request_id", "provider", "model", F.array_distinct(F.concat(F.array("provider"), "failover")).alias("chain"))
 
 
 _COS = "round(list_sum(list_transform(range(1, len(p.embedding) + 1), lambda i: CAST(p.embedding[i] AS DOUBLE) * CAST(e.embedding[i] AS DOUBLE))) / (sqrt(list_sum(list_transform(p.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 6)"
-_KNN = f"SELECT * FROM (SELECT probe_id, entry_id, similarity, row_number() OVER (PARTITION BY probe_id ORDER BY similarity DESC, entry_id) AS rank FROM (SELECT p.vec_id AS probe_id, e.vec_id AS entry_id, {_COS} AS similarity FROM embeddings p JOIN embeddings e ON p.label = e.label WHERE p.vec_id % 2 = 1 AND e.vec_id % 2 = 0)"
+_KNN = f"SELECT * FROM (SELECT probe_id, entry_id, similarity, row_number() OVER (PARTITION BY probe_id ORDER BY similarity DESC, entry_id) AS rank FROM (SELECT -1 - p.vec_id AS probe_id, e.vec_id AS entry_id, {_COS} AS similarity FROM embeddings p JOIN embeddings e ON p.label = e.label WHERE p.vec_id % 20 = 0)"
 
 
 def _knn(spark, sf_dir, threshold, k):
+    """Vectors whose id divides by 20 asked against all of their tenant, themselves included: the nearest must be the vector itself."""
     v = B.table(spark, sf_dir, "embeddings")
-    probes = v.where("vec_id % 2 = 1").select(F.col("vec_id").alias("probe_id"), F.col("label").alias("tenant"), "embedding")
-    entries = v.where("vec_id % 2 = 0").select(F.col("vec_id").alias("entry_id"), F.col("label").alias("tenant"), "embedding")
+    probes = v.where("vec_id % 20 = 0").select((-1 - F.col("vec_id")).alias("probe_id"), F.col("label").alias("tenant"), "embedding")
+    entries = v.select(F.col("vec_id").alias("entry_id"), F.col("label").alias("tenant"), "embedding")
     return H.nearest(probes, entries, threshold, k)
 
 
-@query("semantic_cache_lookup", f"{_KNN} WHERE similarity >= 0.2) WHERE rank = 1")
+@query("semantic_cache_lookup", f"{_KNN} WHERE similarity >= 0.92) WHERE rank = 1")
 def semantic_cache_lookup(spark, sf_dir):
-    return _knn(spark, sf_dir, 0.2, 1)
+    return _knn(spark, sf_dir, 0.92, 1)
+
+
+@query("semantic_cache_guards", "SELECT -1 - vec_id AS probe_id, vec_id AS entry_id FROM embeddings WHERE vec_id % 20 = 0 AND vec_id % 3 = 0")
+def semantic_cache_guards(spark, sf_dir):
+    """As the look-up, with guards that differ for two probes of three: these hit nothing."""
+    v = B.table(spark, sf_dir, "embeddings").where("embedding is not null")
+    guard = F.col("vec_id") % 3
+    probes = v.where("vec_id % 20 = 0").select((-1 - F.col("vec_id")).alias("probe_id"), F.col("label").alias("tenant"), "embedding", F.lit(0).cast("long").alias("guards"))
+    entries = v.select(F.col("vec_id").alias("entry_id"), F.col("label").alias("tenant"), "embedding", F.when(guard == 0, 0).otherwise(F.col("vec_id") + 1).cast("long").alias("guards"))
+    return H.nearest(probes, entries, 0.999999, 1).select("probe_id", "entry_id")
 
 
 @query("evidence_topk", f"{_KNN}) WHERE rank <= 3")

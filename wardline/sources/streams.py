@@ -58,11 +58,91 @@ def reference_docs(header: Column) -> Column:
     return F.from_json(header, "array<string>")
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of a tree's source files: no skipped folders, binary endings, large files or NUL bytes at the beginning."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    skipped = F.exists(F.array(*map(F.lit, SKIPPED_FOLDERS)), lambda d: F.contains("path", F.concat(F.lit("/"), d, F.lit("/"))))
-    ending = F.lower(F.substring_index("path", ".", -1))
-    text = raw.where(~skipped & ~ending.isin(*BINARY_ENDINGS) & (F.col("length") <= MOST_FILE_BYTES))
+def ndjson_text(lines: DataFrame) -> DataFrame:
+    """The text of each request's stream of JSON lines (request_id, seq, line): malformed and blank lines are passed over, what follows the end is not read.
+
+    (request_id, model, text, n_chunks, finish_reason); a reason that is not stated at the end counts as stop.
+    """
+    parsed = F.from_json("line", "model string, message struct<content:string>, done boolean, done_reason string", {"mode": "PERMISSIVE"})
+    rows = lines.where(F.trim("line") != "").select("request_id", "seq", parsed.alias("p")).where("p.model is not null or p.message is not null or p.done is not null")
+    ended = F.min(F.when(F.coalesce(F.col("p.done"), F.lit(False)), F.col("seq"))).over(Window.partitionBy("request_id"))
+    read = rows.withColumn("last", ended).where(F.col("last").isNull() | (F.col("seq") <= F.col("last")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("p.message.content", F.lit("")).alias("delta")))), lambda x: x["delta"])
+    reason = F.max(F.when(F.col("seq") == F.col("last"), F.coalesce("p.done_reason", F.lit("stop"))))
+    return read.groupBy("request_id").agg(F.max("p.model").alias("model"), F.array_join(ordered, "").alias("text"), F.count("*").alias("n_chunks"), reason.alias("finish_reason"))
+
+
+def as_pattern(glob: str) -> str:
+    """A file glob (* any run of signs, ? any one, [...] one of these) as a regular expression over the whole path."""
+    out, i = "", 0
+    while i < len(glob):
+        sign = glob[i]
+        close = glob.find("]", i + 2) if sign == "[" else -1
+        if close > 0:
+            inner = glob[i + 1 : close]
+            out += "[" + ("^" + inner[1:] if inner[0] == "!" else inner).replace("\\", "\\\\").replace("[", "\\[") + "]"
+            i = close
+        else:
+            out += {"*": ".*", "?": "."}.get(sign, "\\" + sign if not sign.isalnum() and sign not in "_/" else sign)
+        i += 1
+    return f"^(?s:{out})$"
+
+
+def ignored(path: Column, rules: list[str]) -> Column:
+    """Whether lines of a .gitignore file rule a path out: the last line that matches decides, ! takes it back in.
+
+    A line with a slash at its beginning or inside holds from the root, any
+    other at every depth; one that ends in a slash holds for folders only.
+    """
+    out = F.lit(False)
+    for line in rules:
+        rule = line.rstrip()
+        if not rule or rule.startswith("#"):
+            continue
+        back, rule = rule.startswith("!"), rule.lstrip("!")
+        folder, rule = rule.endswith("/"), rule.rstrip("/")
+        rooted, rule = "/" in rule, rule.lstrip("/")
+        body = as_pattern(rule.replace("**/", "\0").replace("/**", "\1"))[5:-2].replace(".*", "[^/]*").replace("\\\0", "(?:.*/)?").replace("\\\1", "/.*")
+        pattern = ("^" if rooted else "(?:^|.*/)") + f"(?:{body})" + ("/.*$" if folder else "(?:/.*)?$")
+        out = F.when(path.rlike(pattern), F.lit(not back)).otherwise(out)
+    return out
+
+
+def scannable(tree: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, gitignore: list[str] | None = None, max_bytes: int = MOST_FILE_BYTES) -> DataFrame:
+    """(path, text) of a tree's files (path, length, content) that are worth reading.
+
+    Left out: skipped folders, binary endings, files over the limit or with a
+    NUL at the beginning, what the ignore rules or the exclude globs name, and,
+    if there are include globs, what none of these names.
+    """
+    skipped = F.exists(F.split("path", "/"), lambda d: d.isin(*SKIPPED_FOLDERS))
+    ending = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    wanted = ~skipped & ~ending.isin(*BINARY_ENDINGS) & (F.col("length") <= max_bytes) & ~ignored(F.col("path"), gitignore or [])
+    for globs, good in ((include, True), (exclude, False)):
+        if globs:
+            hit = F.col("path").rlike("|".join(map(as_pattern, globs)))
+            wanted = wanted & (hit if good else ~hit)
     probe = F.hex(F.substring(F.col("content"), 1, 8000))
-    return text.where(~probe.rlike("^(?:..)*?00")).select("path", F.decode("content", "UTF-8").alias("text"))
+    return tree.where(wanted).where(~probe.rlike("^(?:..)*?00")).select("path", F.decode("content", "UTF-8").alias("text"))
+
+
+def files(spark: SparkSession, path: str, include: list[str] | None = None, exclude: list[str] | None = None, gitignore: list[str] | None = None) -> DataFrame:
+    """(path, text) of a folder's source files, paths as in the folder; see ``scannable``."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    root = F.lit(path.rstrip("/").split("://", 1)[-1] + "/")
+    place = F.regexp_replace("path", "^[a-z]+:/*(?=/)", "")
+    return scannable(raw.select(F.regexp_replace(F.when(F.startswith(place, root), F.substr(place, F.length(root) + 1)).otherwise(place), "^/+", "").alias("path"), "length", "content"), include, exclude, gitignore)
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """(fingerprint) of a baseline, one file or a folder of them, however its JSON is laid out."""
+    raw = spark.read.text(path, wholetext=True)
+    found = F.regexp_extract_all("value", F.lit(r'"fingerprint"\s*:\s*"([^"]*)"'), F.lit(1))
+    return raw.select(F.explode(found).alias("fingerprint")).distinct()
+
+
+def write_baseline(findings: DataFrame, path: str) -> None:
+    """Fingerprints with their places, never values; one object a part, as ``read_baseline`` reads them."""
+    rows = findings.select(F.struct("fingerprint", "path", F.col("line").cast("int").alias("line"), "type").alias("f"))
+    parts = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.sort_array(F.collect_list("f")).alias("findings"))
+    parts.select(F.to_json(F.struct(F.lit(1).alias("version"), "findings")).alias("value")).write.mode("overwrite").text(path)

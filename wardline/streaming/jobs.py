@@ -2,39 +2,71 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.operators import audit as A
 from wardline.streaming import limits as L
 
+_DIGITS = 12
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of a merged table, oldest first: a version counts once its writer has marked it done."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return []
+    found = [s.getPath() for s in fs.listStatus(root)]
+    return sorted(int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def version_path(path: str, number: int) -> str:
+    return f"{path}/v={number:0{_DIGITS}d}"
+
 
-def merge_batch(path: str, key: str, how: dict[str, str]):
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version."""
+    return spark.read.parquet(version_path(path, versions(spark, path)[-1]))
+
+
+def merge_batch(path: str, key: str, how: dict[str, str], keep: int = 2):
     """A foreachBatch function that merges each batch into the newest version of a Parquet table.
 
-    Versions are folders of their own, so a version is never overwritten while
-    it is read; a repeated batch changes nothing, as merging is idempotent.
+    A version is named by its batch's number, so the state is in the folder:
+    after a restart the next batch finds it there, and a batch that is run
+    again reads what came before it and writes the same version anew. The last
+    ``keep`` versions stay.
     """
-    versions: list[str] = []
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.select(key, *how)
-        aggregates = {A.EITHER: F.bool_or, A.GREATEST: F.max}
-        # several rows of a key in one batch: the last not-null scalar by hash order, flags or-ed, counts maximised, lists united
-        one = rows.groupBy(key).agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) if r == A.UNION else aggregates.get(r, F.max)(c).alias(c) for c, r in how.items()])
-        if versions:
-            one = A.merge(spark.read.parquet(versions[-1]), one, key, how).drop("was_there")
-        to = f"{path}/{uuid.uuid4().hex}"
-        one.write.parquet(to)
-        versions.append(to)
-
-    merge.versions = versions
+        aggregates = {A.EITHER: F.bool_or, A.GREATEST: F.max, A.OVERWRITE: F.max}
+        # several rows of a key in one batch have no order: of not-null scalars the greatest, flags or-ed, counts maximised, lists united
+        one = rows.groupBy(key).agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) if r == A.UNION else aggregates[r](c).alias(c) for c, r in how.items()])
+        before = [v for v in versions(spark, path) if v < number]
+        if before:
+            one = A.merge(spark.read.parquet(version_path(path, before[-1])), one, key, how).drop("was_there")
+        one.write.mode("overwrite").parquet(version_path(path, number))
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for old in before[: max(0, len(before) + 1 - keep)]:
+            gone = jvm.org.apache.hadoop.fs.Path(version_path(path, old))
+            gone.getFileSystem(conf).delete(gone, True)
+
     return merge
 
 
+def retention(spark: SparkSession, path: str, cutoff: str, number: int) -> int:
+    """A new version of a merged table (number) without rows older than the cutoff; how many went."""
+    old = current(spark, path)
+    before = old.count()
+    kept = A.keep_since(old, cutoff)
+    kept.write.mode("overwrite").parquet(version_path(path, number))
+    return before - spark.read.parquet(version_path(path, number)).count()
+
+
 def windowed_counts(events: DataFrame, width: str, late: str, *by: str) -> DataFrame:
     """Tumbling counts over a stream; events later than the watermark are left out."""
     return L.tumbling(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), width, *by)
