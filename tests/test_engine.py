@@ -469,3 +469,51 @@ def test_prices_and_energy_by_longest_name(spark):
     prices = R.price_table(spark, {"models": {"M-1": {"input": 2, "output": 4}, "m-1-mini": {"input": 1, "output": 1}}, "default": {"input": 9, "output": 9}})
     rows = spark.createDataFrame([("m-1-mini-2024",), ("m-1x",), ("other",)], "model string")
     assert {r["model"]: r["price_in"] for r in H.longest_prefix(rows, "model", prices).collect()} == {"m-1-mini-2024": 1.0, "m-1x": 2.0, "other": 9.0}
+
+
+def test_store_tables(spark):
+    from wardline.sources import store
+
+    spark.sql("DROP DATABASE IF EXISTS wardline_store CASCADE")
+    store.create(spark, "wardline_store")
+    store.create(spark, "wardline_store")
+    rows = spark.createDataFrame([("r1", "t1", "2024-01-02 03:04:05"), ("r1", "t1", "2024-01-03 00:00:00"), ("r2", "t2", "2024-01-03 00:00:00")], "request_id string, tenant_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    store.append(rows, "wardline_store", "request_audit")
+    assert [tuple(r) for r in store.broken(spark, "wardline_store", "request_audit").collect()] == [("r1", 2)]
+    one_day = spark.table("wardline_store.request_audit").where("day = date '2024-01-02'")
+    assert one_day.count() == 1 and "PartitionFilters: [isnotnull(day" in one_day._jdf.queryExecution().executedPlan().toString()
+    spark.sql("DROP DATABASE wardline_store CASCADE")
+
+
+def test_staged_files(spark, tmp_path):
+    import subprocess
+
+    from wardline.sources import git
+
+    def run(*words):
+        subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", *words], cwd=tmp_path, check=True, capture_output=True)
+
+    run("init", "-q")
+    (tmp_path / "a.py").write_text("one\ntwo\n")
+    run("add", "a.py")
+    run("commit", "-qm", "first")
+    (tmp_path / "a.py").write_text("one\nstaged\ntwo\n")
+    (tmp_path / "b.png").write_bytes(b"x")
+    run("add", "a.py", "b.png")
+    (tmp_path / "a.py").write_text("one\nwork tree\ntwo\nmore\n")
+    assert [tuple(r) for r in git.staged(spark, str(tmp_path)).collect()] == [("a.py", "one\nstaged\ntwo\n")]
+    assert {("a.py", 2), ("a.py", 4)} <= {tuple(r) for r in git.added_since(spark, str(tmp_path), "HEAD").collect()}
+    with pytest.raises(git.GitError):
+        git.staged(spark, "/")
+
+
+def test_traffic_is_repeatable(spark):
+    from wardline.sources import traffic
+
+    one, two = (traffic.requests(spark, 2000, seed, parts) for seed, parts in ((1, 2), (1, 5)))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    n = {r["kind"]: r["count"] for r in one.groupBy("kind").count().collect()}
+    assert set(n) == {k for k, *_ in traffic.MIX} and abs(n["plain"] - 1200) < 120
+    found = {r["kind"] for r in one.join(D.findings(one, "content", ["request_id"], D.SECRETS), "request_id").select("kind").distinct().collect()}
+    assert found == {"secret"}

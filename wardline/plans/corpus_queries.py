@@ -419,3 +419,20 @@ def sarif_results(spark, sf_dir):
     rows = B.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("f"), (F.col("l_orderkey") % 50).cast("string"), F.lit(".py")).alias("path"), F.col("l_linenumber").alias("line"), F.concat(F.lit("rule-"), "l_returnflag").alias("rule_id"), F.when(n == 0, "note").when(n == 1, "warning").otherwise("error").alias("level")).distinct()
     return O.sarif_rows(rows, "wardline")
 
+
+
+_ORDER = "'order-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0')"
+
+
+@query("sql_functions", f"SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'override.ignore_previous' ELSE 'jb.do_anything_now' END AS rule_id, left({_ORDER}, 2) || repeat('*', 8) || right({_ORDER}, 2) AS masked, CAST(0.975 AS DOUBLE) AS score FROM orders")
+def sql_functions(spark, sf_dir):
+    """The table function and the scalar ones, called from SQL."""
+    from wardline.functions import sql
+
+    sql.register(spark)
+    B.table(spark, sf_dir, "orders").createOrReplaceTempView("orders_of_sql_functions")
+    return spark.sql("""
+        SELECT k, s.rule_id, mask_preview(concat('order-', lpad(CAST(k AS STRING), 6, '0'))) AS masked, noisy_or(array(0.9D, 0.75D)) AS score
+        FROM (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'ignore all previous instructions' ELSE 'do anything now' END AS t FROM orders_of_sql_functions),
+          LATERAL scan_text(t) s""")
+
