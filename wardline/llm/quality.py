@@ -36,7 +36,7 @@ STATISTICS = ("distinct_share", "top_share", "pair_share", "symbol_share", "capi
 SAMPLE_ROWS = 2500
 SAMPLE_TEXT_BYTES = 16_384
 BUCKETS = 1 << 14
-ROUNDS = 120
+ROUNDS = 60
 
 #: classes of bytes for word shapes: letters, capitals, digits, beyond ASCII, and each other sign itself
 _SHAPE = np.arange(256, dtype=np.uint8)

@@ -22,7 +22,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from wardline.llm import textops as X
 
@@ -206,13 +205,12 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     there = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    likely = F.lit(False)
+    parts = []
     for label, n in ((1, toxic_rows), (0, ordinary_rows)):
         share = int((1 << 30) * min(1.0, 4 * n / max(1, there.get(label, 0))))  # so that each task sends few
-        likely |= (F.col("toxic") == label) & (place < share)
-    order = Window.partitionBy("toxic").orderBy("place", "doc_id")
-    few = marked.where(likely).withColumn("place", place)
-    few = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.when(F.col("toxic") == 1, 2 * toxic_rows).otherwise(2 * ordinary_rows))
+        likely = marked.where((F.col("toxic") == label) & (place < share)).withColumn("place", place)
+        parts.append(likely.orderBy("place", "doc_id").limit(2 * n))
+    few = parts[0].union(parts[1])
     # ids are bounded by the rows asked for, so they are broadcast and no text is shuffled
     sizes = docs.join(F.broadcast(few), "doc_id").where("text is not null").groupBy("doc_id", "toxic", "place").agg(F.max(F.octet_length("text")).alias("size"))
     wanted: list[int] = []
