@@ -27,6 +27,8 @@ class Rule:
     pattern: str
     confidence: float
     sign: str = ""
+    #: a cheap pattern that must occur before the rule's own is tried
+    gate: str = ""
     #: accept(text, match) of a match's start, end and value
     accept: Callable[[Column, Column], Column] | None = None
     #: matches inside these are left out
@@ -49,6 +51,7 @@ def matches(text: Column, rules: tuple[Rule, ...] | list[Rule]) -> Column:
     def pairs(i: int, r: Rule) -> Column:
         found = F.zip_with(F.split(text, r.pattern, -1), F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0)), lambda g, v: F.struct(F.lit(i).alias("i"), F.length(g).alias("gap"), v.alias("v")))
         there = text.rlike(r.pattern)
+        there = text.rlike(r.gate) & there if r.gate else there
         return F.when(F.contains(text, F.lit(r.sign)) & there if r.sign else there, F.filter(found, lambda x: x["v"].isNotNull())).otherwise(none)
 
     def by_rule(m: Column, of: Callable[[Rule], Column | None], default: Column) -> Column:
@@ -115,17 +118,17 @@ def _mobile(text: Column, m: Column) -> Column:
 
 PERSONAL = (
     Rule("regex.email", "EMAIL_ADDRESS", "PII", X.EMAIL, 0.95, "@"),
-    Rule("regex.ipv4", "IP_ADDRESS", "PII", X.IPV4, 0.90, "."),
-    Rule("regex.ipv6", "IP_ADDRESS", "PII", X.IPV6, 0.80, ":", accept=lambda _, m: F.length(m["value"]) >= 8),
-    Rule("regex.ssn", "US_SSN", "PII", X.SSN, 0.85, "-"),
-    Rule("regex.card_luhn", "CREDIT_CARD", "PII", X.DIGIT_RUN, 0.92, accept=_card, outside=X.UUID),
-    Rule("regex.phone", "PHONE_NUMBER", "PII", X.PHONE, 0.70, accept=_phone, outside=X.UUID, sure=lambda v: F.when(v.rlike("[+(]"), 0.85)),
-    Rule("regex.honorific_name", "PERSON", "PII", X.HONORIFIC_NAME, 0.60),
-    Rule("india.aadhaar_verhoeff", "IN_AADHAAR", "PII", X.AADHAAR, 0.95, accept=lambda _, m: C.verhoeff(digits(m["value"]))),
-    Rule("india.pan", "IN_PAN", "PII", X.PAN, 0.55, sure=lambda v: F.when(F.contains(F.lit(X.PAN_HOLDERS), F.substr(v, F.lit(4), F.lit(1))), 0.90)),
-    Rule("india.ifsc", "IN_IFSC", "PII", X.IFSC, 0.60, sure=lambda v: F.when(F.left(v, F.lit(4)).isin(X.BANKS), 0.92)),
+    Rule("regex.ipv4", "IP_ADDRESS", "PII", X.IPV4, 0.90, ".", gate="[0-9][.][0-9]"),
+    Rule("regex.ipv6", "IP_ADDRESS", "PII", X.IPV6, 0.80, ":", accept=lambda _, m: F.length(m["value"]) >= 8, gate="[0-9a-fA-F]:[0-9a-fA-F:]"),
+    Rule("regex.ssn", "US_SSN", "PII", X.SSN, 0.85, "-", gate="[0-9]{3}-[0-9]{2}"),
+    Rule("regex.card_luhn", "CREDIT_CARD", "PII", X.DIGIT_RUN, 0.92, accept=_card, outside=X.UUID, gate="[0-9][ -]?[0-9]{3}"),
+    Rule("regex.phone", "PHONE_NUMBER", "PII", X.PHONE, 0.70, accept=_phone, outside=X.UUID, sure=lambda v: F.when(v.rlike("[+(]"), 0.85), gate="[0-9][ .-][0-9]{2}"),
+    Rule("regex.honorific_name", "PERSON", "PII", X.HONORIFIC_NAME, 0.60, gate=r"\b(?:" + "|".join(X.HONORIFICS) + r")[.\s]"),
+    Rule("india.aadhaar_verhoeff", "IN_AADHAAR", "PII", X.AADHAAR, 0.95, accept=lambda _, m: C.verhoeff(digits(m["value"])), gate="[0-9]{4}"),
+    Rule("india.pan", "IN_PAN", "PII", X.PAN, 0.55, sure=lambda v: F.when(F.contains(F.lit(X.PAN_HOLDERS), F.substr(v, F.lit(4), F.lit(1))), 0.90), gate="[A-Z]{5}[0-9]{4}"),
+    Rule("india.ifsc", "IN_IFSC", "PII", X.IFSC, 0.60, sure=lambda v: F.when(F.left(v, F.lit(4)).isin(X.BANKS), 0.92), gate="[A-Z]{4}0"),
     Rule("india.upi_vpa", "IN_UPI_ID", "PII", X.PAYMENT_ADDRESS, 0.88, "@"),
-    Rule("india.mobile", "PHONE_NUMBER", "PII", X.MOBILE, 0.65, accept=_mobile, sure=lambda v: F.when(F.length(digits(v)) > 10, 0.90)),
+    Rule("india.mobile", "PHONE_NUMBER", "PII", X.MOBILE, 0.65, accept=_mobile, sure=lambda v: F.when(F.length(digits(v)) > 10, 0.90), gate="[0-9]{5}"),
 )
 
 
@@ -141,7 +144,8 @@ def _no_stand_in(_: Column, m: Column) -> Column:
 
 
 _ACCEPT = {"jwt": _jwt, "generic_secret_assignment": _no_stand_in, "bearer_token": _no_stand_in, "provider_api_key": _no_stand_in, "uri_credential": _no_stand_in, "database_uri": _no_stand_in}
-SECRETS = tuple(Rule(name, kind, "SECRET", pattern, base, sign, _ACCEPT.get(name), nudged=True) for name, kind, _, pattern, base, sign in X.SECRETS)
+_GATES = {"bearer_token": "(?i)bearer ", "generic_secret_assignment": "(?i)(?:key|secret|token|passwd|password)[\"' ]{0,4}[:=]", "telegram_token": "[0-9]{8}:", "aws_secret_key": "(?i)aws_secret_access_key", "twilio_key": "SK[0-9a-f]{8}", "uri_credential": "://[^\\s/@]*@", "database_uri": "://[^\\s/@]*@"}
+SECRETS = tuple(Rule(name, kind, "SECRET", pattern, base, sign, _GATES.get(name, ""), _ACCEPT.get(name), nudged=True) for name, kind, _, pattern, base, sign in X.SECRETS)
 
 
 def findings(texts: DataFrame, text: str, key: list[str], rules=PERSONAL) -> DataFrame:
