@@ -28,7 +28,8 @@ from wardline.llm import textops as X
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 4 << 20
+#: bytes of text in a shard; tables of this length stay with a worker
+SHARD_BYTES = 1 << 20
 
 
 class TestSuffixes:
