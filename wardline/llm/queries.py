@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import chat, decontam, html, licenses, neardup, pieces, quality, repeats, topk, toxicity
+from wardline.llm import chat, decontam, divergence, html, licenses, lloyd, neardup, pieces, quality, repeats, tokenfile, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.clusters(_table(spark, sf_dir, "embeddings"))
+
+
 OP4_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -111,6 +123,66 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dots) WHERE rank <= 5
 """
 
+OP11_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+found AS (
+  SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM docs),
+kept AS (SELECT lang, term FROM found GROUP BY lang, term HAVING count(DISTINCT d) >= 30),
+terms AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY lang, source, term),
+totals AS (SELECT lang, source, sum(n) AS n FROM counts GROUP BY lang, source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (coalesce(t.n, 0) + 5 * v.v) AS p
+  FROM grp g JOIN kept k USING (lang) JOIN terms v USING (lang) LEFT JOIN counts c USING (lang, source, term) LEFT JOIN totals t USING (lang, source)),
+q AS (
+  SELECT lang, term, 1 + (1000000000 * (sum(n) + 5)) // (any_value(t.total) + 5 * any_value(v.v)) AS q
+  FROM p JOIN (SELECT lang, sum(n) AS total FROM totals GROUP BY lang) t USING (lang) JOIN terms v USING (lang) GROUP BY lang, term),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = a.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source),
+rises AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM rises))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def _lloyd_sql(k: int = 16, rounds: int = 3) -> str:
+    steps = [f"""
+kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+rows AS (SELECT row_number() OVER () AS r, * FROM kept),
+comps AS (SELECT r, i AS dim, q[i] AS x FROM rows, range(1, 65) AS t(i)),
+c0 AS (
+  SELECT num, i AS dim, q[i] AS x
+  FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS num, q FROM kept QUALIFY num < {k}), range(1, 65) AS t(i))"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS (
+  SELECT r, arg_min(num, (d, num)) AS num, min(d) AS d
+  FROM (SELECT v.r, c.num, CAST(sum((v.x - c.x) * (v.x - c.x)) AS BIGINT) AS d FROM comps v JOIN c{n} c USING (dim) GROUP BY v.r, c.num) GROUP BY r)""")
+        if n < rounds:
+            steps.append(f"""
+s{n} AS (SELECT num, dim, CAST(sum(x) AS BIGINT) AS s, count(*) AS w FROM comps JOIN a{n} USING (r) GROUP BY num, dim),
+c{n + 1} AS (SELECT c.num, c.dim, coalesce((s - ((s % w) + w) % w) // w, c.x) AS x FROM c{n} c LEFT JOIN s{n} USING (num, dim))""")
+    return f"""
+WITH {",".join(steps)},
+hashes AS (SELECT num, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY dim)) AS h FROM c{rounds} GROUP BY num),
+copies AS (SELECT q, count(*) AS n FROM kept GROUP BY q)
+SELECT vec_id, CAST(num AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY num) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256, n AS multiplicity
+FROM rows JOIN a{rounds} USING (r) JOIN hashes USING (num) JOIN copies USING (q)
+"""
+
+
+OP13_SQL = _lloyd_sql()
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -124,7 +196,10 @@ QUERIES = {
         op8_html_extraction,
         op9_suffix_array_dedup,
         op10_sentencepiece,
+        op11_source_divergence,
+        op12_token_file,
+        op13_centroid_clustering,
     )
 }
 
-ORACLES = {"op4_chat_formatting": OP4_SQL, "op5_benchmark_decontamination": OP5_SQL, "op6_exact_top_k": OP6_SQL}
+ORACLES = {"op4_chat_formatting": OP4_SQL, "op5_benchmark_decontamination": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op11_source_divergence": OP11_SQL, "op13_centroid_clustering": OP13_SQL}
