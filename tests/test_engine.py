@@ -283,30 +283,6 @@ def test_windowed_stream_equals_batch(spark, sf_dir, tmp_path):
     assert sorted(map(str, spark.table("counts").collect())) == sorted(map(str, batch.collect()))
 
 
-def test_merge_stream_is_idempotent(spark, tmp_path):
-    how = {"provider": A.OVERWRITE, "hit": A.EITHER, "n": A.GREATEST, "rules": A.UNION}
-    schema = "id long, provider string, hit boolean, n long, rules array<string>"
-    first = spark.createDataFrame([(1, None, False, 2, ["a"]), (2, "x", None, 1, [])], schema)
-    second = spark.createDataFrame([(1, "y", True, 1, ["b", "a"]), (3, "z", False, 5, ["c"])], schema)
-    path = str(tmp_path / "merged")
-    for k, batch in enumerate((first, second, second)):
-        jobs.merge_batch(path, "id", how)(batch, k)  # a function of its own each time, as after a restart
-    jobs.merge_batch(path, "id", how)(second, 2)  # the last batch once more
-    want = {1: ("y", True, 2, ["a", "b"]), 2: ("x", False, 1, []), 3: ("z", False, 5, ["c"])}
-    assert {r["id"]: (r["provider"], r["hit"], r["n"], r["rules"]) for r in jobs.current(spark, path).collect()} == want
-    assert jobs.versions(spark, path) == [1, 2]
-
-
-def test_merge_ignores_unfinished_versions_and_retention_counts(spark, tmp_path):
-    path = str(tmp_path / "merged")
-    merge = jobs.merge_batch(path, "id", {"ts": A.OVERWRITE})
-    merge(spark.createDataFrame([(1, "2024-01-01"), (2, "2024-02-01")], "id long, ts string").withColumn("ts", F.col("ts").cast("timestamp")), 0)
-    (tmp_path / "merged" / "v=000000000001").mkdir()
-    assert jobs.versions(spark, path) == [0]
-    assert jobs.retention(spark, path, "2024-01-15 00:00:00", 2) == 1
-    assert [r["id"] for r in jobs.current(spark, path).collect()] == [2]
-
-
 def test_stateful_streams_equal_the_replay(spark, tmp_path):
     pytest.importorskip("google.protobuf")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

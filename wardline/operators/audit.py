@@ -77,9 +77,9 @@ def merge(old: DataFrame, new: DataFrame, key: str, how: dict[str, str]) -> Data
     return joined.select(*out, both.alias("was_there"))
 
 
-def keep_since(audit: DataFrame, cutoff: str) -> DataFrame:
-    """What retention leaves: rows not older than the cutoff."""
-    return audit.where(F.col("ts") >= F.lit(cutoff).cast("timestamp"))
+def keep_since(audit: DataFrame, cutoff: str, column: str = "ts") -> DataFrame:
+    """What retention leaves: rows not older than the cutoff, and those without a time."""
+    return audit.where((F.col(column) >= F.lit(cutoff).cast("timestamp")) | F.col(column).isNull())
 
 
 def erase(audit: DataFrame, subjects: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from wardline.operators import audit as A
 from wardline.operators import metrics as M
 from wardline.plans.registry import query
+from wardline.session import work_folder
 from wardline.sources import bridge as B
+from wardline.sources.commitlog import Table
 
 WEEK = 168
 SINCE = "TIMESTAMP '2024-01-24 00:00:00'"
@@ -199,7 +201,15 @@ MERGE_SQL = f"""{WITH}, a AS (SELECT request_id, CAST(NULL AS VARCHAR) AS provid
 
 @query("audit_merge", MERGE_SQL)
 def audit_merge(spark, sf_dir):
-    return A.merge(*_halves(spark, sf_dir), "request_id", HALVES)
+    """Both halves as batches of two streams through the commit log, the first of them twice; a flag of each half tells who was there."""
+    table = Table(spark, work_folder(spark, "audit"), "request_id", buckets=8)
+    ours, gateway = _halves(spark, sf_dir)
+    how = {**HALVES, "by_us": A.EITHER, "by_gateway": A.EITHER}
+    ours = ours.select("*", F.lit(True).alias("by_us"), F.lit(False).alias("by_gateway"))
+    table.merge(ours, how, "ours", 0)
+    table.merge(gateway.select("*", F.lit(False).alias("by_us"), F.lit(True).alias("by_gateway")), how, "gateway", 0)
+    table.merge(ours, how, "ours", 0)
+    return table.read().select("request_id", *HALVES, (F.col("by_us") & F.col("by_gateway")).alias("was_there"))
 
 
 @query("audit_upsert", f"SELECT * EXCLUDE (was_there) FROM ({MERGE_SQL})")
@@ -219,7 +229,14 @@ def egress_merge(spark, sf_dir):
 
 @query("purge_expired", f"{WITH} SELECT tenant_id, count(*) AS left_over FROM audit WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY tenant_id")
 def purge_expired(spark, sf_dir):
-    return A.keep_since(B.audit(spark, sf_dir), "2024-01-15 00:00:00").groupBy("tenant_id").agg(F.count("*").alias("left_over"))
+    """Through the commit log: a stream's batch, retention, and the same batch again, which must bring nothing back."""
+    table = Table(spark, work_folder(spark, "audit"), "request_id", buckets=8)
+    rows = B.audit(spark, sf_dir).select("request_id", "tenant_id", "ts")
+    how = {"tenant_id": A.OVERWRITE, "ts": A.OVERWRITE}
+    table.merge(rows, how, "ours", 0)
+    table.retain("2024-01-15 00:00:00")
+    table.merge(rows, how, "ours", 0)
+    return table.read().groupBy("tenant_id").agg(F.count("*").alias("left_over"))
 
 
 @query("erase_subject", f"{WITH} SELECT user_ref, count(*) AS n FROM audit WHERE CAST(substr(user_ref, 2) AS INT) % 10 <> 4 GROUP BY user_ref")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -40,3 +42,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, Path(root.name) / p.relative_to(root))
     spark.sparkContext.addPyFile(str(to))
     _shipped.add(app)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the cluster's checkpoint folder (spark.checkpoint.dir). Where none is set, a temporary one in a local session; on a cluster, an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="wardline-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared}/{name}-{uuid.uuid4().hex}"

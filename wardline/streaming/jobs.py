@@ -5,66 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.operators import audit as A
+from wardline.sources.commitlog import Table
 from wardline.streaming import limits as L
 
-_DIGITS = 12
 
+def merge_batch(path: str, key: str, how: dict[str, str], stream: str = "audit", buckets: int = 64):
+    """A foreachBatch function that merges each batch into the table of a folder.
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete versions of a merged table, oldest first: a version counts once its writer has marked it done."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
-        return []
-    found = [s.getPath() for s in fs.listStatus(root)]
-    return sorted(int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    The batch's number is part of the commit, so a batch that is run again, after a restart too, changes nothing.
+    Streams that write to one table need names of their own.
+    """
 
+    def merge(batch: DataFrame, number: int) -> None:
+        Table(batch.sparkSession, path, key, buckets).merge(batch, how, stream, number)
 
-def version_path(path: str, number: int) -> str:
-    return f"{path}/v={number:0{_DIGITS}d}"
+    return merge
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete version."""
-    return spark.read.parquet(version_path(path, versions(spark, path)[-1]))
+def current(spark: SparkSession, path: str, key: str = "request_id") -> DataFrame:
+    """The newest version of a merged table."""
+    return Table(spark, path, key).read()
 
 
-def merge_batch(path: str, key: str, how: dict[str, str], keep: int = 2):
-    """A foreachBatch function that merges each batch into the newest version of a Parquet table.
+def retention(spark: SparkSession, path: str, cutoff: str, key: str = "request_id", column: str = "ts") -> int:
+    """Rows older than the cutoff are gone from the newest version on; how many went."""
+    return Table(spark, path, key).retain(cutoff, column)
 
-    A version is named by its batch's number, so the state is in the folder:
-    after a restart the next batch finds it there, and a batch that is run
-    again reads what came before it and writes the same version anew. The last
-    ``keep`` versions stay.
-    """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(key, *how)
-        aggregates = {A.EITHER: F.bool_or, A.GREATEST: F.max, A.OVERWRITE: F.max}
-        # several rows of a key in one batch have no order: of not-null scalars the greatest, flags or-ed, counts maximised, lists united
-        one = rows.groupBy(key).agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) if r == A.UNION else aggregates[r](c).alias(c) for c, r in how.items()])
-        before = [v for v in versions(spark, path) if v < number]
-        if before:
-            one = A.merge(spark.read.parquet(version_path(path, before[-1])), one, key, how).drop("was_there")
-        one.write.mode("overwrite").parquet(version_path(path, number))
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for old in before[: max(0, len(before) + 1 - keep)]:
-            gone = jvm.org.apache.hadoop.fs.Path(version_path(path, old))
-            gone.getFileSystem(conf).delete(gone, True)
-
-    return merge
+def retention_batch(path: str, days: int, key: str = "request_id", column: str = "ts", keep: int = 2, grace_seconds: float = 3600.0):
+    """A foreachBatch function of a schedule: each tick (a batch of a rate stream, say) removes what is older than so many days before the tick's newest time, and files no version needs."""
 
+    def tick(batch: DataFrame, _: int) -> None:
+        now = batch.agg(F.max("timestamp")).first()[0]
+        if now is None:
+            return
+        table = Table(batch.sparkSession, path, key)
+        cutoff = batch.sparkSession.range(1).select((F.lit(now) - F.make_dt_interval(F.lit(days))).cast("string")).first()[0]
+        table.retain(cutoff, column)
+        table.vacuum(keep, grace_seconds)
 
-def retention(spark: SparkSession, path: str, cutoff: str, number: int) -> int:
-    """A new version of a merged table (number) without rows older than the cutoff; how many went."""
-    old = current(spark, path)
-    before = old.count()
-    kept = A.keep_since(old, cutoff)
-    kept.write.mode("overwrite").parquet(version_path(path, number))
-    return before - spark.read.parquet(version_path(path, number)).count()
+    return tick
 
 
 def windowed_counts(events: DataFrame, width: str, late: str, *by: str) -> DataFrame:
