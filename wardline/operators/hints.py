@@ -47,36 +47,6 @@ def longest_prefix(rows: DataFrame, name: str, prices: DataFrame) -> DataFrame:
     return rows.join(best, name, "left").select(*rows.columns, "p.*")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Null where a vector is all zeros."""
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def nearest(probes: DataFrame, entries: DataFrame, threshold: float, k: int = 1, salts: int = 8) -> DataFrame:
-    """Each probe's k best entries of its own tenant at or over the threshold.
-
-    probes: probe_id, tenant, embedding and, if the entries have them too,
-    guards, which must then be equal; entries: entry_id, tenant, embedding.
-    Vectors get unit length once, so a pair costs one product. A tenant's
-    entries are dealt to ``salts`` parts, each of which keeps k for a probe, so
-    a large tenant is no single task's; probes are copied, entries are not.
-    """
-    unit = lambda c: F.transform(c, lambda x: F.try_divide(x.cast("double"), F.sqrt(dot(F.col("embedding"), F.col("embedding")))))
-    guarded = "guards" in probes.columns and "guards" in entries.columns
-    also = ["guards"] if guarded else []
-    p = probes.select("tenant", "probe_id", *also, unit(F.col("embedding")).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    e = entries.select("tenant", "entry_id", *also, unit(F.col("embedding")).alias("e"), F.pmod(F.xxhash64("entry_id"), F.lit(salts)).cast("int").alias("salt"))
-    scored = p.join(e, ["tenant", "salt", *also]).select("probe_id", "salt", "entry_id", F.round(dot(F.col("p"), F.col("e")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
-    for part in (["probe_id", "salt"], ["probe_id"]):
-        order = Window.partitionBy(*part).orderBy(F.desc("similarity"), "entry_id")
-        scored = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return scored.select("probe_id", "entry_id", "similarity", "rank")
-
-
 #: fixed value: a sentence ends where white space follows a stop and a capital, digit, quote or bracket comes next
 SENTENCE = r"(?<=[.!?])\s+(?=[A-Z0-9\"'(\[])"
 

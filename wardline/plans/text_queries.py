@@ -8,6 +8,7 @@ from wardline.functions import checksums as C
 from wardline.operators import detect as D
 from wardline.operators import hints as H
 from wardline.operators import inspect as N
+from wardline.operators import neighbours as K
 from wardline.operators import policy as P
 from wardline.operators import spans as S
 from wardline.plans.registry import query
@@ -293,7 +294,7 @@ def _knn(spark, sf_dir, threshold, k):
     v = B.table(spark, sf_dir, "embeddings")
     probes = v.where("vec_id % 20 = 0").select((-1 - F.col("vec_id")).alias("probe_id"), F.col("label").alias("tenant"), "embedding")
     entries = v.select(F.col("vec_id").alias("entry_id"), F.col("label").alias("tenant"), "embedding")
-    return H.nearest(probes, entries, threshold, k)
+    return K.nearest(probes, entries, threshold, k)
 
 
 @query("semantic_cache_lookup", f"{_KNN} WHERE similarity >= 0.92) WHERE rank = 1")
@@ -308,7 +309,7 @@ def semantic_cache_guards(spark, sf_dir):
     guard = F.col("vec_id") % 3
     probes = v.where("vec_id % 20 = 0").select((-1 - F.col("vec_id")).alias("probe_id"), F.col("label").alias("tenant"), "embedding", F.lit(0).cast("long").alias("guards"))
     entries = v.select(F.col("vec_id").alias("entry_id"), F.col("label").alias("tenant"), "embedding", F.when(guard == 0, 0).otherwise(F.col("vec_id") + 1).cast("long").alias("guards"))
-    return H.nearest(probes, entries, 0.999999, 1).select("probe_id", "entry_id")
+    return K.nearest(probes, entries, 0.999999, 1).select("probe_id", "entry_id")
 
 
 @query("evidence_topk", f"{_KNN}) WHERE rank <= 3")
