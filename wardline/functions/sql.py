@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -24,10 +23,10 @@ class ScanText:
     """The injection rules, needles and evasion signs that a text shows, one row each; null shows none."""
 
     def __init__(self) -> None:
-        self.rules = [(rule, category, float(weight), re.compile(pattern)) for rule, category, weight, pattern in I.RULES]
+        self.rules = I.Rules()
 
     def eval(self, text: str) -> Iterator[tuple[str, str, float, str]]:
-        yield from I.hits_of(text or "", self.rules)
+        yield from self.rules.hits(text or "")
 
 
 def register(spark: SparkSession) -> None:

@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import fixed as X
+from wardline.operators.literals import Gate
 
-_BLOB = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9+/=])")
-MOST_BLOBS, MOST_BLOB_CHARS = 5, 4096
+_BLOB = re.compile(rf"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{{{X.LEAST_BLOB},}}={{0,2}}(?![A-Za-z0-9+/=])")
 AT = 0.5
 RULES = X.INJECTION_RULES
 HITS = "array<struct<rule_id:string,category:string,weight:double,via:string>>"
@@ -30,7 +30,6 @@ _HIDDEN = re.compile(X.ZERO_WIDTH)
 _LOOKALIKES = str.maketrans(*X.LOOKALIKES)
 _LEET = str.maketrans(*X.LEET)
 _SPACED = re.compile(r"\b(?:[a-z] ){4,}[a-z]\b")
-_NO_SPACES = re.compile(r"\s+")
 
 
 def _tidy(text: str) -> str:
@@ -56,7 +55,7 @@ class Reading:
         latin = shown if shown.isascii() else shown.translate(_LOOKALIKES)
         low = latin.lower()
         joined, runs = _SPACED.subn(lambda m: m[0].replace(" ", ""), low)
-        out = cls(_tidy(low), "", _tidy(joined) if runs else None, [], bool(_HIDDEN.search(text)), latin != shown)
+        out = cls(_tidy(low), "", _tidy(joined) if runs else None, [], not text.isascii() and bool(_HIDDEN.search(text)), latin != shown)
         out.leet = out.base.translate(_LEET)
         if payloads:
             out.payloads = [cls.of(p, False).base for p in decoded(text)]
@@ -67,9 +66,9 @@ def decoded(text: str) -> list[str]:
     """What the first base64 blobs say that hold printable text with a letter in it."""
     out: list[str] = []
     for m in _BLOB.finditer(text):
-        if len(out) == MOST_BLOBS:
+        if len(out) == X.MOST_BLOBS:
             break
-        if len(m[0]) > MOST_BLOB_CHARS:
+        if len(m[0]) > X.MOST_BLOB_CHARS:
             continue
         try:
             plain = base64.b64decode(m[0] + "=" * (-len(m[0]) % 4)).decode()
@@ -80,32 +79,41 @@ def decoded(text: str) -> list[str]:
     return out
 
 
-def hits_of(text: str, rules: list[tuple[str, str, float, re.Pattern[str]]]) -> list[tuple[str, str, float, str]]:
-    """(rule, category, weight, via): rules by the first reading they match, needles in run-together text where no rule of their category matched, and signs of evasion."""
-    r = Reading.of(text)
-    readings = [("base", r.base)]
-    if r.leet != r.base:
-        readings.append(("leet", r.leet))
-    if r.despaced is not None:
-        readings.append(("despaced", r.despaced))
-    readings += [("base64", p) for p in r.payloads]
-    found = []
-    for rule, category, weight, pattern in rules:
-        via = next((name for name, reading in readings if pattern.search(reading)), None)
-        if via:
-            found.append((rule, category, weight, via))
-    covered = {category for _, category, _, _ in found}
-    compact = _NO_SPACES.sub("", r.base)
-    for rule, category, weight, needle in X.COMPACT_NEEDLES:
-        if category not in covered and needle in compact:
-            found.append((rule, category, weight, "compact"))
-            covered.add(category)
-    if not found:
-        return []
-    ways = {via for *_, via in found}
-    signs = {"compact_match": "compact" in ways, "leetspeak": "leet" in ways, "spaced_letters": "despaced" in ways, "base64_payload": "base64" in ways, "homoglyph": r.lookalikes, "zero_width": r.hidden}
-    via_of = {"compact_match": "compact", "leetspeak": "leet", "spaced_letters": "despaced", "base64_payload": "base64"}
-    return found + [(f"evasion.{name}", "encoding_evasion", X.EVASION[name], via_of.get(name, "base")) for name, on in signs.items() if on]
+class Rules:
+    """Rules and run-together needles, ready to be held against texts: one pass of an automaton over each reading tells which are tried."""
+
+    def __init__(self, rules=RULES) -> None:
+        self.rules = [(rule, category, float(weight), re.compile(pattern)) for rule, category, weight, pattern in rules]
+        self._gate = Gate(p for *_, p in rules)
+        self._needles = Gate(frozenset([needle]) for *_, needle in X.COMPACT_NEEDLES)
+
+    def hits(self, text: str) -> list[tuple[str, str, float, str]]:
+        """(rule, category, weight, via): rules by the first reading they match, needles in run-together text where no rule of their category matched, and signs of evasion."""
+        r = Reading.of(text)
+        readings = [("base", r.base)]
+        if r.leet != r.base:
+            readings.append(("leet", r.leet))
+        if r.despaced is not None:
+            readings.append(("despaced", r.despaced))
+        readings += [("base64", p) for p in r.payloads]
+        via_of_rule: dict[int, str] = {}
+        for name, reading in readings:
+            for k in self._gate.of(reading):
+                if k not in via_of_rule and self.rules[k][3].search(reading):
+                    via_of_rule[k] = name
+        found = [(*self.rules[k][:3], via_of_rule[k]) for k in sorted(via_of_rule)]
+        covered = {category for _, category, _, _ in found}
+        for k in sorted(self._needles.of("".join(r.base.split()))):
+            rule, category, weight, _ = X.COMPACT_NEEDLES[k]
+            if category not in covered:
+                found.append((rule, category, weight, "compact"))
+                covered.add(category)
+        if not found:
+            return []
+        ways = {via for *_, via in found}
+        signs = {"compact_match": "compact" in ways, "leetspeak": "leet" in ways, "spaced_letters": "despaced" in ways, "base64_payload": "base64" in ways, "homoglyph": r.lookalikes, "zero_width": r.hidden}
+        via_of = {"compact_match": "compact", "leetspeak": "leet", "spaced_letters": "despaced", "base64_payload": "base64"}
+        return found + [(f"evasion.{name}", "encoding_evasion", X.EVASION[name], via_of.get(name, "base")) for name, on in signs.items() if on]
 
 
 def with_hits(texts: DataFrame, text: str, key: list[str], rules=RULES) -> DataFrame:
@@ -114,9 +122,9 @@ def with_hits(texts: DataFrame, text: str, key: list[str], rules=RULES) -> DataF
 
     @F.pandas_udf(HITS)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ready = [(rule, category, float(weight), re.compile(pattern)) for rule, category, weight, pattern in plain]
+        ready = Rules(plain)
         for batch in batches:
-            yield pd.Series([[dict(zip(("rule_id", "category", "weight", "via"), h, strict=True)) for h in hits_of(t or "", ready)] for t in batch])
+            yield pd.Series([[dict(zip(("rule_id", "category", "weight", "via"), h, strict=True)) for h in ready.hits(t or "")] for t in batch])
 
     # what is not deterministic is not copied into filters above, where it would run again
     return texts.select(*key, search.asNondeterministic()(F.col(text)).alias("hits"))
