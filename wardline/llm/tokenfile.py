@@ -10,8 +10,8 @@ Writing: documents are range-partitioned by id, a task encodes its range in orde
 ids. A file counts once the row that names it stands in the manifest, which Spark commits: what a lost or repeated
 attempt has written is named by nobody. Places before a file are sums over the manifest.
 
-Encoding: nothing in this tokenizer reaches over white space, nor over the bounds between an ASCII letter or digit and
-one of ``.,;:!?()"``. A task cuts its texts there, finds the different pieces of a slice and gives only those to the library.
+Encoding: nothing in this tokenizer reaches over white space, nor over the bounds between a Latin letter or digit and an
+ASCII sign other than ``'<|>``. A task cuts its texts there, finds the different pieces of a slice and gives only those to the library.
 """
 
 from __future__ import annotations
@@ -37,15 +37,16 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 FILE_IDS = 1 << 23
 READ_IDS = 1 << 20
-MOST_PIECES = 400_000
+MOST_PIECES = 600_000
 MAGIC = b"WARDTOK1"
 BLOCK_BITS = 512
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 
-_KIND = np.full(256, 3, np.uint8)  # 0 white space, 1 ASCII letter or digit, 2 a sign that ends a piece, 3 anything else
+_KIND = np.full(256, 3, np.uint8)  # 0 white space, 1 letter or digit, 2 a sign that never stands in one word with a letter, 3 anything else
 _KIND[[32, 9, 10, 11, 12, 13]] = 0
+_KIND[33:127] = 2
 _KIND[48:58] = _KIND[65:91] = _KIND[97:123] = 1
-_KIND[list(b'.,;:!?()"')] = 2
+_KIND[list(b"'<|>")] = 3  # contractions, and the signs of special tokens
 
 
 # the file format
@@ -66,26 +67,33 @@ def widths(ids: np.ndarray) -> list[int]:
     return best[0][1]
 
 
-def _packed(codes: np.ndarray, width: int) -> bytes:
-    """Codes of some bits each, end to end, and eight bytes of room for reads of a word."""
-    bits = ((codes[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8) if len(codes) else np.zeros((0, width), np.uint8)
-    return np.packbits(bits.ravel(), bitorder="little").tobytes() + bytes(8)
-
-
 def pack(codes: np.ndarray, width: int) -> bytes:
-    if width in (8, 16):
-        return codes.astype(f"<u{width // 8}").tobytes() + bytes(8)
-    step = 1 << 16  # codes a step, a multiple of eight, so each ends at a byte
-    return b"".join(_packed(codes[s : s + step], width)[:-8] for s in range(0, len(codes), step)) + bytes(8)
-
-
-def unpack(raw: np.ndarray, first_bit: int, n: int, width: int) -> np.ndarray:
-    at = first_bit + np.arange(n, dtype=np.int64) * width
-    byte, shift = at >> 3, (at & 7).astype(np.uint64)
-    word = np.zeros(n, np.uint64)
-    for k in range((width + 14) // 8):
-        word |= raw[byte + k].astype(np.uint64) << np.uint64(8 * k)
-    return ((word >> shift) & np.uint64((1 << width) - 1)).astype(np.uint32)
+    """Codes of some bits each, end to end, the low bits first. Eight codes fill ``width`` bytes, so each of the eight has fixed places in them."""
+    rows = -(-len(codes) // 8)
+    padded = np.zeros(8 * rows, np.uint64)
+    padded[: len(codes)] = codes
+    eight = padded.reshape(rows, 8)
+    out = np.zeros((rows, width), np.uint8)
+    for j in range(8):
+        byte, shift = divmod(j * width, 8)
+        moved = eight[:, j] << np.uint64(shift)
+        for k in range(-(-(shift + width) // 8)):
+            out[:, byte + k] |= (moved >> np.uint64(8 * k)).astype(np.uint8)
+    return out.tobytes()
+
+
+def unpack(raw: np.ndarray, width: int) -> np.ndarray:
+    """The codes of whole groups of eight."""
+    groups = raw.reshape(-1, width)
+    out = np.zeros((len(groups), 8), np.uint32)
+    kind = np.uint32 if width <= 25 else np.uint64
+    for j in range(8):
+        byte, shift = divmod(j * width, 8)
+        word = groups[:, byte].astype(kind)
+        for k in range(1, -(-(shift + width) // 8)):
+            word |= groups[:, byte + k].astype(kind) << kind(8 * k)
+        out[:, j] = (word >> kind(shift)) & kind((1 << width) - 1)
+    return out.ravel()
 
 
 def encode_file(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> bytes:
@@ -167,9 +175,12 @@ class TokenFile:
             n, width = end - first, level["width"]
             if not n:
                 break
-            bit = first * width
-            raw = self._read(level["codes"], bit // 8, -(-(bit % 8 + n * width) // 8) + 4)
-            out[live] |= unpack(np.concatenate([raw, np.zeros(8, np.uint8)]), bit % 8, n, width) << np.uint32(shift)
+            group = first // 8
+            codes = unpack(self._read(level["codes"], group * width, (-(-end // 8) - group) * width), width)[first - 8 * group : end - 8 * group]
+            if shift:
+                out[live] |= codes << np.uint32(shift)
+            else:
+                out[:] = codes
             shift += width
             if "bits" in level:
                 bits = self._read(level["bits"], first // 8, -(-end // 8) - first // 8)
@@ -189,6 +200,11 @@ def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """Starts and ends of the pieces of each text, and each text's first one (an entry more than texts)."""
     kind = _KIND[data]
     n = len(data)
+    # U+00C0 to U+023F are letters of two bytes, but the signs of multiplication and division; the lower case of U+0130 ends in a mark
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC8))
+    code = data[lead].astype(np.int64) << 8 | data[lead + 1]
+    lead = lead[~np.isin(code, (0xC397, 0xC3B7, 0xC4B0))]
+    kind[lead] = kind[lead + 1] = 1
     bound = np.ones(n + 1, bool)
     a, b = kind[:-1], kind[1:]
     if n:
@@ -202,42 +218,86 @@ def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 class Encoder:
-    """A tokenizer that meets each piece once: what it has met it keeps, up to a number of pieces."""
+    """A tokenizer that meets each piece once: what it has met it keeps, up to a number of pieces.
+
+    A piece of letters is one word to the tokenizer. Those of ASCII letters go straight to the library's merges in lower case;
+    others are joined by blanks, encoded together and cut where a word ends, if that gives as many words as there were pieces.
+    """
 
     def __init__(self, path: str, most: int = MOST_PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._model = Tokenizer.from_file(path)
-        self._met: dict[str, bytes] = {}
+        self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
+        suffix = self._model.end_of_word_suffix
+        self._ends = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        self._ends[[i for w, i in self._tokenizer.get_vocab().items() if suffix and w.endswith(suffix)]] = True
+        self._joins = bool(suffix)
         self._most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        self._met: dict[str, int] = {}
+        self._flat, self._bounds = array.array("I"), array.array("q", [0])
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, bounds of each text)."""
+        if b"<|" not in data.tobytes():  # what looks like a special token keeps its case
+            data = np.where((data >= 65) & (data <= 90) & (np.append(data[1:], 0) < 128), data + 32, data).astype(np.uint8)
         starts, ends, first = pieces(data, off)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        size = ends - starts
-        bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-        ink = data[_KIND[data] != 0]
-        coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(ink)).dictionary_encode()
-        spelled = self._ids(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, spelled), np.int64, len(spelled)) // 4
-        flat = np.frombuffer(b"".join(spelled), np.uint32)
-        of = np.asarray(coded.indices, np.int64)
-        ids = flat[X.ragged((np.cumsum(lengths) - lengths)[of], lengths[of])]
-        return ids, np.concatenate([[0], np.cumsum(lengths[of])])[first]
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        met = self._met
-        if len(met) + len(words) > self._most:
-            met = self._met = {}
-        new = [w for w in words if w not in met]
-        for s in range(0, len(new), 8192):
-            some = new[s : s + 8192]
-            for w, e in zip(some, self._model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                met[w] = array.array("I", e.ids).tobytes()
-        return [met[w] for w in words]
+        bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data[_KIND[data] != 0])).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self._met) + len(words) > self._most:
+            self._forget()
+        self._learn([w for w in words if w not in self._met])
+        known = pa.LargeListArray.from_arrays(np.array(self._bounds), np.array(self._flat, np.uint32))
+        place = np.fromiter(map(self._met.__getitem__, words), np.int32, len(words))
+        spelled = known.take(pa.array(place)).take(coded.indices)
+        return np.asarray(spelled.flatten()), np.asarray(spelled.offsets)[first].astype(np.int64)
+
+    def _keep(self, word: str, ids) -> None:
+        self._met[word] = len(self._met)
+        self._flat.extend(ids)
+        self._bounds.append(len(self._flat))
+
+    def _learn(self, words: list[str]) -> None:
+        tokenize, keep, letters, rest = self._model.tokenize, self._keep, [], []
+        for w in words:
+            if self._joins and w.isalpha():
+                if w.isascii():
+                    keep(w, [t.id for t in tokenize(w.lower())])
+                else:
+                    letters.append(w)
+            else:
+                rest.append(w)
+        runs = [letters[s : s + 64] for s in range(0, len(letters), 64)]
+        for run, e in zip(runs, self._tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int64)
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            if len(ends) != len(run):
+                rest += run
+                continue
+            flat = ids.tolist()
+            for w, s, t in zip(run, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                keep(w, flat[s:t])
+        for s in range(0, len(rest), 4096):
+            some = rest[s : s + 4096]
+            for w, e in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                keep(w, e.ids)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """One a worker: tasks that follow each other know what their predecessors have met."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def tokenizer_path(name: str) -> str:
@@ -254,7 +314,7 @@ MANIFEST = "file string, shard int, seq int, first_doc long, last_doc long, n_do
 
 def _write(shard: int, batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, file_ids: int) -> Iterator[pa.RecordBatch]:
     """Files of the documents of one range, in order; a row for each."""
-    encoder, (fs, at) = Encoder(tokenizer_path(tokenizer)), _filesystem(folder)
+    encoder, (fs, at) = _encoder(tokenizer_path(tokenizer)), _filesystem(folder)
     ids: list[np.ndarray] = []
     docs: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
