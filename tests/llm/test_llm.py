@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import time
 
@@ -499,20 +500,23 @@ def brute_extract(pages):
         path = re.sub(r"^[a-z]+://", "", re.sub(r"[?#].*", "", p[1]))
         return path.split("/")[0].lower(), path, p[0]
 
-    order = sorted(pages, key=key)
-    text = {p[0]: [d for d in re.findall(r"<div>(.*?) ?</div>", p[2] or "")] for p in order}
-    out = {}
-    for i, p in enumerate(order):
-        own = text[p[0]]
-        near = [q for q in [*order[max(0, i - 2) : i], *order[i + 1 : i + 3]] if text[q[0]] and key(q)[0] == key(p)[0] and text[q[0]] != own]
-        near.sort(key=lambda q: -len(next(x for x in (key(p)[1][:k] for k in range(len(key(p)[1]), -1, -1)) if key(q)[1].startswith(x))))
+    text = {p[0]: [d for d in re.findall(r"<div>(.*?) ?</div>", p[2] or "")] for p in pages}
+    runs = [list(g) for _, g in itertools.groupby(sorted((p for p in pages if text[p[0]]), key=key), lambda p: (key(p)[0], text[p[0]]))]
+    out = {p[0]: "" for p in pages}
+    for i, run in enumerate(runs):
+        p, own = run[0], text[run[0][0]]
+        facing = [(run[0], r[-1]) for r in runs[max(0, i - 2) : i]] + [(run[-1], r[0]) for r in runs[i + 1 : i + 3]]
+        near = [(a, q) for a, q in facing if key(q)[0] == key(p)[0] and text[q[0]] != own]
+        near.sort(key=lambda x: -len(next(c for c in (key(x[0])[1][:k] for k in range(len(key(x[0])[1]), -1, -1)) if key(x[1])[1].startswith(c))))
+        near = [q for _, q in near]
         gone = set(html.common(own, text[near[0][0]])) if near else set()
         for q in near[1:]:
             usual = set(html.common(own, text[q[0]]))
             if sum(len(own[k]) for k in gone - usual) <= 0.5 * sum(len(x) for k, x in enumerate(own) if k not in usual):
                 break
             gone = usual
-        out[p[0]] = " ".join(x for k, x in enumerate(own) if k not in gone)
+        for q in run:
+            out[q[0]] = " ".join(x for k, x in enumerate(own) if k not in gone)
     return out
 
 
@@ -532,6 +536,24 @@ def test_page_differencing(spark, parts):
     assert len(clean) > 0.9 * sum(p[2] is not None for p in data)  # the template goes, the page's own lines stay
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_neighbours_beyond_copies(spark, parts):
+    """Copies fill the places beside a page, over the bounds of partitions too: the next other page decides, for all of them alike."""
+    frame = [f"line {k} of the template" for k in range(6)]
+    page = lambda *own: "".join(f"<div>{x}</div>" for x in [*frame[:3], *own, *frame[3:]])
+    data = [(i, f"http://a.example/b/{i}", page("the one story that all of these tell")) for i in range(40)] + [(50, "http://a.example/c/1", page("another story"))]
+    data += [(60 + i, f"http://z.example/b/{i}", page("alone with its copies")) for i in range(6)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r["page_id"]: r["text"] for r in html.extract(df.repartition(parts), group=4).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {got[i] for i in range(40)} == {"the one story that all of these tell"} and got[50] == "another story"
+    assert {got[60 + i] for i in range(6)} == {" ".join([*frame[:3], "alone with its copies", *frame[3:]])}
+
+
 def test_pages_with_little_to_compare(spark):
     frame = "<body><div>Site name</div>" + "".join(f"<div>Line {k} of the frame, longer than what it holds</div>" for k in range(20)) + "{}</body>"
     pages = [(i, f"http://a.example/x/{i}", frame.format(f"<div>Only {i}.</div>")) for i in range(3)]

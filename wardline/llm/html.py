@@ -1,11 +1,12 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page becomes lines, one for each block of text. Pages stand in the order of
-host and URL path; each is held against the nearest of its neighbours there (two
-before, two after, of the same host, by the length of the common path) that has
-lines and is no copy of it. The longest common subsequence of the two pages' lines is what
-the site's template put there, and is deleted. A neighbour is a copy if its
-lines are the same, or if what it shares with the page beyond what the next
+A page becomes lines, one for each block of text. Pages with lines stand in the
+order of host and URL path, where neighbours of one host with the same lines are one
+run, however many they are. A run is held against the nearest of the runs around it (two
+before, two after, of the same host, by the length of the common path of the pages that face each other) that has
+other lines. The longest common subsequence of the two pages' lines is what
+the site's template put there, and is deleted from all pages of the run. A neighbour is a near copy
+if what it shares with the page beyond what the next
 neighbour shares is most of what is left of the page.
 
 Markup decides first where it speaks: what stands in navigation, footers, forms,
@@ -14,7 +15,7 @@ only these are main text, and text in their own blocks (paragraphs, headings,
 items, cells) stays even if a neighbour repeats it, as reprints do.
 
 Only hashes of lines are sorted, numbered through and held against each other,
-in groups of a fixed number of pages that carry their neighbours' ends. So a
+in groups of a fixed number of runs that carry their neighbours' ends. So a
 host of any size is spread over tasks, and the result does not depend on how
 the pages are partitioned. The html itself is joined with the numbers of the
 lines to delete, of pages that have any.
@@ -32,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline.llm import textops as X
 
@@ -258,8 +260,12 @@ def main_text(page: list[Line], shared: set[int]) -> str:
 
 @dataclass(frozen=True)
 class Page:
+    """The page of a run."""
+
     host: str
-    path: str
+    #: paths of the run's first and last page
+    first: str
+    last: str
     #: of the lines that markup does not drop: hash, number of characters, place, whether markup alone decides
     hashes: list[int]
     sizes: list[int]
@@ -267,16 +273,17 @@ class Page:
     settled: list[bool]
 
 
-def template(page: Page, near: list[Page]) -> list[int]:
-    """Places of the lines of a page that its nearest neighbour of those given shares; near: in page order, of any host."""
+def template(page: Page, before: list[Page], after: list[Page]) -> list[int]:
+    """Places of the lines of a page that its nearest neighbour shares; the neighbours in page order, of any host."""
     if all(page.settled):
         return []
-    near = [x for x in near if x.hashes and x.host == page.host and x.hashes != page.hashes]
-    near.sort(key=lambda x: -len(os.path.commonprefix([page.path, x.path])))  # stable: the earlier page first
+    near = [(-len(os.path.commonprefix([page.first, x.last])), x) for x in before] + [(-len(os.path.commonprefix([page.last, x.first])), x) for x in after]
+    near = [(n, x) for n, x in near if x.hashes and x.host == page.host and x.hashes != page.hashes]
+    near.sort(key=lambda x: x[0])  # stable: the earlier page first
     if not near:
         return []
-    shared = common(page.hashes, near[0].hashes)
-    for other in near[1:]:
+    shared = common(page.hashes, near[0][1].hashes)
+    for _, other in near[1:]:
         usual = common(page.hashes, other.hashes)
         rest = sum(n for i, n in enumerate(page.sizes) if i not in usual)
         if sum(page.sizes[i] for i in shared - usual) <= COPY_SHARE * rest:
@@ -305,45 +312,65 @@ def _printed(batches):
 
 
 def _compared(table: pa.Table, group: int) -> pa.Table:
-    rows = sorted(table.to_pylist(), key=lambda r: r["place"])
-    pages = [Page(r["host"], r["path"], r["hashes"], r["sizes"], r["places"], r["settled"]) for r in rows]
+    rows = sorted(table.to_pylist(), key=lambda r: r["run"])
+    pages = [Page(r["host"], r["first"], r["last"], r["hashes"], r["sizes"], r["places"], r["settled"]) for r in rows]
     out = []
     for i, r in enumerate(rows):
-        if r["grp"] == r["place"] // group:
-            gone = template(pages[i], [*pages[max(0, i - NEIGHBOURS) : i], *pages[i + 1 : i + 1 + NEIGHBOURS]])
+        if r["grp"] == r["run"] // group:
+            gone = template(pages[i], pages[max(0, i - NEIGHBOURS) : i], pages[i + 1 : i + 1 + NEIGHBOURS])
             if gone:
-                out.append((r["k1"], r["k2"], gone))
-    cols = list(zip(*out, strict=True)) or [()] * 3
-    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32()))], names=["k1", "k2", "gone"])
+                out.append((r["run"], gone))
+    cols = list(zip(*out, strict=True)) or [()] * 2
+    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int32()))], names=["run", "gone"])
+
+
+def _in_runs(batches):
+    """Adds the number of the run in its partition: it grows where the signature changes."""
+    run, last = -1, None
+    for b in batches:
+        signs = np.asarray(b.column(b.schema.get_field_index("sign")), np.int64)
+        if not len(signs):
+            continue
+        new = np.ones(len(signs), bool)
+        new[1:] = signs[1:] != signs[:-1]
+        new[0] = last is None or signs[0] != last
+        runs = run + np.cumsum(new)
+        run, last = int(runs[-1]), signs[-1]
+        yield b.append_column("inner", pa.array(runs, pa.int64()))
 
 
 def template_lines(pages: DataFrame, scratch: X.Scratch, group: int = GROUP) -> DataFrame:
     """(k1, k2, gone): numbers of the lines that differencing deletes, for pages (k1, k2, host, path, page_id, html) that have any."""
     spark = pages.sparkSession
-    prints = pages.select("k1", "k2", "host", "path", "page_id", "html").mapInArrow(X.lean(_printed), _PRINT)
+    prints = pages.select("k1", "k2", "host", "path", "page_id", "html").mapInArrow(X.lean(_printed), _PRINT).where("size(hashes) > 0")
     order = ["host", "path", "page_id", "k1", "k2"]
-    ranged = prints.repartitionByRange(X.parallelism(spark), *order).sortWithinPartitions(*order)
-    ranged = scratch.saved(ranged.withColumn("id", F.monotonically_increasing_id()))
-    # a partition's number is in the upper bits of id; as many counts as partitions reach the driver
-    counts = sorted(tuple(r) for r in ranged.groupBy(F.shiftright("id", 33).alias("part")).count().collect())
-    starts, total = [], 0
-    for part, n in counts:
-        starts.append((part, total - (part << 33)))
-        total += n
-    starts = F.broadcast(spark.createDataFrame(starts, "part long, start long"))
-    placed = ranged.withColumn("part", F.shiftright("id", 33)).join(starts, "part").withColumn("place", F.col("id") + F.col("start")).drop("id", "part", "start")
-    reach = [F.floor((F.col("place") + d) / group) for d in (-NEIGHBOURS, 0, NEIGHBOURS)]
-    grouped = placed.withColumn("grp", F.explode(F.array_distinct(F.array(*reach))))
-    found = grouped.groupBy("grp").applyInArrow(lambda t: _compared(t, group), "k1 long, k2 long, gone array<int>")
-    return scratch.saved(found.groupBy("k1", "k2").agg(F.min("gone").alias("gone")))
+    ranged = prints.withColumn("sign", F.xxhash64("host", "hashes")).repartitionByRange(X.parallelism(spark), *order).sortWithinPartitions(*order)
+    ranged = ranged.mapInArrow(_in_runs, T.StructType([*ranged.schema.fields, T.StructField("inner", T.LongType())]))
+    ranged = scratch.saved(ranged.withColumn("part", F.spark_partition_id()))
+    # a row a partition reaches the driver: its number of runs, and its first and last signature
+    ends = ranged.groupBy("part").agg(F.max("inner").alias("n"), F.max(F.when(F.col("inner") == 0, F.col("sign"))).alias("first"), F.max_by("sign", "inner").alias("last"))
+    starts, total, last = [], 0, None
+    for r in sorted(ends.collect()):
+        start = total - (r["first"] == last)  # the run goes on over the bound
+        starts.append((r["part"], start))
+        total, last = start + r["n"] + 1, r["last"]
+    starts = F.broadcast(spark.createDataFrame(starts, "part int, start long"))
+    placed = ranged.join(starts, "part").withColumn("run", F.col("inner") + F.col("start"))
+    own = F.struct("hashes", "sizes", "places", "settled")
+    runs = placed.groupBy("run").agg(F.min("host").alias("host"), F.min("path").alias("first"), F.max("path").alias("last"), F.first(own).alias("own")).select("run", "host", "first", "last", "own.*")
+    reach = [F.floor((F.col("run") + d) / group) for d in (-NEIGHBOURS, 0, NEIGHBOURS)]
+    grouped = runs.withColumn("grp", F.explode(F.array_distinct(F.array(*reach))))
+    found = scratch.saved(grouped.groupBy("grp").applyInArrow(lambda t: _compared(t, group), "run long, gone array<int>"))
+    gone = placed.select("k1", "k2", "run").join(found, "run")
+    return scratch.saved(gone.groupBy("k1", "k2").agg(F.min("gone").alias("gone")))
 
 
 def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     """One row per page row: page_id, url, text (empty if none), n_chars.
 
     Null and empty html gives the empty text. A null url is a host of its own;
-    the path is compared without query and fragment. Repeated rows are copies
-    and extracted alike. Other columns are ignored; an empty table gives no
+    the path is compared without query and fragment. Repeated rows, and copies
+    that stand beside each other, are extracted alike. Other columns are ignored; an empty table gives no
     rows.
     """
     spark = pages.sparkSession
