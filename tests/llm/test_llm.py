@@ -70,11 +70,12 @@ def test_licenses(spark, odd, empty, documents):
 
 
 def test_license_rules():
-    ruleset = licenses.rules()
+    scanner = licenses.Scanner()
+    ruleset = scanner.rules
     assert len(ruleset) > 500 and all(len(r.keyword) >= 3 for r in ruleset)
-    _, found = licenses.scan(b"Licensed under the Apache License, Version 2.0 (SPDX-License-Identifier: MIT)", ruleset)
+    _, found = licenses.scan(b"Licensed under the Apache License, Version 2.0 (SPDX-License-Identifier: MIT)", scanner)
     assert {r.label for _, _, r, k in found if k} == {"apache-2.0", "mit"}
-    _, found = licenses.scan(b"GNU Lesser General Public License", ruleset)
+    _, found = licenses.scan(b"GNU Lesser General Public License", scanner)
     assert {r.label for _, _, r, k in found if k} == {"lgpl", "gpl"}  # the base place stays
 
 
@@ -85,6 +86,8 @@ def plain_scan(text, ruleset):
     best = {}
     for s, e, o, r in found:
         others = [x for x in found if not x[3].base and (x[0], x[1], x[2]) != (s, e, o) and x[0] <= s and x[1] >= e]
+        if r.label not in licenses.REMARKS:
+            others = [x for x in others if x[3].label not in licenses.REMARKS and licenses.family(x[3].label) == licenses.family(r.label)]
         hidden = any(x.priority > r.priority or x.priority == r.priority and (f - b > e - s or f - b == e - s and q < o) for b, f, q, x in others)
         if r.base or not hidden:
             best[r.label] = max(best.get(r.label, 0.0), r.confidence)
@@ -104,7 +107,7 @@ def test_license_labels_and_score(spark, documents):
         for i, t in texts(df).items():
             labels, score = plain_scan(t.encode(), ruleset)
             assert got[i][0] == labels and got[i][1] == pytest.approx(score), t
-    assert sum(bool(licenses.scan(t.encode(), ruleset)[1]) for _, t in mixed[:300]) == 300
+    assert sum(bool(licenses.scan(t.encode(), licenses.Scanner())[1]) for _, t in mixed[:300]) == 300
 
 
 def samples(tokens):
@@ -132,16 +135,37 @@ def samples(tokens):
 
 
 def test_every_license_rule_can_fire():
-    ruleset = licenses.rules()
+    scanner = licenses.Scanner()
+    ruleset = scanner.rules
     for order, rule in enumerate(ruleset):
         texts_of = samples(re._parser.parse(rule.pattern.pattern.decode()))
         texts_of = [t for t in (f" {' '.join(t.split())} " for t in texts_of) if rule.pattern.search(t.encode())]
         assert texts_of, rule
         for t in texts_of:
-            _, found = licenses.scan(t.encode(), ruleset)
-            assert any(r is rule for _, _, r, _ in found), (order, rule.keyword, t)
+            assert any(r is rule for _, _, r, _ in licenses.scan(t.encode(), scanner)[1]), (order, rule.keyword, t)
+        # on a text of its own the licence that it names stands
+        assert any(any(k and (r is rule or r.label == rule.label) for _, _, r, k in licenses.scan(t.encode(), scanner)[1]) for t in texts_of), rule
     for text, label in ((b"LGPL v2.1", "lgpl"), (b"AGPLv3", "agpl"), (b"GPL v2", "gpl"), (b"EUPL v1.2", "eupl"), (b"Creative Commons Attribution-ShareAlike", "cc-by-sa"), (b"Creative Commons Attribution-NonCommercial-NoDerivs", "cc-by-nc-nd")):
-        assert any(r.label.startswith(label) and k for _, _, r, k in licenses.scan(text, ruleset)[1]), text
+        assert any(r.label.startswith(label) and k for _, _, r, k in licenses.scan(text, scanner)[1]), text
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("licensed under MIT or Apache 2.0 at your option", {"dual", "mit", "apache-2.0"}),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", {"dual", "mit", "apache-2.0"}),
+        ("MIT OR Apache-2.0", {"mit", "apache-2.0"}),
+        ("Licensed under Apache-2.0 or MIT", {"mit", "apache-2.0"}),
+        ("SPDX-License-Identifier: BSD-3-Clause", {"bsd-3-clause"}),
+        ("under the GNU Lesser General Public License v2.1", {"lgpl", "gpl"}),
+        ("Apache 2.0 with LLVM exceptions", {"apache-2.0", "llvm-exception"}),
+        ("Creative Commons Attribution-ShareAlike", {"cc-by-sa"}),
+        ("nothing of the kind", set()),
+    ],
+)
+def test_licences_named_together(text, labels):
+    kept = {r.label for _, _, r, k in licenses.scan(text.encode(), licenses.Scanner())[1] if k}
+    assert kept == labels
 
 
 def test_suppression_against_pairs():

@@ -2,9 +2,11 @@
 
 Rules are regular expressions over a text's words (lower-cased, one blank
 between them). Each rule has a keyword that must occur in the text before the
-expression is tried, a priority and a confidence. Detections are spans of
-words; one that lies inside a span of higher priority, or inside a longer one
-of the same priority, is suppressed. The three base rules are never suppressed.
+expression is tried (one automaton tells which do), a priority and a confidence. Detections are spans of
+words; one that lies inside a span of the same family of licences of higher priority, or inside a longer one
+of the same priority, is suppressed: a shorter reading of the same licence. Another licence inside a span
+stays, as in "MIT or Apache 2.0"; remarks (on warranty, copyright and the like) are part of whatever span they lie
+in. The three base rules are never suppressed.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wardline.llm import textops as X
+from wardline.operators.literals import Gate
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if (48 <= b <= 57 or 97 <= b <= 122 or b >= 128) else 32 for b in range(256))
 
@@ -26,7 +29,7 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 #: label, SPDX identifiers (as words), names (as expressions over words)
 FAMILIES = (
     ("mit", ("mit", "mit 0", "x11"), ("mit licen[cs]e", "expat licen[cs]e", "x11 licen[cs]e")),
-    ("apache-2.0", ("apache 2 0",), ("apache licen[cs]e(?: version)? 2(?: 0)?", "apache software licen[cs]e(?: version)? 2(?: 0)?", "asl 2 0")),
+    ("apache-2.0", ("apache 2 0",), ("apache licen[cs]e(?: version)? 2(?: 0)?", "apache software licen[cs]e(?: version)? 2(?: 0)?", "apache 2 0", "asl 2 0")),
     ("apache-1.1", ("apache 1 1", "apache 1 0"), ("apache(?: software)? licen[cs]e(?: version)? 1 [01]",)),
     ("bsd-2-clause", ("bsd 2 clause", "0bsd", "bsd 2 clause patent"), ("bsd 2 clause", "2 clause bsd", "simplified bsd licen[cs]e", "freebsd licen[cs]e")),
     ("bsd-3-clause", ("bsd 3 clause", "bsd 3 clause clear"), ("bsd 3 clause", "3 clause bsd", "new bsd licen[cs]e", "modified bsd licen[cs]e", "revised bsd licen[cs]e")),
@@ -222,6 +225,8 @@ WORDING = (
     ("dual", "licen[cs]ed under (?:either of )?[a-z0-9 ]{1,60}? or [a-z0-9 ]{1,40}? at your option", 0.7),
     ("mit", "mit or apache 2 0", 0.9),
     ("apache-2.0", "mit or apache 2 0", 0.9),
+    ("mit", "apache 2 0 or mit", 0.9),
+    ("apache-2.0", "apache 2 0 or mit", 0.9),
     ("bsd", "bsd licen[cs]ed", 0.7),
     ("mit", "mit licen[cs]ed", 0.8),
     ("open-source", "approved by the open source initiative|osi approved", 0.5),
@@ -236,6 +241,18 @@ FRAMES = (
 )
 
 
+#: labels of one family whose names begin differently
+_KIN = {"lgpl": "gpl", "agpl": "gpl", "gfdl": "gpl"}
+#: labels of remarks: any span takes in those inside it, and they take in nothing but each other
+REMARKS = frozenset(("warranty", "copyright", "see-license", "open-source", "attribution"))
+
+
+def family(label: str) -> str:
+    """Labels of one family are readings of one licence: the part before the first dash, but for a few."""
+    root = label if label.endswith("-exception") else label.split("-")[0]
+    return _KIN.get(root, root)
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -317,17 +334,38 @@ def survivors(spans: np.ndarray) -> np.ndarray:
     return keep
 
 
-def scan(text: bytes, ruleset: list[Rule]) -> tuple[int, list[tuple[int, int, Rule, bool]]]:
+class Scanner:
+    """Rules with the automaton of their keywords."""
+
+    def __init__(self, ruleset: list[Rule] | None = None) -> None:
+        self.rules = rules() if ruleset is None else ruleset
+        self._gate = Gate(frozenset([r.keyword.decode("latin-1")] if r.keyword else []) for r in self.rules)
+        families = sorted({family(r.label) for r in self.rules})
+        self.family = np.array([families.index(family(r.label)) for r in self.rules])
+        self.remark = np.array([r.label in REMARKS for r in self.rules])
+
+    def tried(self, line: bytes) -> list[int]:
+        """Numbers of the rules whose keyword a line holds."""
+        return sorted(self._gate.of(line.decode("latin-1")))
+
+    def survivors(self, spans: np.ndarray) -> np.ndarray:
+        """As ``survivors``, within each family; remarks against all spans."""
+        of, remark = self.family[spans[:, 3]], self.remark[spans[:, 3]]
+        keep = np.zeros(len(spans), bool)
+        if remark.any():
+            keep[remark] = survivors(spans)[remark]
+        for f in np.unique(of[~remark]):
+            row = np.flatnonzero((of == f) & ~remark)
+            keep[row] = survivors(spans[row])
+        return keep
+
+
+def scan(text: bytes, scanner: Scanner) -> tuple[int, list[tuple[int, int, Rule, bool]]]:
     """(number of words, detections as (first word, word after the last, rule, survives))."""
     words = text.translate(_FOLD).split()
     line = b" %b " % b" ".join(words)
-    there: dict[bytes, bool] = {}
-    found = []
-    for order, rule in enumerate(ruleset):
-        if rule.keyword not in there:
-            there[rule.keyword] = rule.keyword in line
-        if there[rule.keyword]:
-            found += [(m.start(), m.end(), order) for m in rule.pattern.finditer(line)]
+    ruleset = scanner.rules
+    found = [(m.start(), m.end(), order) for order in scanner.tried(line) for m in ruleset[order].pattern.finditer(line)]
     if not found:
         return len(words), []
     blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
@@ -335,7 +373,7 @@ def scan(text: bytes, ruleset: list[Rule]) -> tuple[int, list[tuple[int, int, Ru
     spans = np.stack([np.searchsorted(blanks, f[:, 0]), np.searchsorted(blanks, f[:, 1]), np.array([ruleset[o].priority for o in f[:, 2]]), f[:, 2]], 1)
     base = np.array([ruleset[o].base for o in f[:, 2]])
     keep = base.copy()
-    keep[~base] = survivors(spans[~base])
+    keep[~base] = scanner.survivors(spans[~base])
     return len(words), [(int(s), int(e), ruleset[o], bool(k)) for (s, e, _, o), k in zip(spans.tolist(), keep.tolist(), strict=True)]
 
 
@@ -344,12 +382,12 @@ def detections(docs: DataFrame) -> DataFrame:
     X.small_batches(docs.sparkSession)
 
     def task(batches):
-        ruleset = rules()
+        scanner = Scanner()
         for b in batches:
             data, off = X.column(b, "text")
             raw, ids, rows = data.tobytes(), b.column(0), []
             for d, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-                rows += [(d, f, t, r.label, r.priority, r.confidence, not k) for f, t, r, k in scan(raw[s:e], ruleset)[1]]
+                rows += [(d, f, t, r.label, r.priority, r.confidence, not k) for f, t, r, k in scan(raw[s:e], scanner)[1]]
             cols = list(zip(*rows, strict=True)) or [()] * 7
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))], names=["doc_id", "first_word", "end_word", "label", "priority", "confidence", "suppressed"])
@@ -372,12 +410,12 @@ def license_scan(docs: DataFrame) -> DataFrame:
     X.small_batches(docs.sparkSession)
 
     def task(batches):
-        ruleset = rules()
+        scanner = Scanner()
         for b in batches:
             data, off = X.column(b, "text")
             raw, rows = data.tobytes(), []
             for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-                n, found = scan(raw[s:e], ruleset)
+                n, found = scan(raw[s:e], scanner)
                 base = [(f, r.label) for f, _, r, _ in found if r.base]
                 best: dict[str, float] = {}
                 for _, _, r, k in found:
