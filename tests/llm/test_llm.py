@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import re
 import time
 
@@ -239,6 +240,29 @@ def test_quality(spark, odd, empty, sf_dir):
     assert quality.good_documents(docs).columns == docs.columns
 
 
+def test_quality_sample_has_no_length_limit(spark):
+    """A long text trains the scorer too; the sample's bytes are bounded."""
+    short = [(i, f"A plain sentence about thing {i}, and another one. It goes on for a while, as such do.") for i in range(60)]
+    long = [(100, " ".join(f"word{i % 50}" for i in range(20_000)) + ".")]
+    df = spark.createDataFrame(short + long, "doc_id long, text string")
+    seen = []
+    plain = quality.train_scorer
+
+    def watched(data, off, posterior):
+        seen.append(np.diff(off).tolist())
+        return plain(data, off, posterior)
+
+    quality.train_scorer = watched
+    try:
+        quality.fit(df)
+        quality.fit(df, sample_bytes=1000)
+        quality.fit(df.limit(0))
+    finally:
+        quality.train_scorer = plain
+    assert max(seen[0]) > 100_000 and len(seen[0]) == 61
+    assert sum(seen[1]) <= 1000 and len(seen[1]) >= 8 and seen[2] == []
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(2)
     good = rng.random(20_000) < 0.7
@@ -339,6 +363,24 @@ def test_longest_matches(spark):
 # top-k
 
 
+def left_behind(spark):
+    root = X.shared_dir(spark).removeprefix("file://")
+    return set(os.listdir(root))
+
+
+def test_several_blocks_leave_one_folder(spark):
+    rng = np.random.default_rng(3)
+    before = left_behind(spark)
+    vectors = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(40)], "vec_id long, embedding array<double>")
+    one, many = (sorted(map(tuple, topk.top_k(vectors, vectors.where("vec_id % 2 = 0"), 3, block_queries=b).collect())) for b in (100, 4))
+    assert one == many and len(left_behind(spark) - before) == 1
+    before = left_behind(spark)
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(12)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"start w{i}x" + " ".join(f"w{i % 12}x{k}" for k in range(i % 30))) for i in range(50)], "doc_id long, text string")
+    one, many = (sorted(map(tuple, decontam.contamination(docs, items, block_bytes=b).collect())) for b in (1 << 20, 400))
+    assert one == many and len(left_behind(spark) - before) == 1
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     data = [(i, [float(np.float32(x)) for x in rng.normal(size=40)]) for i in range(300)]

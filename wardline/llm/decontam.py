@@ -234,7 +234,9 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
         hits = keys.mapInArrow(X.lean(lambda batches, shared=shared: (_scan(b, shared.value, True) for b in batches)), X.with_fields(keys.select("row"), **FOUND))
         found.append(scratch.saved(hits.dropDuplicates(["row"])))
         shared.destroy()
-    hits = reduce(DataFrame.union, found).groupBy("row.k1", "row.k2").agg(F.collect_list(F.struct(*FOUND)).alias("parts"))
+    # a row has one entry for each block that it holds a window of
+    hits = scratch.saved(reduce(DataFrame.union, found).groupBy("row.k1", "row.k2").agg(F.collect_list(F.struct(*FOUND)).alias("parts")))
+    scratch.done(last=1)
 
     def joined(batches):
         for b in batches:

@@ -325,7 +325,9 @@ def round_trip(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
     """One row per document row: doc_id, n_tokens, n_byte_tokens, ids_sha256, decoded_chars, decoded_sha256, exact.
 
     ids_sha256 is of the ids, comma-joined; decoded_* are of the text decoded
-    from them; exact says that it equals the text (null: empty).
+    from them; exact says that it equals the text (null: empty). Repeated rows are
+    encoded alike, each in a row of its own; an empty table gives no rows; other
+    columns are ignored.
     """
     shared = _with_vocabulary(docs, model_file)
 

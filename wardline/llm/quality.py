@@ -34,7 +34,7 @@ LABELLERS = (
 )
 STATISTICS = ("distinct_share", "top_share", "pair_share", "symbol_share", "capital_share", "digit_share", "line_share", "word_bytes", "stop_share", "n_words")
 SAMPLE_ROWS = 2500
-SAMPLE_TEXT_BYTES = 16_384
+SAMPLE_BYTES = 24 << 20
 BUCKETS = 1 << 14
 ROUNDS = 60
 
@@ -218,17 +218,23 @@ def vote_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(X.lean(task), f"doc_id {kind}, votes string")
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[LabelModel, Scorer]:
-    """The label model from all texts' votes, the scorer from a sample of sample_rows texts.
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> tuple[LabelModel, Scorer]:
+    """The label model from all texts' votes, the scorer from a sample of at most sample_rows texts and sample_bytes bytes.
 
-    The sample is the texts of at most SAMPLE_TEXT_BYTES with the least hash.
+    The sample is the texts with the least hash, of any length; one that would take the sample over its bytes is left out.
     """
     counted = vote_table(docs).groupBy("votes").count().collect()  # 3 ** len(LABELLERS) rows at most
     patterns = np.array([[int(c) - 1 for c in r["votes"]] for r in counted], np.int8).reshape(-1, len(LABELLERS))
     model = expectation_maximisation(patterns, np.array([r["count"] for r in counted], float))
     share = int((1 << 30) * min(1.0, 4 * sample_rows / max(1, sum(r["count"] for r in counted))))  # so that each task sends few
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    rows = docs.select("text").where(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES) & (place < share)).orderBy(place, "text").limit(sample_rows).collect()
+    drawn = docs.select("text", F.octet_length("text").alias("size"), F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("place")).where((F.col("size") > 0) & (F.col("place") < share))
+    total, picked = 0, []
+    for r in drawn.select("place", "size").orderBy("place", "size").limit(sample_rows).collect():
+        if total + r["size"] <= sample_bytes:
+            total += r["size"]
+            picked.append((r["place"], r["size"]))
+    wanted = sorted({p for p, _ in picked})
+    rows = drawn.where(F.col("place").isin(wanted) & (F.col("size") <= max((s for _, s in picked), default=0))).orderBy("place", "size", "text").limit(len(picked)).collect() if picked else []
     raw = [r["text"].encode() for r in rows]
     data, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
     return model, train_scorer(data, off, model.posterior(votes(statistics(data, off))))
@@ -264,5 +270,5 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, at: float = 0.5) -> DataFrame:
-    """The documents that score at least the limit, all columns as they are; ``quality`` says how odd rows score."""
+    """The documents that score at least the limit, all columns as they are: null and empty texts go, rows without an id are judged by their text."""
     return with_quality(docs, fit(docs.select("doc_id", "text"))).where(F.col("score") >= at).select("row.*")

@@ -156,10 +156,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = SCALE
             part, shared = _against(candidates, asked.where(F.col("block") == block), k)
             parts.append(scratch.saved(part))
             shared.destroy()
-        scratch.done(last=n)
         found = reduce(DataFrame.union, parts)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if n > 1:  # the result alone stays, in one folder
+        ranked = scratch.saved(ranked)
+        scratch.done(last=1)
+    return ranked
 
 
 def _against(candidates: DataFrame, asked: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
