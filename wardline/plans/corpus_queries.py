@@ -303,6 +303,24 @@ def person_gazetteer(spark, sf_dir):
     return N.names(rows, "text", ["k"]).select("k", "value", F.col("start").alias("start_at"), "confidence")
 
 
+_CODED = "translate(lpad(CAST({} AS VARCHAR(20)), 6, '0'), '0123456789', 'abcdefghij')"
+_GAZETTEER = [("'Yes, F' || {c} || ' L' || {c} || ' called'", "'F' || {c} || ' L' || {c}", "5", "0.88"), ("'Contact F' || {c} || ' soon'", "'F' || {c}", "8", "0.66"), ("'saw F' || {c} || ' Unbekannt'", "'F' || {c} || ' Unbekannt'", "4", "0.74"), ("'saw X' || {c} || ' Nobody'", "NULL", "NULL", "NULL")]
+
+
+def _named(column: int, customer: str) -> list[str]:
+    return [g[column].format(c=_CODED.format(customer)) for g in _GAZETTEER]
+
+
+@query("gazetteer_join", f"SELECT * FROM (SELECT o_orderkey AS k, {_case(_named(1, 'o_custkey'), 'o_orderkey')} AS value, {_case(_named(2, ''), 'o_orderkey')} AS start_at, CAST({_case(_named(3, ''), 'o_orderkey')} AS DOUBLE) AS confidence FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)) WHERE value IS NOT NULL")
+def gazetteer_join(spark, sf_dir):
+    """Two names for each customer but every fifth, against a text for each order."""
+    code = F.expr(_CODED.format("c_custkey"))
+    people = B.table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0")
+    listed = people.select(F.concat(F.lit("F"), code).alias("name"), F.lit(True).alias("is_first"), F.lit(False).alias("is_last")).union(people.select(F.concat(F.lit("L"), code), F.lit(False), F.lit(True)))
+    texts = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.expr(_case(_named(0, "o_custkey"), "o_orderkey")).alias("text"))
+    return G.names(texts, "text", ["k"], listed).select("k", "value", F.col("start").alias("start_at"), "confidence")
+
+
 # scrubbing and leaks
 
 LOGS = [
