@@ -51,11 +51,12 @@ def has_detections() -> Column:
 
 
 #: how columns of two halves of a row are merged
-OVERWRITE, EITHER, GREATEST, UNION = "overwrite", "either", "greatest", "union"
+OVERWRITE, EITHER, GREATEST, UNION, ADD = "overwrite", "either", "greatest", "union", "add"
 
 
 def merge(old: DataFrame, new: DataFrame, key: str, how: dict[str, str]) -> DataFrame:
-    """Upsert of one row per key: scalars are overwritten by what is not null, flags or-ed, counts maximised, lists united and sorted.
+    """Upsert of one row per key: scalars are overwritten by what is not null, flags or-ed, counts maximised, lists united and sorted; what adds up
+    is added, which only a log that takes each batch once may do.
 
     Both tables are hash-partitioned by the key once; either half may come first, and a repeat changes nothing.
     """
@@ -70,6 +71,8 @@ def merge(old: DataFrame, new: DataFrame, key: str, how: dict[str, str]) -> Data
             merged = F.coalesce(x, F.lit(False)) | F.coalesce(y, F.lit(False))
         elif rule == GREATEST:
             merged = F.greatest(x, y)
+        elif rule == ADD:
+            merged = F.coalesce(x + y, x, y)
         else:
             merged = F.array_sort(F.array_union(F.coalesce(x, F.array().cast("array<string>")), F.coalesce(y, F.array().cast("array<string>"))))
         out.append(merged.alias(name))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wardline.operators.percentiles import percentiles
+
 
 def window(audit: DataFrame, as_of: str, hours: int, tenant: str | None = None) -> DataFrame:
     """Rows of the last hours before as_of (all tenants, or one); plain comparisons that reach the scan."""
@@ -21,9 +23,13 @@ def newest(audit: DataFrame, n: int) -> DataFrame:
     return audit.orderBy(F.desc("ts"), F.desc("request_id")).limit(n)
 
 
-def percentile(column: str, p: float) -> Column:
-    """Nearest-rank percentile of the non-null values, three decimals; null of none."""
-    return F.round(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})"), 3)
+def with_percentiles(sums: DataFrame, rows: DataFrame, by: tuple[str, ...], **wanted: tuple[str, float]) -> DataFrame:
+    """Aggregates by group with the group's nearest-rank percentiles of non-null values beside them, three decimals; null of none."""
+    found = percentiles(rows, list(by), wanted)
+    found = found.select(*[F.col(k).alias(f"__{k}") for k in by], *[F.round(n, 3).alias(n) for n in wanted])
+    if not by:
+        return sums.crossJoin(F.broadcast(found))  # one row each
+    return sums.join(found, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by], "left").drop(*[f"__{k}" for k in by])
 
 
 def mean(column: str) -> Column:
@@ -39,28 +45,24 @@ def count_if(condition: Column) -> Column:
 
 
 def latency(audit: DataFrame, *by: str) -> DataFrame:
-    return audit.groupBy(*by).agg(
-        percentile("latency_total_ms", 0.5).alias("p50_ms"),
-        percentile("latency_total_ms", 0.95).alias("p95_ms"),
-        percentile("latency_total_ms", 0.99).alias("p99_ms"),
-        mean("latency_total_ms").alias("mean_ms"),
-        percentile("latency_inspect_ms", 0.5).alias("overhead_p50_ms"),
-        percentile("latency_inspect_ms", 0.95).alias("overhead_p95_ms"),
-    )
+    sums = audit.groupBy(*by).agg(mean("latency_total_ms").alias("mean_ms"))
+    total_ms, inspect_ms = "latency_total_ms", "latency_inspect_ms"
+    out = with_percentiles(sums, audit, by, p50_ms=(total_ms, 0.5), p95_ms=(total_ms, 0.95), p99_ms=(total_ms, 0.99), overhead_p50_ms=(inspect_ms, 0.5), overhead_p95_ms=(inspect_ms, 0.95))
+    return out.select(*by, "p50_ms", "p95_ms", "p99_ms", "mean_ms", "overhead_p50_ms", "overhead_p95_ms")
 
 
 def overview(audit: DataFrame, *by: str) -> DataFrame:
-    return audit.groupBy(*by).agg(
+    sums = audit.groupBy(*by).agg(
         F.count("*").alias("total_requests"),
         count_if(F.col("policy_action") == "BLOCK").alias("blocked_requests"),
         count_if(F.col("policy_action") == "SANITIZE").alias("sanitized_requests"),
-        percentile("latency_total_ms", 0.5).alias("p50_ms"),
-        percentile("latency_total_ms", 0.95).alias("p95_ms"),
         mean("latency_total_ms").alias("mean_ms"),
         total("input_tokens").alias("input_tokens"),
         total("output_tokens").alias("output_tokens"),
         total("total_tokens").alias("total_tokens"),
     )
+    out = with_percentiles(sums, audit, by, p50_ms=("latency_total_ms", 0.5), p95_ms=("latency_total_ms", 0.95))
+    return out.select(*by, "total_requests", "blocked_requests", "sanitized_requests", "p50_ms", "p95_ms", "mean_ms", "input_tokens", "output_tokens", "total_tokens")
 
 
 def security(audit: DataFrame, reviews: DataFrame, *by: str) -> DataFrame:
@@ -90,14 +92,16 @@ def providers(audit: DataFrame) -> DataFrame:
     taken = F.when(F.col("failover_used"), F.struct(F.col("failover_to").alias("name"), F.lit("in").alias("role")))
     roles = audit.select("ts", "latency_provider_ms", F.explode(F.array_compact(F.array(served, left, taken))).alias("r")).where("r.name is not null")
     is_served = F.col("r.role") == "served"
-    return roles.select("ts", F.when(is_served, F.col("latency_provider_ms")).alias("lat"), "r.name", "r.role").groupBy(F.col("name").alias("provider")).agg(
+    rows = roles.select("ts", F.when(is_served, F.col("latency_provider_ms")).alias("lat"), F.col("r.name").alias("provider"), "r.role")
+    sums = rows.groupBy("provider").agg(
         count_if(F.col("role") == "served").alias("requests"),
         count_if(F.col("role") == "out").alias("failures"),
         count_if(F.col("role") == "in").alias("failover_in"),
         count_if(F.col("role") == "out").alias("failover_out"),
-        percentile("lat", 0.5).alias("latency_p50_ms"),
         F.date_format(F.max(F.when(F.col("role") == "served", F.col("ts"))), "yyyy-MM-dd HH:mm:ss").alias("last_seen"),
     )
+    out = with_percentiles(sums, rows, ("provider",), latency_p50_ms=("lat", 0.5))
+    return out.select("provider", "requests", "failures", "failover_in", "failover_out", "latency_p50_ms", "last_seen")
 
 
 def sustainability(audit: DataFrame, wh_per_thousand_tokens: float, grid_g_per_kwh: float, *by: str) -> DataFrame:
@@ -143,8 +147,9 @@ def series(audit: DataFrame, begin: str, end: str, buckets: int) -> DataFrame:
         count_if(action == "BLOCK").alias("blocked"),
         count_if(F.col("cache_hit")).alias("cache_hits"),
         total("total_tokens").alias("tokens"),
-        F.round(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_total_ms)")).cast("long").alias("p95_ms"),
     )
+    found = percentiles(rows, ["bucket"], {"p95_ms": ("latency_total_ms", 0.95)})
+    sums = sums.join(F.broadcast(found.select("bucket", F.round("p95_ms").cast("long").alias("p95_ms"))), "bucket", "left")
     all_buckets = audit.sparkSession.range(buckets).select(F.col("id").alias("bucket"))
     return all_buckets.join(F.broadcast(sums), "bucket", "left").na.fill(0, ["requests", "allowed", "sanitized", "blocked", "cache_hits", "tokens"])
 

@@ -10,6 +10,7 @@ from wardline.plans.registry import query
 from wardline.session import work_folder
 from wardline.sources import bridge as B
 from wardline.sources.commitlog import Table
+from wardline.streaming import rollup as R
 
 WEEK = 168
 SINCE = "TIMESTAMP '2024-01-24 00:00:00'"
@@ -154,6 +155,16 @@ def dashboard_series(spark, sf_dir):
     return _series(spark, sf_dir)
 
 
+@query("dashboard_rollup", f"{SERIES_SQL} SELECT * FROM series")
+def dashboard_rollup(spark, sf_dir):
+    """The same series from cells alone: three batches, the last of late rows, one of them twice."""
+    path = work_folder(spark, "rollup")
+    rows = B.audit(spark, sf_dir)
+    for number, part in enumerate(("request_id % 3 = 1", "request_id % 3 = 0", "request_id % 3 = 0", "request_id % 3 = 2")):
+        R.update(path, buckets=4)(rows.where(part), min(number, 1) if number < 3 else 2)
+    return R.series(spark, path, "2024-01-01 00:00:00", "2024-02-05 00:00:00", 30)
+
+
 @query("cumulative_savings", f"{SERIES_SQL} SELECT bucket, cache_hits, CAST(sum(cache_hits) OVER (ORDER BY bucket) AS BIGINT) AS running FROM series")
 def cumulative_savings(spark, sf_dir):
     return M.running(_series(spark, sf_dir).select("bucket", "cache_hits"), "cache_hits", "bucket")

@@ -13,6 +13,7 @@ from wardline.functions import net
 from wardline.operators import audit as A
 from wardline.operators import detect as D
 from wardline.operators import gateway as G
+from wardline.operators import gazetteer as Z
 from wardline.operators import injection as I
 from wardline.operators import inspect as N
 from wardline.operators import outcome as O
@@ -318,7 +319,7 @@ def gazetteer_join(spark, sf_dir):
     people = B.table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0")
     listed = people.select(F.concat(F.lit("F"), code).alias("name"), F.lit(True).alias("is_first"), F.lit(False).alias("is_last")).union(people.select(F.concat(F.lit("L"), code), F.lit(False), F.lit(True)))
     texts = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.expr(_case(_named(0, "o_custkey"), "o_orderkey")).alias("text"))
-    return G.names(texts, "text", ["k"], listed).select("k", "value", F.col("start").alias("start_at"), "confidence")
+    return Z.names(texts, "text", ["k"], listed).select("k", "value", F.col("start").alias("start_at"), "confidence")
 
 
 # scrubbing and leaks
