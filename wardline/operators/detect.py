@@ -122,7 +122,7 @@ PERSONAL = (
     Rule("regex.ipv6", "IP_ADDRESS", "PII", X.IPV6, 0.80, ":", accept=lambda _, m: F.length(m["value"]) >= 8, gate="[0-9a-fA-F]:[0-9a-fA-F:]"),
     Rule("regex.ssn", "US_SSN", "PII", X.SSN, 0.85, "-", gate="[0-9]{3}-[0-9]{2}"),
     Rule("regex.card_luhn", "CREDIT_CARD", "PII", X.DIGIT_RUN, 0.92, accept=_card, outside=X.UUID, gate="[0-9][ -]?[0-9]{3}"),
-    Rule("regex.phone", "PHONE_NUMBER", "PII", X.PHONE, 0.70, accept=_phone, outside=X.UUID, sure=lambda v: F.when(v.rlike("[+(]"), 0.85), gate="[0-9][ .-][0-9]{2}"),
+    Rule("regex.phone", "PHONE_NUMBER", "PII", X.PHONE, 0.70, accept=_phone, outside=X.UUID, sure=lambda v: F.when(v.rlike("[+(]"), 0.85), gate=r"\d[\s.\-)]"),
     Rule("regex.honorific_name", "PERSON", "PII", X.HONORIFIC_NAME, 0.60, gate=r"\b(?:" + "|".join(X.HONORIFICS) + r")[.\s]"),
     Rule("india.aadhaar_verhoeff", "IN_AADHAAR", "PII", X.AADHAAR, 0.95, accept=lambda _, m: C.verhoeff(digits(m["value"])), gate="[0-9]{4}"),
     Rule("india.pan", "IN_PAN", "PII", X.PAN, 0.55, sure=lambda v: F.when(F.contains(F.lit(X.PAN_HOLDERS), F.substr(v, F.lit(4), F.lit(1))), 0.90), gate="[A-Z]{5}[0-9]{4}"),
@@ -186,14 +186,22 @@ def benign(token: Column) -> Column:
     return F.coalesce(*[F.when(token.rlike(p), F.lit(reason)) for reason, p in BENIGN], F.when(language, "natural_language"))
 
 
+ODD = "struct<start:int,end:int,value:string,entropy:double>"
+
+
+def odd_tokens(text: Column, threshold: float = 4.0) -> Column:
+    """The array (ODD) of long tokens of high entropy that nothing explains."""
+    long = F.filter(S.find_all(text, TOKEN), lambda m: benign(m["value"]).isNull())
+    told = F.transform(long, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), C.entropy(m["value"]).alias("entropy")))
+    return F.when(text.rlike(TOKEN), F.filter(told, lambda m: m["entropy"] >= threshold)).otherwise(F.array().cast(f"array<{ODD}>"))
+
+
 def entropy_findings(texts: DataFrame, text: str, key: list[str], threshold: float = 4.0) -> DataFrame:
     """Long tokens of high entropy that nothing explains: warnings, never blocks."""
-    long = texts.select(*key, F.explode(S.find_all(F.col(text), TOKEN)).alias("m"))
-    t = F.col("m.value")
-    h = C.entropy(t)
-    rows = long.where(benign(t).isNull()).withColumn("h", h).where(F.col("h") >= threshold)
-    score = F.lit(0.5) + F.when(F.col("h") >= 5.0, 0.10).otherwise(0.0) + F.when(C.character_classes(t) >= 3, 0.10).otherwise(0.0) + F.when(F.length(t) >= 32, 0.05).otherwise(0.0)
-    return rows.select(*key, "m.start", "m.end", F.col("m.value").alias("value"), F.round("h", 6).alias("entropy"), F.round(F.least(score, F.lit(0.75)), 3).alias("confidence"))
+    rows = texts.select(*key, F.explode(S.held(odd_tokens(F.col(text), threshold))).alias("m"))
+    t, h = F.col("m.value"), F.col("m.entropy")
+    score = F.lit(0.5) + F.when(h >= 5.0, 0.10).otherwise(0.0) + F.when(C.character_classes(t) >= 3, 0.10).otherwise(0.0) + F.when(F.length(t) >= 32, 0.05).otherwise(0.0)
+    return rows.select(*key, "m.start", "m.end", t.alias("value"), F.round(h, 6).alias("entropy"), F.round(F.least(score, F.lit(0.75)), 3).alias("confidence"))
 
 
 def noisy_or_of(categories: Column) -> Column:

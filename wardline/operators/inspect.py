@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from wardline.functions import fixed as X
 from wardline.operators import detect as D
+from wardline.operators import gazetteer as Z
 from wardline.operators import hints as H
 from wardline.operators import injection as I
 from wardline.operators import policy as P
@@ -25,15 +26,113 @@ FIRST = frozenset("Anna Arjun Arun Carlos Elena Fatima Hans Ivan Julia Kavita Ke
 LAST = frozenset("Garcia Gupta Hansen Iyer Kapoor Kim Kumar Lopez Mehta Mueller Nair Nguyen Patel Ramaswamy Rao Reddy Sharma Silva Singh Tanaka Weber".split())
 
 
-def resolved_findings(messages: DataFrame, first: frozenset[str] = FIRST, last: frozenset[str] = LAST) -> DataFrame:
-    """Secrets before personal data: each kind made disjoint, personal findings inside a secret gone, and the rest made disjoint again.
+def name_spans(text: Column, first: frozenset[str] = FIRST, last: frozenset[str] = LAST) -> Column:
+    """The array of names (as FINDING) that short lists know in a text; ``gazetteer.names`` says by which rule, and takes lists of any length."""
+    firsts, lasts = (F.array(*[F.lit(n) for n in sorted(x)]) for x in (first, last))
+    any_name = r"\b(?:" + "|".join(sorted(first | last)) + r")\b"
+
+    def of(m: Column) -> Column:
+        words = F.split(m["value"], r"\s+")
+        known = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("pos"), F.array_contains(firsts, w).alias("is_first"), F.array_contains(lasts, w).alias("is_last"))), lambda k: k["is_first"] | k["is_last"])
+        cue = F.lower(F.regexp_extract(F.substr(text, F.lit(1), m["start"]), r"([A-Za-z]+)[\s:,]+$", 1))
+
+        def told(w: Column) -> Column:
+            lead, score, recogniser = Z.judged({"words": w["words"], "cue": w["cue"]}, w["known"])
+            return S.let(
+                F.struct(lead.alias("lead"), score.alias("score"), recogniser.alias("recogniser")),
+                lambda j: S.let(
+                    F.when(j["lead"] > 0, F.length(m["value"]) - F.length(F.regexp_replace(m["value"], F.concat(F.lit(r"^(?:\S+\s+){"), j["lead"].cast("string"), F.lit("}")), F.lit("")))).otherwise(F.lit(0)),
+                    lambda cut: F.when(j["score"].isNotNull(), F.struct((m["start"] + cut).alias("start"), m["end"].alias("end"), F.substr(m["value"], cut + 1).alias("value"), F.lit("PERSON").alias("type"), F.lit("PII").alias("category"), j["recogniser"].alias("recognizer"), j["score"].cast("double").alias("confidence"))),
+                ),
+            )
+
+        return S.let(F.struct(words.alias("words"), cue.alias("cue"), known.alias("known")), told)
+
+    runs = F.filter(S.find_all(text, Z.RUN), lambda m: m["value"].rlike(any_name))
+    return F.when(text.rlike(any_name), F.array_compact(F.transform(runs, of))).otherwise(F.array().cast(f"array<{S.FINDING}>"))
+
 
+def with_findings(messages: DataFrame, first: frozenset[str] = FIRST, last: frozenset[str] = LAST) -> DataFrame:
+    """Messages with ``found``, the array of their findings, worked out in the row: nothing is shuffled.
+
+    Secrets before personal data: each kind made disjoint, personal findings inside a secret gone, and the rest made disjoint again.
     Personal findings are those of patterns and of the name lists whose type is on and that are sure enough.
     """
-    secret = S.resolve(D.findings(messages, "content", KEY, D.SECRETS), *KEY)
-    named = names(messages, "content", KEY, first, last)
-    personal = S.resolve(D.reported(D.findings(messages, "content", KEY).unionByName(named)), *KEY)
-    return S.resolve(S.without_covered(personal, secret, *KEY).unionByName(secret), *KEY)
+    text, own = F.col("content"), [c for c in messages.columns]
+    least = F.create_map(*[F.lit(x) for kind, (_, at, on, _) in X.ENTITIES.items() if on for x in (kind, float(at))])
+    rows = messages.select(*own, S.held(D.matches(text, D.SECRETS)).alias("__s"), S.held(D.matches(text, D.PERSONAL)).alias("__p"), S.held(name_spans(text, first, last)).alias("__n"))
+    sure = F.filter(F.concat(F.coalesce("__p", F.array()), F.coalesce("__n", F.array())), lambda x: F.coalesce(x["confidence"] >= F.element_at(least, x["type"]), F.lit(False)))
+    rows = rows.select(*own, S.held(S.resolved(F.coalesce("__s", F.array()))).alias("__s"), S.held(S.resolved(sure)).alias("__p"))
+    free = F.filter("__p", lambda p: ~F.exists("__s", lambda s: (s["start"] <= p["start"]) & (p["end"] <= s["end"])))
+    return rows.select(*own, S.held(S.resolved(F.concat(free, "__s"))).alias("found"))
+
+
+def resolved_findings(messages: DataFrame, first: frozenset[str] = FIRST, last: frozenset[str] = LAST) -> DataFrame:
+    """One row per finding of ``with_findings``."""
+    return with_findings(messages, first, last).select(*KEY, F.explode("found").alias("f")).select(*KEY, "f.*")
+
+
+RULED = "struct<start:int,end:int,value:string,type:string,category:string,recognizer:string,confidence:double,rule:string,action:string,priority:int,appealable:boolean,label:string>"
+
+
+def ruled(found: Column, rules: list[tuple[str, str, int, bool]]) -> Column:
+    """The findings with the rule, action, priority and appealability of their key (pii.TYPE or secret.TYPE, else without its last segments); allowed where no rule speaks."""
+    kind = "struct<rule:string,action:string,priority:int,appealable:boolean>"
+    table = F.create_map(*[x for k, action, priority, appealable in rules for x in (F.lit(k), F.struct(F.lit(k), F.lit(action), F.lit(priority), F.lit(appealable)).cast(kind))]) if rules else F.create_map().cast(f"map<string,{kind}>")
+    label = F.create_map(*[F.lit(x) for t, (name, *_) in X.ENTITIES.items() for x in (t, name)])
+
+    def of(x: Column) -> Column:
+        secret = x["category"] == "SECRET"
+        key = F.concat(F.when(secret, "secret.").otherwise("pii."), x["type"])
+        hit = F.coalesce(*[F.element_at(table, F.substring_index(key, ".", n)) for n in (4, 3, 2, 1)])
+        named = F.coalesce(F.element_at(label, x["type"]), F.when(secret, F.concat(F.lit("SECRET_"), x["type"])).otherwise(x["type"]))
+        return S.let(hit, lambda h: F.struct(*[x[c].alias(c) for c in ("start", "end", "value", "type", "category", "recognizer", "confidence")], h["rule"].alias("rule"), F.coalesce(h["action"], F.lit("allow")).alias("action"), h["priority"].alias("priority"), h["appealable"].alias("appealable"), F.when(secret, F.concat(F.lit("SECRET_"), x["type"])).otherwise(named).alias("label")))
+
+    return F.transform(found, of)
+
+
+def numbered(messages: DataFrame) -> DataFrame:
+    """Messages with ``placeholders``, one for each of their ``found`` (null where nothing is to be hidden): LABEL_n, n counting the different values of a label in a request in order of first place.
+
+    Requests are dealt by id and their messages come in order, so a task holds the values of one request that it has met, never its
+    messages. Only what is sanitised or blocks is numbered.
+    """
+    own = messages.columns
+    slim = messages.withColumn("__hidden", F.transform("found", lambda x: F.when(x["action"].isin("sanitize", "block"), F.struct(x["label"].alias("label"), x["value"].alias("value")))))
+    dealt = slim.repartition("request_id").sortWithinPartitions("request_id", "message_index")
+    schema = T.StructType([*[dealt.schema[c] for c in own], T.StructField("placeholders", T.ArrayType(T.StringType()))])
+
+    def task(batches):
+        now, seen = None, {}
+        for b in batches:
+            request, hidden, out = b.column("request_id").to_pylist(), b.column("__hidden").to_pylist(), []
+            for r, spans in zip(request, hidden, strict=True):
+                if r != now:
+                    now, seen = r, {}
+                row = []
+                for x in spans or ():
+                    if x is None:
+                        row.append(None)
+                        continue
+                    of = seen.setdefault(x["label"], {})
+                    row.append(f"<{x['label']}_{of.setdefault(x['value'], len(of) + 1)}>")
+                out.append(row)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(out, pa.list_(pa.string()))], names=[*own, "placeholders"])
+
+    return dealt.mapInArrow(task, schema)
+
+
+def redacted(messages: DataFrame, rules: DataFrame, first: frozenset[str] = FIRST, last: frozenset[str] = LAST) -> DataFrame:
+    """Messages with ``found`` (RULED), ``placeholders``, ``clean`` (what is to be sanitised replaced) and ``n_replaced``: one scan, one shuffle.
+
+    rules: key, action, priority, appealable; a policy's rules, which become one map.
+    """
+    table = [(r["key"], r["action"], r["priority"], r["appealable"]) for r in rules.select("key", "action", "priority", "appealable").collect()]
+    rows = with_findings(messages, first, last)
+    rows = numbered(rows.withColumn("found", ruled(F.col("found"), table)))
+    pairs = F.zip_with("found", "placeholders", lambda x, p: F.when((x["action"] == "sanitize") & p.isNotNull(), F.struct(x["start"].alias("start"), x["end"].alias("end"), p.alias("placeholder"))))
+    rows = rows.withColumn("__spans", F.array_compact(pairs))
+    return rows.withColumn("clean", S.splice(F.col("content"), F.col("__spans"))).withColumn("n_replaced", F.size("__spans")).drop("__spans")
 
 
 def actioned(found: DataFrame, rules: DataFrame) -> DataFrame:
@@ -65,57 +164,74 @@ def redact(messages: DataFrame, found: DataFrame, extra: list[str] | None = None
 def inspect(messages: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per request: decision, counts, redacted texts, vault, injection score, complexity, cache hint, stages.
 
-    messages: request_id, message_index, role, content. A blocked request's
-    texts come back as they were. The vault holds personal values only. The
-    findings have several readers; they are kept on the executors' disks, with
-    their lineage, until the caller clears the cache.
+    messages: request_id, message_index, role, content. A blocked request's texts come back as they were. The vault holds
+    personal values only. Everything about a message is worked out in its row; one shuffle numbers placeholders, one brings
+    a request's messages together. Null contents are empty.
     """
-    found = actioned(resolved_findings(messages), rules).persist(StorageLevel.DISK_ONLY)
-    clean, found = redact(messages, found)
-    asked = messages.where(F.col("role").isin(*ASKED))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("message_index", "content"))), lambda m: m["content"]), "\n")
-    requests = messages.select("request_id").distinct().join(asked.groupBy("request_id").agg(text.alias("text")), "request_id", "left").na.fill("", ["text"])
-    injected = I.findings(requests, "text", ["request_id"])
-    unexplained = S.without_touching(D.entropy_findings(messages, "content", KEY), found.where("category = 'SECRET'"), *KEY).groupBy("request_id").agg(F.count("*").alias("entropy_count"))
-
-    keys = found.where("rule is not null").select("request_id", "rule", "action", "priority", F.struct("message_index", "start").alias("place"))
-    suspect = injected.where("detected").select("request_id", F.lit("injection").alias("key"))
-    ruled = suspect.join(F.broadcast(P.resolve(suspect.select("key").distinct(), rules)), "key").where("rule is not null")
-    keys = keys.unionByName(ruled.select("request_id", "rule", "action", "priority", F.lit(None).cast(keys.schema["place"].dataType).alias("place")))
-    ordinal = F.row_number().over(Window.partitionBy("request_id").orderBy(F.col("place").asc_nulls_last(), "rule"))
-    decided = P.decide(keys.withColumn("ordinal", ordinal), "request_id")
-
-    texts = lambda df: df.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("message_index", "content"))), lambda m: m["content"]).alias("redacted"))
-    personal = F.col("category") == "PII"
-    vault = F.map_from_entries(F.array_distinct(F.collect_list(F.when(personal & F.col("placeholder").isNotNull(), F.struct("placeholder", "value")))))
-    counts = found.groupBy("request_id").agg(F.count(F.when(personal, 1)).alias("pii_count"), F.count(F.when(~personal, 1)).alias("secret_count"), vault.alias("vault"), F.array_sort(F.collect_set(F.when(~personal, F.col("type")))).alias("secret_types"))
-
-    out = requests.join(decided, "request_id", "left").join(counts, "request_id", "left").join(texts(clean).withColumnRenamed("redacted", "clean"), "request_id").join(texts(messages), "request_id")
-    out = out.join(injected.select("request_id", "detected", "score", "matched_rules"), "request_id").join(unexplained, "request_id", "left").join(guarded(messages, found), "request_id", "left")
-    decision = F.coalesce("decision", F.lit("allow"))
-    pii, secrets, odd = (F.coalesce(c, F.lit(0)) for c in ("pii_count", "secret_count", "entropy_count"))
+    messages = messages.select("request_id", "message_index", "role", F.coalesce("content", F.lit("")).alias("content"))
+    rows = redacted(messages, rules)
+    secret = lambda x: x["category"] == "SECRET"
+    touches = lambda m, x: ((m["start"] >= x["start"]) & (m["start"] < x["end"])) | ((m["end"] > x["start"]) & (m["end"] <= x["end"]))
+    odd = F.filter(D.odd_tokens(F.col("content")), lambda m: ~F.exists(F.filter("found", secret), lambda x: touches(m, x)))
+    free = F.filter(S.find_all(F.col("content"), CAPITAL), lambda m: ~F.exists("found", lambda x: (x["start"] <= m["start"]) & (m["start"] < x["end"])))
+    words = F.slice(F.array_distinct(F.transform(free, lambda m: m["value"])), 1, X.MOST_ENTITIES)
+    asked = F.col("role").isin(*ASKED)
+    hidden = F.zip_with("found", "placeholders", lambda x, p: F.when((x["category"] == "PII") & p.isNotNull(), F.struct(p.alias("placeholder"), x["value"].alias("value"))))
+    fired = F.transform(F.filter("found", lambda x: x["rule"].isNotNull()), lambda x: F.struct(x["rule"].alias("rule"), x["action"].alias("action"), x["priority"].alias("priority")))
+    kinds = F.transform(F.filter("found", secret), lambda x: x["type"])
+    told = rows.select("request_id", F.struct("message_index", "content", "clean", asked.alias("asked"), S.held(F.size(odd)).alias("n_odd"), S.held(F.when(asked, words)).alias("words"), F.array_compact(hidden).alias("hidden"), fired.alias("fired"), kinds.alias("secrets"), F.size("found").alias("n")).alias("m"))
+    whole = told.groupBy("request_id").agg(F.array_sort(F.collect_list("m"), lambda a, b: F.when(a["message_index"] < b["message_index"], -1).when(a["message_index"] > b["message_index"], 1).otherwise(0)).alias("ms"))
+    every = lambda name: F.flatten(F.transform("ms", lambda m: F.coalesce(m[name], F.array())))
+    count = lambda name: F.aggregate("ms", F.lit(0), lambda s, m: s + m[name])
+    requests = whole.select(
+        "request_id",
+        F.array_join(F.transform(F.filter("ms", lambda m: m["asked"]), lambda m: m["content"]), "\n").alias("text"),
+        F.transform("ms", lambda m: m["content"]).alias("redacted"),
+        F.transform("ms", lambda m: m["clean"]).alias("clean"),
+        every("fired").alias("fired"),
+        F.array_sort(F.array_distinct(every("secrets"))).alias("secret_types"),
+        (count("n") - F.size(every("secrets"))).cast("long").alias("pii"),
+        F.size(every("secrets")).cast("long").alias("secrets"),
+        count("n_odd").cast("long").alias("odd"),
+        F.map_from_entries(F.array_distinct(every("hidden"))).alias("vault"),
+        F.slice(F.array_distinct(every("words")), 1, X.MOST_ENTITIES).alias("entities"),
+    )
+    injected = I.findings(requests, "text", requests.columns)
+    suspect = rules.select("key", "action", "priority").collect()
+    of_injection = next(((r["key"], r["action"], r["priority"]) for r in suspect if r["key"] == "injection"), None)
+    fired = F.col("fired")
+    if of_injection:
+        one = F.array(F.struct(*[F.lit(v).alias(n) for v, n in zip(of_injection, ("rule", "action", "priority"), strict=True)]).cast("struct<rule:string,action:string,priority:int>"))
+        fired = F.when(F.col("detected"), F.concat(fired, one)).otherwise(fired)
+    out = injected.withColumn("fired", fired)
+    rank = F.array_max(F.transform("fired", lambda x: P.ranked(x["action"])))
+    decision = F.coalesce(P.unranked(rank), F.lit("allow"))
+    blocks = F.filter(F.transform("fired", lambda x, i: F.struct(x["priority"].alias("priority"), (-i).alias("later"), x["rule"].alias("rule"), x["action"].alias("action"))), lambda x: x["action"] == "block")
+    out = out.withColumn("decision", decision).withColumn("block_rule", F.array_max(blocks)["rule"]).withColumn("rules_fired", F.when(F.size("fired") > 0, F.array_distinct(F.transform("fired", lambda x: x["rule"]))))
+    decision, pii, secrets, odd = F.col("decision"), F.col("pii"), F.col("secrets"), F.col("odd")
     reason = F.when(decision == "block", "blocked").when(secrets > 0, "credential_present").when(pii > 0, "personal_data_present")
     stage = lambda name, bad, status: F.struct(F.lit(name).alias("stage"), F.when(bad, F.lit(status)).otherwise("success").alias("status"))
     stages = F.array(stage("secret_scanner", secrets > 0, "warning"), stage("entropy_scanner", odd > 0, "warning"), stage("pii_scanner", pii > 0, "warning"), stage("injection_detector", F.col("detected"), "warning"), stage("policy_engine", decision == "block", "blocked"), F.struct(F.lit("redactor").alias("stage"), F.when(decision == "block", "skipped").otherwise("success").alias("status")))
     hint = H.complexity(F.col("text"))
+    found = pii + secrets > 0
     return out.select(
         "request_id",
         decision.alias("decision"),
-        F.col("block_rule"),
+        "block_rule",
         "rules_fired",
         pii.alias("pii_count"),
         secrets.alias("secret_count"),
         odd.alias("entropy_count"),
-        "secret_types",
+        F.when(found, F.col("secret_types")).alias("secret_types"),
         F.col("score").alias("injection_score"),
         "matched_rules",
         F.when(decision == "block", F.col("redacted")).otherwise(F.col("clean")).alias("redacted"),
-        "vault",
+        F.when(found, F.col("vault")).alias("vault"),
         hint["level"].alias("complexity"),
         hint["reasons"].alias("complexity_reasons"),
         reason.isNull().alias("cacheable"),
         reason.alias("not_cacheable_because"),
-        F.when(reason.isNull(), F.struct(negations(F.col("text")).alias("negations"), numbers(F.col("text")).alias("numbers"), F.coalesce("entities", F.array().cast("array<string>")).alias("entities"))).alias("guards"),
+        F.when(reason.isNull(), F.struct(negations(F.col("text")).alias("negations"), numbers(F.col("text")).alias("numbers"), F.col("entities").alias("entities"))).alias("guards"),
         explanation(decision, F.col("block_rule"), pii, secrets).alias("explanation"),
         stages.alias("stages"),
     )
@@ -140,16 +256,6 @@ def guards(text: Column) -> Column:
 CAPITAL = r"(?<![A-Za-z])[A-Z][a-z]{2,}"
 
 
-def guarded(messages: DataFrame, found: DataFrame) -> DataFrame:
-    """(request_id, entities): the first capitalised words of what was asked that lie in no finding."""
-    spans = found.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("covered"))
-    asked = messages.where(F.col("role").isin(*ASKED)).join(spans, KEY, "left")
-    free = F.filter(S.find_all(F.col("content"), CAPITAL), lambda m: ~F.coalesce(F.exists("covered", lambda c: (c["start"] <= m["start"]) & (m["start"] < c["end"])), F.lit(False)))
-    asked = asked.select("request_id", "message_index", F.slice(F.array_distinct(F.transform(free, lambda m: m["value"])), 1, X.MOST_ENTITIES).alias("words"))
-    ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("message_index", "words"))), lambda x: x["words"]))
-    return asked.groupBy("request_id").agg(F.slice(F.array_distinct(ordered), 1, X.MOST_ENTITIES).alias("entities"))
-
-
 def explanation(decision: Column, rule: Column, pii: Column, secrets: Column) -> Column:
     """A sentence or two on why a request was treated as it was."""
     parts = F.array_compact(F.array(F.when(decision == "block", F.concat(F.lit("Blocked by rule "), rule, F.lit("."))), F.when(secrets > 0, F.concat(secrets.cast("string"), F.lit(" credential(s) found."))), F.when(pii > 0, F.concat(pii.cast("string"), F.lit(" item(s) of personal data found.")))))
@@ -157,33 +263,8 @@ def explanation(decision: Column, rule: Column, pii: Column, secrets: Column) ->
 
 
 def names(texts: DataFrame, text: str, key: list[str], first: frozenset[str] = FIRST, last: frozenset[str] = LAST) -> DataFrame:
-    """Runs of one to four capitalised words that the name lists know, without leading words that are no part of a name.
-
-    Two known words make 0.88; one that opens the run as a first name or ends it
-    as a surname 0.74; one elsewhere 0.60. A single word counts only as a first
-    name after a cue, 0.66.
-    """
-    known = F.array(*[F.lit(n) for n in sorted(first | last)])
-    firsts, lasts = (F.array(*[F.lit(n) for n in sorted(x)]) for x in (first, last))
-    cues, stops = F.array(*map(F.lit, X.CONTACT_CUES)), F.array(*map(F.lit, [*X.LEADING_STOP, *X.CONTACT_CUES]))
-    any_name = r"\b(?:" + "|".join(sorted(first | last)) + r")\b"
-    runs = S.find_all(F.col(text), r"\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,}){0,3}\b")
-    rows = texts.where(F.col(text).rlike(any_name))  # most texts hold no known name and need no search for runs
-    rows = rows.select(*key, F.col(text).alias("__t"), F.explode(F.filter(runs, lambda m: m["value"].rlike(any_name))).alias("m"))
-    words = F.split("m.value", r"\s+")
-    # leading words to strip: those before the first that is a name or no stop word
-    kept = F.transform(words, lambda w: F.array_contains(known, w) | ~F.array_contains(stops, F.lower(w)))
-    rows = rows.withColumn("__from", F.array_position(kept, True) - 1).where(F.col("__from") >= 0)
-    lead = F.when(F.col("__from") > 0, F.length("m.value") - F.length(F.regexp_replace(F.col("m.value"), F.concat(F.lit(r"^(?:\S+\s+){"), F.col("__from").cast("string"), F.lit("}")), F.lit("")))).otherwise(F.lit(0))
-    rows = rows.withColumn("__lead", lead).withColumn("w", F.slice(words, F.col("__from").cast("int") + 1, F.size(words)))
-    hits = F.size(F.filter("w", lambda x: F.array_contains(known, x)))
-    opens, ends = F.array_contains(firsts, F.get("w", F.lit(0))), F.array_contains(lasts, F.get("w", F.size("w") - 1))
-    before = F.lower(F.regexp_extract(F.substr("__t", F.lit(1), F.col("m.start")), r"([A-Za-z]+)[\s:,]+$", 1))
-    cued = (F.col("__from") > 0) | F.array_contains(cues, before)
-    many = F.size("w") > 1
-    score = F.when(many & (hits >= 2), 0.88).when(many & (hits == 1) & (opens | ends), 0.74).when(many & (hits == 1), 0.60).when(~many & opens & cued, 0.66)
-    rows = rows.withColumn("confidence", score).where("confidence is not null")
-    return rows.select(*key, (F.col("m.start") + F.col("__lead")).alias("start"), F.col("m.end").alias("end"), F.substr("m.value", F.col("__lead") + 1).alias("value"), F.lit("PERSON").alias("type"), F.lit("PII").alias("category"), F.when(many, "india.name_gazetteer").otherwise("india.name_gazetteer_cued").alias("recognizer"), "confidence")
+    """One row per name that short lists know; see ``name_spans``."""
+    return texts.select(*key, S.held(name_spans(F.col(text), first, last)).alias("m")).select(*key, F.explode("m").alias("m")).select(*key, "m.*")
 
 
 def hash_embedding(text: Column, dims: int = 16) -> Column:

@@ -61,6 +61,23 @@ def find_all(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), placed).otherwise(F.array().cast(f"array<{MATCH}>"))
 
 
+FINDING = "struct<start:int,end:int,value:string,type:string,category:string,recognizer:string,confidence:double>"
+
+
+def resolved(spans: Column) -> Column:
+    """An array of findings (FINDING) reduced to disjoint ones by the rule of ``resolve``, within its row."""
+    kind = "struct<start:int,neg:int,worse:double,type:string,end:int,confidence:double,value:string,category:string,recognizer:string>"
+    fields = lambda x: F.struct(x["start"].alias("start"), (x["start"] - x["end"]).alias("neg"), (-x["confidence"]).alias("worse"), x["type"].alias("type"), x["end"].alias("end"), x["confidence"].alias("confidence"), x["value"].alias("value"), x["category"].alias("category"), x["recognizer"].alias("recognizer"))
+    clash = lambda last, c: last.isNotNull() & (c["start"] < last["end"]) & (last["start"] < c["end"])
+    wins = lambda last, c: (c["neg"] < last["neg"]) | ((c["neg"] == last["neg"]) & (c["worse"] < last["worse"]))
+    step = lambda last, c: F.when(c.isNull() | ~clash(last, c) | wins(last, c), c).otherwise(last)
+    emit = lambda last, c: F.when(c.isNull() | ~clash(last, c), last)
+    ended = F.concat(F.array_sort(F.transform(spans, fields)), F.array(F.lit(None).cast(kind)))
+    kept = F.filter(running(ended, F.lit(None).cast(kind), step, emit, kind), lambda x: x.isNotNull())
+    back = F.transform(kept, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "value", "type", "category", "recognizer", "confidence")]))
+    return F.when(F.size(spans) > 0, back).otherwise(F.array().cast(f"array<{FINDING}>"))
+
+
 def resolve(findings: DataFrame, *key: str) -> DataFrame:
     """Overlapping findings of a text reduced to disjoint ones.
 

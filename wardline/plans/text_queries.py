@@ -111,8 +111,8 @@ def redact_text(spark, sf_dir):
     """Every message with its personal data and secrets replaced, and whether anything was."""
     rows = B.messages(spark, sf_dir)
     rules = spark.createDataFrame(_REDACTION, "key string, action string, priority int, appealable boolean")
-    clean, _ = N.redact(rows, N.actioned(N.resolved_findings(rows), rules))
-    return clean.select(*KEY, "role", "content", F.col("n_replaced").alias("n_findings"), F.when(F.col("n_replaced") > 0, "sanitize").otherwise("allow").alias("decision"))
+    clean = N.redacted(rows, rules)
+    return clean.select(*KEY, "role", F.col("clean").alias("content"), F.col("n_replaced").alias("n_findings"), F.when(F.col("n_replaced") > 0, "sanitize").otherwise("allow").alias("decision"))
 
 
 @query("line_col", "SELECT doc_id, length(substr(text, 1, length(text) // 2)) - length(replace(substr(text, 1, length(text) // 2), chr(10), '')) + 1 AS line, length(regexp_extract(substr(text, 1, length(text) // 2), '[^\\n]*$')) + 1 AS col FROM documents")
