@@ -150,7 +150,7 @@ SECRETS = tuple(Rule(name, kind, "SECRET", pattern, base, sign, _GATES.get(name,
 
 def findings(texts: DataFrame, text: str, key: list[str], rules=PERSONAL) -> DataFrame:
     """One row per match of any rule: the key, start, end, value, type, category, recognizer, confidence."""
-    return texts.select(*key, S.held(matches(F.col(text), rules)).alias("m")).select(*key, F.explode("m").alias("m")).select(*key, "m.*")
+    return S.exploded(texts, key, S.held(matches(F.col(text), rules)))
 
 
 def reported(found: DataFrame, entities: dict[str, tuple[str, float, bool, str]] = X.ENTITIES, fallback: bool = True) -> DataFrame:
@@ -198,10 +198,10 @@ def odd_tokens(text: Column, threshold: float = 4.0) -> Column:
 
 def entropy_findings(texts: DataFrame, text: str, key: list[str], threshold: float = 4.0) -> DataFrame:
     """Long tokens of high entropy that nothing explains: warnings, never blocks."""
-    rows = texts.select(*key, F.explode(S.held(odd_tokens(F.col(text), threshold))).alias("m"))
-    t, h = F.col("m.value"), F.col("m.entropy")
+    rows = S.exploded(texts, key, S.held(odd_tokens(F.col(text), threshold)))
+    t, h = F.col("value"), F.col("entropy")
     score = F.lit(0.5) + F.when(h >= 5.0, 0.10).otherwise(0.0) + F.when(C.character_classes(t) >= 3, 0.10).otherwise(0.0) + F.when(F.length(t) >= 32, 0.05).otherwise(0.0)
-    return rows.select(*key, "m.start", "m.end", t.alias("value"), F.round(h, 6).alias("entropy"), F.round(F.least(score, F.lit(0.75)), 3).alias("confidence"))
+    return rows.select(*key, "start", "end", "value", F.round(h, 6).alias("entropy"), F.round(F.least(score, F.lit(0.75)), 3).alias("confidence"))
 
 
 def noisy_or_of(categories: Column) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import fixed as X
+from wardline.operators import spans as S
 from wardline.operators.literals import Gate
 
 _BLOB = re.compile(rf"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{{{X.LEAST_BLOB},}}={{0,2}}(?![A-Za-z0-9+/=])")
@@ -132,7 +133,7 @@ def with_hits(texts: DataFrame, text: str, key: list[str], rules=RULES) -> DataF
 
 def hits(texts: DataFrame, text: str, key: list[str], rules=RULES) -> DataFrame:
     """(key, rule_id, category, weight, via), one row a hit."""
-    return with_hits(texts, text, key, rules).select(*key, F.explode("hits").alias("r")).select(*key, "r.*")
+    return S.exploded(with_hits(texts, text, key, rules), key, F.col("hits"))
 
 
 def findings(texts: DataFrame, text: str, key: list[str], at: float = AT, rules=RULES) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import pandas as pd
@@ -52,24 +53,35 @@ def name_spans(text: Column, first: frozenset[str] = FIRST, last: frozenset[str]
     return F.when(text.rlike(any_name), F.array_compact(F.transform(runs, of))).otherwise(F.array().cast(f"array<{S.FINDING}>"))
 
 
+@functools.cache
+def _steps(_: str, first: frozenset[str], last: frozenset[str]) -> tuple[tuple[Column, ...], ...]:
+    """The columns of each step of ``with_findings``: large expressions, built once an application."""
+    text = F.col("content")
+    least = F.create_map(*[F.lit(x) for kind, (_, at, on, _) in X.ENTITIES.items() if on for x in (kind, float(at))])
+    sure = F.filter(F.concat(F.coalesce("__p", F.array()), F.coalesce("__n", F.array())), lambda x: F.coalesce(x["confidence"] >= F.element_at(least, x["type"]), F.lit(False)))
+    free = F.filter("__p", lambda p: ~F.exists("__s", lambda s: (s["start"] <= p["start"]) & (p["end"] <= s["end"])))
+    return (
+        (S.held(D.matches(text, D.SECRETS)).alias("__s"), S.held(D.matches(text, D.PERSONAL)).alias("__p"), S.held(name_spans(text, first, last)).alias("__n")),
+        (S.held(S.resolved(F.coalesce("__s", F.array()))).alias("__s"), S.held(S.resolved(sure)).alias("__p")),
+        (S.held(S.resolved(F.concat(free, "__s"))).alias("found"),),
+    )
+
+
 def with_findings(messages: DataFrame, first: frozenset[str] = FIRST, last: frozenset[str] = LAST) -> DataFrame:
     """Messages with ``found``, the array of their findings, worked out in the row: nothing is shuffled.
 
     Secrets before personal data: each kind made disjoint, personal findings inside a secret gone, and the rest made disjoint again.
     Personal findings are those of patterns and of the name lists whose type is on and that are sure enough.
     """
-    text, own = F.col("content"), [c for c in messages.columns]
-    least = F.create_map(*[F.lit(x) for kind, (_, at, on, _) in X.ENTITIES.items() if on for x in (kind, float(at))])
-    rows = messages.select(*own, S.held(D.matches(text, D.SECRETS)).alias("__s"), S.held(D.matches(text, D.PERSONAL)).alias("__p"), S.held(name_spans(text, first, last)).alias("__n"))
-    sure = F.filter(F.concat(F.coalesce("__p", F.array()), F.coalesce("__n", F.array())), lambda x: F.coalesce(x["confidence"] >= F.element_at(least, x["type"]), F.lit(False)))
-    rows = rows.select(*own, S.held(S.resolved(F.coalesce("__s", F.array()))).alias("__s"), S.held(S.resolved(sure)).alias("__p"))
-    free = F.filter("__p", lambda p: ~F.exists("__s", lambda s: (s["start"] <= p["start"]) & (p["end"] <= s["end"])))
-    return rows.select(*own, S.held(S.resolved(F.concat(free, "__s"))).alias("found"))
+    own = messages.columns
+    for step in _steps(messages.sparkSession.sparkContext.applicationId, first, last):
+        messages = messages.select(*own, *step)
+    return messages
 
 
 def resolved_findings(messages: DataFrame, first: frozenset[str] = FIRST, last: frozenset[str] = LAST) -> DataFrame:
     """One row per finding of ``with_findings``."""
-    return with_findings(messages, first, last).select(*KEY, F.explode("found").alias("f")).select(*KEY, "f.*")
+    return S.exploded(with_findings(messages, first, last), KEY, F.col("found"))
 
 
 RULED = "struct<start:int,end:int,value:string,type:string,category:string,recognizer:string,confidence:double,rule:string,action:string,priority:int,appealable:boolean,label:string>"
@@ -264,7 +276,7 @@ def explanation(decision: Column, rule: Column, pii: Column, secrets: Column) ->
 
 def names(texts: DataFrame, text: str, key: list[str], first: frozenset[str] = FIRST, last: frozenset[str] = LAST) -> DataFrame:
     """One row per name that short lists know; see ``name_spans``."""
-    return texts.select(*key, S.held(name_spans(F.col(text), first, last)).alias("m")).select(*key, F.explode("m").alias("m")).select(*key, "m.*")
+    return S.exploded(texts, key, S.held(name_spans(F.col(text), first, last)))
 
 
 def hash_embedding(text: Column, dims: int = 16) -> Column:

@@ -13,7 +13,7 @@ def ranked(action: Column) -> Column:
 
 
 def unranked(rank: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(a) for a in RANK]), rank + 1)
+    return F.get(F.array(*[F.lit(a) for a in RANK]), rank)
 
 
 def resolve(keys: DataFrame, rules: DataFrame) -> DataFrame:

@@ -23,6 +23,11 @@ def held(value: Column) -> Column:
     return F.when(F.rand(0) >= 0, value)
 
 
+def exploded(rows: DataFrame, key: list[str], array: Column) -> DataFrame:
+    """The key and the fields of each struct of an array. An outer explode, as for a plain one the optimizer asks for the array's size first, and works the array out for that too."""
+    return rows.select(*key, F.explode_outer(array).alias("__x")).where("__x is not null").select(*key, "__x.*")
+
+
 def running(items: Column, start: Column, step, emit, kind: str) -> Column:
     """emit(state, item) for each item in order, the state going from start through step(state, item).
 
