@@ -31,3 +31,11 @@ def test_short_tokens_are_no_jwt(spark):
     long = "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12
     df = spark.createDataFrame([("eyJa.b.c",), (long,)], "t string")
     assert [r[0] for r in df.select(O.scrub_log(F.col("t"))).collect()] == ["eyJa.b.c", "[REDACTED_JWT]"]
+
+
+def test_screens_read_compatibility_forms(spark):
+    from wardline.functions import fixed as X
+
+    wide = "".join(chr(ord(c) + 0xFEE0) if c != " " else "\u3000" for c in "how to kill someone")
+    df = spark.createDataFrame([(1, wide), (2, "how to kill someone"), (3, "h\u00e9llo"), (4, None)], "k int, text string")
+    assert {r["k"] for r in D.screen(df, "text", ["k"], X.HARM_SCREEN).collect()} == {1, 2}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import checksums as C
 from wardline.functions import fixed as X
+from wardline.functions.text import nfkc
 from wardline.operators import spans as S
 
 
@@ -212,10 +213,10 @@ def noisy_or_of(categories: Column) -> Column:
 def screen(texts: DataFrame, text: str, key: list[str], categories: tuple, groups: str | None = None) -> DataFrame:
     """(key, score, categories by weight) of the texts in which a category's pattern occurs: no shuffle, one pass.
 
-    A category counts once, whichever of its patterns is found. GROUP in a
-    pattern stands for the group words.
+    Full-width and other compatibility forms are read as what they stand for. A category counts once,
+    whichever of its patterns is found. GROUP in a pattern stands for the group words.
     """
-    low = F.lower(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")))
+    low = F.lower(F.trim(F.regexp_replace(nfkc(F.col(text)), r"\s+", " ")))
     by_weight = sorted(categories, key=lambda c: -c[1])
 
     def any_of(t: Column, patterns: tuple[str, ...]) -> Column:

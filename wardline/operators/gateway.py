@@ -29,7 +29,7 @@ def error_code(decision: Column, code: Column, secrets: Column, injected: Column
 
 
 def verdicts(inspected: DataFrame, at: float = 0.5) -> DataFrame:
-    """(request_id, action, error_code, sanitized, vault, stages) of ``inspect`` rows; sanitised texts and vault only where something was sanitised."""
+    """(request_id, action, error_code, sanitized, vault, stages, categories) of ``inspect`` rows; sanitised texts and vault only where something was sanitised; categories by the gateway's names, sorted."""
     injected = F.col("injection_score") >= at
     code = F.when(F.startswith("block_rule", F.lit("secret")), "CREDENTIAL_LEAK_PREVENTED").when(F.startswith("block_rule", F.lit("injection")), "PROMPT_INJECTION_BLOCKED").when(F.startswith("block_rule", F.lit("pii")), "PII_BLOCKED")
     sanitized = F.col("decision") == "sanitize"
@@ -40,4 +40,5 @@ def verdicts(inspected: DataFrame, at: float = 0.5) -> DataFrame:
         F.when(sanitized, F.col("redacted")).alias("sanitized"),
         F.when(sanitized & (F.size("vault") > 0), F.col("vault")).alias("vault"),
         F.transform("stages", lambda s: F.struct(s["stage"].alias("name"), stage_status(s["status"]).alias("status"))).alias("stages"),
+        F.array_sort(F.array_distinct(F.transform("found_types", lambda x: category(x["type"], x["category"])))).alias("categories"),
     )

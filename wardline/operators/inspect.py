@@ -191,7 +191,7 @@ def inspect(messages: DataFrame, rules: DataFrame) -> DataFrame:
     hidden = F.zip_with("found", "placeholders", lambda x, p: F.when((x["category"] == "PII") & p.isNotNull(), F.struct(p.alias("placeholder"), x["value"].alias("value"))))
     fired = F.transform(F.filter("found", lambda x: x["rule"].isNotNull()), lambda x: F.struct(x["rule"].alias("rule"), x["action"].alias("action"), x["priority"].alias("priority")))
     kinds = F.transform(F.filter("found", secret), lambda x: x["type"])
-    told = rows.select("request_id", F.struct("message_index", "content", "clean", asked.alias("asked"), S.held(F.size(odd)).alias("n_odd"), S.held(F.when(asked, words)).alias("words"), F.array_compact(hidden).alias("hidden"), fired.alias("fired"), kinds.alias("secrets"), F.size("found").alias("n")).alias("m"))
+    told = rows.select("request_id", F.struct("message_index", "content", "clean", asked.alias("asked"), S.held(F.size(odd)).alias("n_odd"), S.held(F.when(asked, words)).alias("words"), F.array_compact(hidden).alias("hidden"), fired.alias("fired"), kinds.alias("secrets"), F.transform("found", lambda x: F.struct(x["type"].alias("type"), x["category"].alias("category"))).alias("types"), F.size("found").alias("n")).alias("m"))
     whole = told.groupBy("request_id").agg(F.array_sort(F.collect_list("m"), lambda a, b: F.when(a["message_index"] < b["message_index"], -1).when(a["message_index"] > b["message_index"], 1).otherwise(0)).alias("ms"))
     every = lambda name: F.flatten(F.transform("ms", lambda m: F.coalesce(m[name], F.array())))
     count = lambda name: F.aggregate("ms", F.lit(0), lambda s, m: s + m[name])
@@ -206,6 +206,7 @@ def inspect(messages: DataFrame, rules: DataFrame) -> DataFrame:
         F.size(every("secrets")).cast("long").alias("secrets"),
         count("n_odd").cast("long").alias("odd"),
         F.map_from_entries(F.array_distinct(every("hidden"))).alias("vault"),
+        F.array_sort(F.array_distinct(every("types"))).alias("found_types"),
         F.slice(F.array_distinct(every("words")), 1, X.MOST_ENTITIES).alias("entities"),
     )
     injected = I.findings(requests, "text", requests.columns)
@@ -246,6 +247,7 @@ def inspect(messages: DataFrame, rules: DataFrame) -> DataFrame:
         F.when(reason.isNull(), F.struct(negations(F.col("text")).alias("negations"), numbers(F.col("text")).alias("numbers"), F.col("entities").alias("entities"))).alias("guards"),
         explanation(decision, F.col("block_rule"), pii, secrets).alias("explanation"),
         stages.alias("stages"),
+        "found_types",
     )
 
 

@@ -273,11 +273,11 @@ def resolve_findings(spark, sf_dir):
     return N.resolved_findings(_requests(spark, sf_dir)).select("request_id", "type", F.col("start").alias("start_at"))
 
 
-@query("scan_verdicts", "SELECT o_orderkey AS request_id, CASE o_orderkey % 5 WHEN 0 THEN 'allow' WHEN 1 THEN 'sanitize' ELSE 'block' END AS action, CASE o_orderkey % 5 WHEN 3 THEN 'PROMPT_INJECTION_BLOCKED' WHEN 2 THEN 'CREDENTIAL_LEAK_PREVENTED' WHEN 4 THEN 'CREDENTIAL_LEAK_PREVENTED' END AS error_code, CASE WHEN o_orderkey % 5 = 1 THEN 'mail <EMAIL_1>' END AS sanitized, CAST(o_orderkey % 5 = 1 AS INT) AS n_vault, CASE o_orderkey % 5 WHEN 0 THEN 'pass,pass,pass,pass,pass,pass' WHEN 1 THEN 'pass,pass,flagged,pass,pass,pass' WHEN 3 THEN 'pass,pass,pass,flagged,blocked,skipped' ELSE 'flagged,pass,pass,pass,blocked,skipped' END AS stages FROM orders")
+@query("scan_verdicts", "SELECT o_orderkey AS request_id, CASE o_orderkey % 5 WHEN 0 THEN 'allow' WHEN 1 THEN 'sanitize' ELSE 'block' END AS action, CASE o_orderkey % 5 WHEN 3 THEN 'PROMPT_INJECTION_BLOCKED' WHEN 2 THEN 'CREDENTIAL_LEAK_PREVENTED' WHEN 4 THEN 'CREDENTIAL_LEAK_PREVENTED' END AS error_code, CASE WHEN o_orderkey % 5 = 1 THEN 'mail <EMAIL_1>' END AS sanitized, CAST(o_orderkey % 5 = 1 AS INT) AS n_vault, CASE o_orderkey % 5 WHEN 0 THEN 'pass,pass,pass,pass,pass,pass' WHEN 1 THEN 'pass,pass,flagged,pass,pass,pass' WHEN 3 THEN 'pass,pass,pass,flagged,blocked,skipped' ELSE 'flagged,pass,pass,pass,blocked,skipped' END AS stages, CASE o_orderkey % 5 WHEN 1 THEN 'PII_EMAIL' WHEN 2 THEN 'SECRET_AWS_ACCESS_KEY' WHEN 4 THEN 'SECRET_DB_CONNECTION_STRING' ELSE '' END AS categories FROM orders")
 def scan_verdicts(spark, sf_dir):
     out = G.verdicts(N.inspect(_requests(spark, sf_dir), _rules(spark)))
     states = F.array_join(F.transform("stages", lambda s: s["status"]), ",")
-    return out.select("request_id", "action", "error_code", F.get("sanitized", F.lit(0)).alias("sanitized"), F.coalesce(F.size("vault"), F.lit(0)).alias("n_vault"), states.alias("stages"))
+    return out.select("request_id", "action", "error_code", F.get("sanitized", F.lit(0)).alias("sanitized"), F.coalesce(F.size("vault"), F.lit(0)).alias("n_vault"), states.alias("stages"), F.array_join("categories", ",").alias("categories"))
 
 
 @query("cache_hints", "SELECT o_orderkey AS request_id, o_orderkey % 5 = 0 AS cacheable, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'personal_data_present' ELSE 'blocked' END AS reason FROM orders")
