@@ -34,10 +34,14 @@ def lexical_overlap(spark, sf_dir):
     return b.join(ref, F.floor(F.col("item_id") / 2) == F.col("half")).select("item_id", O.lexical_overlap(F.col("text"), F.col("ref")).alias("score"))
 
 
-@query("is_appealable", f"WITH {RULES_SQL}, k AS (SELECT * FROM (VALUES ('pii.EMAIL'), ('secret.AWS'), ('injection'), ('unknown.x')) AS t(key)) SELECT k.key, coalesce(a.appealable, b.appealable, false) AS appealable FROM k LEFT JOIN rules a ON a.profile = 'default' AND a.key = k.key LEFT JOIN rules b ON b.profile = 'default' AND b.key = split_part(k.key, '.', 1)")
+_KEYS_SQL = "k AS (SELECT ['pii.K', 'secret.K', 'injection.K', 'unknown.x'][p_partkey % 4 + 1] || p_partkey AS key FROM part)"
+
+
+@query("is_appealable", f"WITH {RULES_SQL}, {_KEYS_SQL} SELECT k.key, coalesce(b.appealable, false) AS appealable FROM k LEFT JOIN rules b ON b.profile = 'default' AND b.key = split_part(k.key, '.', 1)")
 def is_appealable(spark, sf_dir):
-    keys = spark.createDataFrame([("pii.EMAIL",), ("secret.AWS",), ("injection",), ("unknown.x",)], "key string")
-    return O.appealable(keys, _rules(spark))
+    k = F.col("p_partkey")
+    family = F.get(F.array(*map(F.lit, ("pii.K", "secret.K", "injection.K", "unknown.x"))), (k % 4).cast("int"))
+    return O.appealable(B.table(spark, sf_dir, "part").select(F.concat(family, k).alias("key")), _rules(spark))
 
 
 @query("fairness_report", f"WITH {_SCORES}, docs AS (SELECT lang AS grp, toxic = 1 AS truth, regexp_matches(lower(text), 'idiot|scum') AS hit FROM documents JOIN labels USING (doc_id)), a AS (SELECT grp, round(count(*) FILTER (WHERE truth AND hit) / nullif(count(*) FILTER (WHERE truth), 0), 4) AS r FROM docs GROUP BY grp), b AS (SELECT grp, round(count(*) FILTER (WHERE truth AND hit) / nullif(count(*) FILTER (WHERE truth), 0), 4) AS r FROM scores GROUP BY grp) SELECT grp, a.r AS recall_before, b.r AS recall_after, round(b.r - a.r, 4) AS delta FROM a FULL JOIN b USING (grp)")

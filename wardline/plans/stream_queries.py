@@ -98,12 +98,17 @@ def reference_docs(spark, sf_dir):
     return B.table(spark, sf_dir, "nation").select("n_nationkey", T.reference_docs(header).alias("docs"))
 
 
-_DIFF = ["--- a/one.py", "+++ b/one.py", "@@ -1,3 +1,4 @@", " keep", "+new", " keep", "-old", "+other", "@@ -20,2 +21,2 @@", "-x", "+y", " z", "--- a/two.py", "+++ b/two.py", "@@ -0,0 +1,2 @@", "+a", "+b"]
-
-
-@query("diff_added_lines", "SELECT * FROM (VALUES ('one.py', 2), ('one.py', 4), ('one.py', 21), ('two.py', 1), ('two.py', 2)) AS t(path, line)")
+@query("diff_added_lines", "WITH o AS (SELECT o_orderkey AS k, o_orderkey % 50 AS a, o_orderkey % 7 AS b FROM orders) SELECT 'one' || k || '.py' AS path, CAST(a + 2 AS INT) AS line FROM o UNION ALL SELECT 'one' || k || '.py', CAST(a + 4 AS INT) FROM o UNION ALL SELECT 'one' || k || '.py', CAST(a + 60 + b AS INT) FROM o UNION ALL SELECT 'two' || k || '.py', 1 FROM o WHERE b > 2")
 def diff_added_lines(spark, sf_dir):
-    return T.added_lines(spark.createDataFrame([(0, i, x) for i, x in enumerate(_DIFF)], "diff_id int, seq int, line string"))
+    """A diff for each order: two hunks of one file, and for most orders a new file."""
+    k = F.col("o_orderkey")
+    a, b = k % 50, k % 7
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    one = [text("--- a/one", k, ".py"), text("+++ b/one", k, ".py"), text("@@ -1,3 +", a + 1, ",4 @@"), F.lit(" keep"), F.lit("+new"), F.lit(" keep"), F.lit("-old"), F.lit("+other"), text("@@ -20,2 +", a + b + 60, ",2 @@"), F.lit("-x"), F.lit("+y"), F.lit(" z")]
+    two = [text("--- a/two", k, ".py"), text("+++ b/two", k, ".py"), F.lit("@@ -0,0 +1,1 @@"), F.lit("+a")]
+    lines = F.concat(F.array(*one), F.when(b > 2, F.array(*two)).otherwise(F.array().cast("array<string>")))
+    diffs = B.table(spark, sf_dir, "orders").select(k.alias("diff_id"), F.posexplode(lines).alias("seq", "line"))
+    return T.added_lines(diffs)
 
 
 # findings in code: baselines and failing ones

@@ -178,20 +178,38 @@ def policy_override(spark, sf_dir):
     return P.decide(P.lift(rows, "req", "overridden"), "req").drop("rules_fired")
 
 
-@query("policy_diff", f"WITH {RULES_SQL} SELECT coalesce(a.key, b.key) AS key, a.action AS before, b.action AS after, CASE WHEN a.action IS NULL THEN 'added' WHEN b.action IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT * FROM rules WHERE profile = 'default') a FULL JOIN (SELECT * FROM rules WHERE profile = 'strict') b ON a.key = b.key WHERE a.action IS DISTINCT FROM b.action")
+# two rule sets in which each part is a kind of finding: the second lacks some of the first's rules, has others, and changes every seventh action
+_ACTIONS = "['allow', 'warn', 'sanitize', 'block']"
+_OLD_SQL = f"old AS (SELECT 'pii.K' || p_partkey AS key, ({_ACTIONS})[p_size % 4 + 1] AS action FROM part WHERE p_partkey % 3 <> 0)"
+_NEW_SQL = f"new AS (SELECT 'pii.K' || p_partkey AS key, ({_ACTIONS})[(p_size + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END) % 4 + 1] AS action FROM part WHERE p_partkey % 5 <> 0)"
+
+
+def _action(n):
+    return F.get(F.array(*map(F.lit, P.RANK)), (n % 4).cast("int"))
+
+
+def _rule_sets(spark, sf_dir):
+    part, k = B.table(spark, sf_dir, "part"), F.col("p_partkey")
+    key = F.concat(F.lit("pii.K"), k).alias("key")
+    return part.where(k % 3 != 0).select(key, _action(F.col("p_size")).alias("action")), part.where(k % 5 != 0).select(key, _action(F.col("p_size") + F.when(k % 7 == 0, 1).otherwise(0)).alias("action"))
+
+
+@query("policy_diff", f"WITH {_OLD_SQL}, {_NEW_SQL} SELECT coalesce(a.key, b.key) AS key, a.action AS before, b.action AS after, CASE WHEN a.action IS NULL THEN 'added' WHEN b.action IS NULL THEN 'removed' ELSE 'changed' END AS change FROM old a FULL JOIN new b ON a.key = b.key WHERE a.action IS DISTINCT FROM b.action")
 def policy_diff(spark, sf_dir):
-    return P.difference(_rules(spark, "default"), _rules(spark, "strict"))
+    return P.difference(*_rule_sets(spark, sf_dir))
 
 
-@query("policy_rule_setops", f"WITH {RULES_SQL} SELECT key, 'both' AS side FROM (SELECT key FROM rules WHERE profile = 'default' INTERSECT SELECT key FROM rules WHERE profile = 'open') UNION ALL SELECT key, 'only' FROM (SELECT key FROM rules WHERE profile = 'default' EXCEPT SELECT key FROM rules WHERE profile = 'open')")
+@query("policy_rule_setops", f"WITH {_OLD_SQL}, {_NEW_SQL} SELECT key, 'both' AS side FROM (SELECT key FROM old INTERSECT SELECT key FROM new) UNION ALL SELECT key, 'only' FROM (SELECT key FROM old EXCEPT SELECT key FROM new)")
 def policy_rule_setops(spark, sf_dir):
-    a, b = (_rules(spark, p).select("key") for p in ("default", "open"))
+    a, b = (r.select("key") for r in _rule_sets(spark, sf_dir))
     return a.intersect(b).withColumn("side", F.lit("both")).union(a.subtract(b).withColumn("side", F.lit("only")))
 
 
-@query("policy_flags", f"WITH {RULES_SQL} SELECT profile, bool_or(starts_with(key, 'pii.') AND action <> 'allow') AS pii, bool_or(starts_with(key, 'secret.') AND action <> 'allow') AS secret, bool_or(starts_with(key, 'injection') AND action <> 'allow') AS injection, bool_or(starts_with(key, 'pii.') AND action = 'block') AS blocks_pii FROM rules GROUP BY profile")
+@query("policy_flags", f"WITH r AS (SELECT p_brand || (p_partkey % 11) AS profile, ['pii.', 'secret.', 'injection'][p_partkey % 3 + 1] || CASE WHEN p_partkey % 3 = 2 THEN '' ELSE CAST(p_partkey AS VARCHAR) END AS key, ({_ACTIONS})[p_size % 4 + 1] AS action FROM part) SELECT profile, bool_or(starts_with(key, 'pii.') AND action <> 'allow') AS pii, bool_or(starts_with(key, 'secret.') AND action <> 'allow') AS secret, bool_or(starts_with(key, 'injection') AND action <> 'allow') AS injection, bool_or(starts_with(key, 'pii.') AND action = 'block') AS blocks_pii FROM r GROUP BY profile")
 def policy_flags(spark, sf_dir):
-    return P.flags(_rules(spark))
+    k = F.col("p_partkey")
+    key = F.when(k % 3 == 0, F.concat(F.lit("pii."), k)).when(k % 3 == 1, F.concat(F.lit("secret."), k)).otherwise("injection")
+    return P.flags(B.table(spark, sf_dir, "part").select(F.concat("p_brand", k % 11).alias("profile"), key.alias("key"), _action(F.col("p_size")).alias("action")))
 
 
 @query("egress_decisions", "SELECT event_id, ['PASS', 'ANNOTATE', 'REPLACE'][greatest(CASE WHEN harm >= 0.7 THEN 2 ELSE 0 END, CASE WHEN bias >= 0.6 THEN 1 ELSE 0 END, CASE WHEN grounding IS NULL OR grounding >= 0.75 THEN 0 WHEN grounding >= 0.5 THEN 1 ELSE 2 END) + 1] AS egress_action FROM (SELECT event_id, event_id % 10 / 10 AS harm, event_id % 7 / 7 AS bias, CASE WHEN event_id % 3 > 0 THEN event_id % 20 / 20 END AS grounding FROM events)")
