@@ -133,12 +133,24 @@ def report(audit: DataFrame) -> DataFrame:
     return plain.unionByName(actions)
 
 
-def series(audit: DataFrame, begin: str, end: str, buckets: int) -> DataFrame:
-    """Fixed buckets over [begin, end): every bucket is there, empty ones with zeros and null percentiles."""
+def in_buckets(audit: DataFrame, begin: str, end: str, buckets: int) -> DataFrame:
+    """The rows of [begin, end) with the number of their bucket, from 0."""
     t0, t1 = F.unix_micros(F.lit(begin).cast("timestamp")), F.unix_micros(F.lit(end).cast("timestamp"))
     place = F.floor((F.unix_micros("ts") - t0) * buckets / (t1 - t0))
     rows = audit.where((F.col("ts") >= F.lit(begin).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp")))
-    rows = rows.withColumn("bucket", F.least(F.lit(buckets - 1), F.greatest(F.lit(0), place)).cast("long"))
+    return rows.withColumn("bucket", F.least(F.lit(buckets - 1), F.greatest(F.lit(0), place)).cast("long"))
+
+
+def savings(audit: DataFrame, prices: DataFrame, counterfactual: str, begin: str, end: str, buckets: int) -> DataFrame:
+    """(bucket, saved_usd, running): what cache hits saved in each bucket, and up to it; empty buckets save nothing."""
+    saved = spend(in_buckets(audit, begin, end, buckets), prices, counterfactual, "bucket").select("bucket", "saved_usd")
+    every = audit.sparkSession.range(buckets).select(F.col("id").alias("bucket")).join(F.broadcast(saved), "bucket", "left").na.fill(0.0, ["saved_usd"])
+    return running(every, "saved_usd", "bucket").withColumn("running", F.round("running", 6))
+
+
+def series(audit: DataFrame, begin: str, end: str, buckets: int) -> DataFrame:
+    """Fixed buckets over [begin, end): every bucket is there, empty ones with zeros and null percentiles."""
+    rows = in_buckets(audit, begin, end, buckets)
     action = F.col("policy_action")
     sums = rows.groupBy("bucket").agg(
         F.count("*").alias("requests"),

@@ -170,6 +170,20 @@ def cumulative_savings(spark, sf_dir):
     return M.running(_series(spark, sf_dir).select("bucket", "cache_hits"), "cache_hits", "bucket")
 
 
+_PRICES = [("model-1", 0.513, 1.517), ("model-2", 2.519, 10.021), ("", 1.003, 4.007)]
+
+
+@query(
+    "savings_series",
+    f"""{SERIES_SQL}, p AS (SELECT bucket, CAST(0.513 AS DOUBLE) AS i, CAST(1.517 AS DOUBLE) AS o, coalesce(input_tokens, 0) AS a, coalesce(output_tokens, 0) AS b FROM r WHERE cache_hit),
+    per AS (SELECT b.bucket, coalesce(round(sum(round((a * i + p.b * o) / 1000000, 6)), 6), 0) AS saved_usd FROM (SELECT unnest(range(30)) AS bucket) b LEFT JOIN p USING (bucket) GROUP BY b.bucket)
+    SELECT bucket, saved_usd, round(sum(saved_usd) OVER (ORDER BY bucket), 6) AS running FROM per""",
+)
+def savings_series(spark, sf_dir):
+    prices = spark.createDataFrame(_PRICES, "model string, price_in double, price_out double")
+    return M.savings(B.audit(spark, sf_dir), prices, "model-1", "2024-01-01 00:00:00", "2024-02-05 00:00:00", 30)
+
+
 @query("provider_share", f"{WITH} SELECT provider, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM audit WHERE provider IS NOT NULL GROUP BY provider")
 def provider_share(spark, sf_dir):
     return M.share(B.audit(spark, sf_dir), "provider")
