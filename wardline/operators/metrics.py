@@ -210,6 +210,32 @@ def spend(audit: DataFrame, prices: DataFrame, counterfactual: str, *by: str) ->
     return priced.withColumn("usd", F.round(usd, 6)).groupBy(*by).agg(F.round(F.sum(F.when(~F.col("cache_hit"), F.col("usd"))), 6).alias("spend_usd"), F.round(F.sum(F.when(F.col("cache_hit"), F.col("usd"))), 6).alias("saved_usd"))
 
 
+def with_footprint(audit: DataFrame, energy: DataFrame, grid_g_per_kwh: float) -> DataFrame:
+    """Audit rows with energy_wh and co2_g where the gateway has told none: tokens by the rate of the longest model name that theirs begins with.
+
+    energy: (model, wh_per_1k), the empty name for unknown models; model names are compared in lower case, without the provider.
+    """
+    from wardline.operators import hints as H
+
+    known = audit.columns
+    named = audit.withColumn("__model", F.lower(F.substring_index(F.coalesce("model", F.lit("")), "/", -1)))
+    rated = H.longest_prefix(named, "__model", energy.select("model", F.col("wh_per_1k").alias("price_in"), F.lit(0.0).alias("price_out")))
+    wh = F.round(F.coalesce("total_tokens", F.lit(0)) / 1000 * F.col("price_in"), 6)
+    own = F.coalesce(F.col("estimated_energy_wh"), wh) if "estimated_energy_wh" in known else wh
+    co2 = F.round(F.col("energy_wh") / 1000 * grid_g_per_kwh, 6)
+    co2 = F.coalesce(F.col("estimated_co2_g"), co2) if "estimated_co2_g" in known else co2
+    return rated.withColumn("energy_wh", own).withColumn("co2_g", co2).select(*known, "energy_wh", "co2_g")
+
+
+def footprint(audit: DataFrame, energy: DataFrame, grid_g_per_kwh: float, basis: str, *by: str) -> DataFrame:
+    """Energy and carbon of served requests and what cache hits avoided, with the basis of the estimate, which travels with it."""
+    rows, hit = with_footprint(audit, energy, grid_g_per_kwh), F.coalesce(F.col("cache_hit"), F.lit(False))
+    part = lambda c, when, name: F.round(F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0.0)), 6).alias(name)
+    sums = rows.groupBy(*by).agg(part("energy_wh", ~hit, "energy_wh"), part("co2_g", ~hit, "co2_g"), part("energy_wh", hit, "energy_avoided_wh"), part("co2_g", hit, "co2_avoided_g"), total("total_tokens").alias("tokens"))
+    blended = F.round(F.try_divide((F.col("energy_wh") + F.col("energy_avoided_wh")) * 1000, F.col("tokens")), 6)
+    return sums.select(*by, "energy_wh", "co2_g", "energy_avoided_wh", "co2_avoided_g", blended.alias("wh_per_1k_blended"), F.lit(basis).alias("basis"))
+
+
 def report_header(audit: DataFrame, *by: str) -> DataFrame:
     """Sums for a report's head: what was scrubbed, and what was blocked."""
     return audit.groupBy(*by).agg(total("pii_count").alias("pii"), total("secret_count").alias("secrets"), F.sum(F.col("pii_count") + F.col("secret_count")).cast("long").alias("scrubbed"), count_if(F.col("policy_action") == "BLOCK").alias("blocked"))

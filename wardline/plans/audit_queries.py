@@ -9,6 +9,7 @@ from wardline.operators import metrics as M
 from wardline.plans.registry import query
 from wardline.session import work_folder
 from wardline.sources import bridge as B
+from wardline.sources import rules
 from wardline.sources.commitlog import Table
 from wardline.streaming import rollup as R
 
@@ -184,6 +185,21 @@ def savings_series(spark, sf_dir):
     return M.savings(B.audit(spark, sf_dir), prices, "model-1", "2024-01-01 00:00:00", "2024-02-05 00:00:00", 30)
 
 
+_ENERGY = {"energy_wh_per_1k_tokens": {"small": 0.3, "large": 2.9, "unknown": 1.5}, "model_class": {"model-1": "small", "model-2": "large", "model-2-x": "small"}, "grid_gco2_per_kwh": {"global": 480.0, "north": 30.0}, "default_region": "global"}
+
+
+@query(
+    "energy_and_co2",
+    f"""{WITH}, e AS (SELECT tenant_id, coalesce(cache_hit, false) AS hit, coalesce(total_tokens, 0) AS tokens,
+      round(coalesce(total_tokens, 0) / 1000 * CASE WHEN starts_with(lower(model), 'model-1') THEN 0.3 WHEN starts_with(lower(model), 'model-2-x') THEN 0.3 WHEN starts_with(lower(model), 'model-2') THEN 2.9 ELSE 1.5 END, 6) AS wh FROM audit),
+    s AS (SELECT tenant_id, round(sum(CASE WHEN NOT hit THEN wh ELSE 0 END), 6) AS energy_wh, round(sum(CASE WHEN NOT hit THEN round(wh / 1000 * 30, 6) ELSE 0 END), 6) AS co2_g,
+      round(sum(CASE WHEN hit THEN wh ELSE 0 END), 6) AS energy_avoided_wh, round(sum(CASE WHEN hit THEN round(wh / 1000 * 30, 6) ELSE 0 END), 6) AS co2_avoided_g, sum(tokens) AS tokens FROM e GROUP BY tenant_id)
+    SELECT tenant_id, energy_wh, co2_g, energy_avoided_wh, co2_avoided_g, round((energy_wh + energy_avoided_wh) * 1000 / tokens, 6) AS wh_per_1k_blended, 'estimated by model class' AS basis FROM s""",
+)
+def energy_and_co2(spark, sf_dir):
+    return M.footprint(B.audit(spark, sf_dir), rules.energy_table(spark, _ENERGY), rules.grid_factor(_ENERGY, "north"), "estimated by model class", "tenant_id")
+
+
 @query("provider_share", f"{WITH} SELECT provider, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM audit WHERE provider IS NOT NULL GROUP BY provider")
 def provider_share(spark, sf_dir):
     return M.share(B.audit(spark, sf_dir), "provider")
