@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wardline.functions import net
 from wardline.operators import audit as A
 from wardline.operators import detect as D
+from wardline.operators import fairness as E
 from wardline.operators import gateway as G
 from wardline.operators import gazetteer as Z
 from wardline.operators import injection as I
@@ -322,6 +323,32 @@ def gazetteer_join(spark, sf_dir):
     return Z.names(texts, "text", ["k"], listed).select("k", "value", F.col("start").alias("start_at"), "confidence")
 
 
+# fairness: a name of a customer in each order's text, by market segment; the first engine knows every second customer, the second all but every fifth
+
+_FAIR_SQL = "s AS (SELECT 'first' AS engine, c_mktsegment AS grp, c_custkey % 5 <> 0 AS covered, c_custkey % 2 = 0 OR c_custkey % 3 = 0 AND c_mktsegment = 'BUILDING' AS hit FROM orders JOIN customer ON c_custkey = o_custkey UNION ALL SELECT 'second', c_mktsegment, c_custkey % 5 <> 0, c_custkey % 5 <> 0 FROM orders JOIN customer ON c_custkey = o_custkey), t AS (SELECT engine, grp, count(*) AS n, count(*) FILTER (WHERE hit) AS hits, round(count(*) FILTER (WHERE hit) / count(*), 4) AS recall, round(count(*) FILTER (WHERE hit AND covered) / nullif(count(*) FILTER (WHERE covered), 0), 4) AS covered_recall, round(count(*) FILTER (WHERE hit AND NOT covered) / nullif(count(*) FILTER (WHERE NOT covered), 0), 4) AS held_out_recall FROM s GROUP BY engine, grp)"
+
+
+def _fair(spark, sf_dir):
+    customers = B.table(spark, sf_dir, "customer")
+    orders = B.table(spark, sf_dir, "orders").join(customers, F.col("c_custkey") == F.col("o_custkey"))
+    text = F.expr(_case(_named(0, "o_custkey")[:2], "o_orderkey"))
+    texts = orders.select(F.col("o_orderkey").alias("k"), F.col("c_mktsegment").alias("grp"), F.concat(F.lit("F"), F.expr(_CODED.format("c_custkey"))).alias("name"), (F.col("c_custkey") % 5 != 0).alias("covered"), text.alias("text"))
+    name = F.concat(F.lit("F"), F.expr(_CODED.format("c_custkey"))).alias("name")
+    known = {"first": "c_custkey % 2 = 0 or c_custkey % 3 = 0 and c_mktsegment = 'BUILDING'", "second": "c_custkey % 5 <> 0"}
+    runs = [E.scored(texts, Z.names(texts, "text", ["k"], customers.where(which).select(name, F.lit(True).alias("is_first"), F.lit(False).alias("is_last"))), "k", engine) for engine, which in known.items()]
+    return E.tallies(runs[0].union(runs[1]))
+
+
+@query("fairness_by_engine", f"WITH {_FAIR_SQL} SELECT * FROM t")
+def fairness_by_engine(spark, sf_dir):
+    return _fair(spark, sf_dir)
+
+
+@query("fairness_gap_closed", f"WITH {_FAIR_SQL}, g AS (SELECT engine, max(recall) AS best, min(recall) AS worst, arg_min(grp, (recall, grp)) AS worst_group, round(max(recall) - min(recall), 4) AS gap FROM t GROUP BY engine) SELECT g.*, round((SELECT gap FROM g WHERE engine = 'first') - gap, 4) AS gap_closed FROM g")
+def fairness_gap_closed(spark, sf_dir):
+    return E.gaps(_fair(spark, sf_dir), "first")
+
+
 # scrubbing and leaks
 
 LOGS = [
