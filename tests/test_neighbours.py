@@ -49,7 +49,8 @@ def clustered(seed=3, n=4000, dims=16):
 
 
 @pytest.mark.parametrize(("threshold", "k"), [(-1.0, 3), (0.92, 1)])
-def test_nearest_equals_all_pairs(spark, threshold, k):
+def test_nearest_equals_all_pairs(spark, monkeypatch, threshold, k):
+    monkeypatch.setattr(N, "UNSALTED", 100)  # keys of these tables are salted too
     entries = clustered()
     probes = [r for r in entries if r[0] is not None and r[0] % 40 == 0 or r[0] in (50_002, 50_003)] + [(60_000, (7,), entries[0][2]), (60_001, (0,), None), (60_002, (1,), np.ones(16).tolist()), (60_003, (0,), [0.0] * 16)]
     p, e = frames(spark, probes, entries)

@@ -33,6 +33,8 @@ from wardline.session import work_folder
 PIVOTS = 64
 RING = 256
 HOT_SHARE = 1000
+#: a table of so many rows is one task's work if need be
+UNSALTED = 100_000
 DIGITS = 6
 _TIE = 1e-6  # similarities are rounded to six digits, so what lies so near to the k-th may tie with it
 _SLACK = 1e-6  # of distances worked out in doubles
@@ -42,11 +44,13 @@ _SLACK = 1e-6  # of distances worked out in doubles
 
 
 def _salts(rows: DataFrame, *key: str) -> dict[tuple, int]:
-    """Keys that hold a thousandth of the rows or more, with their share in thousandths."""
-    counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    """Keys that hold a thousandth of the rows or more, with their share in thousandths; none in a table of few rows."""
     whole = rows.count()
-    least = max(2, math.ceil(whole / HOT_SHARE))
-    return {tuple(r[k] for k in key): math.ceil(r["n"] / least) for r in counts.where(F.col("n") >= least).collect()} if whole > HOT_SHARE else {}
+    if whole <= UNSALTED:
+        return {}
+    least = math.ceil(whole / HOT_SHARE)
+    counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    return {tuple(r[k] for k in key): math.ceil(r["n"] / least) for r in counts.where(F.col("n") >= least).collect()}
 
 
 def _beside(held: DataFrame, streamed: DataFrame, key: list[str], by: str, hot: dict[tuple, int], prepare: Callable[[pa.Table], Any], step: Callable[[Any, pa.RecordBatch], Iterator[pa.RecordBatch]], out: str) -> DataFrame:
