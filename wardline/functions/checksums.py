@@ -47,8 +47,8 @@ def entropy(text: Column) -> Column:
     """Bits per character; 0 of the empty string."""
     signs = F.split(text, "")
     n = F.length(text)
-    part = lambda c: F.try_divide(F.size(F.filter(signs, lambda x: x == c)), n)
-    total = F.aggregate(F.array_sort(F.array_distinct(signs)), F.lit(0.0), lambda acc, c: acc - part(c) * F.log2(part(c)))
+    parts = F.transform(F.array_sort(F.array_distinct(signs)), lambda c: F.try_divide(n - F.length(F.replace(text, c, F.lit(""))), n))
+    total = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
     return F.when(n > 0, total).otherwise(0.0)
 
 

@@ -40,12 +40,11 @@ class Rule:
     nudged: bool = False
 
 
-def matches(text: Column, rules: tuple[Rule, ...] | list[Rule]) -> Column:
-    """array<struct<start, end, value, type, category, recognizer, confidence>> of all rules.
+def tried(text: Column, rules: tuple[Rule, ...] | list[Rule]) -> Column:
+    """array<struct<i, gap, v>>: every rule's matches with the gaps before them. ``matches`` tells more of them.
 
-    Each rule adds its matches with the gaps before them to one array; places,
-    checks and confidences are then worked out for the array as a whole, so the
-    expression stays small however many rules there are.
+    This belongs in a column of its own: there the signs and gates, which most
+    texts fail, run as compiled code, and inside a lambda they would not.
     """
     none = F.array().cast("array<struct<i:int,gap:int,v:string>>")
 
@@ -55,6 +54,15 @@ def matches(text: Column, rules: tuple[Rule, ...] | list[Rule]) -> Column:
         there = text.rlike(r.gate) & there if r.gate else there
         return F.when(F.contains(text, F.lit(r.sign)) & there if r.sign else there, F.filter(found, lambda x: x["v"].isNotNull())).otherwise(none)
 
+    return F.concat(*[pairs(i, r) for i, r in enumerate(rules)])
+
+
+def matches(text: Column, found: Column, rules: tuple[Rule, ...] | list[Rule]) -> Column:
+    """array<FINDING> of the matches that ``tried`` has found (a column): places, checks and confidences.
+
+    They are worked out for the array as a whole, so the expression stays small however many rules there are.
+    """
+
     def by_rule(m: Column, of: Callable[[Rule], Column | None], default: Column) -> Column:
         own = [(i, of(r)) for i, r in enumerate(rules)]
         out = None
@@ -86,8 +94,8 @@ def matches(text: Column, rules: tuple[Rule, ...] | list[Rule]) -> Column:
     start = F.struct(F.lit(-1).alias("i"), F.lit(0).alias("at"))
     step = lambda s, x: F.struct(x["i"].alias("i"), (at(s, x) + F.length(x["v"])).alias("at"))
     emit = lambda s, x: F.struct(x["i"].alias("i"), at(s, x).alias("start"), (at(s, x) + F.length(x["v"])).alias("end"), x["v"].alias("value"))
-    placed = S.running(F.concat(*[pairs(i, r) for i, r in enumerate(rules)]), start, step, emit, "struct<i:int,start:int,end:int,value:string>")
-    return F.transform(F.filter(placed, passes), told)
+    placed = S.running(found, start, step, emit, "struct<i:int,start:int,end:int,value:string>")
+    return F.when(F.size(found) > 0, F.transform(F.filter(placed, passes), told)).otherwise(F.array().cast(f"array<{S.FINDING}>"))
 
 
 def digits(value: Column) -> Column:
@@ -151,7 +159,9 @@ SECRETS = tuple(Rule(name, kind, "SECRET", pattern, base, sign, _GATES.get(name,
 
 def findings(texts: DataFrame, text: str, key: list[str], rules=PERSONAL) -> DataFrame:
     """One row per match of any rule: the key, start, end, value, type, category, recognizer, confidence."""
-    return S.exploded(texts, key, S.held(matches(F.col(text), rules)))
+    rows = texts.select(F.struct(*key).alias("__k"), F.col(text).alias("__t"), S.held(tried(F.col(text), rules)).alias("__m"))
+    rows = rows.where(F.size("__m") > 0).select("__k", S.held(matches(F.col("__t"), F.col("__m"), rules)).alias("__f"))
+    return S.exploded(rows.select("__k.*", "__f"), key, F.col("__f"))
 
 
 def reported(found: DataFrame, entities: dict[str, tuple[str, float, bool, str]] = X.ENTITIES, fallback: bool = True) -> DataFrame:

@@ -60,10 +60,15 @@ def _steps(_: str, first: frozenset[str], last: frozenset[str]) -> tuple[tuple[C
     least = F.create_map(*[F.lit(x) for kind, (_, at, on, _) in X.ENTITIES.items() if on for x in (kind, float(at))])
     sure = F.filter(F.concat(F.coalesce("__p", F.array()), F.coalesce("__n", F.array())), lambda x: F.coalesce(x["confidence"] >= F.element_at(least, x["type"]), F.lit(False)))
     free = F.filter("__p", lambda p: ~F.exists("__s", lambda s: (s["start"] <= p["start"]) & (p["end"] <= s["end"])))
+    # what is disjoint stays so, and only where both kinds are left is there more to resolve
+    mixed = F.when(F.size("__s") == 0, F.col("__p")).when(F.size("__p") == 0, F.col("__s")).otherwise(S.resolved(F.concat("__p", "__s")))
     return (
-        (S.held(D.matches(text, D.SECRETS)).alias("__s"), S.held(D.matches(text, D.PERSONAL)).alias("__p"), S.held(name_spans(text, first, last)).alias("__n")),
-        (S.held(S.resolved(F.coalesce("__s", F.array()))).alias("__s"), S.held(S.resolved(sure)).alias("__p")),
-        (S.held(S.resolved(F.concat(free, "__s"))).alias("found"),),
+        (S.held(D.tried(text, D.SECRETS)).alias("__s"), S.held(D.tried(text, D.PERSONAL)).alias("__p"), S.held(name_spans(text, first, last)).alias("__n")),
+        (S.held(D.matches(text, F.col("__s"), D.SECRETS)).alias("__s"), S.held(D.matches(text, F.col("__p"), D.PERSONAL)).alias("__p"), "__n"),
+        ("__s", S.held(sure).alias("__p")),
+        (S.held(S.resolved(F.col("__s"))).alias("__s"), S.held(S.resolved(F.col("__p"))).alias("__p")),
+        ("__s", S.held(F.when(F.size("__s") > 0, free).otherwise(F.col("__p"))).alias("__p")),
+        (S.held(mixed).alias("found"),),
     )
 
 

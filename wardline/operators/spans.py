@@ -46,7 +46,8 @@ def running(items: Column, start: Column, step, emit, kind: str) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / CHUNK).cast("int")), lambda i: F.slice(a, i * CHUNK + 1, F.lit(CHUNK)))
 
     first = F.struct(start.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("outs"))
-    return let(items, lambda a: F.when(F.size(a) > 0, F.flatten(F.aggregate(chunks(a), first, outer)["outs"])).otherwise(none))
+    short = lambda a: F.aggregate(a, F.struct(start.alias("s"), none.alias("out")), inner)["out"]
+    return let(items, lambda a: F.when(F.size(a) == 0, none).when(F.size(a) <= CHUNK, short(a)).when(F.size(a) > CHUNK, F.flatten(F.aggregate(chunks(a), first, outer)["outs"])).otherwise(none))
 
 
 MATCH = "struct<start:int,end:int,value:string>"
@@ -70,7 +71,7 @@ FINDING = "struct<start:int,end:int,value:string,type:string,category:string,rec
 
 
 def resolved(spans: Column) -> Column:
-    """An array of findings (FINDING) reduced to disjoint ones by the rule of ``resolve``, within its row."""
+    """An array of findings (FINDING, a column) reduced to disjoint ones by the rule of ``resolve``, within its row; of one or none nothing is to be done."""
     kind = "struct<start:int,neg:int,worse:double,type:string,end:int,confidence:double,value:string,category:string,recognizer:string>"
     fields = lambda x: F.struct(x["start"].alias("start"), (x["start"] - x["end"]).alias("neg"), (-x["confidence"]).alias("worse"), x["type"].alias("type"), x["end"].alias("end"), x["confidence"].alias("confidence"), x["value"].alias("value"), x["category"].alias("category"), x["recognizer"].alias("recognizer"))
     clash = lambda last, c: last.isNotNull() & (c["start"] < last["end"]) & (last["start"] < c["end"])
@@ -80,7 +81,7 @@ def resolved(spans: Column) -> Column:
     ended = F.concat(F.array_sort(F.transform(spans, fields)), F.array(F.lit(None).cast(kind)))
     kept = F.filter(running(ended, F.lit(None).cast(kind), step, emit, kind), lambda x: x.isNotNull())
     back = F.transform(kept, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "value", "type", "category", "recognizer", "confidence")]))
-    return F.when(F.size(spans) > 0, back).otherwise(F.array().cast(f"array<{FINDING}>"))
+    return F.when(F.size(spans) > 1, back).otherwise(F.coalesce(spans, F.array().cast(f"array<{FINDING}>")))
 
 
 def resolve(findings: DataFrame, *key: str) -> DataFrame:

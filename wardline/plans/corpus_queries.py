@@ -25,7 +25,7 @@ from wardline.sources import streams as T
 
 
 def _orders(spark, sf_dir):
-    return B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    return B.dealt(B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), "k")
 
 
 def _case(values: list[str], n: str = "k") -> str:
@@ -390,11 +390,12 @@ def client_safe(spark, sf_dir):
 def leak_check(spark, sf_dir):
     """Redacted texts against the values that were taken out; every fourth text repeats one in another message."""
     rows = _mails(spark, sf_dir)
-    clean, found = N.redact(rows, N.actioned(N.resolved_findings(rows), _rules(spark)))
-    values = found.where("action = 'sanitize'").groupBy("request_id").agg(F.collect_set("value").alias("values"))
-    text = clean.groupBy("request_id").agg(F.array_join(F.collect_list("content"), "\n").alias("text"))
+    taken = F.transform(F.filter("found", lambda x: x["action"] == "sanitize"), lambda x: x["value"])
+    told = N.redacted(rows, _rules(spark)).select("request_id", F.struct("message_index", "clean", taken.alias("taken")).alias("m"))
+    whole = told.groupBy("request_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    text = whole.select("request_id", F.array_join("ms.clean", "\n").alias("text"), F.array_distinct(F.flatten("ms.taken")).alias("values"))
     quoted = F.when(F.col("request_id") % 4 == 0, F.concat("text", F.lit(" u"), F.col("request_id").cast("string"), F.lit("@x.example.com"))).otherwise(F.col("text"))
-    return text.join(values, "request_id").select("request_id", O.leaks(quoted, F.col("values")).alias("leaks"))
+    return text.select("request_id", O.leaks(quoted, F.col("values")).alias("leaks"))
 
 
 # addresses

@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(keys: DataFrame, key: str) -> DataFrame:
+    """Narrow rows dealt by their key to as many tasks as a shuffle has, before something costly is made of each: a file of few row groups is read by few tasks."""
+    spark = keys.sparkSession
+    least = 3 * spark.sparkContext.defaultParallelism
+    return keys.repartition(max(least, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """request_audit rows from the event stream."""
     e = table(spark, sf_dir, "events")
