@@ -43,9 +43,9 @@ _H = "round(list_sum(list_transform(list_sort(list_distinct(string_split(t, ''))
 
 @query("token_entropy", f"SELECT p_partkey, {_H} + 0.0 AS entropy, len(list_distinct(string_split(t, ''))) AS charset, CASE WHEN {_H} >= 4.5 THEN 0.10 WHEN {_H} >= 3.5 THEN 0.05 WHEN {_H} >= 2.5 THEN 0.0 WHEN {_H} >= 1.5 THEN -0.05 ELSE -0.10 END AS modifier FROM (SELECT p_partkey, p_name || p_type AS t FROM part)")
 def token_entropy(spark, sf_dir):
-    t = F.concat("p_name", "p_type")
-    h = F.round(C.entropy(t), 6)
-    return B.table(spark, sf_dir, "part").select("p_partkey", h.alias("entropy"), C.charset_size(t).alias("charset"), C.confidence_modifier(h).alias("modifier"))
+    rows = B.dealt(B.table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", "p_type").alias("t")), "p_partkey")
+    rows = rows.select("p_partkey", "t", S.held(F.round(C.entropy(F.col("t")), 6)).alias("entropy"))
+    return rows.select("p_partkey", "entropy", C.charset_size(F.col("t")).alias("charset"), C.confidence_modifier(F.col("entropy")).alias("modifier"))
 
 
 @query("entropy_findings")
