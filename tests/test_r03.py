@@ -26,3 +26,13 @@ def test_entropy_is_worked_out_once_in_many_tasks(spark, sf_dir):
     out = text_queries.token_entropy(spark, sf_dir)
     assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert _plan(out).count("log2") + _plan(out).count("LOG2") == 1
+
+
+def test_added_lines_sort_once(spark):
+    from wardline.sources import streams
+
+    lines = ["--- a/x", "+++ b/x", "@@ -1,2 +1,3 @@", " a", "+b", "-c", "+d", "@@ -9 +20,2 @@", "-e", "+f", " g", "--- a/y", "+++ b/y", "@@ -0,0 +1 @@", "+h"]
+    out = streams.added_lines(spark.createDataFrame([(0, i, x) for i, x in enumerate(lines)], "diff_id int, seq int, line string"))
+    assert sorted(map(tuple, out.collect())) == [("x", 2), ("x", 3), ("x", 20), ("y", 1)]
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Window") >= 1
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Sort [") == 1

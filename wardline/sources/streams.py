@@ -39,10 +39,13 @@ def added_lines(diff: DataFrame) -> DataFrame:
     path = F.when(F.startswith("line", F.lit("+++ ")), F.regexp_replace("line", r"^\+\+\+ (?:b/)?", ""))
     start = F.when(F.startswith("line", F.lit("@@")), F.regexp_extract("line", r"\+([0-9]+)", 1).cast("int"))
     head = F.startswith("line", F.lit("@@")) | F.startswith("line", F.lit("+++ ")) | F.startswith("line", F.lit("--- "))
-    marked = diff.withColumn("path", F.last(path, True).over(order)).withColumn("hunk", F.last(F.when(start.isNotNull(), F.struct("seq", start.alias("at"))), True).over(order)).where(~head & F.col("hunk").isNotNull())
-    in_hunk = Window.partitionBy("diff_id", "path", "hunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    moved = F.coalesce(F.sum(F.when(F.startswith("line", F.lit("-")), 0).otherwise(1)).over(in_hunk), F.lit(0))
-    return marked.withColumn("at", F.col("hunk.at") + moved).where(F.startswith("line", F.lit("+"))).select("path", F.col("at").cast("int").alias("line"))
+    stays = F.when(~head & ~F.startswith("line", F.lit("-")), 1).otherwise(0)
+    # what is sorted holds no text but the paths; all windows share one order, so each task sorts once
+    slim = diff.select("diff_id", "seq", path.alias("path"), start.alias("start"), stays.alias("stays"), (~head & F.startswith("line", F.lit("+"))).alias("added"))
+    counted = slim.withColumn("n", F.sum("stays").over(order))
+    from_here = F.when(F.col("start").isNotNull() | F.col("path").isNotNull(), F.col("n"))
+    marked = counted.select("stays", "added", "n", F.last("path", True).over(order).alias("path"), F.last("start", True).over(order).alias("start"), F.last(from_here, True).over(order).alias("before"))
+    return marked.where("added and start is not null").select("path", (F.col("start") + F.col("n") - F.col("stays") - F.col("before")).cast("int").alias("line"))
 
 
 def chat_bodies(bodies: DataFrame, body: str) -> DataFrame:
