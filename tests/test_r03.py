@@ -36,3 +36,16 @@ def test_added_lines_sort_once(spark):
     assert sorted(map(tuple, out.collect())) == [("x", 2), ("x", 3), ("x", 20), ("y", 1)]
     assert out._jdf.queryExecution().sparkPlan().toString().count("Window") >= 1
     assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Sort [") == 1
+
+
+def test_both_screens_read_the_texts_once(spark, sf_dir):
+    assert _plan(Q.screened_documents(spark, sf_dir)).count("Relation [") == 1
+
+
+def test_screens_keep_what_their_gates_let_through(spark):
+    from wardline.functions import fixed
+    from wardline.operators import detect
+
+    rows = spark.createDataFrame([(1, "How  to kill someone, and all immigrants are lazy"), (2, "kill the process"), (3, None), (4, "WHY NOT end it")], "k int, t string")
+    got = {(r["k"], r["screen"]): (r["score"], r["categories"]) for r in detect.screens(rows, "t", ["k"], {"harm": (fixed.HARM_SCREEN, None), "bias": (fixed.BIAS_SCREEN, fixed.GROUPS)}).collect()}
+    assert got == {(1, "harm"): (0.9, ["violence"]), (1, "bias"): (0.7, ["generalization"]), (4, "harm"): (0.95, ["self_harm"])}

@@ -6,6 +6,8 @@ and the arrays of a row are joined and exploded once.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from wardline.functions import checksums as C
 from wardline.functions import fixed as X
 from wardline.functions.text import nfkc
+from wardline.operators import literals as L
 from wardline.operators import spans as S
 
 
@@ -221,24 +224,35 @@ def noisy_or_of(categories: Column) -> Column:
 
 
 def screen(texts: DataFrame, text: str, key: list[str], categories: tuple, groups: str | None = None) -> DataFrame:
-    """(key, score, categories by weight) of the texts in which a category's pattern occurs: no shuffle, one pass.
+    """(key, score, categories by weight) of the texts in which a category's pattern occurs; see ``screens``."""
+    return screens(texts, text, key, {"": (categories, groups)}).drop("screen")
+
+
+def screens(texts: DataFrame, text: str, key: list[str], of: dict[str, tuple[tuple, str | None]]) -> DataFrame:
+    """(key, score, categories by weight, screen), a row for each screen (categories, groups) of which a category's pattern occurs: no shuffle, one pass for all.
 
     Full-width and other compatibility forms are read as what they stand for. A category counts once,
     whichever of its patterns is found. GROUP in a pattern stands for the group words.
+    A pattern is tried only where the text holds one of the literals that its matches need.
     """
     low = F.lower(F.trim(F.regexp_replace(nfkc(F.col(text)), r"\s+", " ")))
-    by_weight = sorted(categories, key=lambda c: -c[1])
 
-    def any_of(t: Column, patterns: tuple[str, ...]) -> Column:
+    def any_of(t: Column, patterns: tuple[str, ...], groups: str | None) -> Column:
         out = F.lit(False)
-        for p in patterns:
-            out = out | t.rlike(p.replace("GROUP", groups or "GROUP"))
+        for p in (p.replace("GROUP", groups or "GROUP") for p in patterns):
+            met = [F.contains(t, F.lit(x)) for x in sorted(L.required(p) or ())]
+            out = out | (functools.reduce(operator.or_, met) & t.rlike(p) if met else t.rlike(p))
         return out
 
-    rows = texts.select(*key, low.alias("__t"))
-    hit = F.array_compact(F.array(*[F.when(any_of(F.col("__t"), patterns), F.struct(F.lit(name).alias("category"), F.lit(float(weight)).alias("weight"))) for name, weight, patterns in by_weight]))
-    rows = rows.select(*key, S.held(hit).alias("hits")).where(F.size("hits") > 0)
-    return rows.select(*key, noisy_or_of(F.col("hits")).alias("score"), F.transform("hits", lambda x: x["category"]).alias("categories"))
+    def hits(categories: tuple, groups: str | None) -> Column:
+        by_weight = sorted(categories, key=lambda c: -c[1])
+        return F.array_compact(F.array(*[F.when(any_of(F.col("__t"), patterns, groups), F.struct(F.lit(name).alias("category"), F.lit(float(weight)).alias("weight"))) for name, weight, patterns in by_weight]))
+
+    rows = texts.select(*key, S.held(low).alias("__t"))
+    rows = rows.select(*key, *[S.held(hits(*s)).alias(f"__h{i}") for i, s in enumerate(of.values())])
+    told = F.filter(F.array(*[F.struct(F.col(f"__h{i}").alias("hits"), F.lit(name).alias("screen")) for i, name in enumerate(of)]), lambda x: F.size(x["hits"]) > 0)
+    rows = S.exploded(rows, key, S.held(told))
+    return rows.select(*key, noisy_or_of(F.col("hits")).alias("score"), F.transform("hits", lambda x: x["category"]).alias("categories"), "screen")
 
 
 def noisy_or(hits: DataFrame, *key: str) -> DataFrame:

@@ -207,8 +207,7 @@ def screened_documents(spark, sf_dir):
     from wardline.functions import fixed
 
     docs = B.table(spark, sf_dir, "documents")
-    harm = D.screen(docs, "text", ["doc_id"], fixed.HARM_SCREEN).withColumn("screen", F.lit("harm"))
-    return harm.unionByName(D.screen(docs, "text", ["doc_id"], fixed.BIAS_SCREEN, fixed.GROUPS).withColumn("screen", F.lit("bias")))
+    return D.screens(docs, "text", ["doc_id"], {"harm": (fixed.HARM_SCREEN, None), "bias": (fixed.BIAS_SCREEN, fixed.GROUPS)})
 
 
 @query("egress_results", f"SELECT k, ['PASS', 'ANNOTATE', 'REPLACE'][greatest(CASE WHEN h >= 0.7 THEN 2 ELSE 0 END, CASE WHEN b >= 0.6 THEN 1 ELSE 0 END, CASE WHEN k % 10 / 10 >= 0.75 THEN 0 WHEN k % 10 / 10 >= 0.5 THEN 1 ELSE 2 END) + 1] AS egress_action FROM (SELECT o_orderkey AS k, {_case([h for _, h, _ in ANSWERS], 'o_orderkey')} AS h, {_case([b for *_, b in ANSWERS], 'o_orderkey')} AS b FROM orders)")
