@@ -43,6 +43,10 @@ class Rule:
     nudged: bool = False
 
 
+#: matches of a text up to which adding up is cheaper than a fold
+FEW = 16
+
+
 def tried(text: Column, rules: tuple[Rule, ...] | list[Rule]) -> Column:
     """array<struct<i, gap, v>>: every rule's matches with the gaps before them. ``matches`` tells more of them.
 
@@ -52,10 +56,9 @@ def tried(text: Column, rules: tuple[Rule, ...] | list[Rule]) -> Column:
     none = F.array().cast("array<struct<i:int,gap:int,v:string>>")
 
     def pairs(i: int, r: Rule) -> Column:
-        found = F.zip_with(F.split(text, r.pattern, -1), F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0)), lambda g, v: F.struct(F.lit(i).alias("i"), F.length(g).alias("gap"), v.alias("v")))
-        there = text.rlike(r.pattern)
-        there = text.rlike(r.gate) & there if r.gate else there
-        return F.when(F.contains(text, F.lit(r.sign)) & there if r.sign else there, F.filter(found, lambda x: x["v"].isNotNull())).otherwise(none)
+        # behind a gate the pattern is tried once, by what takes its matches out
+        there = text.rlike(r.gate or r.pattern)
+        return F.coalesce(F.when(F.contains(text, F.lit(r.sign)) & there if r.sign else there, S.pairs(text, r.pattern, F.lit(i).alias("i"))), none)
 
     return F.concat(*[pairs(i, r) for i, r in enumerate(rules)])
 
@@ -97,7 +100,14 @@ def matches(text: Column, found: Column, rules: tuple[Rule, ...] | list[Rule]) -
     start = F.struct(F.lit(-1).alias("i"), F.lit(0).alias("at"))
     step = lambda s, x: F.struct(x["i"].alias("i"), (at(s, x) + F.length(x["v"])).alias("at"))
     emit = lambda s, x: F.struct(x["i"].alias("i"), at(s, x).alias("start"), (at(s, x) + F.length(x["v"])).alias("end"), x["v"].alias("value"))
-    placed = S.running(found, start, step, emit, "struct<i:int,start:int,end:int,value:string>")
+
+    def told_at(x: Column, j: Column) -> Column:
+        """Of few matches each adds up what stands before it of its own rule, which most rules have nothing of."""
+        mine = lambda y: F.when(y["i"] == x["i"], y["gap"] + F.length(y["v"])).otherwise(0)
+        before = F.when((j == 0) | (F.get(found, j - 1)["i"] != x["i"]), 0).otherwise(F.aggregate(F.slice(found, F.lit(1), j), F.lit(0), lambda s, y: s + mine(y)))
+        return S.let(before + x["gap"], lambda n: F.struct(x["i"].alias("i"), n.alias("start"), (n + F.length(x["v"])).alias("end"), x["v"].alias("value")))
+
+    placed = F.when(F.size(found) <= FEW, F.transform(found, told_at)).otherwise(S.running(found, start, step, emit, "struct<i:int,start:int,end:int,value:string>"))
     return F.when(F.size(found) > 0, F.transform(F.filter(placed, passes), told)).otherwise(F.array().cast(f"array<{S.FINDING}>"))
 
 
@@ -108,10 +118,8 @@ def digits(value: Column) -> Column:
 def digits_around(text: Column, m: Column) -> Column:
     """How many digits stand in the whole run of digits, blanks, points, dashes, brackets and plus signs that holds a match."""
     signs = F.lit("0123456789 .-()+")
-    before, after = F.substr(text, F.lit(1), m["start"]), F.substr(text, m["end"] + 1)
-    left = F.substr(before, F.length(F.rtrim(before, signs)) + 1)
-    right = F.left(after, F.length(after) - F.length(F.ltrim(after, signs)))
-    return F.length(digits(left)) + F.length(digits(m["value"])) + F.length(digits(right))
+    first, after = F.length(F.rtrim(F.substr(text, F.lit(1), m["start"]), signs)), F.substr(text, m["end"] + 1)
+    return F.length(digits(F.substr(text, first + 1, m["end"] - first + F.length(after) - F.length(F.ltrim(after, signs)))))
 
 
 def _card(_: Column, m: Column) -> Column:
@@ -129,17 +137,17 @@ def _mobile(text: Column, m: Column) -> Column:
 
 
 PERSONAL = (
-    Rule("regex.email", "EMAIL_ADDRESS", "PII", X.EMAIL, 0.95, "@"),
+    Rule("regex.email", "EMAIL_ADDRESS", "PII", X.EMAIL_ANCHORED, 0.95, "@", gate=r"@[A-Za-z0-9\-]+\."),
     Rule("regex.ipv4", "IP_ADDRESS", "PII", X.IPV4, 0.90, ".", gate="[0-9][.][0-9]"),
     Rule("regex.ipv6", "IP_ADDRESS", "PII", X.IPV6, 0.80, ":", accept=lambda _, m: F.length(m["value"]) >= 8, gate="[0-9a-fA-F]:[0-9a-fA-F:]"),
     Rule("regex.ssn", "US_SSN", "PII", X.SSN, 0.85, "-", gate="[0-9]{3}-[0-9]{2}"),
-    Rule("regex.card_luhn", "CREDIT_CARD", "PII", X.DIGIT_RUN, 0.92, accept=_card, outside=X.UUID, gate="[0-9][ -]?[0-9]{3}"),
+    Rule("regex.card_luhn", "CREDIT_CARD", "PII", X.DIGIT_RUN, 0.92, accept=_card, outside=X.UUID, gate="[0-9](?:[ -]?[0-9]){12}"),
     Rule("regex.phone", "PHONE_NUMBER", "PII", X.PHONE, 0.70, accept=_phone, outside=X.UUID, sure=lambda v: F.when(v.rlike("[+(]"), 0.85), gate=r"\d[\s.\-)]"),
-    Rule("regex.honorific_name", "PERSON", "PII", X.HONORIFIC_NAME, 0.60, gate=r"\b(?:" + "|".join(X.HONORIFICS) + r")[.\s]"),
+    Rule("regex.honorific_name", "PERSON", "PII", X.HONORIFIC_NAME, 0.60, gate=r"\b(?=[" + "".join(sorted({h[0] for h in X.HONORIFICS})) + "])(?:" + "|".join(X.HONORIFICS) + r")[.\s]"),
     Rule("india.aadhaar_verhoeff", "IN_AADHAAR", "PII", X.AADHAAR, 0.95, accept=lambda _, m: C.verhoeff(digits(m["value"])), gate="[0-9]{4}"),
     Rule("india.pan", "IN_PAN", "PII", X.PAN, 0.55, sure=lambda v: F.when(F.contains(F.lit(X.PAN_HOLDERS), F.substr(v, F.lit(4), F.lit(1))), 0.90), gate="[A-Z]{5}[0-9]{4}"),
     Rule("india.ifsc", "IN_IFSC", "PII", X.IFSC, 0.60, sure=lambda v: F.when(F.left(v, F.lit(4)).isin(X.BANKS), 0.92), gate="[A-Z]{4}0"),
-    Rule("india.upi_vpa", "IN_UPI_ID", "PII", X.PAYMENT_ADDRESS, 0.88, "@"),
+    Rule("india.upi_vpa", "IN_UPI_ID", "PII", X.PAYMENT_ADDRESS, 0.88, "@", gate=r"@[A-Za-z]{3,}(?![\w.])"),
     Rule("india.mobile", "PHONE_NUMBER", "PII", X.MOBILE, 0.65, accept=_mobile, sure=lambda v: F.when(F.length(digits(v)) > 10, 0.90), gate="[0-9]{5}"),
 )
 
@@ -156,7 +164,7 @@ def _no_stand_in(_: Column, m: Column) -> Column:
 
 
 _ACCEPT = {"jwt": _jwt, "generic_secret_assignment": _no_stand_in, "bearer_token": _no_stand_in, "provider_api_key": _no_stand_in, "uri_credential": _no_stand_in, "database_uri": _no_stand_in}
-_GATES = {"bearer_token": "(?i)bearer ", "generic_secret_assignment": "(?i)(?:key|secret|token|passwd|password)[\"' ]{0,4}[:=]", "telegram_token": "[0-9]{8}:", "aws_secret_key": "(?i)aws_secret_access_key", "twilio_key": "SK[0-9a-f]{8}", "uri_credential": "://[^\\s/@]*@", "database_uri": "://[^\\s/@]*@"}
+_GATES = {"bearer_token": "[rR] [A-Za-z0-9._~+/\\-]{20}", "generic_secret_assignment": "[dntyDNTY][\"']?\\s{0,3}[:=]", "telegram_token": "[0-9]{8}:", "aws_secret_key": "(?i)aws_secret_access_key", "twilio_key": "SK[0-9a-f]{8}", "uri_credential": "://[^\\s/@]*@", "database_uri": "://[^\\s/@]*@"}
 SECRETS = tuple(Rule(name, kind, "SECRET", pattern, base, sign, _GATES.get(name, ""), _ACCEPT.get(name), nudged=True) for name, kind, _, pattern, base, sign in X.SECRETS)
 
 

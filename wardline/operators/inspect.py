@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -30,7 +32,8 @@ LAST = frozenset("Garcia Gupta Hansen Iyer Kapoor Kim Kumar Lopez Mehta Mueller
 def name_spans(text: Column, first: frozenset[str] = FIRST, last: frozenset[str] = LAST) -> Column:
     """The array of names (as FINDING) that short lists know in a text; ``gazetteer.names`` says by which rule, and takes lists of any length."""
     firsts, lasts = (F.array(*[F.lit(n) for n in sorted(x)]) for x in (first, last))
-    any_name = r"\b(?:" + "|".join(sorted(first | last)) + r")\b"
+    heads = "".join(sorted({re.escape(n[0]) for n in first | last if n}))
+    any_name = (rf"\b(?=[{heads}])(?:" if heads else r"\b(?:") + "|".join(sorted(first | last)) + r")\b"
 
     def of(m: Column) -> Column:
         words = F.split(m["value"], r"\s+")
@@ -58,17 +61,20 @@ def _steps(_: str, first: frozenset[str], last: frozenset[str]) -> tuple[tuple[C
     """The columns of each step of ``with_findings``: large expressions, built once an application."""
     text = F.col("content")
     least = F.create_map(*[F.lit(x) for kind, (_, at, on, _) in X.ENTITIES.items() if on for x in (kind, float(at))])
-    sure = F.filter(F.concat(F.coalesce("__p", F.array()), F.coalesce("__n", F.array())), lambda x: F.coalesce(x["confidence"] >= F.element_at(least, x["type"]), F.lit(False)))
-    free = F.filter("__p", lambda p: ~F.exists("__s", lambda s: (s["start"] <= p["start"]) & (p["end"] <= s["end"])))
-    # what is disjoint stays so, and only where both kinds are left is there more to resolve
-    mixed = F.when(F.size("__s") == 0, F.col("__p")).when(F.size("__p") == 0, F.col("__s")).otherwise(S.resolved(F.concat("__p", "__s")))
+    none = F.array().cast(f"array<{S.FINDING}>")
+    sure = F.filter(F.concat(D.matches(text, F.col("__p"), D.PERSONAL), F.coalesce("__n", none)), lambda x: F.coalesce(x["confidence"] >= F.element_at(least, x["type"]), F.lit(False)))
+    personal = F.when((F.size("__p") > 0) | (F.size("__n") > 0), S.resolved(sure)).otherwise(none)
+    secret = F.when(F.size("__s") > 0, S.resolved(D.matches(text, F.col("__s"), D.SECRETS))).otherwise(none)
+
+    def mixed(x: Column) -> Column:
+        free = F.when(F.size(x["s"]) > 0, F.filter(x["p"], lambda p: ~F.exists(x["s"], lambda s: (s["start"] <= p["start"]) & (p["end"] <= s["end"])))).otherwise(x["p"])
+        # what is disjoint stays so, and only where both kinds are left is there more to resolve
+        return S.let(free, lambda p: F.when(F.size(x["s"]) == 0, p).when(F.size(p) == 0, x["s"]).otherwise(S.resolved(F.concat(x["s"], p))))
+
+    # between the steps the arrays stay what they are: a column of each would be written and read again
     return (
         (S.held(D.tried(text, D.SECRETS)).alias("__s"), S.held(D.tried(text, D.PERSONAL)).alias("__p"), S.held(name_spans(text, first, last)).alias("__n")),
-        (S.held(D.matches(text, F.col("__s"), D.SECRETS)).alias("__s"), S.held(D.matches(text, F.col("__p"), D.PERSONAL)).alias("__p"), "__n"),
-        ("__s", S.held(sure).alias("__p")),
-        (S.held(S.resolved(F.col("__s"))).alias("__s"), S.held(S.resolved(F.col("__p"))).alias("__p")),
-        ("__s", S.held(F.when(F.size("__s") > 0, free).otherwise(F.col("__p"))).alias("__p")),
-        (S.held(mixed).alias("found"),),
+        (S.held(S.let(F.struct(secret.alias("s"), personal.alias("p")), mixed)).alias("found"),),
     )
 
 
@@ -95,15 +101,31 @@ RULED = "struct<start:int,end:int,value:string,type:string,category:string,recog
 def ruled(found: Column, rules: list[tuple[str, str, int, bool]]) -> Column:
     """The findings with the rule, action, priority and appealability of their key (pii.TYPE or secret.TYPE, else without its last segments); allowed where no rule speaks."""
     kind = "struct<rule:string,action:string,priority:int,appealable:boolean>"
-    table = F.create_map(*[x for k, action, priority, appealable in rules for x in (F.lit(k), F.struct(F.lit(k), F.lit(action), F.lit(priority), F.lit(appealable)).cast(kind))]) if rules else F.create_map().cast(f"map<string,{kind}>")
+    of_rule = lambda r: F.struct(*map(F.lit, r)).cast(kind)
+    table = F.create_map(*[x for r in rules for x in (F.lit(r[0]), of_rule(r))]) if rules else F.create_map().cast(f"map<string,{kind}>")
     label = F.create_map(*[F.lit(x) for t, (name, *_) in X.ENTITIES.items() for x in (t, name)])
+    # the types that the detectors know are looked up once, with what is to be known of them
+    by_key, known = {r[0]: r for r in rules}, []
+    for key in dict.fromkeys(("secret." if r.category == "SECRET" else "pii.") + r.type for r in (*D.PERSONAL, *D.SECRETS)):
+        top, _, kept = key.partition(".")
+        r = by_key.get(key, by_key.get(top, (None,) * 4))
+        shown = f"SECRET_{kept}" if top == "secret" else X.ENTITIES.get(kept, (kept,))[0]
+        known += [F.lit(key), F.struct(of_rule(r).alias("hit"), F.lit(shown).alias("label"))]
+    known = F.create_map(*known)
 
     def of(x: Column) -> Column:
         secret = x["category"] == "SECRET"
-        key = F.concat(F.when(secret, "secret.").otherwise("pii."), x["type"])
-        hit = F.coalesce(*[F.element_at(table, F.substring_index(key, ".", n)) for n in (4, 3, 2, 1)])
-        named = F.coalesce(F.element_at(label, x["type"]), F.when(secret, F.concat(F.lit("SECRET_"), x["type"])).otherwise(x["type"]))
-        return S.let(hit, lambda h: F.struct(*[x[c].alias(c) for c in ("start", "end", "value", "type", "category", "recognizer", "confidence")], h["rule"].alias("rule"), F.coalesce(h["action"], F.lit("allow")).alias("action"), h["priority"].alias("priority"), h["appealable"].alias("appealable"), F.when(secret, F.concat(F.lit("SECRET_"), x["type"])).otherwise(named).alias("label")))
+
+        def sought(key: Column) -> Column:
+            hit = F.coalesce(*[F.element_at(table, F.substring_index(key, ".", n)) for n in (4, 3, 2, 1)])
+            named = F.when(secret, F.concat(F.lit("SECRET_"), x["type"])).otherwise(F.coalesce(F.element_at(label, x["type"]), x["type"]))
+            return F.coalesce(F.element_at(known, key), F.struct(hit.alias("hit"), named.alias("label")))
+
+        def told(k: Column) -> Column:
+            h = k["hit"]
+            return F.struct(*[x[c].alias(c) for c in ("start", "end", "value", "type", "category", "recognizer", "confidence")], h["rule"].alias("rule"), F.coalesce(h["action"], F.lit("allow")).alias("action"), h["priority"].alias("priority"), h["appealable"].alias("appealable"), k["label"].alias("label"))
+
+        return S.let(S.let(F.concat(F.when(secret, "secret.").otherwise("pii."), x["type"]), sought), told)
 
     return F.transform(found, of)
 
@@ -114,29 +136,29 @@ def numbered(messages: DataFrame) -> DataFrame:
     Requests are dealt by id and their messages come in order, so a task holds the values of one request that it has met, never its
     messages. Only what is sanitised or blocks is numbered.
     """
-    own = messages.columns
-    slim = messages.withColumn("__hidden", F.transform("found", lambda x: F.when(x["action"].isin("sanitize", "block"), F.struct(x["label"].alias("label"), x["value"].alias("value")))))
-    dealt = slim.repartition("request_id").sortWithinPartitions("request_id", "message_index")
-    schema = T.StructType([*[dealt.schema[c] for c in own], T.StructField("placeholders", T.ArrayType(T.StringType()))])
-
-    def task(batches):
-        now, seen = None, {}
-        for b in batches:
-            request, hidden, out = b.column("request_id").to_pylist(), b.column("__hidden").to_pylist(), []
-            for r, spans in zip(request, hidden, strict=True):
+    hidden = F.transform("found", lambda x: F.when(x["action"].isin("sanitize", "block"), F.concat(x["label"], F.lit("\0"), x["value"])))
+    dealt = messages.repartition("request_id").sortWithinPartitions("request_id", "message_index")
+
+    def task(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        now, seen, count = None, {}, {}
+        for requests, values in batches:
+            out = []
+            for r, spans in zip(requests.to_pylist(), values.to_pylist(), strict=True):
                 if r != now:
-                    now, seen = r, {}
+                    now, seen, count = r, {}, {}
                 row = []
                 for x in spans or ():
-                    if x is None:
-                        row.append(None)
-                        continue
-                    of = seen.setdefault(x["label"], {})
-                    row.append(f"<{x['label']}_{of.setdefault(x['value'], len(of) + 1)}>")
+                    if x is not None and x not in seen:
+                        label = x.partition("\0")[0]
+                        count[label] = count.get(label, 0) + 1
+                        seen[x] = f"<{label}_{count[label]}>"
+                    row.append(None if x is None else seen[x])
                 out.append(row)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(out, pa.list_(pa.string()))], names=[*own, "placeholders"])
+            yield pa.array(out, pa.list_(pa.string()))
 
-    return dealt.mapInArrow(task, schema)
+    # it counts in the order of its rows, which the optimizer must not take for a column's own affair
+    number = F.arrow_udf(task, T.ArrayType(T.StringType())).asNondeterministic()
+    return dealt.withColumn("placeholders", number(F.col("request_id"), hidden))
 
 
 def redacted(messages: DataFrame, rules: DataFrame, first: frozenset[str] = FIRST, last: frozenset[str] = LAST) -> DataFrame:

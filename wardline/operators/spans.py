@@ -37,7 +37,7 @@ def running(items: Column, start: Column, step, emit, kind: str) -> Column:
     none = F.array().cast(f"array<{kind}>")
 
     def inner(acc: Column, x: Column) -> Column:
-        return F.struct(step(acc["s"], x).alias("s"), F.concat(acc["out"], F.array(emit(acc["s"], x))).alias("out"))
+        return F.struct(step(acc["s"], x).alias("s"), F.array_append(acc["out"], emit(acc["s"], x)).alias("out"))
 
     def outer(acc: Column, chunk: Column) -> Column:
         return let(F.aggregate(chunk, F.struct(acc["s"].alias("s"), none.alias("out")), inner), lambda r: F.struct(r["s"].alias("s"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
@@ -53,17 +53,31 @@ def running(items: Column, start: Column, step, emit, kind: str) -> Column:
 MATCH = "struct<start:int,end:int,value:string>"
 
 
+#: a noncharacter, to stand around matches
+SIGN = "\uffff"
+
+
+def pairs(text: Column, pattern: str, *first: Column) -> Column:
+    """array<struct<first.., gap, v>>: a pattern's matches with the length of what stands before each, since the last one; null without a match. The pattern never matches the empty string.
+
+    One pass puts a sign around the matches and a plain split takes them apart: a split by the pattern itself
+    compiles it anew for every row. Texts that hold the sign are split that way.
+    """
+    item = lambda gap, v: F.struct(*first, F.length(gap).alias("gap"), v.alias("v"))
+    marked = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{SIGN}$0{SIGN}")), SIGN, -1)
+    odd = lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 1, F.lit(2)), lambda k: item(F.get(p, k - 1), F.get(p, k)))
+    both = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), item)
+    return F.when(F.contains(text, F.lit(SIGN)), F.filter(both, lambda x: x["v"].isNotNull())).otherwise(let(marked, lambda p: F.when(F.size(p) > 1, odd(p))))
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of a pattern's matches (patterns never match the empty string).
 
     The pieces between the matches and the matches themselves give the places
     by running sums of their lengths.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.split(text, pattern, -1), found, lambda p, v: F.struct(F.length(p).alias("gap"), v.alias("v")))
-    pairs = F.filter(pairs, lambda x: x["v"].isNotNull())
     end = lambda at, x: at + x["gap"] + F.length(x["v"])
-    placed = running(pairs, F.lit(0), end, lambda at, x: F.struct((at + x["gap"]).alias("start"), end(at, x).alias("end"), x["v"].alias("value")), MATCH)
+    placed = running(pairs(text, pattern), F.lit(0), end, lambda at, x: F.struct((at + x["gap"]).alias("start"), end(at, x).alias("end"), x["v"].alias("value")), MATCH)
     return F.when(text.rlike(pattern), placed).otherwise(F.array().cast(f"array<{MATCH}>"))
 
 
@@ -71,17 +85,28 @@ FINDING = "struct<start:int,end:int,value:string,type:string,category:string,rec
 
 
 def resolved(spans: Column) -> Column:
-    """An array of findings (FINDING, a column) reduced to disjoint ones by the rule of ``resolve``, within its row; of one or none nothing is to be done."""
-    kind = "struct<start:int,neg:int,worse:double,type:string,end:int,confidence:double,value:string,category:string,recognizer:string>"
-    fields = lambda x: F.struct(x["start"].alias("start"), (x["start"] - x["end"]).alias("neg"), (-x["confidence"]).alias("worse"), x["type"].alias("type"), x["end"].alias("end"), x["confidence"].alias("confidence"), x["value"].alias("value"), x["category"].alias("category"), x["recognizer"].alias("recognizer"))
-    clash = lambda last, c: last.isNotNull() & (c["start"] < last["end"]) & (last["start"] < c["end"])
+    """An array of findings (FINDING) reduced to disjoint ones by the rule of ``resolve``, within its row; of one or none nothing is to be done."""
+    kind = f"struct<start:int,neg:int,worse:double,type:string,of:{FINDING}>"
+    fields = lambda x: F.struct(x["start"].alias("start"), (x["start"] - x["end"]).alias("neg"), (-x["confidence"]).alias("worse"), x["type"].alias("type"), x.alias("of"))
+    clash = lambda last, c: (c["start"] < last["of"]["end"]) & (last["start"] < c["of"]["end"])
     wins = lambda last, c: (c["neg"] < last["neg"]) | ((c["neg"] == last["neg"]) & (c["worse"] < last["worse"]))
-    step = lambda last, c: F.when(c.isNull() | ~clash(last, c) | wins(last, c), c).otherwise(last)
-    emit = lambda last, c: F.when(c.isNull() | ~clash(last, c), last)
-    ended = F.concat(F.array_sort(F.transform(spans, fields)), F.array(F.lit(None).cast(kind)))
-    kept = F.filter(running(ended, F.lit(None).cast(kind), step, emit, kind), lambda x: x.isNotNull())
-    back = F.transform(kept, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "value", "type", "category", "recognizer", "confidence")]))
-    return F.when(F.size(spans) > 1, back).otherwise(F.coalesce(spans, F.array().cast(f"array<{FINDING}>")))
+    step = lambda last, c: F.when(last.isNull() | c.isNull() | ~clash(last, c) | wins(last, c), c).otherwise(last)
+    emit = lambda last, c: F.when(last.isNotNull() & (c.isNull() | ~clash(last, c)), last)
+
+    def few(items: Column) -> Column:
+        last = lambda kept: F.element_at(kept, -1)
+        return F.aggregate(
+            F.slice(items, F.lit(2), F.lit(CHUNK)),
+            F.slice(items, F.lit(1), F.lit(1)),
+            lambda kept, c: F.when(~clash(last(kept), c), F.array_append(kept, c)).when(wins(last(kept), c), F.array_append(F.slice(kept, F.lit(1), F.size(kept) - 1), c)).otherwise(kept),
+        )
+
+    def many(items: Column) -> Column:
+        ended = F.concat(items, F.array(F.lit(None).cast(kind)))
+        return F.filter(running(ended, F.lit(None).cast(kind), step, emit, kind), lambda x: x.isNotNull())
+
+    kept = lambda a: let(F.sort_array(F.transform(a, fields)), lambda items: F.when(F.size(items) <= CHUNK, few(items)).otherwise(many(items)))
+    return let(spans, lambda a: F.when(F.size(a) > 1, F.transform(kept(a), lambda x: x["of"])).otherwise(F.coalesce(a, F.array().cast(f"array<{FINDING}>"))))
 
 
 def resolve(findings: DataFrame, *key: str) -> DataFrame:
