@@ -41,6 +41,8 @@ class Rule:
     sure: Callable[[Column], Column] | None = None
     #: whether the value's entropy moves the confidence, by at most a tenth
     nudged: bool = False
+    #: another pattern with the same matches, found faster
+    quick: str = ""
 
 
 #: matches of a text up to which adding up is cheaper than a fold
@@ -58,7 +60,7 @@ def tried(text: Column, rules: tuple[Rule, ...] | list[Rule]) -> Column:
     def pairs(i: int, r: Rule) -> Column:
         # behind a gate the pattern is tried once, by what takes its matches out
         there = text.rlike(r.gate or r.pattern)
-        return F.coalesce(F.when(F.contains(text, F.lit(r.sign)) & there if r.sign else there, S.pairs(text, r.pattern, F.lit(i).alias("i"))), none)
+        return F.coalesce(F.when(F.contains(text, F.lit(r.sign)) & there if r.sign else there, S.pairs(text, r.quick or r.pattern, F.lit(i).alias("i"))), none)
 
     return F.concat(*[pairs(i, r) for i, r in enumerate(rules)])
 
@@ -137,7 +139,7 @@ def _mobile(text: Column, m: Column) -> Column:
 
 
 PERSONAL = (
-    Rule("regex.email", "EMAIL_ADDRESS", "PII", X.EMAIL_ANCHORED, 0.95, "@", gate=r"@[A-Za-z0-9\-]+\."),
+    Rule("regex.email", "EMAIL_ADDRESS", "PII", X.EMAIL, 0.95, "@", gate=r"@[A-Za-z0-9\-]+\.", quick=X.EMAIL_ANCHORED),
     Rule("regex.ipv4", "IP_ADDRESS", "PII", X.IPV4, 0.90, ".", gate="[0-9][.][0-9]"),
     Rule("regex.ipv6", "IP_ADDRESS", "PII", X.IPV6, 0.80, ":", accept=lambda _, m: F.length(m["value"]) >= 8, gate="[0-9a-fA-F]:[0-9a-fA-F:]"),
     Rule("regex.ssn", "US_SSN", "PII", X.SSN, 0.85, "-", gate="[0-9]{3}-[0-9]{2}"),
