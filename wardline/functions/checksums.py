@@ -45,7 +45,8 @@ def luhn(digits: Column) -> Column:
 
 def entropy(text: Column) -> Column:
     """Bits per character; 0 of the empty string."""
-    part = lambda t: F.transform(F.array_sort(F.array_distinct(F.split(t["text"], ""))), lambda c: F.try_divide(t["n"] - F.length(F.replace(t["text"], c, F.lit(""))), t["n"]))
+    # sort_array, as the order of array_sort is a lambda, asked for every pair
+    part = lambda t: F.transform(F.sort_array(F.array_distinct(F.split(t["text"], ""))), lambda c: F.try_divide(t["n"] - F.length(F.replace(t["text"], c, F.lit(""))), t["n"]))
     bits = lambda t: F.aggregate(part(t), F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
     # the text may be an expression, and every sign asks for it
     return F.get(F.transform(F.array(F.struct(text.alias("text"), F.length(text).alias("n"))), lambda t: F.when(t["n"] > 0, bits(t)).otherwise(0.0)), F.lit(0))

@@ -58,24 +58,29 @@ def name_spans(text: Column, first: frozenset[str] = FIRST, last: frozenset[str]
 
 @functools.cache
 def _steps(_: str, first: frozenset[str], last: frozenset[str]) -> tuple[tuple[Column, ...], ...]:
-    """The columns of each step of ``with_findings``: large expressions, built once an application."""
+    """The columns of each step of detection: large expressions, built once an application. None of them is within a lambda, so they are compiled."""
     text = F.col("content")
+    return (
+        (S.held(D.tried(text, D.SECRETS)).alias("__s"), S.held(D.tried(text, D.PERSONAL)).alias("__p"), S.held(name_spans(text, first, last)).alias("__n")),
+        (S.held(D.matches(text, F.col("__s"), D.SECRETS, (2, 1))).alias("__s"), S.held(D.matches(text, F.col("__p"), D.PERSONAL)).alias("__p"), F.col("__n")),
+    )
+
+
+@functools.cache
+def _found(_: str) -> Column:
+    """What is left of a text's secrets, personal findings and names (columns of ``_steps``)."""
     least = F.create_map(*[F.lit(x) for kind, (_, at, on, _) in X.ENTITIES.items() if on for x in (kind, float(at))])
     none = F.array().cast(f"array<{S.FINDING}>")
-    sure = F.filter(F.concat(D.matches(text, F.col("__p"), D.PERSONAL), F.coalesce("__n", none)), lambda x: F.coalesce(x["confidence"] >= F.element_at(least, x["type"]), F.lit(False)))
+    sure = F.filter(F.when(F.size("__n") > 0, F.concat("__p", "__n")).otherwise(F.col("__p")), lambda x: F.coalesce(x["confidence"] >= F.element_at(least, x["type"]), F.lit(False)))
     personal = F.when((F.size("__p") > 0) | (F.size("__n") > 0), S.resolved(sure)).otherwise(none)
-    secret = F.when(F.size("__s") > 0, S.resolved(D.matches(text, F.col("__s"), D.SECRETS))).otherwise(none)
+    secret = S.resolved(F.col("__s"))
 
     def mixed(x: Column) -> Column:
-        free = F.when(F.size(x["s"]) > 0, F.filter(x["p"], lambda p: ~F.exists(x["s"], lambda s: (s["start"] <= p["start"]) & (p["end"] <= s["end"])))).otherwise(x["p"])
+        free = F.filter(x["p"], lambda p: ~F.exists(x["s"], lambda s: (s["start"] <= p["start"]) & (p["end"] <= s["end"])))
         # what is disjoint stays so, and only where both kinds are left is there more to resolve
-        return S.let(free, lambda p: F.when(F.size(x["s"]) == 0, p).when(F.size(p) == 0, x["s"]).otherwise(S.resolved(F.concat(x["s"], p))))
+        return S.let(free, lambda p: F.when(F.size(p) == 0, x["s"]).otherwise(S.resolved(F.concat(x["s"], p))))
 
-    # between the steps the arrays stay what they are: a column of each would be written and read again
-    return (
-        (S.held(D.tried(text, D.SECRETS)).alias("__s"), S.held(D.tried(text, D.PERSONAL)).alias("__p"), S.held(name_spans(text, first, last)).alias("__n")),
-        (S.held(S.let(F.struct(secret.alias("s"), personal.alias("p")), mixed)).alias("found"),),
-    )
+    return F.when(F.coalesce(F.size("__s"), F.lit(0)) <= 0, personal).when((F.size("__p") > 0) | (F.size("__n") > 0), S.let(F.struct(secret.alias("s"), personal.alias("p")), mixed)).otherwise(secret)
 
 
 def with_findings(messages: DataFrame, first: frozenset[str] = FIRST, last: frozenset[str] = LAST) -> DataFrame:
@@ -84,10 +89,10 @@ def with_findings(messages: DataFrame, first: frozenset[str] = FIRST, last: froz
     Secrets before personal data: each kind made disjoint, personal findings inside a secret gone, and the rest made disjoint again.
     Personal findings are those of patterns and of the name lists whose type is on and that are sure enough.
     """
-    own = messages.columns
-    for step in _steps(messages.sparkSession.sparkContext.applicationId, first, last):
+    own, app = messages.columns, messages.sparkSession.sparkContext.applicationId
+    for step in _steps(app, first, last):
         messages = messages.select(*own, *step)
-    return messages
+    return messages.select(*own, S.held(_found(app)).alias("found"))
 
 
 def resolved_findings(messages: DataFrame, first: frozenset[str] = FIRST, last: frozenset[str] = LAST) -> DataFrame:

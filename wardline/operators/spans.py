@@ -19,8 +19,11 @@ def let(value: Column, body) -> Column:
 
 
 def held(value: Column) -> Column:
-    """The value as it is, but worked out where it stands: the optimizer copies what depends on a random number into no filter above."""
-    return F.when(F.rand(0) >= 0, value)
+    """The value as it is, but worked out where it stands: the optimizer copies what depends on the partition's number into no other place.
+
+    A random number will not do: its comparison with 0 is folded to true, and the value is free again.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def exploded(rows: DataFrame, key: list[str], array: Column) -> DataFrame:
@@ -70,6 +73,13 @@ def pairs(text: Column, pattern: str, *first: Column) -> Column:
     return F.when(F.contains(text, F.lit(SIGN)), F.filter(both, lambda x: x["v"].isNotNull())).otherwise(let(marked, lambda p: F.when(F.size(p) > 1, odd(p))))
 
 
+def parts(text: Column, pattern: str) -> Column:
+    """array<string>: what stands before each match and the match itself, in turn, and what is left at the end. ``pairs`` without a lambda, so it is compiled."""
+    marked = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{SIGN}$0{SIGN}")), SIGN, -1)
+    taken = F.flatten(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, v: F.when(v.isNull(), F.array(gap)).otherwise(F.array(gap, v))))
+    return F.when(F.contains(text, F.lit(SIGN)), taken).otherwise(marked)
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of a pattern's matches (patterns never match the empty string).
 
@@ -106,7 +116,10 @@ def resolved(spans: Column) -> Column:
         return F.filter(running(ended, F.lit(None).cast(kind), step, emit, kind), lambda x: x.isNotNull())
 
     kept = lambda a: let(F.sort_array(F.transform(a, fields)), lambda items: F.when(F.size(items) <= CHUNK, few(items)).otherwise(many(items)))
-    return let(spans, lambda a: F.when(F.size(a) > 1, F.transform(kept(a), lambda x: x["of"])).otherwise(F.coalesce(a, F.array().cast(f"array<{FINDING}>"))))
+    # most texts' findings are disjoint as they are, and then their places order them
+    apart = lambda a: ~F.exists(F.sequence(F.lit(1), F.size(a) - 1), lambda i: F.get(a, i)["start"] < F.get(a, i - 1)["end"])
+    settled = lambda a: F.when(F.size(a) <= 1, a).when(apart(a), a).otherwise(F.transform(kept(a), lambda x: x["of"]))
+    return F.coalesce(let(F.sort_array(spans), settled), F.array().cast(f"array<{FINDING}>"))
 
 
 def resolve(findings: DataFrame, *key: str) -> DataFrame:
