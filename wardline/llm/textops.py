@@ -26,6 +26,7 @@ SLICE_BYTES = 1 << 20
 #: a batch of rows ends at the first of both, so its weight is bounded whatever a text weighs
 BATCH_ROWS = 1000
 BATCH_BYTES = 32 << 20
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _U64 = np.uint64
 _P = _U64(0x9E3779B97F4A7C15)
@@ -71,6 +72,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """What is run within leaves no shuffle files on the executors' disks: without this they stay until the driver happens to collect garbage."""
+    before = spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+
+
 class Scratch:
     """Tables kept while an operator runs; ``done`` gives their room back."""
 
@@ -87,7 +99,8 @@ class Scratch:
     def saved(self, df: DataFrame, *by: str) -> DataFrame:
         """As ``cut``, in Parquet, in a folder for each value of the columns named: for texts, which are then compressed."""
         to = f"{shared_dir(self.spark)}/{uuid.uuid4().hex}"
-        df.write.partitionBy(*by).parquet(to) if by else df.write.parquet(to)
+        with _shuffles_dropped(self.spark):
+            df.write.partitionBy(*by).parquet(to) if by else df.write.parquet(to)
         self._folders.append(to)
         return self.spark.read.schema(df.schema).parquet(to)
 
