@@ -7,6 +7,7 @@ and the arrays of a row are joined and exploded once.
 from __future__ import annotations
 
 import functools
+import math
 import operator
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -43,6 +44,8 @@ class Rule:
     nudged: bool = False
     #: another pattern with the same matches, found faster
     quick: str = ""
+    #: a cheap pattern that rules of one kind share: where it does not occur, none of their gates is tried
+    kin: str = ""
 
 
 #: rules that a text may meet, and matches of each, up to which its findings are worked out by compiled code; beyond, by lambdas, which are interpreted
@@ -63,14 +66,19 @@ def tried(text: Column, rules: tuple[Rule, ...] | list[Rule]) -> Column:
         taken = F.array(F.struct(F.lit(i).alias("i"), S.parts(text, r.quick or r.pattern).alias("parts")))
         return F.when(F.contains(text, F.lit(r.sign)) & there if r.sign else there, taken).otherwise(none)
 
-    return F.concat(*[hit(i, r) for i, r in enumerate(rules)])
+    of_kin: dict[str, list[Column]] = {}
+    for i, r in enumerate(rules):
+        of_kin.setdefault(r.kin, []).append(hit(i, r))
+    out = of_kin.pop("", [])
+    return F.concat(*out, *[F.when(text.rlike(kin), F.concat(*own)).otherwise(none) if len(own) > 1 else own[0] for kin, own in of_kin.items()])
 
 
-def matches(text: Column, found: Column, rules: tuple[Rule, ...] | list[Rule], few: tuple[int, int] = FEW) -> Column:
+def matches(text: Column, found: Column, rules: tuple[Rule, ...] | list[Rule], few: tuple[int, int] = FEW, least: dict[str, float] | None = None) -> Column:
     """array<FINDING> of the matches that ``tried`` has found (a column): places, checks and confidences.
 
     This, too, belongs in a column of its own. The findings of texts that meet few rules are
     spelled out match by match, without a lambda, as compiled code; how many rules there are matters little.
+    Of a type's findings those stay that are at least as sure as ``least`` says, if it is given; of other types none.
     """
 
     def by_rule(m: Column, of: Callable[[Rule], Column | None], default: Column) -> Column:
@@ -94,14 +102,29 @@ def matches(text: Column, found: Column, rules: tuple[Rule, ...] | list[Rule], f
             ok = ok.when(m["i"].isin(of), own)
         return ok.otherwise(True)
 
-    def told(m: Column) -> Column:
+    def enough(m: Column, confidence: Callable[[], Column]) -> Column:
+        if least is None:
+            return F.lit(True)
+        asks = [least.get(r.type, math.inf) for r in rules]
+        moves = [i for i, r in enumerate(rules) if r.type in least and (r.sure or r.nudged)]
+        fails = [i for i, r in enumerate(rules) if i not in moves and r.confidence < asks[i]]
+        ok = F.lit(True)
+        if moves:
+            ok = F.when(m["i"].isin(moves), confidence() >= F.get(F.array(*map(F.lit, asks)), m["i"])).otherwise(ok)
+        return F.when(m["i"].isin(fails), False).otherwise(ok) if fails else ok
+
+    def confidence(m: Column) -> Column:
         of = lambda values: F.get(F.array(*map(F.lit, values)), m["i"])
         base = of([float(r.confidence) for r in rules])
         sure = F.coalesce(by_rule(m, lambda r: r.sure(m["value"]).cast("double") if r.sure else None, F.lit(None).cast("double")), base)
         if any(r.nudged for r in rules):
             moved = S.let(C.entropy(F.left(m["value"], F.lit(200))), C.confidence_modifier)
             sure = F.when(of([r.nudged for r in rules]), F.round(F.least(F.lit(0.99), base + moved), 3)).otherwise(sure)
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), of([r.type for r in rules]).alias("type"), of([r.category for r in rules]).alias("category"), of([r.name for r in rules]).alias("recognizer"), sure.alias("confidence"))
+        return sure
+
+    def told(m: Column) -> Column:
+        of = lambda values: F.get(F.array(*map(F.lit, values)), m["i"])
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), of([r.type for r in rules]).alias("type"), of([r.category for r in rules]).alias("category"), of([r.name for r in rules]).alias("recognizer"), confidence(m).alias("confidence"))
 
     none = F.array().cast(f"array<{S.FINDING}>")
 
@@ -111,13 +134,13 @@ def matches(text: Column, found: Column, rules: tuple[Rule, ...] | list[Rule], f
         part = lambda k: F.get(x["parts"], F.lit(k))
         start = functools.reduce(operator.add, [F.length(part(k)) for k in range(2 * n + 1)])
         m = {"i": x["i"], "start": start, "end": start + F.length(part(2 * n + 1)), "value": part(2 * n + 1)}
-        return F.when((F.size(x["parts"]) > 2 * n + 1) & passes(m), F.array(told(m))).otherwise(none)
+        return F.when((F.size(x["parts"]) > 2 * n + 1) & passes(m) & enough(m, lambda: confidence(m)), F.array(told(m))).otherwise(none)
 
     met, each = few
     fit = F.size(found) <= met
     for j in range(met):
         fit = fit & (F.coalesce(F.size(F.get(found, F.lit(j))["parts"]), F.lit(0)) <= 2 * each + 1)
-    return F.when(F.size(found) == 0, none).when(fit, F.concat(*[spelled(j, n) for j in range(met) for n in range(each)])).otherwise(F.transform(F.filter(_placed(found), passes), told))
+    return F.when(F.size(found) == 0, none).when(fit, F.concat(*[spelled(j, n) for j in range(met) for n in range(each)])).otherwise(F.transform(F.filter(_placed(found), lambda m: passes(m) & enough(m, lambda: confidence(m))), told))
 
 
 def _placed(found: Column) -> Column:
@@ -145,9 +168,14 @@ def _card(_: Column, m: Column) -> Column:
     return F.length(digits(m["value"])).between(13, 19) & C.luhn(digits(m["value"]))
 
 
+#: 8 to 15 digits that are neither a date nor three fours
+_PHONE_FORM = rf"^(?!{X.DATE[1:]})(?!{X.THREE_FOURS[1:]})[^0-9]*+(?:[0-9][^0-9]*+){{8,15}}$"
+#: without 16 digits in one run no match stands in a longer one than 15
+_LONG_RUN = r"[0-9](?:[\s.()+\-]*+[0-9]){15}"
+
+
 def _phone(text: Column, m: Column) -> Column:
-    v = m["value"]
-    return F.length(digits(v)).between(8, 15) & ~v.rlike(X.DATE) & ~v.rlike(X.THREE_FOURS) & (digits_around(text, m) <= 15)
+    return m["value"].rlike(_PHONE_FORM) & F.when(text.rlike(_LONG_RUN), digits_around(text, m) <= 15).otherwise(True)
 
 
 def _mobile(text: Column, m: Column) -> Column:
@@ -155,19 +183,22 @@ def _mobile(text: Column, m: Column) -> Column:
     return F.when(F.length(digits(m["value"])) > 10, run <= 12).otherwise(run == 10)
 
 
+#: ten digits with a sign between them at most; letters before a digit or nought
+_TEN, _CODED = r"[0-9](?:[\s\-]?[0-9]){9}", "[A-Z]{4}[A-Z0]"
+
 PERSONAL = (
     Rule("regex.email", "EMAIL_ADDRESS", "PII", X.EMAIL, 0.95, "@", gate=r"@[A-Za-z0-9\-]+\.", quick=X.EMAIL_ANCHORED),
     Rule("regex.ipv4", "IP_ADDRESS", "PII", X.IPV4, 0.90, ".", gate="[0-9][.][0-9]"),
     Rule("regex.ipv6", "IP_ADDRESS", "PII", X.IPV6, 0.80, ":", accept=lambda _, m: F.length(m["value"]) >= 8, gate="[0-9a-fA-F]:[0-9a-fA-F:]"),
     Rule("regex.ssn", "US_SSN", "PII", X.SSN, 0.85, "-", gate="[0-9]{3}-[0-9]{2}"),
-    Rule("regex.card_luhn", "CREDIT_CARD", "PII", X.DIGIT_RUN, 0.92, accept=_card, outside=X.UUID, gate="[0-9](?:[ -]?[0-9]){12}"),
+    Rule("regex.card_luhn", "CREDIT_CARD", "PII", X.DIGIT_RUN, 0.92, accept=_card, outside=X.UUID, gate="[0-9](?:[ -]?[0-9]){12}", kin=_TEN),
     Rule("regex.phone", "PHONE_NUMBER", "PII", X.PHONE, 0.70, accept=_phone, outside=X.UUID, sure=lambda v: F.when(v.rlike("[+(]"), 0.85), gate=r"\d\d[\s.\-]\d\d"),
-    Rule("regex.honorific_name", "PERSON", "PII", X.HONORIFIC_NAME, 0.60, gate=r"\b(?=[" + "".join(sorted({h[0] for h in X.HONORIFICS})) + "])(?:" + "|".join(X.HONORIFICS) + r")[.\s]"),
-    Rule("india.aadhaar_verhoeff", "IN_AADHAAR", "PII", X.AADHAAR, 0.95, accept=lambda _, m: C.verhoeff(digits(m["value"])), gate="[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}"),
-    Rule("india.pan", "IN_PAN", "PII", X.PAN, 0.55, sure=lambda v: F.when(F.contains(F.lit(X.PAN_HOLDERS), F.substr(v, F.lit(4), F.lit(1))), 0.90), gate="[A-Z]{5}[0-9]{4}"),
-    Rule("india.ifsc", "IN_IFSC", "PII", X.IFSC, 0.60, sure=lambda v: F.when(F.left(v, F.lit(4)).isin(X.BANKS), 0.92), gate="[A-Z]{4}0"),
+    Rule("regex.honorific_name", "PERSON", "PII", X.HONORIFIC_NAME, 0.60, gate="(?=[" + "".join(sorted({h[0] for h in X.HONORIFICS})) + r"])\b(?:" + "|".join(X.HONORIFICS) + r")[.\s]"),
+    Rule("india.aadhaar_verhoeff", "IN_AADHAAR", "PII", X.AADHAAR, 0.95, accept=lambda _, m: C.verhoeff(digits(m["value"])), gate="[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", kin=_TEN),
+    Rule("india.pan", "IN_PAN", "PII", X.PAN, 0.55, sure=lambda v: F.when(F.contains(F.lit(X.PAN_HOLDERS), F.substr(v, F.lit(4), F.lit(1))), 0.90), gate="[A-Z]{5}[0-9]{4}", kin=_CODED),
+    Rule("india.ifsc", "IN_IFSC", "PII", X.IFSC, 0.60, sure=lambda v: F.when(F.left(v, F.lit(4)).isin(X.BANKS), 0.92), gate="[A-Z]{4}0", kin=_CODED),
     Rule("india.upi_vpa", "IN_UPI_ID", "PII", X.PAYMENT_ADDRESS, 0.88, "@", gate=r"@[A-Za-z]{3,}(?![\w.])"),
-    Rule("india.mobile", "PHONE_NUMBER", "PII", X.MOBILE, 0.65, accept=_mobile, sure=lambda v: F.when(F.length(digits(v)) > 10, 0.90), gate=r"[6-9][0-9]{4}[\s\-]?[0-9]{5}"),
+    Rule("india.mobile", "PHONE_NUMBER", "PII", X.MOBILE, 0.65, accept=_mobile, sure=lambda v: F.when(F.length(digits(v)) > 10, 0.90), gate=r"[6-9][0-9]{4}[\s\-]?[0-9]{5}", kin=_TEN),
 )
 
 
