@@ -49,3 +49,9 @@ def test_every_gate_of_a_kind_implies_what_the_kind_shares():
         if r.kin:
             met = [t for t in texts if re.search(r.gate, t)]
             assert met and all(re.search(r.kin, t) for t in met)
+
+
+def test_explained_tokens_are_left_out_before_their_entropy(spark):
+    rows = spark.createDataFrame([("what is qX7$kPz!93LmW#vR2dTy8",)], "t string")
+    of = lambda ok: len(rows.select(D.odd_tokens(F.col("t"), open_to=lambda m: F.lit(ok))).first()[0])
+    assert (of(True), of(False)) == (1, 0)

@@ -261,9 +261,9 @@ def benign(token: Column) -> Column:
 ODD = "struct<start:int,end:int,value:string,entropy:double>"
 
 
-def odd_tokens(text: Column, threshold: float = 4.0) -> Column:
-    """The array (ODD) of long tokens of high entropy that nothing explains."""
-    long = F.filter(S.find_all(text, TOKEN), lambda m: benign(m["value"]).isNull())
+def odd_tokens(text: Column, threshold: float = 4.0, open_to: Callable[[Column], Column] | None = None) -> Column:
+    """The array (ODD) of long tokens of high entropy that nothing explains; of those only that ``open_to`` passes, which is asked first, as entropy is dear."""
+    long = F.filter(S.find_all(text, TOKEN), lambda m: (open_to(m) if open_to else F.lit(True)) & benign(m["value"]).isNull())
     told = F.transform(long, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), C.entropy(m["value"]).alias("entropy")))
     return F.when(text.rlike(TOKEN), F.filter(told, lambda m: m["entropy"] >= threshold)).otherwise(F.array().cast(f"array<{ODD}>"))
 
